@@ -23,18 +23,20 @@ def match_utterances(transcripts: DataFrame, audio: DataFrame, key: str = "utt_i
 
 
 def word_durations(
-    words: DataFrame, text: str = "new_text", order: Column | None = None
+    words: DataFrame, text: str = "new_text", order: Column | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
     """One duration per audio file from its word-level tags: the first row in ``order`` wins,
     without an order the smallest duration does."""
     duration = marker_duration(F.col(text))
     chosen = F.min(duration) if order is None else F.min_by(duration, order)
-    return words.groupBy("audio_filename").agg(chosen.alias("duration"))
+    return words.groupBy(*by, "audio_filename").agg(chosen.alias("duration"))
 
 
-def attach_durations(segments: DataFrame, durations: DataFrame) -> DataFrame:
+def attach_durations(
+    segments: DataFrame, durations: DataFrame, key: Sequence[str] = ("audio_filename",)
+) -> DataFrame:
     """Left join on the file name; a missing duration becomes 0.0."""
-    joined = segments.join(durations, "audio_filename", "left")
+    joined = segments.join(durations, list(key), "left")
     return joined.withColumn("duration", F.coalesce("duration", F.lit(0.0)))
 
 

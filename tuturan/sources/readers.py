@@ -4,32 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tuturan.functions.arrow import read_wav_headers
 from tuturan.functions.expr import SPACE, is_blank, strip
 from tuturan.functions.text import marker_duration, marker_language, strip_markers
 from tuturan.operators.filters import base_name, stem
-from tuturan.operators.joins import attach_durations, concatenate, word_durations
-
-TAGGED = T.StructType().add("audio_filename", "string").add("segment_timestamp", "string")
-PAIRED = T.StructType().add("audio_filename", "string").add("new_text", "string")
-MANIFEST = (
-    T.StructType().add("audio_filepath", "string").add("text", "string").add("duration", "double")
-)
-SPEAKER_MANIFEST = T.StructType(MANIFEST.fields).add("speaker", "int").add("language", "string")
-BENCHMARK = (
-    T.StructType()
-    .add("utterance_id", "string")
-    .add("path", "string")
-    .add("sentence", "string")
-    .add("duration", "string")
-)
-CONVERSATION = T.StructType.fromDDL(
+from tuturan.operators.joins import attach_durations, word_durations
+
+TAGGED = "audio_filename string, segment_timestamp string"
+PAIRED = "audio_filename string, new_text string"
+MANIFEST = "audio_filepath string, text string, duration double"
+SPEAKER_MANIFEST = MANIFEST + ", speaker int, language string"
+BENCHMARK = "utterance_id string, path string, sentence string, duration string"
+CONVERSATION = (
     "uid string, conversation array<struct<text: string,"
     " metadata: struct<start_time: double, end_time: double>>>"
 )
-HYPOTHESIS = T.StructType().add("text", "string").add("text_norm", "string")
+HYPOTHESIS = "text string, text_norm string"
 SYNTHESIS_ITEM = (
     "array<struct<text: string, type: string, person: string, audio_path: string,"
     " voice_id: string, index: bigint, duration: double>>"
@@ -101,31 +93,23 @@ def pair_shards(files: DataFrame, name: str = "file_name") -> DataFrame:
 def read_paired(
     spark: SparkSession, folder: str, datasets: Sequence[str] | None = None
 ) -> DataFrame:
-    """Segment text with durations from the word shards, one corpus after the other."""
-    listing = spark.read.format("binaryFile").load(f"{folder}/*.parquet").select("path")
-    pairs = pair_shards(listing.select("path", base_name(F.col("path")).alias("file_name")))
-    parts = []
-    for pair in pairs.orderBy("base").collect():
-        if datasets and pair["base"] not in datasets:
-            continue
-        read = lambda f: spark.read.schema(PAIRED).parquet(f"{folder}/{f}")
-        segments = paired_segments(read(pair["segments_file"])).withColumn("source", F.lit(pair["base"]))
-        if pair["words_file"]:
-            words = read(pair["words_file"]).withColumn("_at", input_position())
-            parts.append(attach_durations(segments, word_durations(words, order=F.col("_at"))))
-        else:
-            parts.append(segments.withColumn("duration", F.lit(0.0)))
-    if not parts:
-        raise ValueError(f"no matching corpora in {folder}")
-    return concatenate(parts)
-
-
-def paired_segments(raw: DataFrame, text: str = "new_text") -> DataFrame:
+    """Segment text with durations from the word shards: one scan, one join for all corpora."""
+    raw = spark.read.schema(PAIRED).parquet(folder).select(
+        "*", F.col("_metadata.file_name").alias("file_name"), input_position().alias("_at")
+    )
+    typed = pick_sources(classify_shards(raw), datasets, "base").withColumnRenamed("base", "source")
+    segments = paired_segments(typed.where("kind = 'segments'"), keep=("source",))
+    words = word_durations(typed.where("kind = 'words'"), order=F.col("_at"), by=("source",))
+    return attach_durations(segments, words, ("source", "audio_filename"))
+
+
+def paired_segments(
+    raw: DataFrame, text: str = "new_text", keep: Sequence[str] = ()
+) -> DataFrame:
     """Clean segment text; rows without file or text are dropped."""
     present = raw.where(F.col("audio_filename").isNotNull() & (F.length(text) > 0))
-    return present.select("audio_filename", strip_markers(F.col(text)).alias("text")).where(
-        F.col("text") != ""
-    )
+    cleaned = present.select("audio_filename", strip_markers(F.col(text)).alias("text"), *keep)
+    return cleaned.where(F.col("text") != "")
 
 
 def input_position() -> Column:
@@ -151,7 +135,7 @@ def read_csv_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_manifest(
-    spark: SparkSession, path: str | Sequence[str], schema: T.StructType = MANIFEST
+    spark: SparkSession, path: str | Sequence[str], schema: str = MANIFEST
 ) -> DataFrame:
     """JSON lines; blank lines are ignored and broken ones skipped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
