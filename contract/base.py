@@ -122,7 +122,7 @@ def sql_fold(text: str, pairs, flags: str = "(?i)") -> str:
 
 # Utterances: the sentences of the conversation turns, and what three recognisers made of them.
 MODELS = {"alpha": (10, 13), "beta": (7, 17), "gamma": (23, 5)}
-DATASETS = ["user", "assistant"]
+DATASETS = ["user", "assistant", "system"]
 
 
 def utterances(spark: SparkSession, folder: str) -> DataFrame:
@@ -208,16 +208,3 @@ def sql_word_errors(ref: str, hyp: str) -> str:
         f"lambda w: chr(CAST(list_position({known}, w) AS INTEGER))), ''), '')"
     )
     return f"CAST(levenshtein({code(ref)}, {code(hyp)}) AS BIGINT)"
-
-
-def sql_scoring(text: str) -> str:
-    """Scoring normaliser for text of plain letters without superscripts and lone hyphens."""
-    from tuturan.functions.scoring import COMPOUND_WORDS
-
-    out = f"lower({text})"
-    out = f"regexp_replace({out}, '[^a-z0-9_\\s\\-]', ' ', 'g')"
-    out = f"regexp_replace({out}, '^\\s+|\\s+$', '', 'g')"
-    out = f"regexp_replace({out}, '\\s\\s+', ' ', 'g')"
-    for spaced, joined in COMPOUND_WORDS:
-        out = f"replace({out}, '{spaced}', '{joined}')"
-    return out

@@ -29,7 +29,7 @@ from contract.base import (
     utterances,
 )
 from contract.source_queries import flawed_records, keyed_files
-from contract.text_queries import SQL_CLEAN, sql_prepared, sql_scoring_ms
+from contract.text_queries import sql_compounds, sql_prepared, sql_scoring_ms
 from tuturan.functions import arrow, language as L, scoring as S, text as X
 from tuturan.functions.expr import squeeze
 from tuturan.operators import filters, joins, ranks, stats, vocab, wer
@@ -386,7 +386,7 @@ ERRORS = sql_word_errors("reference", "hypothesis")
 
 @query(
     "join5_hypothesis_reference",
-    f"""{RUN}, p AS (SELECT h.*, {ERRORS} AS errors, CAST(len({sql_words('h.reference')}) AS BIGINT) AS ref_words
+    f"""{RUN}, p AS (SELECT h.dataset, {sql_word_errors('h.reference', 'h.hypothesis')} AS errors, CAST(len({sql_words('h.reference')}) AS BIGINT) AS ref_words
   FROM heard h JOIN utterances u USING (utterance_id, dataset) WHERE model = 'alpha' AND number % 6 <> 0)
 SELECT dataset, CAST(count(*) AS BIGINT) AS samples, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(ref_words) AS BIGINT) AS ref_words,
   round(sum(errors) / CAST(sum(ref_words) AS DOUBLE), 6) AS wer FROM p GROUP BY dataset""",
@@ -630,7 +630,7 @@ CELLS = f"{SCORED}, cells AS (SELECT model, dataset, round(sum(errors) / CAST(su
 @query(
     "agg8_wer_matrix",
     f"{CELLS} SELECT model, coalesce(max(wer) FILTER (dataset = 'user'), CAST('nan' AS DOUBLE)) AS \"user\", "
-    "coalesce(max(wer) FILTER (dataset = 'assistant'), CAST('nan' AS DOUBLE)) AS assistant FROM cells GROUP BY model",
+    "coalesce(max(wer) FILTER (dataset = 'assistant'), CAST('nan' AS DOUBLE)) AS assistant, coalesce(max(wer) FILTER (dataset = 'system'), CAST('nan' AS DOUBLE)) AS system FROM cells GROUP BY model",
 )
 def agg8(spark, d):
     """One cell was not run and shows as NaN."""
@@ -641,14 +641,14 @@ def agg8(spark, d):
 
 @query(
     "snk6_results_summary",
-    f"{CELLS} SELECT model, max(wer) FILTER (dataset = 'user') AS \"user\", max(wer) FILTER (dataset = 'assistant') AS assistant FROM cells GROUP BY model",
+    f"{CELLS} SELECT model, max(wer) FILTER (dataset = 'user') AS \"user\", max(wer) FILTER (dataset = 'assistant') AS assistant, max(wer) FILTER (dataset = 'system') AS system FROM cells GROUP BY model",
 )
 def snk6(spark, d):
     scored = scored_runs(spark, d).where("NOT (model = 'gamma' AND dataset = 'user')")
     long = wer.corpus_wer(scored, ["model", "dataset"]).withColumn("wer", F.round("wer", 6))
     path = scratch_path(spark, "summary")
     writers.write_summary(wer.wer_matrix(long, DATASETS), path)
-    back = spark.read.option("header", "true").schema("model string, user double, assistant double").csv(path)
+    back = spark.read.option("header", "true").schema("model string, user double, assistant double, system double").csv(path)
     return back.select("model", *[F.nanvl(c, F.lit(None)).alias(c) for c in DATASETS])
 
 
@@ -1008,8 +1008,8 @@ def set6(spark, d):
 # ---------------------------------------------------------------------------------------------- benchmark run
 @query(
     "score_benchmark",
-    f"""{RUN}, u AS (SELECT utterance_id, dataset, {sql_scoring_ms('reference')} AS reference FROM utterances),
-h AS (SELECT model, dataset, utterance_id, {sql_scoring_ms('hypothesis')} AS hypothesis FROM heard),
+    f"""{RUN}, u AS (SELECT utterance_id, dataset, {sql_compounds(sql_scoring_ms('reference'))} AS reference FROM utterances),
+h AS (SELECT model, dataset, utterance_id, {sql_compounds(sql_scoring_ms('hypothesis'))} AS hypothesis FROM heard),
 p AS (SELECT h.model, dataset, {sql_word_errors('u.reference', 'h.hypothesis')} AS errors, CAST(len({sql_words('u.reference')}) AS BIGINT) AS ref_words FROM h JOIN u USING (dataset, utterance_id))
 SELECT model, dataset, CAST(count(*) AS BIGINT) AS samples, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(ref_words) AS BIGINT) AS ref_words,
   round(sum(errors) / CAST(sum(ref_words) AS DOUBLE), 6) AS wer FROM p GROUP BY model, dataset""",
