@@ -719,8 +719,9 @@ def agg14(spark, d):
     from tuturan.functions.repetition import detect_repetition
 
     looped = table(spark, d, "documents").select("lang", F.expr(LOOPS).alias("text"))
-    flagged = detect_repetition(F.col("text"))["flagged"]
-    return looped.groupBy("lang").agg(
+    flagged = F.col("flagged")
+    found = looped.select("lang", detect_repetition(F.col("text"))["flagged"].alias("flagged"))
+    return found.groupBy("lang").agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(flagged).alias("flagged"),
         F.round(F.avg(flagged.cast("int")) * 100, 4).alias("rate_percent"),

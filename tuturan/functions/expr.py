@@ -51,19 +51,38 @@ def table_literal(rows: list[str]) -> Column:
     return F.split(F.lit("\t".join(rows)), "\t")
 
 
-def replace_matches(col: Column, pattern: str, spell: Callable[[Column], Column]) -> Column:
-    """Replace every match of ``pattern`` by ``spell(match)``; the text between stays."""
-
-    def rebuild(text: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
-        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def replace_matches(
+    col: Column,
+    pattern: str,
+    spell: Callable[[Column], Column],
+    unless: Callable[[Column], tuple[Column, Callable[[Column], Column]]] | None = None,
+) -> Column:
+    """Replace every match of ``pattern`` by ``spell(match)``; the text between stays.
+
+    ``unless`` may look at the found matches and name a condition with another way to go.
+    """
+
+    def rebuild(p: Column) -> Column:
+        text, found = p["text"], p["found"]
         tail = F.array_append(F.transform(found, spell), F.lit(""))
-        return F.when(
-            text.rlike(pattern),
-            F.array_join(F.zip_with(gaps, tail, lambda g, s: F.concat(g, s)), ""),
-        ).otherwise(text)
-
-    return let(col, rebuild)
+        joined = F.array_join(
+            F.zip_with(F.split(text, pattern, -1), tail, lambda g, s: F.concat(g, s)), ""
+        )
+        untouched = F.when(F.size(found) == 0, text)
+        if unless is not None:
+            condition, other = unless(found)
+            untouched = untouched.when(condition, other(text))
+        return untouched.otherwise(joined)
+
+    return let(
+        col,
+        lambda t: let(
+            F.struct(
+                t.alias("text"), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("found")
+            ),
+            lambda p: F.when(p["text"].isNotNull(), rebuild(p)),
+        ),
+    )
 
 
 def java_edges(pattern: str) -> str:

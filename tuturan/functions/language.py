@@ -86,42 +86,55 @@ def token_language(token: Column, english: list[str] | None = None) -> Column:
     return F.when(listed, "en").when(abbreviation, "ms").otherwise("ms")
 
 
-RUNS = "array<struct<language:string,text:string>>"
-
-
 def language_runs(col: Column, english: list[str] | None = None) -> Column:
     """Split text into runs of one language: array of (language, text).
 
-    White space joins the run it follows, punctuation takes the language of the run it is in.
+    Latin words decide the language; white space and punctuation stay in the run they are in, and
+    punctuation before any word counts as Malay.
     """
-    empty = F.lit(None).cast("string")
 
-    def step(acc: Column, token: Column) -> Column:
-        blank = token.rlike(rf"^{SPACE}")
-        latin = token.rlike(r"^[A-Za-z']+$")
-        language = F.when(latin, token_language(token, english)).otherwise(
-            F.coalesce(acc["language"], F.lit("ms"))
+    def deciding(tokens: Column) -> Column:
+        spoken = F.transform(
+            tokens,
+            lambda t, i: F.struct(
+                (i + 1).alias("start"),
+                F.when(t.rlike("^[A-Za-z']"), token_language(t, english))
+                .when(~t.rlike(rf"^{SPACE}"), "punctuation")
+                .alias("language"),
+            ),
         )
-        turn = ~blank & (language != acc["language"]) & (strip(acc["text"]) != "")
-        closed = F.struct(acc["language"].alias("language"), strip(acc["text"]).alias("text"))
-        return F.struct(
-            F.when(turn, F.array_append(acc["runs"], closed)).otherwise(acc["runs"]).alias("runs"),
-            F.when(blank, acc["language"]).otherwise(language).alias("language"),
-            F.when(turn, token).otherwise(F.concat(acc["text"], token)).alias("text"),
+        solid = F.filter(spoken, lambda s: s["language"].isNotNull())
+        first = lambda s, i: F.struct(
+            s["start"].alias("start"),
+            F.when((i == 0) & (s["language"] == "punctuation"), "ms")
+            .otherwise(s["language"])
+            .alias("language"),
         )
+        return F.filter(F.transform(solid, first), lambda s: s["language"] != "punctuation")
 
-    start = F.struct(
-        F.array().cast(RUNS).alias("runs"), empty.alias("language"), F.lit("").alias("text")
-    )
-
-    def finish(acc: Column) -> Column:
-        last = F.struct(
-            F.coalesce(acc["language"], F.lit("ms")).alias("language"), strip(acc["text"]).alias("text")
+    def turns(marks: Column) -> Column:
+        return F.filter(
+            marks, lambda m, i: (i == 0) | (m["language"] != F.get(marks, i - 1)["language"])
         )
-        return F.when(last["text"] != "", F.array_append(acc["runs"], last)).otherwise(acc["runs"])
+
+    def cut(p: Column) -> Column:
+        tokens, runs = p["tokens"], p["runs"]
+
+        def one(run: Column, k: Column) -> Column:
+            start = F.when(k == 0, 1).otherwise(run["start"])
+            end = F.coalesce(F.get(runs, k + 1)["start"], F.size(tokens) + 1)
+            return F.struct(
+                run["language"].alias("language"),
+                strip(F.array_join(F.slice(tokens, start, end - start), "")).alias("text"),
+            )
+
+        return F.transform(runs, one)
 
     tokens = F.regexp_extract_all(col, F.lit(LATIN_TOKEN), F.lit(0))
-    return F.aggregate(tokens, start, step, finish)
+    return let(
+        tokens,
+        lambda t: let(F.struct(t.alias("tokens"), let(deciding(t), turns).alias("runs")), cut),
+    )
 
 
 def word_runs(col: Column, english: list[str] | None = None) -> Column:

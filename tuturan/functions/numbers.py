@@ -280,57 +280,81 @@ def _fraction(number: Column) -> Column:
     return F.regexp_extract(number, r"\.(\d+)", 1)
 
 
+def _decimals(fraction: Column, language: str) -> Column:
+    """Spoken decimals of a digit string, empty where nothing is spoken."""
+    if language == "ms":
+        return F.when(fraction == "", "").otherwise(
+            F.concat(F.lit(" perpuluhan "), malay_spell_digits(fraction))
+        )
+    if language == "zh":
+        return F.when(fraction == "", "").otherwise(
+            F.concat(F.lit("点"), F.translate(fraction, "0123456789", CHINESE_DIGITS))
+        )
+    table = table_literal(ENGLISH_SMALL[:10])
+    digits = F.regexp_extract_all(F.rtrim(fraction, F.lit("0")), F.lit(r"\d"), F.lit(0))
+    spoken = F.array_join(F.transform(digits, lambda d: F.get(table, d.cast("int"))), " ")
+    return F.when(fraction.rlike("[1-9]"), F.concat(F.lit(" point "), spoken)).otherwise("")
+
+
 def spell_number(number: Column, language: str) -> Column:
     """A matched number, thousands commas and decimals included, in words."""
+    return let(
+        F.replace(number, F.lit(","), F.lit("")),
+        lambda n: F.concat(CARDINALS[language](_whole(n)), _decimals(_fraction(n), language)),
+    )
 
-    def spell(n: Column) -> Column:
-        whole, fraction = CARDINALS[language](_whole(n)), _fraction(n)
-        if language == "ms":
-            tail = F.when(
-                fraction != "", F.concat(F.lit(" perpuluhan "), malay_spell_digits(fraction))
-            )
-        elif language == "zh":
-            spoken = F.translate(fraction, "0123456789", CHINESE_DIGITS)
-            tail = F.when(fraction != "", F.concat(F.lit("点"), spoken))
-        else:
-            table = table_literal(ENGLISH_SMALL[:10])
-            spoken = F.array_join(
-                F.transform(
-                    F.regexp_extract_all(F.rtrim(fraction, F.lit("0")), F.lit(r"\d"), F.lit(0)),
-                    lambda d: F.get(table, d.cast("int")),
-                ),
-                " ",
-            )
-            tail = F.when(fraction.rlike("[1-9]"), F.concat(F.lit(" point "), spoken))
-        return F.concat(whole, F.coalesce(tail, F.lit("")))
 
-    return let(F.replace(number, F.lit(","), F.lit("")), spell)
+# Letters of an extinct script around a found amount or percentage: like the words that will
+# stand there, they leave no word edge to a neighbouring digit.
+_OPEN, _CLOSE = "\U00010000", "\U00010001"
+_FOUND = rf"{_OPEN}[MP][\d.,]+{_CLOSE}|{PLAIN}"
 
 
-def _spell_money(found: Column, language: str, major: str, gap: str, minor: str) -> Column:
-    """A matched amount: whole part and, when written and not zero, hundredths."""
-    spell = CARDINALS[language]
+def _spell_found(found: Column, language: str) -> Column:
+    """An amount, a percentage or a plain number, told apart by its mark."""
+    hundreds = table_literal(malay_table() if language == "ms" else english_table())
+    unit = " peratus" if language == "ms" else " percent"
 
-    def body(n: Column) -> Column:
-        cents = _fraction(n)
-        tail = F.when(
-            cents.rlike("[1-9]"), F.concat(F.lit(gap), spell(cents), F.lit(minor))
+    def body(p: Column) -> Column:
+        kind, fraction = p["kind"], p["fraction"]
+        some = fraction.rlike("[1-9]")
+        sen = F.when(
+            some, F.concat(F.lit(" "), F.get(hundreds, fraction.try_cast("int")), F.lit(" sen"))
         ).otherwise("")
-        return F.concat(spell(_whole(n)), F.lit(major), tail)
+        tail = (
+            F.when(kind == "M", F.concat(F.lit(" ringgit"), sen))
+            .when((kind == "P") & ~some, F.lit(unit))
+            .when(kind == "P", F.concat(_decimals(fraction, language), F.lit(unit)))
+            .otherwise(_decimals(fraction, language))
+        )
+        return F.concat(CARDINALS[language](p["whole"]), tail)
+
+    number = F.regexp_replace(found, r"[^\d.]", "")
+    parts = F.struct(
+        F.substring(found, 2, 1).alias("kind"),
+        _whole(number).alias("whole"),
+        _fraction(number).alias("fraction"),
+    )
+    return let(parts, body)
 
-    return let(F.regexp_replace(found, r"[^\d.]", ""), body)
 
+def _normalize_chinese(text: Column) -> Column:
+    def money(found: Column) -> Column:
+        amount = F.replace(found, F.lit("元"), F.lit(""))
+        cents = _fraction(amount)
+        tail = F.when(
+            cents.rlike("[1-9]"), F.concat(chinese_digits_to_words(cents), F.lit("分"))
+        ).otherwise("")
+        return F.concat(chinese_digits_to_words(_whole(amount)), F.lit("元"), tail)
 
-def _spell_percent(found: Column, language: str) -> Column:
-    def body(n: Column) -> Column:
-        integral = ~_fraction(n).rlike("[1-9]")
-        whole = CARDINALS[language](_whole(n))
-        if language == "zh":
-            return F.when(integral, F.concat(F.lit("百分之"), whole)).otherwise(found)
-        unit = F.lit(" peratus" if language == "ms" else " percent")
-        return F.concat(F.when(integral, whole).otherwise(spell_number(n, language)), unit)
+    def percent(found: Column) -> Column:
+        number = F.regexp_replace(found, r"[^\d.]", "")
+        return F.when(_fraction(number).rlike("[1-9]"), found).otherwise(
+            F.concat(F.lit("百分之"), chinese_digits_to_words(_whole(number)))
+        )
 
-    return let(F.regexp_replace(found, r"[^\d.]", ""), body)
+    text = replace_matches(replace_matches(text, YUAN, money), PERCENT, percent)
+    return replace_matches(text, PLAIN, lambda m: spell_number(m, "zh"))
 
 
 def normalize_numbers(col: Column, language: str) -> Column:
@@ -338,18 +362,18 @@ def normalize_numbers(col: Column, language: str) -> Column:
 
     A language other than ``ms``, ``en`` and ``zh`` has no money rule and uses English words.
     """
-    speller = language if language in CARDINALS else "en"
 
     def body(raw: Column) -> Column:
-        text = raw
         if language == "zh":
-            text = replace_matches(text, YUAN, lambda m: _spell_money(m, "zh", "元", "", "分"))
-        elif language in CARDINALS:
-            text = replace_matches(
-                text, RINGGIT, lambda m: _spell_money(m, language, " ringgit", " ", " sen")
-            )
-        text = replace_matches(text, PERCENT, lambda m: _spell_percent(m, speller))
-        text = replace_matches(text, PLAIN, lambda m: spell_number(m, speller))
-        return F.when(is_blank(raw), raw).otherwise(squeeze(text))
-
-    return let(col, lambda t: F.when(t.rlike(r"\d"), body(t)).when(is_blank(t), t).otherwise(squeeze(t)))
+            return squeeze(_normalize_chinese(raw))
+        text = raw
+        if language in CARDINALS:
+            text = F.regexp_replace(text, RINGGIT, f"{_OPEN}M$1{_CLOSE}")
+        text = F.regexp_replace(text, PERCENT, f"{_OPEN}P$1{_CLOSE}")
+        speller = language if language in CARDINALS else "en"
+        return squeeze(replace_matches(text, _FOUND, lambda m: _spell_found(m, speller)))
+
+    return let(
+        col,
+        lambda t: F.when(t.rlike(r"\d"), body(t)).when(is_blank(t), t).otherwise(squeeze(t)),
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from tuturan.functions.expr import NOT_WORD, SPACE, WORD, let, strip, words_of
+from tuturan.functions.expr import SPACE, WORD, let, strip, words_of
 
 # --- fixed values: a run must be longer than this ----------------------------------------------------
 RUN = 10
@@ -24,7 +24,7 @@ def detect_repetition(col: Column, max_repetitions: int = 3) -> Column:
     def rules(text: Column, words: Column, joined: Column, plain: Column) -> Column:
         run = rf"\A([\s\S]*?)({LOOPING_CHARACTER})\2{{{RUN}}}"
         outcome = F.when(
-            (F.length(text) > 20) & text.rlike(run),
+            (F.length(text) > 20) & text.rlike(rf"({LOOPING_CHARACTER})\1{{{RUN}}}"),
             result(or_else(strip(F.regexp_extract(text, run, 1)), F.regexp_extract(text, run, 2))),
         )
 
@@ -52,17 +52,18 @@ def detect_repetition(col: Column, max_repetitions: int = 3) -> Column:
             text.rlike(listed) & chosen.isNotNull(), result(or_else(strip(before), chosen))
         )
 
-        phrase = (
-            rf"\A([\s\S]*?(?<![^ ])([^ ]++(?: [^ ]++){{0,8}}?))(?: \2){{{max_repetitions}}}(?= |$)"
-        )
+        looped = rf"(?: \2){{{max_repetitions}}}(?= |$)"
+        phrase = rf"\A([\s\S]*?(?<![^ ])([^ ]++(?: [^ ]++){{0,8}}?)){looped}"
         outcome = outcome.when(
-            (F.size(words) > 3) & joined.rlike(phrase), result(F.regexp_extract(joined, phrase, 1))
+            (F.size(words) > 3) & joined.rlike(rf"(^| )([^ ]++(?: [^ ]++){{0,8}}?){looped}"),
+            result(F.regexp_extract(joined, phrase, 1)),
         )
 
-        same = rf"\A([\s\S]*?)(?<![^ ])([^ ]++)(?: \2){{{max_repetitions * 2}}}(?= |$)"
+        again = rf"(?: \2){{{max_repetitions * 2}}}(?= |$)"
+        same = rf"\A([\s\S]*?)(?<![^ ])([^ ]++){again}"
         place = F.length(F.regexp_replace(F.regexp_extract(plain, same, 1), "[^ ]", "")) + 1
         outcome = outcome.when(
-            (F.size(words) > 5) & plain.rlike(same),
+            (F.size(words) > 5) & plain.rlike(rf"(^| )([^ ]++){again}"),
             result(F.array_join(F.slice(words, F.lit(1), place), " ")),
         )
 
@@ -75,15 +76,8 @@ def detect_repetition(col: Column, max_repetitions: int = 3) -> Column:
 
     def prepared(text: Column) -> Column:
         words = words_of(text)
-        plain = F.transform(words, lambda w: F.regexp_replace(F.lower(w), NOT_WORD, ""))
-        return let(
-            F.struct(
-                text.alias("text"),
-                words.alias("words"),
-                F.array_join(words, " ").alias("joined"),
-                F.array_join(plain, " ").alias("plain"),
-            ),
-            lambda p: rules(p["text"], p["words"], p["joined"], p["plain"]),
-        )
+        split = F.struct(text.alias("text"), words.alias("words"), F.array_join(words, " ").alias("joined"))
+        plain = lambda p: F.regexp_replace(F.lower(p["joined"]), r"[^\p{L}\p{N}_ ]", "")
+        return let(split, lambda p: rules(p["text"], p["words"], p["joined"], plain(p)))
 
     return let(col, prepared)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from tuturan.functions.arrow import nfc
@@ -11,7 +14,7 @@ from tuturan.functions.expr import (
     fold,
     is_blank,
     java_edges,
-    let,
+    replace_matches,
     squeeze,
 )
 
@@ -185,10 +188,10 @@ SPEECH_ABBREVIATIONS = {
 }
 
 
-def char_class(ranges: list[tuple[int, int]], negate: bool = False) -> str:
-    """A regex class from code point ranges."""
+def char_class(ranges: list[tuple[int, int]]) -> str:
+    """A regex class from code point ranges, behind one cheap test that most characters fail."""
     body = "".join(rf"\x{{{lo:X}}}-\x{{{hi:X}}}" for lo, hi in ranges)
-    return f"[{'^' if negate else ''}{body}]"
+    return rf"(?=[\x{{{min(lo for lo, _ in ranges):X}}}-\x{{10FFFF}}])[{body}]"
 
 
 # ---------------------------------------------------------------------------------------- markers
@@ -220,7 +223,7 @@ def normalize_characters(col: Column) -> Column:
 
 
 def remove_emoji(col: Column) -> Column:
-    return F.regexp_replace(col, char_class(EMOJI_RANGES) + "+", "")
+    return F.regexp_replace(col, char_class(EMOJI_RANGES), "")
 
 
 def contains_script(col: Column, *scripts: str) -> Column:
@@ -255,21 +258,38 @@ def remove_punctuation(col: Column, replacement: str = " ") -> Column:
 
 
 # ---------------------------------------------------------------------- abbreviations and particles
-def _gated_fold(col: Column, pairs: list[tuple[str, str]]) -> Column:
-    """Run an ordered fold only on text that one combined test finds worth it."""
-    steps = [("(?i)" + java_edges(p), r) for p, r in pairs]
-    any_hit = "(?i)" + java_edges(r"\b") + "(?:" + "|".join(
-        java_edges(p)[len(java_edges(r"\b")):] for p, _ in pairs
-    ) + ")"
-    return let(col, lambda t: F.when(t.rlike(any_hit), fold(t, steps)).otherwise(t))
+def _either(pairs: list[tuple[str, str]]) -> str:
+    """One pattern for all left-hand sides; every one of them starts at a word edge."""
+    start = java_edges(r"\b")
+    return f"(?i){start}(?:" + "|".join(java_edges(p)[len(start):] for p, _ in pairs) + ")"
+
+
+def _in_order(col: Column, pairs: list[tuple[str, str]]) -> Column:
+    return fold(col, [("(?i)" + java_edges(p), r) for p, r in pairs])
 
 
 def expand_abbreviations(col: Column, language: str = "en") -> Column:
-    return _gated_fold(col, ABBREVIATIONS["ms" if language == "ms" else "en"])
+    """Ordered replacement of all abbreviations of a language.
+
+    One scan finds them and each match is looked up. Only text where an abbreviation is glued to
+    the next word by its full stop (where the order of the rules shows) is folded rule by rule.
+    """
+    pairs = ABBREVIATIONS["ms" if language == "ms" else "en"]
+    keys = [(re.sub(r"\\b|\\\.|[?']", "", p), r) for p, r in pairs]
+    table = F.str_to_map(F.lit(";".join(f"{k}={r}" for k, r in keys)), F.lit(";"), F.lit("="))
+
+    def look_up(found: Column) -> Column:
+        return F.element_at(table, F.translate(F.lower(found), ".'", ""))
+
+    def glued(found: Column) -> tuple[Column, Callable[[Column], Column]]:
+        return F.exists(found, lambda f: f.rlike("[.']$")), lambda text: _in_order(text, pairs)
+
+    return replace_matches(col, _either(pairs), look_up, glued)
 
 
 def normalize_particles(col: Column) -> Column:
-    return _gated_fold(col, PARTICLES)
+    """Ordered replacement of all particles; the rules are applied to the found words only."""
+    return replace_matches(col, _either(PARTICLES), lambda found: _in_order(found, PARTICLES))
 
 
 def expand_speech_abbreviations(col: Column) -> Column:

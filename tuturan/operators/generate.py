@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tuturan.functions.expr import let, words_of
-from tuturan.functions.numbers import (
-    malay_currency,
-    malay_date,
-    malay_percent,
-    malay_spell_digits,
-    malay_time,
-    malay_words,
-)
+from tuturan.functions.expr import let, replace_matches, words_of
+from tuturan.functions.numbers import malay_digits_to_words, malay_spell_digits
 from tuturan.operators.joins import not_yet_written, text_key
 from tuturan.operators.ranks import first_per_key, seeded_sample
 from tuturan.session import store
@@ -87,42 +81,82 @@ class Draws:
         return out
 
 
+# Marks around digits that are spoken as a number or digit by digit once the text is complete.
+NUMBER_MARK, DIGITS_MARK = "\u0001", "\u0002"
+
+
+def _spoken(n: Column) -> Column:
+    return F.concat(F.lit(NUMBER_MARK), n.cast("string"), F.lit(NUMBER_MARK))
+
+
+def _digits(text: Column) -> Column:
+    return F.concat(F.lit(DIGITS_MARK), text.cast("string"), F.lit(DIGITS_MARK))
+
+
+def speak_marked(text: Column) -> Column:
+    """Put the words in place of all marked digits; each speller occurs once in the plan."""
+
+    def spoken(text: Column, mark: str, spell: Callable[[Column], Column]) -> Column:
+        inside = lambda m: F.substr(m, F.lit(2), F.length(m) - 2)
+        return replace_matches(text, rf"{mark}\d+{mark}", lambda m: spell(inside(m)))
+
+    text = spoken(text, NUMBER_MARK, malay_digits_to_words)
+    return spoken(text, DIGITS_MARK, malay_spell_digits)
+
+
 def number_slots(draws: Draws) -> dict[str, Callable[[], Column]]:
-    """Every placeholder that stands for a spoken number."""
-    whole = lambda slot, low, high: draws.between(slot, low, high)
+    """Every placeholder that stands for a spoken number, with its digits still marked."""
+    whole = draws.between
     text = lambda c: c.cast("string")
-    prefix = lambda: draws.choice("prefix", PHONE_PREFIXES)
-    part1 = lambda: text(whole("phone1", 100, 999))
-    part2 = lambda: text(whole("phone2", 1000, 9999))
-    day, month = lambda: whole("day", 1, 28), lambda: whole("month", 1, 12)
-    year = lambda: whole("year", 2020, 2025)
-    month_name = lambda: F.get(F.split(F.lit(" ".join(MONTHS)), " "), (month() - 1).cast("int"))
-    minute = lambda: whole("minute", 0, 59)
-    amount = lambda: malay_currency(draws.ranged("amount", AMOUNT_RANGES).cast("double"))
-    percent = lambda: malay_percent(whole("percent", 5, 995) / 10.0)
     two = lambda slot, low, high: F.lpad(text(whole(slot, low, high)), 2, "0")
+    clock = lambda hour, minute: F.concat(
+        F.lit("pukul "),
+        _spoken(whole(hour, 1, 12)),
+        F.when(whole(minute, 0, 59) > 0, F.concat(F.lit(" "), _spoken(whole(minute, 0, 59)))).otherwise(""),
+    )
+
+    def month_name() -> Column:
+        return F.get(F.split(F.lit(" ".join(MONTHS)), " "), (whole("month", 1, 12) - 1).cast("int"))
+
+    def percent() -> Column:
+        """One decimal, cut off as a binary fraction."""
+        tenths = whole("percent", 5, 995)
+        share = tenths / 10.0
+        cut = ((share - F.floor(share)) * 10).cast("bigint")
+        decimal = F.when(tenths % 10 == 0, "").otherwise(F.concat(F.lit(" perpuluhan "), _spoken(cut)))
+        return F.concat(_spoken(F.floor(share)), decimal, F.lit(" peratus"))
+
+    def date() -> Column:
+        return F.concat_ws(
+            " ", _spoken(whole("day", 1, 28)), month_name(), _spoken(whole("year", 2020, 2025))
+        )
+
+    amount = lambda: F.concat(_spoken(draws.ranged("amount", AMOUNT_RANGES)), F.lit(" ringgit"))
+    prefix = lambda: draws.choice("prefix", PHONE_PREFIXES)
     slots = {
         "amount": amount,
         "whole_amount": amount,
-        "date": lambda: malay_date(day(), month_name(), year()),
-        "day": lambda: malay_words(day()),
-        "month": lambda: F.lpad(text(month()), 2, "0"),
+        "date": date,
+        "day": lambda: _spoken(whole("day", 1, 28)),
+        "month": lambda: two("month", 1, 12),
         "month_malay": month_name,
-        "year": lambda: malay_words(year()),
+        "year": lambda: _spoken(whole("year", 2020, 2025)),
         "day_name": lambda: draws.choice("day_name", DAYS),
-        "phone": lambda: malay_spell_digits(F.concat(prefix(), part1(), part2())),
-        "prefix": lambda: malay_spell_digits(prefix()),
+        "phone": lambda: _digits(
+            F.concat(prefix(), text(whole("phone1", 100, 999)), text(whole("phone2", 1000, 9999)))
+        ),
+        "prefix": lambda: _digits(prefix()),
         "percent": percent,
         "percentage": percent,
-        "number": lambda: malay_words(draws.ranged("number", NUMBER_RANGES)),
-        "number1": lambda: malay_words(whole("number1", 1, 1000)),
-        "number2": lambda: malay_words(whole("number2", 1, 1000)),
-        "time": lambda: malay_time(whole("hour", 1, 12), minute()),
-        "hour": lambda: malay_words(whole("hour", 1, 12)),
-        "minute": lambda: F.when(minute() > 0, malay_words(minute())).otherwise(""),
+        "number": lambda: _spoken(draws.ranged("number", NUMBER_RANGES)),
+        "number1": lambda: _spoken(whole("number1", 1, 1000)),
+        "number2": lambda: _spoken(whole("number2", 1, 1000)),
+        "time": lambda: clock("hour", "minute"),
+        "hour": lambda: _spoken(whole("hour", 1, 12)),
+        "minute": lambda: F.when(whole("minute", 0, 59) > 0, _spoken(whole("minute", 0, 59))).otherwise(""),
         "period": lambda: draws.choice("period", PERIODS),
-        "time2": lambda: malay_time(whole("hour2", 1, 12), whole("minute2", 0, 59)),
-        "ic_number": lambda: malay_spell_digits(
+        "time2": lambda: clock("hour2", "minute2"),
+        "ic_number": lambda: _digits(
             F.concat(
                 text(whole("ic_year", 60, 99)),
                 two("ic_month", 1, 12),
@@ -135,21 +169,27 @@ def number_slots(draws: Draws) -> dict[str, Callable[[], Column]]:
             F.lit("W "),
             draws.choice("plate_letter", PLATE_LETTERS),
             F.lit(" "),
-            malay_spell_digits(text(whole("plate", 1000, 9999))),
+            _digits(whole("plate", 1000, 9999)),
         ),
     }
     for slot, (lead, low, high) in CODES.items():
         slots[slot] = lambda slot=slot, lead=lead, low=low, high=high: F.concat(
-            F.lit(lead), malay_spell_digits(text(draws.wide(slot, low, high)))
+            F.lit(lead), _digits(draws.wide(slot, low, high))
         )
     return slots
 
 
+def used_slots(templates: Sequence[str], draws: Draws) -> dict[str, Column]:
+    """Only the number placeholders that some template names."""
+    named = set(re.findall(PLACEHOLDER, "\n".join(templates)))
+    return {slot: make() for slot, make in number_slots(draws).items() if slot in named}
+
+
 def fill_template(template: Column, values: dict[str, Column]) -> Column:
     """Replace ``{name}`` placeholders; null when the template names an unknown one."""
 
     def value(name: Column) -> Column:
-        out = None
+        out = F.lit(None).cast("string") if not values else None
         for known, column in values.items():
             out = F.when(name == known, column) if out is None else out.when(name == known, column)
         return out
@@ -192,9 +232,9 @@ def generate_sentences(
     field = lambda c: F.coalesce(F.col(c).cast("string"), empty) if c in persons.columns else empty
     values = {c: field(c) for c in ("name", "honorific", "position", "party")}
     if kind == "mixed":
-        values |= {slot: make() for slot, make in number_slots(draws).items()}
+        values |= used_slots(templates, draws)
     filled = rows.withColumn("template", F.get(_template_table(templates), pick)).withColumn(
-        "text", fill_template(F.col("template"), values)
+        "text", speak_marked(fill_template(F.col("template"), values))
     )
     return filled.where(F.length("text") >= min_length).select(
         "text",
@@ -211,8 +251,7 @@ def generate_number_sentences(
     """One number-only sentence per input row; a template that asks for a person is dropped."""
     draws = Draws(seed, F.concat_ws("|", F.col(key).cast("string"), F.lit("number")))
     pick = draws.between("template", 0, len(templates) - 1).cast("int")
-    values = {slot: make() for slot, make in number_slots(draws).items()}
-    text = fill_template(F.get(_template_table(templates), pick), values)
+    text = speak_marked(fill_template(F.get(_template_table(templates), pick), used_slots(templates, draws)))
     return rows.select(key, text.alias("text"), F.lit("number").alias("type")).where(
         F.length("text") >= min_length
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -50,32 +51,52 @@ def numbers_to_words(text: Column, language: Column) -> Column:
     )
 
 
-def screened(df: DataFrame, options: CorpusOptions) -> tuple[DataFrame, list[Stage]]:
-    """Text columns and the filter stages in their order; no row is dropped yet."""
+def cheap_stages(options: CorpusOptions) -> list[Stage]:
+    """Filters on the columns as they were read."""
     stages = [Stage("duration", F.col("duration").between(options.min_duration, options.max_duration))]
     if options.languages:
         stages.append(Stage("language", F.col("language").isin(*options.languages)))
     if options.exclude_non_latin:
         stages.append(Stage("script", ~contains_non_latin(F.col("text"))))
+    return stages
+
+
+def late_stages(options: CorpusOptions, text: Column) -> list[Stage]:
+    """Filters on the prepared text."""
+    stages = [Stage("empty", text != "")]
+    if options.filter_invalid_chars:
+        stages.append(Stage("characters", is_valid_text(text)))
+    return stages
+
+
+def prepared_text(options: CorpusOptions) -> Column:
     language = spoken_language(F.col("language"))
-    out = df.withColumn("_clean", remove_emoji(F.col("text")))
+    clean = remove_emoji(F.col("text"))
     if options.preprocess:
-        done = preprocess_asr(
-            F.col("_clean"),
+        return preprocess_asr(
+            clean,
             language,
             remove_punctuation=options.remove_punctuation,
             clean_for_asr=options.clean_for_asr,
         )
-    elif options.numbers_only:
-        done = numbers_to_words(F.col("_clean"), language)
-    else:
-        done = F.col("_clean")
-    cheap = drop_reason(stages).isNull()
-    out = out.withColumn("_done", F.when(cheap, done))
-    stages.append(Stage("empty", F.col("_done") != ""))
-    if options.filter_invalid_chars:
-        stages.append(Stage("characters", is_valid_text(F.col("_done"))))
-    return out, stages
+    return numbers_to_words(clean, language) if options.numbers_only else clean
+
+
+def prepare_rows(corpus: DataFrame, options: CorpusOptions) -> DataFrame:
+    """Filter, normalise and filter again.
+
+    The late filters sit in a generator: as predicates Spark would push them below the projection
+    and prepare every text once more for each of them.
+    """
+    early = corpus
+    for stage in cheap_stages(options):
+        early = early.where(stage.keep)
+    ready = F.filter(
+        F.array(prepared_text(options)),
+        lambda text: reduce(lambda a, b: a & b, [s.keep for s in late_stages(options, text)]),
+    )
+    kept = early.select("*", F.explode(ready).alias("_ready"))
+    return kept.withColumn("text", F.col("_ready")).drop("_ready")
 
 
 def prepare_corpus(
@@ -90,9 +111,7 @@ def prepare_corpus(
         rows = seeded_sample(
             rows, options.max_samples, options.key, seed=options.seed, unique_key=options.unique_key
         )
-    marked, stages = screened(rows, options)
-    kept = marked.where(drop_reason(stages).isNull())
-    kept = kept.withColumn("text", F.col("_done")).drop("_clean", "_done")
+    kept = prepare_rows(rows, options)
     if audio is not None:
         kept = kept.join(audio.select("audio_filename"), "audio_filename", "left_semi")
     return stratified_split(
@@ -106,9 +125,11 @@ def prepare_corpus(
 
 
 def corpus_attrition(corpus: DataFrame, options: CorpusOptions = CorpusOptions()) -> DataFrame:
-    """How many rows each stage of the preparation drops."""
-    marked, stages = screened(corpus, options)
-    return attrition(marked, stages)
+    """How many rows each stage of the preparation drops, from one pass."""
+    early = cheap_stages(options)
+    passed = drop_reason(early).isNull()
+    marked = corpus.withColumn("_ready", F.when(passed, prepared_text(options)))
+    return attrition(marked, [*early, *late_stages(options, F.col("_ready"))])
 
 
 def prepare_keyed_corpus(
