@@ -422,33 +422,23 @@ def join7(spark, d):
     return joins.not_yet_written(docs, earlier).select("doc_id")
 
 
-DICTIONARY = {"the": "ðə", "der": "deːɐ", "que": "ke", "les": "le", "of": "ɒv", "une": "yn"}
-
-
-@query("join9_to_phonemes", None)
-def join9(spark, d):
-    """The most frequent words of the corpus get their letters reversed as phonemes."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return vocab.to_phonemes(docs, phoneme_table(spark, d), "doc_id")
-
-
-def phoneme_table(spark, d):
-    frequent = vocab.word_frequency(table(spark, d, "documents"), 20)
-    return frequent.select("word", F.concat(F.lit("/"), F.reverse("word"), F.lit("/")).alias("phonemes"))
+FREQUENT = """f AS (SELECT word FROM (SELECT unnest(list_filter(string_split_regex(regexp_replace(lower(text), '[.,!?;:"''\\-()\\[\\]{}…«»—–]', ' ', 'g'), '\\s+'), lambda w: w <> '')) AS word FROM documents)
+  GROUP BY word HAVING count(*) >= 20)"""
+TOKENS = "regexp_extract_all(text, '[\\pL\\pN_'']+|[^\\pL\\pN_\\s]+|\\s+')"
 
 
 @query(
-    "join9_phoneme_counts",
-    """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\\pL\\pN_'']+|[^\\pL\\pN_\\s]+|\\s+')) AS token FROM documents),
-f AS (SELECT word FROM (SELECT unnest(list_filter(string_split_regex(regexp_replace(lower(text), '[.,!?;:"''\\-()\\[\\]{}…«»—–]', ' ', 'g'), '\\s+'), lambda w: w <> '')) AS word FROM documents)
-  GROUP BY word HAVING count(*) >= 20)
-SELECT doc_id, CAST(count(*) FILTER (word IS NOT NULL) * 2 + sum(length(token)) AS BIGINT) AS chars FROM t LEFT JOIN f ON lower(token) = word GROUP BY doc_id""",
+    "join9_to_phonemes",
+    f"""WITH t AS (SELECT doc_id, unnest({TOKENS}) AS token, generate_subscripts({TOKENS}, 1) AS pos FROM documents), {FREQUENT}
+SELECT doc_id, string_agg(coalesce('/' || reverse(word) || '/', token), '' ORDER BY pos) AS phonemes
+FROM t LEFT JOIN f ON lower(token) = word GROUP BY doc_id""",
 )
-def join9_counts(spark, d):
-    """Length of the phoneme text per document: two slashes for every word found."""
+def join9(spark, d):
+    """The most frequent words of the corpus get their letters reversed as phonemes."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    done = vocab.to_phonemes(docs, phoneme_table(spark, d), "doc_id")
-    return done.select("doc_id", F.length("phonemes").cast("bigint").alias("chars"))
+    frequent = vocab.word_frequency(docs, 20)
+    reversed_word = F.concat(F.lit("/"), F.reverse("word"), F.lit("/"))
+    return vocab.to_phonemes(docs, frequent.select("word", reversed_word.alias("phonemes")), "doc_id")
 
 
 def vocabulary(spark, d, source, first_id):

@@ -513,7 +513,20 @@ def txt25(spark, d):
     return docs(spark, d, X.expand_speech_abbreviations(written).alias("text"))
 
 
-@query("txt26_language_runs")
+LATIN_TOKENS = f"regexp_extract_all({sql_plain()}, '[A-Za-z'']+|[^\\pL\\pN_\\s]+|\\s+')"
+
+
+@query(
+    "txt26_language_runs",
+    f"""WITH t AS (SELECT doc_id, unnest({LATIN_TOKENS}) AS token, generate_subscripts({LATIN_TOKENS}, 1) AS pos FROM documents),
+k AS (SELECT *, CASE WHEN regexp_matches(token, '^[A-Za-z'']') THEN CASE WHEN lower(token) IN ('the', 'and', 'der', 'que') THEN 'en' ELSE 'ms' END
+    WHEN NOT regexp_matches(token, '^\\s') THEN 'mark' END AS kind FROM t),
+s AS (SELECT *, CASE WHEN kind = 'mark' AND row_number() OVER (PARTITION BY doc_id ORDER BY pos) = 1 THEN 'ms' ELSE kind END AS language FROM k WHERE kind IS NOT NULL),
+c AS (SELECT *, CASE WHEN language = lag(language) OVER (PARTITION BY doc_id ORDER BY pos) THEN 0 ELSE 1 END AS fresh FROM s WHERE language <> 'mark'),
+r AS (SELECT k.doc_id, k.pos, k.token, c.language, greatest(sum(coalesce(c.fresh, 0)) OVER (PARTITION BY k.doc_id ORDER BY k.pos), 1) - 1 AS run
+  FROM k LEFT JOIN c ON k.doc_id = c.doc_id AND k.pos = c.pos)
+SELECT doc_id, CAST(run AS INTEGER) AS run, max(language) AS language, trim(string_agg(token, '' ORDER BY pos), ' \n') AS text FROM r GROUP BY doc_id, run""",
+)
 def txt26(spark, d):
     """Runs of one language; frequent words of the tables stand in for the English list."""
     runs = docs(spark, d, F.posexplode(L.language_runs(plain_text(F.col("text")), ["the", "and", "der", "que"])).alias("run", "part"))

@@ -6,8 +6,9 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, functions as F
 
-# Character classes with the meaning they have in Unicode-aware text tools.
-WORD = r"[\p{L}\p{N}_]"
+# Character classes with the meaning they have in Unicode-aware text tools. The letter beyond the
+# basic plane, spelled out, makes Java look behind by code points instead of by UTF-16 units.
+WORD = "[\\p{L}\\p{N}_\U00010000]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
 SPACE_SET = r"\s\x1c-\x1f\x85\p{Z}"
 SPACE = rf"[{SPACE_SET}]"
