@@ -123,7 +123,7 @@ def input_position() -> Column:
 
 def read_json_records(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of records or ``{"results": [...]}``, whichever the file holds."""
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     bare = F.from_json("value", SYNTHESIS_ITEM)
     wrapped = F.from_json("value", f"struct<results: {SYNTHESIS_ITEM}>")["results"]
     chosen = F.when(F.ltrim("value").startswith("["), bare).otherwise(wrapped)
@@ -234,7 +234,7 @@ def audio_headers(
 
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
     """``{"categories": {name: [template, ...]}}`` → one row per template."""
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     categories = F.from_json("value", "struct<categories: map<string, array<string>>>")["categories"]
     return flatten_templates(raw.select(categories.alias("categories")))
 
