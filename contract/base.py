@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tuturan.session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -23,8 +25,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# Tables with work per row that is worth more than one task per row group.
+SPREAD = {"documents", "conversations", "orders", "customer"}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(rows) if name in SPREAD else rows
 
 
 # Corpus rows: one per document, 15 characters per second.

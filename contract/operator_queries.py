@@ -263,7 +263,7 @@ def prepare_tagged_corpus(spark, d):
     """Tagged rows parsed, filtered, split by source and summarised."""
     rows = readers.tagged_corpus(tagged(spark, d))
     kept = filters.keep_languages(filters.duration_between(rows, high=MAX_SECONDS), ["en", "fr", "es"])
-    split = ranks.stratified_split(kept, ["source"], ["audio_filename"], 0.95, unique_key=True)
+    split = ranks.stratified_split(store(kept, "kept"), ["source"], ["audio_filename"], 0.95, unique_key=True)
     summary = stats.corpus_statistics(split, ["source", "split"])
     return summary.select("source", "split", "samples", r4("hours").alias("hours"), r4("avg_chars").alias("avg_chars"))
 

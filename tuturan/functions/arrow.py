@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import io
+import sys
 import unicodedata
 import wave
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Code points that NFC leaves alone whatever their neighbours inside this set.
@@ -108,6 +110,9 @@ def edit_operations(refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
     rows = []
     for ref_text, hyp_text in zip(refs, hyps):
         ref, hyp = (ref_text or "").split(), (hyp_text or "").split()
+        if ref == hyp:
+            rows.append((0, 0, 0, len(ref)))
+            continue
         codes: dict[str, int] = {}
         r = np.array([codes.setdefault(w, len(codes)) for w in ref], dtype=np.int64)
         h = np.array([codes.setdefault(w, len(codes)) for w in hyp], dtype=np.int64)
@@ -149,3 +154,7 @@ def read_wav_headers(files: DataFrame, min_duration: float, max_duration: float)
             yield fields
 
     return files.select("path", "length", "content").mapInPandas(run, HEADER_SCHEMA)
+
+
+# Workers get these functions by value, whether or not the package is installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

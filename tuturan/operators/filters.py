@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -36,6 +36,18 @@ def keep_languages(df: DataFrame, languages: Sequence[str], col: str = "language
     return df.where(F.col(col).isin(*languages))
 
 
+def with_text(
+    df: DataFrame, text: Column, keep: Callable[[Column], Column], name: str = "text"
+) -> DataFrame:
+    """Compute a text once and keep the rows that pass ``keep``.
+
+    The test sits in a generator: as a predicate Spark would push it below the projection and
+    compute the text once more for the filter.
+    """
+    passed = F.filter(F.array(text), keep)
+    return df.select("*", F.explode(passed).alias("_text")).withColumn(name, F.col("_text")).drop("_text")
+
+
 def language_counts(
     df: DataFrame, languages: Sequence[str], col: str = "language"
 ) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tuturan.functions.expr import let, replace_matches, words_of
 from tuturan.functions.numbers import malay_digits_to_words, malay_spell_digits
+from tuturan.operators.filters import with_text
 from tuturan.operators.joins import not_yet_written, text_key
 from tuturan.operators.ranks import first_per_key, seeded_sample
 from tuturan.session import store
@@ -233,10 +234,10 @@ def generate_sentences(
     values = {c: field(c) for c in ("name", "honorific", "position", "party")}
     if kind == "mixed":
         values |= used_slots(templates, draws)
-    filled = rows.withColumn("template", F.get(_template_table(templates), pick)).withColumn(
-        "text", speak_marked(fill_template(F.col("template"), values))
-    )
-    return filled.where(F.length("text") >= min_length).select(
+    drawn = rows.withColumn("template", F.get(_template_table(templates), pick))
+    text = speak_marked(fill_template(F.col("template"), values))
+    filled = with_text(drawn, text, lambda t: F.length(t) >= min_length)
+    return filled.select(
         "text",
         F.lit(kind).alias("type"),
         F.col("name").alias("person"),
@@ -252,9 +253,8 @@ def generate_number_sentences(
     draws = Draws(seed, F.concat_ws("|", F.col(key).cast("string"), F.lit("number")))
     pick = draws.between("template", 0, len(templates) - 1).cast("int")
     text = speak_marked(fill_template(F.get(_template_table(templates), pick), used_slots(templates, draws)))
-    return rows.select(key, text.alias("text"), F.lit("number").alias("type")).where(
-        F.length("text") >= min_length
-    )
+    filled = with_text(rows.select(key), text, lambda t: F.length(t) >= min_length)
+    return filled.withColumn("type", F.lit("number"))
 
 
 def unique_sentences(df: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -292,7 +292,7 @@ def generate_until(
             break
     if total <= target:
         return kept
-    return seeded_sample(kept, target, ["text"], seed=seed)
+    return seeded_sample(kept, target, ["text"], seed=seed, unique_key=True)
 
 
 # ----------------------------------------------------------------------------------------------- quotas

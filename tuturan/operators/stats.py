@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 SECONDS_PER_HOUR = 3600.0
 
@@ -29,10 +29,9 @@ def with_share(counts: DataFrame, n: str = "samples", name: str = "share") -> Da
 
 
 def statistics_with_share(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Group statistics and each group's share of the rows, from one pass over the data."""
-    whole = Window.partitionBy()
-    grouped = corpus_statistics(df, by)
-    return grouped.withColumn("share", F.col("samples") * 100.0 / F.sum("samples").over(whole))
+    """Group statistics and each group's share of all rows."""
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return corpus_statistics(df, by).withColumn("share", F.col("samples") * 100.0 / total)
 
 
 def counts_by(df: DataFrame, *by: str) -> DataFrame:
@@ -88,7 +87,7 @@ def scalar_summary(log: DataFrame) -> DataFrame:
         F.max("step").alias("last_step"),
         F.max_by("value", "step").alias("latest_value"),
     )
-    return per_tag.withColumn("max_step", F.max("last_step").over(Window.partitionBy()))
+    return per_tag.withColumn("max_step", log.agg(F.max("step")).scalar())
 
 
 def key_uniqueness(df: DataFrame, key: str) -> DataFrame:

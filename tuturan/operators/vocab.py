@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tuturan.functions.expr import words_of
 from tuturan.functions.language import dictionary_tokens, vocabulary_words
 from tuturan.functions.text import char_class
+from tuturan.session import fits_broadcast, freeze
 
 # --- fixed values: script ranges for vocabulary extraction --------------------------------------------
 VOCABULARY_SCRIPTS = {
@@ -23,6 +24,7 @@ VOCABULARY_SCRIPTS = {
     "latin_extended": [(0x0100, 0x017F), (0x0180, 0x024F), (0x1E00, 0x1EFF)],
 }
 ANY_NON_ASCII = r"[\P{C}&&[^\x00-\x7F]]"
+BROADCAST_ENTRIES = 1_000_000
 SUPPORTED_COVERAGE = 0.8
 SUPPORTED_UNKNOWN = 0.2
 
@@ -90,17 +92,19 @@ def vocabulary_coverage(
 ) -> DataFrame:
     """Per language: mean sentence coverage, share of unknown tokens, supported or not.
 
-    Tokens are counted per sentence before the lookup, so a frequent token travels once per
-    sentence and the two aggregations combine on the map side.
+    With a vocabulary of proven size the lookup is a broadcast and the tokens are summed up per
+    sentence where they are. With a larger one they are counted per sentence first, so that a
+    frequent token travels once per sentence.
     """
     tokens = words_of(F.col(text)) if unit == "words" else F.split(F.col(text), "")
-    known = vocabulary.select(F.col("token").alias("_known")).distinct()
-    looked_up = (
-        df.select(key, language, F.explode_outer(tokens).alias("_token"))
-        .groupBy(key, language, "_token")
-        .agg(F.count("_token").alias("_n"))
-        .join(known, F.col("_token") == F.col("_known"), "left")
-    )
+    known = freeze(vocabulary.select(F.col("token").alias("_known")).distinct())
+    exploded = df.select(key, language, F.explode_outer(tokens).alias("_token"))
+    if fits_broadcast(known, BROADCAST_ENTRIES):
+        counted = exploded.withColumn("_n", F.col("_token").isNotNull().cast("bigint"))
+        known = F.broadcast(known)
+    else:
+        counted = exploded.groupBy(key, language, "_token").agg(F.count("_token").alias("_n"))
+    looked_up = counted.join(known, F.col("_token") == F.col("_known"), "left")
     unknown = F.when(F.col("_known").isNull(), F.col("_n")).otherwise(0)
     per_sentence = looked_up.groupBy(key, language).agg(
         F.sum("_n").alias("_total"), F.sum(unknown).alias("_unknown")
@@ -126,12 +130,14 @@ def to_phonemes(
     """Replace dictionary words by their phonemes, everything else stays in place.
 
     The compact rows are partitioned by their key first; exploding, looking up and re-assembling
-    then keep that partitioning, so the tokens themselves need no shuffle of their own when the
-    dictionary is small enough for Spark to broadcast it.
+    keep that partitioning, so with a dictionary of proven size the tokens are never shuffled.
+    A larger dictionary is joined by Spark's choice.
     """
-    lookup = dictionary.select(
-        F.lower("word").alias("_word"), F.col("phonemes").alias("_phonemes")
-    ).dropDuplicates(["_word"])
+    lookup = freeze(
+        dictionary.groupBy(F.lower("word").alias("_word")).agg(F.max("phonemes").alias("_phonemes"))
+    )
+    if fits_broadcast(lookup, BROADCAST_ENTRIES):
+        lookup = F.broadcast(lookup)
     tokens = (
         df.select(key, text)
         .repartition(key)

@@ -13,6 +13,10 @@ from tuturan.operators.wer import (
     score_utterances,
     wer_matrix,
 )
+from tuturan.session import fits_broadcast, freeze
+
+
+MAX_BROADCAST_RUNS = 100_000
 
 
 @dataclass(frozen=True)
@@ -31,8 +35,9 @@ def score_benchmark(
     (dataset, utterance_id, reference, language)."""
     key = ["dataset", "utterance_id"]
     if options.keep_failed:
-        runs = hypotheses.select("model", "dataset").distinct()
-        references = references.join(runs, "dataset")
+        runs = freeze(hypotheses.select("model", "dataset").distinct())
+        small = fits_broadcast(runs, MAX_BROADCAST_RUNS)
+        references = references.join(F.broadcast(runs) if small else runs, "dataset")
         key = ["model", *key]
     paired = pair_with_reference(hypotheses, references, key, options.keep_failed)
     normal = normalize_pair(paired, F.col("language"), options.normalize_reference)

@@ -12,7 +12,7 @@ from tuturan.functions.asr import preprocess_asr
 from tuturan.functions.language import spoken_language
 from tuturan.functions.numbers import normalize_numbers
 from tuturan.functions.text import contains_non_latin, is_valid_text, preprocess_zh, remove_emoji
-from tuturan.operators.filters import Stage, attrition, drop_reason
+from tuturan.operators.filters import Stage, attrition, drop_reason, with_text
 from tuturan.operators.joins import concatenate
 from tuturan.operators.ranks import seeded_sample, shuffle_rows, stratified_split
 from tuturan.session import store
@@ -83,20 +83,12 @@ def prepared_text(options: CorpusOptions) -> Column:
 
 
 def prepare_rows(corpus: DataFrame, options: CorpusOptions) -> DataFrame:
-    """Filter, normalise and filter again.
-
-    The late filters sit in a generator: as predicates Spark would push them below the projection
-    and prepare every text once more for each of them.
-    """
+    """Filter, normalise and filter again."""
     early = corpus
     for stage in cheap_stages(options):
         early = early.where(stage.keep)
-    ready = F.filter(
-        F.array(prepared_text(options)),
-        lambda text: reduce(lambda a, b: a & b, [s.keep for s in late_stages(options, text)]),
-    )
-    kept = early.select("*", F.explode(ready).alias("_ready"))
-    return kept.withColumn("text", F.col("_ready")).drop("_ready")
+    passes = lambda text: reduce(lambda a, b: a & b, [s.keep for s in late_stages(options, text)])
+    return with_text(early, prepared_text(options), passes)
 
 
 def prepare_corpus(

@@ -55,3 +55,18 @@ def store(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small input that comes in few splits out over all cores.
+
+    A parquet row group is one task however many cores there are. An input with at least two
+    splits per core is left as it is, so large tables are never shuffled here.
+    """
+    wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+
+
+def fits_broadcast(df: DataFrame, rows: int) -> bool:
+    """Count a frozen or stored table up to one row more than the limit."""
+    return df.limit(rows + 1).count() <= rows

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tuturan.functions.arrow import read_wav_headers
 from tuturan.functions.expr import SPACE, is_blank, strip
 from tuturan.functions.text import marker_duration, marker_language, strip_markers
-from tuturan.operators.filters import base_name, stem
+from tuturan.operators.filters import base_name, stem, with_text
 from tuturan.operators.joins import attach_durations, word_durations
 
 TAGGED = "audio_filename string, segment_timestamp string"
@@ -22,10 +22,15 @@ CONVERSATION = (
     " metadata: struct<start_time: double, end_time: double>>>"
 )
 HYPOTHESIS = "text string, text_norm string"
-SYNTHESIS_ITEM = (
-    "array<struct<text: string, type: string, person: string, audio_path: string,"
-    " voice_id: string, index: bigint, duration: double>>"
-)
+SYNTHESIS_FIELDS = {
+    "text": "string",
+    "type": "string",
+    "person": "string",
+    "audio_path": "string",
+    "voice_id": "string",
+    "index": "bigint",
+    "duration": "double",
+}
 
 
 def shard_source(file_name: Column) -> Column:
@@ -47,13 +52,13 @@ def tagged_corpus(tagged: DataFrame) -> DataFrame:
     """Tagged segments → working columns; rows without file or text are dropped."""
     tags = F.col("segment_timestamp")
     present = tagged.where(F.col("audio_filename").isNotNull() & tags.isNotNull())
-    return present.select(
+    return with_text(present, strip_markers(tags), lambda t: t != "").select(
         "audio_filename",
-        strip_markers(tags).alias("text"),
+        "text",
         marker_duration(tags).alias("duration"),
         "source",
         marker_language(tags).alias("language"),
-    ).where(F.col("text") != "")
+    )
 
 
 def read_tagged(
@@ -108,8 +113,8 @@ def paired_segments(
 ) -> DataFrame:
     """Clean segment text; rows without file or text are dropped."""
     present = raw.where(F.col("audio_filename").isNotNull() & (F.length(text) > 0))
-    cleaned = present.select("audio_filename", strip_markers(F.col(text)).alias("text"), *keep)
-    return cleaned.where(F.col("text") != "")
+    cleaned = with_text(present, strip_markers(F.col(text)), lambda t: t != "")
+    return cleaned.select("audio_filename", "text", *keep)
 
 
 def input_position() -> Column:
@@ -121,13 +126,22 @@ def input_position() -> Column:
     )
 
 
-def read_json_records(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of records or ``{"results": [...]}``, whichever the file holds."""
-    raw = spark.read.text(path, wholetext=True)
-    bare = F.from_json("value", SYNTHESIS_ITEM)
-    wrapped = F.from_json("value", f"struct<results: {SYNTHESIS_ITEM}>")["results"]
-    chosen = F.when(F.ltrim("value").startswith("["), bare).otherwise(wrapped)
-    return raw.select(F.inline(chosen))
+def read_json_records(
+    spark: SparkSession, path: str, fields: dict[str, str] = SYNTHESIS_FIELDS
+) -> DataFrame:
+    """A JSON array of records or ``{"results": [...]}``, whichever a file holds.
+
+    Spark reads the elements of a bare array as rows; a wrapped file is one row with its list.
+    """
+    item = ", ".join(f"{name}: {kind}" for name, kind in fields.items())
+    bare = ", ".join(f"{name} {kind}" for name, kind in fields.items())
+    raw = (
+        spark.read.schema(f"results array<struct<{item}>>, {bare}")
+        .option("multiLine", "true")
+        .json(path)
+    )
+    single = F.array(F.struct(*fields))
+    return raw.select(F.inline(F.coalesce("results", single)))
 
 
 def read_csv_records(spark: SparkSession, path: str) -> DataFrame:

@@ -57,17 +57,29 @@ def write_dictionary(df: DataFrame, path: str) -> None:
     dictionary_lines(df).write.text(path)
 
 
-def nested_results(scored: DataFrame) -> DataFrame:
-    """One row per model and dataset with its WER and, as an array, its utterances.
+def nested_results(scored: DataFrame, per_record: int = 100_000) -> DataFrame:
+    """Result records of a model and dataset: overall WER and, as an array, the utterances.
 
-    The array of one cell is as large as its test set; for the utterances of big runs write the
-    long table instead.
+    A test set with more than ``per_record`` utterances is written as several records (``part``),
+    so that no task gathers a whole large set.
     """
-    row = F.struct("utterance_id", F.col("reference").alias("groundtruth"), F.col("hypothesis").alias("predicted"), "wer")
-    return scored.groupBy("model", "dataset").agg(
+    cell = ["model", "dataset"]
+    totals = scored.groupBy(*cell).agg(
         (F.sum("errors") / F.nullif(F.sum("ref_words"), F.lit(0))).alias("overall_wer"),
         F.count(F.lit(1)).alias("num_samples"),
-        F.array_sort(F.collect_list(row)).alias("results"),
+    )
+    parts = F.ceil(F.col("num_samples") / per_record)
+    row = F.struct(
+        "utterance_id",
+        F.col("reference").alias("groundtruth"),
+        F.col("hypothesis").alias("predicted"),
+        "wer",
+    )
+    return (
+        scored.join(totals, cell)
+        .withColumn("part", F.pmod(F.xxhash64("utterance_id"), parts))
+        .groupBy(*cell, "overall_wer", "num_samples", "part")
+        .agg(F.array_sort(F.collect_list(row)).alias("results"))
     )
 
 
