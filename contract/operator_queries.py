@@ -29,11 +29,11 @@ from contract.base import (
     utterances,
 )
 from contract.source_queries import flawed_records, keyed_files
-from contract.text_queries import sql_compounds, sql_prepared, sql_scoring_ms
+from contract.text_queries import SQL_ZH_DONE, sql_compounds, sql_prepared, sql_scoring_ms, zh_text
 from tuturan.functions import arrow, language as L, scoring as S, text as X
 from tuturan.functions.expr import squeeze
 from tuturan.operators import filters, joins, ranks, stats, vocab, wer
-from tuturan.plans import benchmark, corpus as plan
+from tuturan.plans import benchmark, corpus as plan, speakers
 from tuturan.session import scratch_path, store
 from tuturan.sources import readers, writers
 
@@ -373,6 +373,17 @@ def join4(spark, d):
     return joins.missing_audio(docs, table(spark, d, "labels"), "doc_id")
 
 
+@query(
+    "join4_spot_check",
+    f"""WITH s AS (SELECT doc_id FROM documents ORDER BY {draw_sql('doc_id')} LIMIT 100)
+SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS found FROM s""",
+)
+def join4_spot(spark, d):
+    """A hundred sampled rows are looked up, the others are not."""
+    docs = table(spark, d, "documents")
+    return joins.spot_check(docs, table(spark, d, "labels"), "doc_id", 100)
+
+
 def one_run(spark, d, model, every=0):
     """Hypotheses of one model; every n-th utterance was not recognised."""
     utts = utterances(spark, d)
@@ -1011,3 +1022,35 @@ def score_benchmark(spark, d):
     scored = benchmark.score_benchmark(all_heard(utts), utts.drop("number"))
     long, _ = benchmark.summarize(scored, DATASETS)
     return long.withColumn("wer", F.round("wer", 6))
+
+
+@query(
+    "prepare_speakers",
+    f"""WITH t AS (SELECT doc_id, source AS speaker, text, n_chars / CAST(150 AS DOUBLE) AS seconds FROM documents),
+k AS (SELECT *, CAST(doc_id AS VARCHAR) || '.mp3' AS audio_filename FROM t
+  WHERE trim(text, ' \n') <> '' AND length(trim(text, ' \n')) <= 1500 AND seconds BETWEEN 0.5 AND 15.0)
+SELECT audio_filename, trim(text, ' \n') AS text, round(seconds, 3) AS duration, speaker,
+  CAST(CASE speaker WHEN 'src3' THEN 0 WHEN 'src4' THEN 1 ELSE 2 END AS INTEGER) AS speaker_id,
+  {split_sql('speaker', 'audio_filename', 0.95)} AS split FROM k""",
+)
+def prepare_speakers(spark, d):
+    """Every source is a speaker; a third of the rows has no normalised text."""
+    third = F.col("doc_id") % 3 == 0
+    metadata = table(spark, d, "documents").select(
+        F.col("source").alias("speaker"),
+        F.col("text").alias("original"),
+        F.when(third, "").otherwise(F.col("text")).alias("normalized"),
+        F.concat(F.col("doc_id").cast("string"), F.lit(".mp3")).alias("audio_filename"),
+        (F.col("n_chars") / 150.0).alias("duration"),
+    )
+    return speakers.prepare_speakers(metadata, ids={"src3": 0, "src4": 1}, unique_key=True)
+
+
+@query(
+    "prepare_keyed_corpus",
+    f"""SELECT doc_id, {SQL_ZH_DONE} AS text, round(n_chars / CAST(15 AS DOUBLE), 4) AS duration FROM documents
+WHERE n_chars / CAST(15 AS DOUBLE) BETWEEN 0.1 AND 600 AND {SQL_ZH_DONE} <> ''""",
+)
+def prepare_keyed_corpus(spark, d):
+    rows = corpus(spark, d).select("doc_id", zh_text(F.col("text")).alias("text"), "duration")
+    return plan.prepare_keyed_corpus(rows, high=MAX_SECONDS)

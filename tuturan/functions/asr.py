@@ -42,7 +42,7 @@ def preprocess_asr(
         if abbreviations and code in ("en", "ms"):
             text = expand_abbreviations(text, code)
         if numbers:
-            text = normalize_numbers(text, code)
+            text = normalize_numbers(text, code, tidy=False)
         if particles and code in ("en", "ms"):
             text = normalize_particles(text)
         if lowercase:

@@ -357,23 +357,28 @@ def _normalize_chinese(text: Column) -> Column:
     return replace_matches(text, PLAIN, lambda m: spell_number(m, "zh"))
 
 
-def normalize_numbers(col: Column, language: str) -> Column:
+def normalize_numbers(col: Column, language: str, tidy: bool = True) -> Column:
     """Money, then percentages, then the remaining numbers, each in words.
 
     A language other than ``ms``, ``en`` and ``zh`` has no money rule and uses English words.
+    ``tidy=False`` leaves the white space to a later step.
     """
 
     def body(raw: Column) -> Column:
         if language == "zh":
-            return squeeze(_normalize_chinese(raw))
+            return _normalize_chinese(raw)
         text = raw
         if language in CARDINALS:
             text = F.regexp_replace(text, RINGGIT, f"{_OPEN}M$1{_CLOSE}")
         text = F.regexp_replace(text, PERCENT, f"{_OPEN}P$1{_CLOSE}")
         speller = language if language in CARDINALS else "en"
-        return squeeze(replace_matches(text, _FOUND, lambda m: _spell_found(m, speller)))
+        return replace_matches(text, _FOUND, lambda m: _spell_found(m, speller))
 
+    if not tidy:
+        return let(col, lambda t: F.when(t.rlike(r"\d"), body(t)).otherwise(t))
     return let(
         col,
-        lambda t: F.when(t.rlike(r"\d"), body(t)).when(is_blank(t), t).otherwise(squeeze(t)),
+        lambda t: F.when(t.rlike(r"\d"), squeeze(body(t)))
+        .when(is_blank(t), t)
+        .otherwise(squeeze(t)),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tuturan.functions.expr import strip
 from tuturan.functions.text import marker_duration
+from tuturan.operators.ranks import seeded_sample
 
 FOLD_KEY = "_fold"
 
@@ -48,6 +49,15 @@ def missing_audio(df: DataFrame, inventory: DataFrame, key: str) -> DataFrame:
     return df.join(inventory.select(key), key, "left_anti")
 
 
+def spot_check(
+    df: DataFrame, inventory: DataFrame, key: str, n: int = 1000, seed: int = 42
+) -> DataFrame:
+    """Look for the audio of n sampled rows: one row per sampled key and whether it was found."""
+    sample = seeded_sample(df.select(key), n, [key], seed=seed)
+    found = inventory.select(key).distinct().withColumn("found", F.lit(True))
+    return sample.join(found, key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def not_done(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not among the finished ones."""
     return df.join(done.select(key), key, "left_anti")

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tuturan.functions.asr import preprocess_asr
+from tuturan.functions.expr import is_blank, strip
 from tuturan.functions.language import spoken_language
 from tuturan.functions.numbers import normalize_numbers
 from tuturan.functions.text import contains_non_latin, is_valid_text, preprocess_zh, remove_emoji
@@ -129,8 +130,8 @@ def prepare_keyed_corpus(
 ) -> DataFrame:
     """Matched utterances of declared subsets: filter, normalise, round the duration."""
     text = preprocess_zh(F.col("text")) if normalize else F.col("text")
-    kept = matched.where((F.trim("text") != "") & F.col("duration").between(low, high))
-    cleaned = kept.withColumn("text", F.trim(text)).where(F.col("text") != "")
+    kept = matched.where(~is_blank(F.col("text")) & F.col("duration").between(low, high))
+    cleaned = with_text(kept, strip(text), lambda t: t != "")
     return cleaned.withColumn("duration", F.round("duration", 4))
 
 
