@@ -35,7 +35,7 @@ CHINESE_UNITS = ["", "十", "百", "千", "万", "十", "百", "千", "亿", "
 RINGGIT = rf"RM{SPACE}*(\d{{1,3}}(?:,\d{{3}})*(?:\.\d{{2}})?|\d+(?:\.\d{{2}})?)"
 YUAN = r"(\d+(?:\.\d{2})?)元"
 PERCENT = rf"(\d+(?:\.\d+)?){SPACE}*%"
-PLAIN = rf"(?<!{WORD})(\d{{1,3}}(?:,\d{{3}})*(?:\.\d+)?|\d+(?:\.\d+)?)(?!{WORD})"
+PLAIN = rf"(?=\d)(?<!{WORD})(\d{{1,3}}(?:,\d{{3}})*(?:\.\d+)?|\d+(?:\.\d+)?)(?!{WORD})"
 
 
 def malay_table() -> list[str]:

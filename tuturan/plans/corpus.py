@@ -71,8 +71,9 @@ def late_stages(options: CorpusOptions, text: Column) -> list[Stage]:
 
 
 def prepared_text(options: CorpusOptions) -> Column:
+    """The prepared form of ``_clean``, the text without emoji."""
     language = spoken_language(F.col("language"))
-    clean = remove_emoji(F.col("text"))
+    clean = F.col("_clean")
     if options.preprocess:
         return preprocess_asr(
             clean,
@@ -88,8 +89,9 @@ def prepare_rows(corpus: DataFrame, options: CorpusOptions) -> DataFrame:
     early = corpus
     for stage in cheap_stages(options):
         early = early.where(stage.keep)
+    early = early.withColumn("_clean", remove_emoji(F.col("text")))
     passes = lambda text: reduce(lambda a, b: a & b, [s.keep for s in late_stages(options, text)])
-    return with_text(early, prepared_text(options), passes)
+    return with_text(early, prepared_text(options), passes).drop("_clean")
 
 
 def prepare_corpus(
@@ -121,7 +123,8 @@ def corpus_attrition(corpus: DataFrame, options: CorpusOptions = CorpusOptions()
     """How many rows each stage of the preparation drops, from one pass."""
     early = cheap_stages(options)
     passed = drop_reason(early).isNull()
-    marked = corpus.withColumn("_ready", F.when(passed, prepared_text(options)))
+    clean = corpus.withColumn("_clean", remove_emoji(F.col("text")))
+    marked = clean.withColumn("_ready", F.when(passed, prepared_text(options)))
     return attrition(marked, [*early, *late_stages(options, F.col("_ready"))])
 
 
