@@ -12,7 +12,6 @@ from tuturan.functions.text import strip_markers
 from tuturan.operators import generate as G, joins
 from tuturan.plans import synthesis
 from tuturan.session import scratch_path, store
-from tuturan.sources import readers
 from tuturan.streaming import incremental
 
 MIXED = [

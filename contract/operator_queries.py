@@ -31,7 +31,6 @@ from contract.base import (
 from contract.source_queries import flawed_records, keyed_files
 from contract.text_queries import SQL_ZH_DONE, sql_compounds, sql_prepared, sql_scoring_ms, zh_text
 from tuturan.functions import arrow, language as L, scoring as S, text as X
-from tuturan.functions.expr import squeeze
 from tuturan.operators import filters, joins, ranks, stats, vocab, wer
 from tuturan.plans import benchmark, corpus as plan, speakers
 from tuturan.session import scratch_path, store

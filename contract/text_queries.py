@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from contract.base import (
     TAGGED,
-    corpus,
     plain_text,
     query,
     sql_fold,
@@ -19,8 +18,7 @@ from contract.base import (
     tagged,
 )
 from tuturan.functions import arrow, asr, language as L, numbers as N, repetition, scoring as S, text as X
-from tuturan.functions.expr import squeeze, words_of
-from tuturan.operators.filters import base_name, stem
+from tuturan.operators.filters import stem
 from tuturan.sources.readers import parse_spec
 
 
@@ -243,8 +241,7 @@ def sql_zh(n: str) -> str:
     cut_high = f"regexp_replace(regexp_replace({four(high)}, '零$', ''), '^零', '')"
     raw = (
         f"CASE WHEN {high} > 0 THEN {cut_high} || '万' ELSE '' END || "
-        f"CASE WHEN {low} > 0 THEN CASE WHEN {high} > 0 AND {high} % 10 = 0 AND {low} >= 1000 THEN '' ELSE '' END || "
-        f"regexp_replace({four(low)}, '零$', '') ELSE '' END"
+        f"CASE WHEN {low} > 0 THEN regexp_replace({four(low)}, '零$', '') ELSE '' END"
     )
     return (
         f"CASE WHEN {n} = 0 THEN '零' ELSE "
@@ -314,8 +311,6 @@ def txt12_documents(spark, d):
 # Letters become Chinese characters, full-width forms and punctuation.
 ZH_FROM = "aeiounrstlhdcmpgbf.,!?'x0123456789"
 ZH_TO = "我你他的是不了在有人这中大来上国和地。，！？「ｘ０１２３４５６７８９"
-FULL = "！，．０１２３４５６７８９ＡＢＣａｂｃ　"
-HALF = "!,.0123456789ABCabc "
 
 
 def zh_text(col):
@@ -497,7 +492,6 @@ def txt24(spark, d):
 
 
 SPEECH_MAP = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in X.SPEECH_ABBREVIATIONS.items()) + "}"
-SHORT_FROM, SHORT_TO = r"(?i)\b(de|an|of|el)\b", "YG"
 
 
 @query(

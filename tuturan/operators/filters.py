@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tuturan.functions.expr import is_blank, strip, words_of
 
-# --- fixed values: duration limits in seconds, text limits in characters --------------------------------
+# --- fixed values: duration limits in seconds, text limits in characters, speaker numbers -------------
 ASR_DURATION = (0.1, 30.0)
 TTS_DURATION = (0.5, 15.0)
 XTTS_DURATION = (3.0, 15.0)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tuturan.functions.arrow import read_wav_headers
 from tuturan.functions.expr import SPACE, is_blank, strip
 from tuturan.functions.text import marker_duration, marker_language, strip_markers
-from tuturan.operators.filters import base_name, stem, with_text
+from tuturan.operators.filters import stem, with_text
 from tuturan.operators.joins import attach_durations, word_durations
 
 TAGGED = "audio_filename string, segment_timestamp string"
