@@ -255,16 +255,21 @@ def prepare_corpus(spark, d):
     f"""WITH {TAGGED}, kept AS (SELECT * FROM parsed WHERE text <> '' AND duration BETWEEN 0.1 AND {MAX_SECONDS}
   AND language IN ('en', 'fr', 'es')),
 split AS (SELECT *, {split_sql('source', 'audio_filename', 0.95)} AS split FROM kept)
-SELECT source, split, CAST(count(*) AS BIGINT) AS samples, round(sum(duration) / 3600, 4) AS hours,
+SELECT source, split, CAST(count(*) AS BIGINT) AS samples, round(sum(duration) / 3600, 6) AS hours,
   round(avg(length(text)), 4) AS avg_chars FROM split GROUP BY source, split""",
 )
 def prepare_tagged_corpus(spark, d):
-    """Tagged rows parsed, filtered, split by source and summarised."""
+    """Tagged rows parsed, filtered, split by source and summarised.
+
+    Hours keep six decimals: sums of hundredths of a second never lie halfway there.
+    """
     rows = readers.tagged_corpus(tagged(spark, d))
     kept = filters.keep_languages(filters.duration_between(rows, high=MAX_SECONDS), ["en", "fr", "es"])
     split = ranks.stratified_split(store(kept, "kept"), ["source"], ["audio_filename"], 0.95, unique_key=True)
     summary = stats.corpus_statistics(split, ["source", "split"])
-    return summary.select("source", "split", "samples", r4("hours").alias("hours"), r4("avg_chars").alias("avg_chars"))
+    return summary.select(
+        "source", "split", "samples", F.round("hours", 6).alias("hours"), r4("avg_chars").alias("avg_chars")
+    )
 
 
 # ----------------------------------------------------------------------------------------------- projections
