@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tuturan.llm import dac_output, packing
+from tuturan.llm import dac_output, packing, quality_cnn, rule_trees
 from tuturan.llm.common import table
 from tuturan.session import scratch_path
 
@@ -39,3 +39,16 @@ def op7_dac_output(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     dac_output.write_ids(docs, path, tokenizer_path(), END_OF_DOCUMENT)
     return dac_output.read_documents(spark, path)
+
+
+@query
+def op1_quality_cnn(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality_cnn.digest(docs, quality_cnn.fit(docs, table(spark, folder, "labels")))
+
+
+@query
+def op8_rule_trees(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    forest = rule_trees.fit(docs, table(spark, folder, "labels"))
+    return rule_trees.judge(docs, forest, ["doc_id"])
