@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tuturan.llm import dac_output, packing, quality_cnn, rule_trees
+from tuturan.llm import dac_output, packing, quality_cnn, rule_trees, simhash
 from tuturan.llm.common import table
 from tuturan.session import scratch_path
 
@@ -52,3 +52,8 @@ def op8_rule_trees(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     forest = rule_trees.fit(docs, table(spark, folder, "labels"))
     return rule_trees.judge(docs, forest, ["doc_id"])
+
+
+@query
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.link(table(spark, folder, "documents"))
