@@ -4,19 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tuturan.llm import packing
+from tuturan.llm import mixing, packing, quality_cnn, rule_trees, simhash
 from tuturan.llm.common import table, write_once
 from tuturan.llm.queries import END_OF_PACKED, SEQUENCE, tokenizer_path
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule and the boosted trees keep."""
+    return rule_trees.accepted(docs, rule_trees.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the convolutional network accepts."""
+    return quality_cnn.accepted(docs, quality_cnn.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the least id."""
+    return simhash.one_of_each(docs)
+
+
+def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order in which the sources reach their target weights."""
+    return mixing.mixed(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of the documents kept, with its sequence and offset."""
+    """Every piece of the documents, with its sequence and offset."""
     return packing.digest(*packing.pack(docs, tokenizer_path(), END_OF_PACKED, SEQUENCE))
 
 
-STAGES = [("best_fit_packing", best_fit_packing)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("quality_classifier", quality_classifier),
+    ("near_duplicates", near_duplicates),
+    ("source_mixture", source_mixture),
+    ("best_fit_packing", best_fit_packing),
+]
 
-ORACLE_SQL = None  # tokens and trained models have no SQL; tests/llm compares with brute force
+ORACLE_SQL = None  # trained models and tokens have no SQL; tests/llm compares with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tuturan.llm import dac_output, packing, quality_cnn, rule_trees, simhash
+from tuturan.llm import dac_output, mixing, packing, quality_cnn, rule_trees, simhash
 from tuturan.llm.common import table
 from tuturan.session import scratch_path
 
@@ -57,3 +57,11 @@ def op8_rule_trees(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.link(table(spark, folder, "documents"))
+
+
+@query
+def op9_pfair_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.digest(table(spark, folder, "documents"))
+
+
+ORACLES["op9_pfair_mixing"] = mixing.ORACLE
