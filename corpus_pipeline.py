@@ -9,14 +9,19 @@ from tuturan.llm.common import table, write_once
 from tuturan.llm.queries import END_OF_PACKED, SEQUENCE, tokenizer_path
 
 
+def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All documents and labels: a model also learns from what an earlier stage rejects."""
+    return table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the boosted trees keep."""
-    return rule_trees.accepted(docs, rule_trees.fit(docs, table(spark, sf_dir, "labels")))
+    return rule_trees.accepted(docs, rule_trees.fit(*_labelled(spark, sf_dir)))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the convolutional network accepts."""
-    return quality_cnn.accepted(docs, quality_cnn.fit(docs, table(spark, sf_dir, "labels")))
+    return quality_cnn.accepted(docs, quality_cnn.fit(*_labelled(spark, sf_dir)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,8 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tuturan.llm import dac_output, mixing, packing, quality_cnn, rule_trees, simhash
-from tuturan.llm.common import table
+from tuturan.llm import (
+    chat_windows,
+    dac_output,
+    host_paths,
+    mixing,
+    packing,
+    quality_cnn,
+    rule_trees,
+    simhash,
+)
+from tuturan.llm.common import table, write_once
 from tuturan.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +74,17 @@ def op9_pfair_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op9_pfair_mixing"] = mixing.ORACLE
+
+
+@query
+def op3_host_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return host_paths.main_text(table(spark, folder, "pages"), ["page_id", "url"])
+
+
+@query
+def op10_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    own = "</s>[INST] ok [/INST]"
+    rows = [(-1, 0, "user", own), (-1, 1, "assistant", own)]
+    turns = turns.unionByName(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    return chat_windows.digest(write_once(chat_windows.windows(turns, tokenizer_path()), "chat"))
