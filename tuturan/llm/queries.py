@@ -15,6 +15,7 @@ from tuturan.llm import (
     quality_cnn,
     rule_trees,
     simhash,
+    vector_graph,
 )
 from tuturan.llm.common import table, write_once
 from tuturan.session import scratch_path
@@ -88,3 +89,8 @@ def op10_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
     rows = [(-1, 0, "user", own), (-1, 1, "assistant", own)]
     turns = turns.unionByName(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     return chat_windows.digest(write_once(chat_windows.windows(turns, tokenizer_path()), "chat"))
+
+
+@query
+def op5_vector_graph(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_graph.link(table(spark, folder, "embeddings"))
