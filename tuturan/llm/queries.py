@@ -10,6 +10,7 @@ from tuturan.llm import (
     chat_windows,
     dac_output,
     host_paths,
+    lm_difference,
     mixing,
     packing,
     quality_cnn,
@@ -94,3 +95,8 @@ def op10_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_vector_graph(spark: SparkSession, folder: str) -> DataFrame:
     return vector_graph.link(table(spark, folder, "embeddings"))
+
+
+@query
+def op6_lm_difference(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_difference.difference(table(spark, folder, "documents"), table(spark, folder, "labels"))
