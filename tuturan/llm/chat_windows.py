@@ -65,13 +65,15 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return [(unquote(role), unescape(text)) for role, text in _TURN.findall(formatted)]
 
 
-def spans(sizes: list[int], fixed: int, budget: int, history: int) -> list[tuple[int, int, int]]:
+def spans(
+    sizes: list[int], fixed: int, budget: int, history: int, first: int = 0
+) -> list[tuple[int, int, int]]:
     """History start, start and end of each window over turns of these sizes.
 
-    ``sizes`` may begin with ``first`` turns of history; ``fixed`` tokens are taken in each window.
+    The ``first`` turns are only history; ``fixed`` tokens are taken in each window.
     """
     sums = np.concatenate([[0], np.cumsum(sizes)])
-    out, start = [], 0
+    out, start = [], first
     while start < len(sizes):
         back = int(np.searchsorted(sums, sums[start] - history, "left"))
         room = max(0, budget - fixed)
@@ -92,12 +94,7 @@ def _windows(rows: list[tuple], budget: int, history: int) -> Iterator[tuple]:
         return
     fixed = system[4] if system else 0
     sizes = [r[4] for r in turns]
-    cut = spans(sizes[past:], fixed, budget, history)
-    for number, (back, start, end) in enumerate(cut):
-        back, start, end = back + past, start + past, end + past
-        if start == past:  # the history that an earlier chunk left
-            while back > 0 and sum(sizes[back - 1 : end]) + fixed <= budget and sum(sizes[back - 1 : start]) <= history:
-                back -= 1
+    for number, (back, start, end) in enumerate(spans(sizes, fixed, budget, history, past)):
         own = turns[back:end]
         lead = [system] if system and not any(r[1:4] == system[1:4] for r in own) else []
         text, loss, place = [], [], 0

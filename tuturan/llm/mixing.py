@@ -4,10 +4,10 @@ The documents of a source, in order of a hash of their id, are cut into blocks o
 cycle of ``L`` slots a source with ``a`` blocks has its ``k``-th block released at ``floor(k * L / a)``
 and due at ``ceil((k + 1) * L / a)``; in every slot the released block with the earliest deadline is
 next. Since the shares of a cycle sum to one, every deadline is met, and at every slot each source is
-less than one block from its share. A source that ends leaves its slots to the others: the cycle in
-which it ends and those after it are scheduled with the shares of what is left. So a corpus of any
-size has at most two kinds of cycle per source and one more; only those are scheduled slot by slot,
-and the place of every block is arithmetic on its number. Nothing is dropped or repeated.
+less than one block from its share. The turns of a source that has ended fall away, and from the next
+cycle on the shares are those of the sources left. So a corpus of any size has at most two kinds of
+cycle per source and one more; only those are scheduled slot by slot, and the place of every block is
+arithmetic on its number. Nothing is dropped or repeated.
 
 Places within a source are prefix sums over buckets of the hash, so a source of any size is never
 in one task.
@@ -72,35 +72,42 @@ def _schedule(sources: DataFrame) -> DataFrame:
     taken = "CASE WHEN mark < n div a THEN a WHEN mark = n div a THEN n % a ELSE 0L END"
     kinds = (
         sources.select("src", "n", "a", F.explode("marks").alias("mark"))
-        .select("src", "mark", F.expr(taken).alias("take"), F.expr("least(n, a * mark)").alias("past"))
+        .select("src", "mark", "a", F.expr(taken).alias("take"), F.expr("least(n, a * mark)").alias("past"))
         .groupBy("mark")
         .agg(
             F.sum("past").alias("base"),
-            F.sum("take").alias("slots"),
-            F.array_sort(F.collect_list(F.struct("src", "take"))).alias("all_parts"),
+            F.sum("take").alias("busy"),
+            F.sum(F.expr("IF(take > 0, a, 0L)")).alias("slots"),
+            F.array_sort(F.collect_list(F.struct("src", "take", "a"))).alias("all_parts"),
         )
-        .where("slots > 0")
+        .where("busy > 0")
         .withColumn("parts", F.filter("all_parts", lambda p: p["take"] > 0))
     )
-    ready = """array_min(transform(parts, (p, i) -> IF(
-        s.done[i] < p.take AND (s.done[i] * slots) div p.take <= t,
-        struct(((s.done[i] + 1) * slots + p.take - 1) div p.take AS due, i AS i), NULL))).i"""
+    ready = """coalesce(array_min(transform(parts, (p, i) -> IF(
+        s.done[i] < p.take AND (s.done[i] * slots) div p.a <= t,
+        struct(((s.done[i] + 1) * slots + p.a - 1) div p.a AS due, i AS i), NULL))).i, -1)"""
     step = f"""transform(array({ready}), c -> named_struct(
         'done', transform(s.done, (x, i) -> IF(i = c, x + 1, x)),
         'picks', concat(s.picks, array(c))))[0]"""
     picks = f"""aggregate(sequence(0L, slots - 1),
         named_struct('done', transform(parts, p -> 0L), 'picks', CAST(array() AS array<int>)),
         (s, t) -> {step}, s -> s.picks)"""
-    slots = kinds.select("mark", "base", "slots", "parts", F.posexplode(F.expr(picks)).alias("slot", "i"))
-    number = Window.partitionBy("mark", "i").orderBy("slot")
+    timed = kinds.withColumn("picks", F.expr(picks))
+    slots = timed.select("*", F.posexplode("picks").alias("time", "i")).where("i >= 0")
+    place = Window.partitionBy("mark").orderBy("time")
+    number = Window.partitionBy("mark", "i").orderBy("time")
     chosen = slots.select(
-        "mark", "base", "slots", F.col("slot").cast("long").alias("slot"), F.expr("parts[i].src").alias("src"),
-        F.expr("parts[i].take").alias("take"), (F.row_number().over(number) - 1).cast("long").alias("k"),
-    )
+        "*",
+        F.expr("parts[i]").alias("p"),
+        (F.row_number().over(place) - 1).cast("long").alias("slot"),
+        (F.row_number().over(number) - 1).cast("long").alias("k"),
+    )
+    # times as slots: an ended source's turns take none
+    slot_at = "CAST(size(filter(slice(picks, 1, CAST({} AS INT)), x -> x >= 0)) AS BIGINT)"
     return chosen.select(
-        "mark", "src", "k", "base", "slots", "slot",
-        F.expr("(k * slots) div take").alias("release"),
-        F.expr("((k + 1) * slots + take - 1) div take").alias("deadline"),
+        "mark", F.col("p.src").alias("src"), "k", "base", "busy", "slot",
+        F.expr(slot_at.format("(k * slots) div p.a")).alias("release"),
+        F.expr(slot_at.format("((k + 1) * slots + p.a - 1) div p.a")).alias("deadline"),
     )
 
 
@@ -142,7 +149,7 @@ def placed(docs: DataFrame, row: Column, targets: dict[str, int] | None = None)
         .withColumn("mark", F.expr("array_max(filter(marks, m -> m <= cycle))"))
         .drop("marks")
     )
-    first = F.expr("base + (cycle - mark) * slots")
+    first = F.expr("base + (cycle - mark) * busy")
     return blocks.join(schedule, ["src", "mark", "k"]).select(
         "row",
         "start",
@@ -187,38 +194,45 @@ sources AS (
 marks AS (
   SELECT DISTINCT unnest([0, n // a, n // a + 1]) AS mark FROM sources),
 takes AS (
-  SELECT mark, src, least(n, a * mark) AS past,
+  SELECT mark, src, a, least(n, a * mark) AS past,
          CASE WHEN mark < n // a THEN a WHEN mark = n // a THEN n % a ELSE 0 END AS take
   FROM sources, marks),
 kinds AS (
-  SELECT mark, sum(past)::BIGINT AS base, sum(take)::BIGINT AS slots
+  SELECT mark, sum(past)::BIGINT AS base, sum(take)::BIGINT AS busy,
+         sum(CASE WHEN take > 0 THEN a ELSE 0 END)::BIGINT AS slots
   FROM takes GROUP BY mark HAVING sum(take) > 0),
 units AS (
-  SELECT mark, src, base, slots, k, (k * slots) // take AS release,
-         ((k + 1) * slots + take - 1) // take AS deadline
+  SELECT mark, src, base, busy, k, (k * slots) // a AS release,
+         ((k + 1) * slots + a - 1) // a AS deadline
   FROM takes JOIN kinds USING (mark), unnest(range(take)) AS r(k)),
 edf AS (
-  SELECT mark, -1::BIGINT AS slot, NULL::VARCHAR AS src, map([]::VARCHAR[], []::BIGINT[]) AS done
+  SELECT mark, 0::BIGINT AS time, NULL::VARCHAR AS src, map([]::VARCHAR[], []::BIGINT[]) AS done
   FROM kinds
   UNION ALL
-  SELECT mark, slot + 1, best.src, map_concat(done, map([best.src], [best.k + 1]))
+  SELECT mark, time + 1, best.src,
+         CASE WHEN best IS NULL THEN done ELSE map_concat(done, map([best.src], [best.k + 1])) END
   FROM (
-    SELECT e.mark, e.slot, e.done,
+    SELECT e.mark, e.time, e.done,
            (SELECT min({{'deadline': u.deadline, 'src': u.src, 'k': u.k}}) FROM units u
-            WHERE u.mark = e.mark AND u.release <= e.slot + 1
+            WHERE u.mark = e.mark AND u.release <= e.time
               AND u.k = coalesce(e.done[u.src], 0)) AS best
-    FROM edf e JOIN kinds USING (mark) WHERE e.slot + 1 < slots)),
+    FROM edf e JOIN kinds USING (mark) WHERE e.time < slots)),
+timed AS (
+  SELECT mark, time, src, count(src) OVER (PARTITION BY mark ORDER BY time) AS slot_at FROM edf),
 slots AS (
-  SELECT mark, src, slot, row_number() OVER (PARTITION BY mark, src ORDER BY slot) - 1 AS k
-  FROM edf WHERE slot >= 0),
+  SELECT mark, src, slot_at - 1 AS slot,
+         row_number() OVER (PARTITION BY mark, src ORDER BY time) - 1 AS k
+  FROM timed WHERE src IS NOT NULL),
 blocks AS (
   SELECT doc_id, source, starts.src, start, start // {BLOCK} AS block,
          (start // {BLOCK}) // a AS cycle, (start // {BLOCK}) % a AS k
   FROM starts JOIN sources USING (src)),
 marked AS (
   SELECT *, (SELECT max(mark) FROM marks WHERE mark <= cycle) AS mark FROM blocks)
-SELECT doc_id, source, start, block, base + (cycle - mark) * slots + slot AS position,
-       base + (cycle - mark) * slots + release AS release,
-       base + (cycle - mark) * slots + deadline AS deadline
+SELECT doc_id, source, start, block, base + (cycle - mark) * busy + slot AS position,
+       base + (cycle - mark) * busy + r.slot_at AS release,
+       base + (cycle - mark) * busy + d.slot_at AS deadline
 FROM marked JOIN units USING (mark, src, k) JOIN slots USING (mark, src, k)
+JOIN timed r ON r.mark = marked.mark AND r.time = units.release
+JOIN timed d ON d.mark = marked.mark AND d.time = units.deadline
 """

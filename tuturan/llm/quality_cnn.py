@@ -149,9 +149,9 @@ def _gradients(net: Network, parts, counts, labels) -> list[np.ndarray]:
 
 
 def fit_network(
-    texts: list[bytes], labels: np.ndarray, epochs: int = 14, batch: int = 48, rate: float = 0.01, seed: int = 7
+    texts: list[bytes], labels: np.ndarray, steps: int = 1200, batch: int = 48, rate: float = 0.01, seed: int = 7
 ) -> Network:
-    """Adam on the log loss, the rate falling to zero."""
+    """Adam on the log loss for at least this many steps, the rate falling to zero."""
     net = new_network(seed)
     if not len(labels) or labels.min() == labels.max():
         net.last[:] = 0
@@ -161,6 +161,7 @@ def fit_network(
     first = [np.zeros_like(getattr(net, x)) for x in names]
     second = [np.zeros_like(getattr(net, x)) for x in names]
     rng, step = np.random.default_rng(seed), 0
+    epochs = -(-steps // -(-len(texts) // batch))
     total = epochs * -(-len(texts) // batch)
     for _ in range(epochs):
         order = rng.permutation(len(texts))
