@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +16,23 @@ from tuturan.session import scratch_path
 FOLDS, HELD_OUT = 4, 2
 
 
+def ship(spark: SparkSession) -> None:
+    """Give executors the package, once a session, whether or not it is installed there."""
+    context = spark.sparkContext
+    if getattr(context, "_tuturan_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="tuturan-"), "tuturan.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    file = os.path.join(folder, name)
+                    out.write(file, os.path.relpath(file, os.path.dirname(root)))
+    context.addPyFile(path)  # the driver serves it; nothing is read by path on an executor
+    context._tuturan_shipped = True
+
+
 def held_out(doc_id="doc_id"):
     """True for the rows whose labels no model may learn from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")), F.lit(0)) % FOLDS == HELD_OUT

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +19,7 @@ from tuturan.llm import (
     simhash,
     vector_graph,
 )
-from tuturan.llm.common import table, write_once
+from tuturan.llm.common import ship, table, write_once
 from tuturan.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,8 +35,13 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship(spark)
+        return fn(spark, folder)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 @query
