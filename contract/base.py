@@ -120,6 +120,10 @@ def sql_squeeze(text: str) -> str:
     return f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
 
 
+def sql_strip(text: str) -> str:
+    return f"regexp_replace({text}, '^\\s+|\\s+$', '', 'g')"
+
+
 def sql_fold(text: str, pairs, flags: str = "(?i)") -> str:
     """Ordered regex replacements as nested calls."""
     for pattern, to in pairs:

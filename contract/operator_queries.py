@@ -29,7 +29,7 @@ from contract.base import (
     utterances,
 )
 from contract.source_queries import flawed_records, keyed_files
-from contract.text_queries import SQL_ZH_DONE, sql_compounds, sql_prepared, sql_scoring_ms, zh_text
+from contract.text_queries import LOOPING_SQL, LOOPS, SQL_ZH_DONE, sql_compounds, sql_prepared, sql_scoring_ms, zh_text
 from tuturan.functions import arrow, language as L, scoring as S, text as X
 from tuturan.operators import filters, joins, ranks, stats, vocab, wer
 from tuturan.plans import benchmark, corpus as plan, speakers
@@ -718,19 +718,14 @@ def agg13(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in ("avg_coverage", "unknown_ratio")})
 
 
-@query("agg14_repetition_rate")
+@query(
+    "agg14_repetition_rate",
+    f"""WITH {LOOPING_SQL} SELECT lang, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (flagged) AS BIGINT) AS flagged,
+  round(avg(CAST(flagged AS INTEGER)) * 100, 4) AS rate_percent FROM detected JOIN documents USING (doc_id) GROUP BY lang""",
+)
 def agg14(spark, d):
-    from contract.text_queries import LOOPS
-    from tuturan.functions.repetition import detect_repetition
-
     looped = table(spark, d, "documents").select("lang", F.expr(LOOPS).alias("text"))
-    flagged = F.col("flagged")
-    found = looped.select("lang", detect_repetition(F.col("text"))["flagged"].alias("flagged"))
-    return found.groupBy("lang").agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(flagged).alias("flagged"),
-        F.round(F.avg(flagged.cast("int")) * 100, 4).alias("rate_percent"),
-    )
+    return stats.repetition_rate(looped, ["lang"]).withColumn("rate_percent", F.round("rate_percent", 4))
 
 
 @query(

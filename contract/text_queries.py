@@ -16,6 +16,8 @@ from contract.base import (
     sql_squeeze,
     table,
     tagged,
+    sql_strip,
+    sql_words,
 )
 from tuturan.functions import arrow, asr, language as L, numbers as N, repetition, scoring as S, text as X
 from tuturan.operators.filters import stem
@@ -534,7 +536,54 @@ LOOPS = (
 )
 
 
-@query("txt27_detect_repetition")
+def _reach(same: str, partition: str = "doc_id", order: str = "i") -> str:
+    """SQL: how many rows from here on, one after another, meet the condition."""
+    return (
+        f"coalesce(min(CASE WHEN NOT coalesce({same}, false) THEN {order} END) OVER (PARTITION BY {partition} ORDER BY {order} "
+        f"ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), {order}) - {order}"
+    )
+
+
+def _same(what: str, size: int, partition: str = "doc_id", order: str = "i") -> str:
+    return f"{what} = lead({what}, {size}) OVER (PARTITION BY {partition} ORDER BY {order}) AS s{size}"
+
+
+# The detector by rows instead of patterns: characters, words and comma pieces compared with the ones
+# that follow them at a distance.
+LOOPING_SQL = f"""looped AS (SELECT doc_id, {LOOPS} AS text FROM documents),
+ch AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM looped),
+ch_same AS (SELECT *, {", ".join(_same("c", k) for k in range(1, 5))} FROM ch),
+ch_reach AS (SELECT doc_id, i, c, {", ".join(f"{_reach(f's{k}')} AS r{k}" for k in range(1, 5))} FROM ch_same),
+ch_first AS (SELECT doc_id, min(i) FILTER (r1 >= 10 AND (unicode(c) > 127 OR c IN ('a', 'e', 'i', 'o', 'u', '.'))) AS f0,
+  {", ".join(f"min(i) FILTER (r{k} >= {10 * k}) AS f{k}" for k in range(1, 5))} FROM ch_reach GROUP BY doc_id),
+wd AS (SELECT doc_id, unnest({sql_words('text')}) AS w, generate_subscripts({sql_words('text')}, 1) AS i FROM looped),
+wd_plain AS (SELECT *, regexp_replace(lower(w), '[^\pL\pN_]', '', 'g') AS x FROM wd),
+wd_same AS (SELECT *, x <> '' AND x = lead(x) OVER (PARTITION BY doc_id ORDER BY i) AS sx,
+  {", ".join(_same("w", k) for k in range(1, 10))} FROM wd_plain),
+wd_reach AS (SELECT doc_id, i, {_reach('sx')} AS rx, {", ".join(f"{_reach(f's{k}')} AS r{k}" for k in range(1, 10))} FROM wd_same),
+wd_size AS (SELECT doc_id, i, rx, CASE {" ".join(f"WHEN r{k} >= {3 * k} THEN {k}" for k in range(1, 10))} END AS size FROM wd_reach),
+wd_first AS (SELECT doc_id, count(*) AS n, min(i * 10 + size) AS phrase, min(i) FILTER (rx >= 6) AS again FROM wd_size GROUP BY doc_id),
+pc AS (SELECT doc_id, unnest(string_split(text, ',')) AS p, generate_subscripts(string_split(text, ','), 1) AS i FROM looped),
+pc_word AS (SELECT doc_id, i, regexp_extract(p, '(?:^|[^\pL\pN_])([\pL\pN_]{{1,5}})$', 1) AS t, regexp_replace(p, '^\s+', '') AS x FROM pc),
+pc_hit AS (SELECT doc_id, i, t, t <> '' AND {" AND ".join(f"t = lead(x, {k}) OVER o" for k in range(1, 5))}
+  AND starts_with(lead(x, 5) OVER o, t) AS hit FROM pc_word WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+pc_first AS (SELECT doc_id, arg_min(t, i) FILTER (hit) AS t FROM pc_hit GROUP BY doc_id),
+cut AS (SELECT l.doc_id, text, {sql_words('text')} AS words, f0, f1, f2, f3, f4, n, phrase, again, t,
+    regexp_extract(text, '^([\s\S]*?)\.{{10,}}', 1) AS dotted,
+    regexp_matches(text, '\.{{10,}}') AND length(text) - length(replace(text, '.', '')) > 10 AS dots
+  FROM looped l LEFT JOIN ch_first USING (doc_id) LEFT JOIN wd_first USING (doc_id) LEFT JOIN pc_first USING (doc_id)),
+places AS (SELECT *, CASE WHEN f0 IS NOT NULL AND length(text) > 20 THEN 0 WHEN f1 IS NOT NULL THEN 1 WHEN f2 IS NOT NULL THEN 2
+    WHEN f3 IS NOT NULL THEN 3 WHEN f4 IS NOT NULL THEN 4 WHEN t IS NOT NULL THEN 5 WHEN n > 3 AND phrase IS NOT NULL THEN 6
+    WHEN n > 5 AND again IS NOT NULL THEN 7 WHEN dots THEN 8 ELSE 9 END AS rule FROM cut),
+heads AS (SELECT doc_id, text, rule, CASE WHEN rule < 5 THEN left(text, [f0, f1, f2, f3, f4][rule + 1] - 1)
+    WHEN rule = 5 THEN left(text, strpos(text, t || ',') - 1) WHEN rule = 6 THEN array_to_string(words[1:phrase // 10 + phrase % 10 - 1], ' ')
+    WHEN rule = 7 THEN array_to_string(words[1:again], ' ') WHEN rule = 8 THEN dotted ELSE text END AS head,
+    CASE WHEN rule < 5 THEN substr(text, [f0, f1, f2, f3, f4][rule + 1], greatest(1, rule)) ELSE t END AS unit FROM places),
+detected AS (SELECT doc_id, rule < 9 AS flagged, CASE WHEN rule IN (6, 7, 9) THEN head WHEN rule = 8 THEN {sql_strip('head')}
+    ELSE coalesce(nullif({sql_strip('head')}, ''), unit) END AS cleaned FROM heads)"""
+
+
+@query("txt27_detect_repetition", f"WITH {LOOPING_SQL} SELECT doc_id, cleaned, flagged FROM detected")
 def txt27(spark, d):
     """Loops of every kind are put into five of eight documents."""
     looped = docs(spark, d, F.expr(LOOPS).alias("text"))

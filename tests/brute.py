@@ -67,7 +67,7 @@ def looping(text: str) -> tuple[str, bool]:
         if times(text, at, 1) > 10 and (ord(text[at]) > 127 or text[at] in "aeiou."):
             return text[:at].strip() or text[at], True
     for size in (1, 2, 3, 4):
-        for at in range(min(100, len(text))):
+        for at in range(len(text)):
             if times(text, at, size) > 10:
                 return text[:at].strip() or text[at : at + size], True
     found = re.search(r"\b(\w{1,5})\b(?:,\s*\1){5,}", text)

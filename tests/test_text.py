@@ -169,6 +169,44 @@ def test_repetition_against_brute_force(apply, spark):
     assert got == [brute.looping(t) for t in texts]
 
 
+LONG_LOOPS = {
+    "e": "e",
+    "xy": "xy",
+    "ja, ": "ja",
+    "kata ": "kata",
+    "kata dua ": "kata dua",
+    "Ja! jA ": "Ja! jA",
+    "嗯": "嗯",
+    ".": ".",
+}
+
+
+def test_long_loops_need_no_stack():
+    """In a session of its own, as a warm one forgives more."""
+    import subprocess
+    import sys
+
+    code = f"""
+from pyspark.sql import functions as F
+from tuturan.functions.repetition import detect_repetition
+from tuturan.session import local_session
+spark = local_session("2", "cold")
+words = " ".join(f"w{{k}}" for k in range(60))
+rows = [(k, words + " " + unit * 100_000) for k, unit in enumerate({list(LONG_LOOPS)!r})]
+got = spark.createDataFrame(rows, "k int, t string").select("k", detect_repetition(F.col("t")).alias("r")).orderBy("k").collect()
+print([(r["r"]["flagged"], r["r"]["cleaned"].startswith("w0 w1"), len(r["r"]["cleaned"]) < 400) for r in got])
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert out.stdout.strip().endswith(str([(True, True, True)] * len(LONG_LOOPS))), out.stderr[-3000:]
+
+
+def test_window_of_the_loop_search(apply):
+    text = ["b" * 3 + "ok go " * 30 + "xyz" * 12]
+    whole = apply(repetition.detect_repetition, text)[0]
+    near = apply(lambda c: repetition.detect_repetition(c, window=10), text)[0]
+    assert whole["flagged"] and near["flagged"] and whole["cleaned"] != near["cleaned"]
+
+
 def test_scoring_normalisers(apply):
     assert apply(S.scoring_text_ms, [" Suhu 5², Ya-lah - itu!  "]) == ["suhu 5dua ya-lah itu"]
     assert apply(S.scoring_text_zh, ["你好， A b"]) == ["你 好 a b"]

@@ -1,4 +1,8 @@
-"""Detector of looping transcripts, six rules in order, on the whole text."""
+"""Detector of looping transcripts, six rules in order, on the whole text.
+
+Every rule is one search without an open-ended group, so a loop of any length is found in constant
+stack, and the text before it is cut from what the search returned.
+"""
 
 from __future__ import annotations
 
@@ -9,11 +13,15 @@ from tuturan.functions.expr import SPACE, WORD, let, strip, words_of
 # --- fixed values: a run must be longer than this ----------------------------------------------------
 RUN = 10
 LOOPING_CHARACTER = r"[^\x00-\x7F]|[aeiou.]"
-PATTERN_START = 100
+LISTED = 5
+
 
+def detect_repetition(col: Column, max_repetitions: int = 3, window: int | None = None) -> Column:
+    """struct(cleaned, flagged): the text up to the loop, and whether a loop was found.
 
-def detect_repetition(col: Column, max_repetitions: int = 3) -> Column:
-    """struct(cleaned, flagged): the text up to the loop, and whether a loop was found."""
+    ``window`` limits the places at which loops of one to four characters of any kind may begin;
+    without it they are sought in the whole text.
+    """
 
     def result(cleaned: Column, flagged: bool = True) -> Column:
         return F.struct(cleaned.alias("cleaned"), F.lit(flagged).alias("flagged"))
@@ -21,58 +29,66 @@ def detect_repetition(col: Column, max_repetitions: int = 3) -> Column:
     def or_else(text: Column, other: Column) -> Column:
         return F.coalesce(F.nullif(text, F.lit("")), other)
 
+    def found(text: Column, pattern: str, then, otherwise: Column, group: int = 0) -> Column:
+        """``then`` of what the pattern finds, or the next rule; a null text is not searched."""
+        part = F.regexp_extract(text, pattern, group)
+        return let(part, lambda m: F.when(m != "", then(m)).otherwise(otherwise))
+
+    def character_loop(size: int):
+        def cut(m: Column) -> Column:
+            head = F.substr(m, F.lit(1), F.length(m) - size * (RUN + 1))
+            return result(or_else(strip(head), F.right(m, F.lit(size))))
+
+        return cut
+
     def rules(text: Column, words: Column, joined: Column, plain: Column) -> Column:
-        run = rf"\A([\s\S]*?)({LOOPING_CHARACTER})\2{{{RUN}}}"
-        outcome = F.when(
-            (F.length(text) > 20) & text.rlike(rf"({LOOPING_CHARACTER})\1{{{RUN}}}"),
-            result(or_else(strip(F.regexp_extract(text, run, 1)), F.regexp_extract(text, run, 2))),
+        outcome = found(
+            F.when(F.regexp_count(text, F.lit(r"\.")) > RUN, text),
+            rf"\A[\s\S]*?\.{{{RUN},}}",
+            lambda m: result(strip(F.regexp_replace(m, r"\.+\z", ""))),
+            result(text, False),
         )
 
-        for size in range(1, 5):
-            loop = rf"\A([\s\S]{{0,{PATTERN_START - 1}}}?)([\s\S]{{{size}}})\2{{{RUN}}}"
-            outcome = outcome.when(
-                text.rlike(loop),
-                result(
-                    or_else(strip(F.regexp_extract(text, loop, 1)), F.regexp_extract(text, loop, 2))
-                ),
-            )
+        times = max_repetitions * 2
+        same = rf"\A[\s\S]*?(?<![^ ])([^ ]++)(?: \1){{{times}}}(?= |$)"
+
+        def first_words(m: Column) -> Column:
+            place = F.regexp_count(m, F.lit(" ")) + 1 - times
+            return result(F.array_join(F.slice(words, F.lit(1), place), " "))
 
-        listed = rf"((?<!{WORD}){WORD}{{1,5}}(?!{WORD}))(?:,{SPACE}*\1){{5,}}"
+        outcome = found(F.when(F.size(words) > 5, plain), same, first_words, outcome)
+
+        phrase = (
+            r"\A([\s\S]*?(?<![^ ])([^ ]++(?: [^ ]++){0,8}?))"
+            rf"(?: \2){{{max_repetitions}}}(?= |$)"
+        )
+        outcome = found(F.when(F.size(words) > 3, joined), phrase, result, outcome, 1)
+
+        listed = rf"((?<!{WORD}){WORD}{{1,5}}(?!{WORD}))(?:,{SPACE}*\1){{{LISTED}}}"
 
         def frequent(word: Column) -> Column:
             mark = F.concat(word, F.lit(","))
             rest = F.substr(text, F.instr(text, mark))
-            times = (F.length(rest) - F.length(F.replace(rest, mark, F.lit("")))) / F.length(mark)
-            return times > max_repetitions
+            count = (F.length(rest) - F.length(F.replace(rest, mark, F.lit("")))) / F.length(mark)
+            return count > max_repetitions
 
-        candidates = F.regexp_extract_all(text, F.lit(listed), F.lit(1))
-        chosen = F.get(F.filter(candidates, frequent), 0)
-        before = F.substr(text, F.lit(1), F.instr(text, F.concat(chosen, F.lit(","))) - 1)
-        outcome = outcome.when(
-            text.rlike(listed) & chosen.isNotNull(), result(or_else(strip(before), chosen))
-        )
+        def before(word: Column) -> Column:
+            head = F.substr(text, F.lit(1), F.instr(text, F.concat(word, F.lit(","))) - 1)
+            return result(or_else(strip(head), word))
 
-        looped = rf"(?: \2){{{max_repetitions}}}(?= |$)"
-        phrase = rf"\A([\s\S]*?(?<![^ ])([^ ]++(?: [^ ]++){{0,8}}?)){looped}"
-        outcome = outcome.when(
-            (F.size(words) > 3) & joined.rlike(rf"(^| )([^ ]++(?: [^ ]++){{0,8}}?){looped}"),
-            result(F.regexp_extract(joined, phrase, 1)),
-        )
-
-        again = rf"(?: \2){{{max_repetitions * 2}}}(?= |$)"
-        same = rf"\A([\s\S]*?)(?<![^ ])([^ ]++){again}"
-        place = F.length(F.regexp_replace(F.regexp_extract(plain, same, 1), "[^ ]", "")) + 1
-        outcome = outcome.when(
-            (F.size(words) > 5) & plain.rlike(rf"(^| )([^ ]++){again}"),
-            result(F.array_join(F.slice(words, F.lit(1), place), " ")),
+        following = outcome
+        candidates = F.regexp_extract_all(text, F.lit(listed), F.lit(1))
+        outcome = let(
+            F.get(F.filter(candidates, frequent), 0),
+            lambda word: F.when(word.isNotNull(), before(word)).otherwise(following),
         )
 
-        dots = rf"\A([\s\S]*?)\.{{{RUN},}}"
-        outcome = outcome.when(
-            (F.regexp_count(text, F.lit(r"\.")) > RUN) & text.rlike(dots),
-            result(strip(F.regexp_extract(text, dots, 1))),
-        )
-        return outcome.otherwise(result(text, False))
+        reach = "*" if window is None else f"{{0,{window - 1}}}"
+        for size in (4, 3, 2, 1):
+            loop = rf"\A[\s\S]{reach}?([\s\S]{{{size}}})\1{{{RUN}}}"
+            outcome = found(text, loop, character_loop(size), outcome)
+        run = rf"\A[\s\S]*?({LOOPING_CHARACTER})\1{{{RUN}}}"
+        return found(F.when(F.length(text) > 20, text), run, character_loop(1), outcome)
 
     def prepared(text: Column) -> Column:
         words = words_of(text)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from tuturan.functions.repetition import detect_repetition
 
 SECONDS_PER_HOUR = 3600.0
 
@@ -24,14 +26,13 @@ def corpus_statistics(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def with_share(counts: DataFrame, n: str = "samples", name: str = "share") -> DataFrame:
     """Percentage of the total, over an aggregated table (one row per group)."""
-    total = counts.agg(F.sum(n)).scalar()
+    total = F.sum(n).over(Window.partitionBy(F.lit(0)))
     return counts.withColumn(name, F.col(n) * 100.0 / total)
 
 
 def statistics_with_share(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Group statistics and each group's share of all rows."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return corpus_statistics(df, by).withColumn("share", F.col("samples") * 100.0 / total)
+    return with_share(corpus_statistics(df, by))
 
 
 def counts_by(df: DataFrame, *by: str) -> DataFrame:
@@ -68,6 +69,16 @@ def success_rate(df: DataFrame, error: str = "error") -> DataFrame:
     )
 
 
+def repetition_rate(df: DataFrame, by: Sequence[str] = (), text: str = "text") -> DataFrame:
+    """Texts, looping texts and their percentage, over all rows or per group."""
+    flagged = df.select(*by, detect_repetition(F.col(text))["flagged"].alias("flagged"))
+    return flagged.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if("flagged").alias("flagged"),
+        (F.avg(F.col("flagged").cast("int")) * 100).alias("rate_percent"),
+    )
+
+
 def skipped_by_reason(df: DataFrame, error: str = "error") -> DataFrame:
     return df.where(F.col(error).isNotNull()).groupBy(error).agg(F.count(F.lit(1)).alias("skipped"))
 
