@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tuturan.session import spread
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -25,13 +23,15 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-# Tables with work per row that is worth more than one task per row group.
-SPREAD = {"documents", "conversations", "orders", "customer"}
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A given table. Each comes in one row group, so one task; only such a table is dealt out."""
     rows = spark.read.parquet(f"{folder}/{name}.parquet")
-    return spread(rows) if name in SPREAD else rows
+    single = name in DEALT_OUT and rows.rdd.getNumPartitions() == 1
+    return rows.repartition(spark.sparkContext.defaultParallelism) if single else rows
+
+
+# Tables with much work per row.
+DEALT_OUT = {"documents", "conversations", "orders", "customer"}
 
 
 # Corpus rows: one per document, 15 characters per second.

@@ -122,10 +122,45 @@ def test_comparison(spark):
 
 
 def test_dictionary_lookup_keeps_everything(spark):
-    rows = spark.createDataFrame([(1, "Selamat pagi,  dunia! xyz"), (2, ""), (3, None)], "id int, text string")
+    data = [(1, "Selamat pagi,  dunia! xyz", "x"), (2, "", "y"), (3, None, "z"), (1, "pagi b", None), (1, "pagi b", None)]
+    rows = spark.createDataFrame(data, "id int, text string, other string").repartition(2)
     words = spark.createDataFrame([("PAGI", "p a g i"), ("dunia", "d u")], "word string, phonemes string")
-    out = {r["id"]: r["phonemes"] for r in vocab.to_phonemes(rows, words, "id").collect()}
-    assert out == {1: "Selamat p a g i,  d u! xyz", 2: "", 3: ""}
+    got = vocab.to_phonemes(rows, words)
+    assert got.columns == ["id", "text", "other", "phonemes"]
+    spoken = ["Selamat p a g i,  d u! xyz", "", "", "p a g i b", "p a g i b"]
+    want = [(*row, out) for row, out in zip(data, spoken)]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_numbering_with_nulls_and_copies(spark):
+    data = [(k % 7 if k % 5 else None, "g" if k % 3 else None, k // 2) for k in range(400)] + [(1, "g", 0)] * 5
+    frames = [spark.createDataFrame(data, "key int, g string, v int").repartition(n) for n in (2, 5)]
+    for by in ([], ["g"]):
+        got = [sorted(map(str, map(tuple, ranks.number_rows(f, "key", by).collect()))) for f in frames]
+        assert got[0] == got[1]
+        numbers = defaultdict(list)
+        for r in ranks.number_rows(frames[0], "key", by).collect():
+            numbers[r["g"] if by else 0].append((r["number"], r["key"] is None, r["key"] or 0))
+        for own in numbers.values():
+            assert [n for n, _, _ in sorted(own)] == list(range(1, len(own) + 1))
+            assert [x[1:] for x in sorted(own)] == sorted(x[1:] for x in own)
+    assert ranks.number_rows(frames[0].where("false"), "key").count() == 0
+
+
+def test_samples_do_not_depend_on_partitions(spark):
+    data = [(k % 11, k) for k in range(40)] + [(1, 1)] * 6
+    frames = [spark.createDataFrame(data, "key int, v int").repartition(n) for n in (2, 5)]
+    for size in range(0, 46, 7):
+        got = [sorted(map(tuple, ranks.seeded_sample(f, size, ["key"]).collect())) for f in frames]
+        assert got[0] == got[1] and len(got[0]) == size
+
+
+def test_cut_buckets_are_refined(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("id", "id % 2 AS g")
+    want = sorted(tuple(r) for r in ranks.seeded_sample(rows, 700, ["id"], ["g"]).collect())
+    monkeypatch.setattr(ranks, "CUT_ROWS", 1)
+    monkeypatch.setattr(ranks, "BUCKET_DIGITS", 1)
+    assert sorted(tuple(r) for r in ranks.seeded_sample(rows, 700, ["id"], ["g"]).collect()) == want and len(want) == 1400
 
 
 def test_vocabulary(spark):

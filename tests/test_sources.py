@@ -116,10 +116,11 @@ def test_templates_dictionary_vocabulary(spark, tmp_path):
 
 def test_results_files(spark, tmp_path):
     scored = spark.createDataFrame([("m", "d", "1", "a b", "a c", 1, 2, 0.5), ("m", "d", "2", "x", "x", 0, 1, 0.0)], "model string, dataset string, utterance_id string, reference string, hypothesis string, errors bigint, ref_words bigint, wer double")
-    cell = writers.nested_results(scored).first()
-    assert cell["num_samples"] == 2 and abs(cell["overall_wer"] - 1 / 3) < 1e-9 and cell["results"][0]["groundtruth"] == "a b"
     writers.write_results(scored, str(tmp_path / "r"))
-    assert spark.read.json(str(tmp_path / "r")).where("model = 'm' AND dataset = 'd'").count() == 2
+    cell = spark.read.json(str(tmp_path / "r/totals")).first()
+    assert cell["num_samples"] == 2 and abs(cell["overall_wer"] - 1 / 3) < 1e-9
+    rows = spark.read.json(str(tmp_path / "r/utterances")).where("model = 'm' AND dataset = 'd'")
+    assert rows.count() == 2 and rows.where("groundtruth = 'a b' AND predicted = 'a c'").count() == 1
     rows = spark.createDataFrame([("a.wav", "x|y", "s")], "f string, t string, s string")
     writers.write_pipe_metadata(rows, str(tmp_path / "p"), ["f", "t", "s"])
     assert spark.read.text(str(tmp_path / "p")).first()[0] == "a.wav|x y|s"

@@ -247,7 +247,7 @@ def test_word_errors_against_dynamic_programming(apply, spark):
 
 
 def test_map_text_and_scorer_hook(apply, spark):
-    assert apply(lambda c: arrow.map_text(str.title, c), ["a b", None]) == ["A B", None]
+    assert apply(lambda c: arrow.map_text(lambda t: t.str.title(), c), ["a b", None]) == ["A B", None]
     rows = spark.createDataFrame([(i, "bad" if i == 4 else f"t{i}") for i in range(10)], "i int, t string")
 
     def scorer(items):
@@ -258,3 +258,5 @@ def test_map_text_and_scorer_hook(apply, spark):
     kept = arrow.score_batches(rows, scorer, "t", batch_size=3)
     assert {r["i"]: r["predicted"] for r in kept.collect()} == {i: "" if i == 4 else f"T{i}" for i in range(10)}
     assert arrow.score_batches(rows, scorer, "t", on_error=None).count() == 9
+    told = arrow.score_batches(rows, scorer, "t", batch_size=3, error="why")
+    assert told.where("why is not null").count() == 1

@@ -34,12 +34,13 @@ def nfc(col: Column) -> Column:
     return F.coalesce(_nfc_batch(open_text), col)
 
 
-def map_text(fn: Callable[[str], str | None], col: Column) -> Column:
-    """Apply a plain text function over Arrow batches; row order and nulls are kept."""
+def map_text(fn: Callable[[pd.Series], pd.Series], col: Column) -> Column:
+    """Apply a function of a whole series of texts over Arrow batches; nulls stay null."""
 
     @F.pandas_udf(T.StringType())
     def batch(texts: pd.Series) -> pd.Series:
-        return texts.map(fn, na_action="ignore")
+        known = texts.notna()
+        return fn(texts[known]).reindex(texts.index)
 
     return batch(col)
 
@@ -52,33 +53,41 @@ def score_batches(
     output_type: T.DataType = T.StringType(),
     on_error: object = "",
     batch_size: int = 32,
+    error: str | None = None,
 ) -> DataFrame:
     """Run ``scorer`` over lists of values; a failing batch is retried row by row.
 
-    A row that still fails gets ``on_error``; pass ``None`` to drop such rows.
+    A row that still fails gets ``on_error``; pass ``None`` to drop such rows. With ``error`` a
+    column of that name says why a row failed, null where it did not, so a broken scorer is not
+    taken for one that heard nothing.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField(output, output_type)])
+    added = [T.StructField(output, output_type)]
+    added += [T.StructField(error, T.StringType())] if error else []
+    schema = T.StructType([*df.schema.fields, *added])
 
     def score(values: list) -> list:
         try:
-            return list(zip(scorer(values), [True] * len(values), strict=True))
+            return [(x, True, None) for _, x in zip(values, scorer(values), strict=True)]
         except Exception:
             done = []
             for value in values:
                 try:
-                    done.append((scorer([value])[0], True))
-                except Exception:
-                    done.append((on_error, on_error is not None))
+                    done.append((scorer([value])[0], True, None))
+                except Exception as problem:
+                    reason = f"{type(problem).__name__}: {problem}"
+                    done.append((on_error, on_error is not None, reason))
             return done
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             values = frame[inputs].tolist()
-            pairs = []
+            rows = []
             for start in range(0, len(values), batch_size):
-                pairs.extend(score(values[start : start + batch_size]))
-            keep = [ok for _, ok in pairs]
-            yield frame.assign(**{output: [v for v, _ in pairs]})[keep]
+                rows.extend(score(values[start : start + batch_size]))
+            new = {output: [v for v, _, _ in rows]}
+            if error:
+                new[error] = [why for _, _, why in rows]
+            yield frame.assign(**new)[[ok for _, ok, _ in rows]]
 
     return df.mapInPandas(run, schema)
 
@@ -99,6 +108,16 @@ def _edit_total(ref: np.ndarray, hyp: np.ndarray) -> int:
     return int(row[-1])
 
 
+def _without_common_ends(ref: np.ndarray, hyp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal words at both ends are hits in some best alignment with fewest substitutions."""
+    for _ in range(2):
+        least = min(len(ref), len(hyp))
+        unlike = np.nonzero(ref[:least] != hyp[:least])[0]
+        start = int(unlike[0]) if len(unlike) else least
+        ref, hyp = ref[start:][::-1], hyp[start:][::-1]
+    return ref, hyp
+
+
 _OPERATIONS = T.StructType(
     [
         T.StructField(name, T.IntegerType())
@@ -119,7 +138,7 @@ def edit_operations(refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
         codes: dict[str, int] = {}
         r = np.array([codes.setdefault(w, len(codes)) for w in ref], dtype=np.int64)
         h = np.array([codes.setdefault(w, len(codes)) for w in hyp], dtype=np.int64)
-        distance, subs = divmod(_edit_total(r, h), _BIG)
+        distance, subs = divmod(_edit_total(*_without_common_ends(r, h)), _BIG)
         ins = (distance - subs + len(hyp) - len(ref)) // 2
         dels = distance - subs - ins
         rows.append((subs, ins, dels, len(ref) - subs - dels))

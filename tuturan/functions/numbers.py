@@ -75,10 +75,16 @@ def english_table() -> list[str]:
 
 def _groups(digits: Column, size: int) -> Column:
     """Digit string → integers of ``size`` digits each, most significant first."""
-    found = F.regexp_extract_all(digits, F.lit(rf"\d{{1,{size}}}(?=(?:\d{{{size}}})*$)"), F.lit(0))
+    whole = F.ceil(F.length(digits) / size) * size
+    found = F.regexp_extract_all(F.lpad(digits, whole, "0"), F.lit(rf"\d{{{size}}}"), F.lit(0))
     return F.transform(found, lambda g: g.cast("int"))
 
 
+def _digit_by_digit(digits: Column, names: Column, between: str) -> Column:
+    spelled = F.transform(F.split(digits, ""), lambda d: F.get(names, d.cast("int")))
+    return F.array_join(spelled, between)
+
+
 def _canonical(digits: Column) -> Column:
     """Drop leading zeros, keep one digit."""
     return F.regexp_replace(digits, r"^0+(?=\d)", "")
@@ -192,8 +198,9 @@ def malay_ordinal(n: Column) -> Column:
 
 # --------------------------------------------------------------------------------------------- English
 def english_digits_to_words(digits: Column) -> Column:
-    """Cardinal words up to decillions; a longer number stays as digits."""
+    """Cardinal words up to decillions; a longer number is read digit by digit."""
     table = table_literal(english_table())
+    names = F.split(F.lit(",".join(ENGLISH_SMALL[:10])), ",")
     scales = F.split(F.lit(",".join(ENGLISH_SCALES)), ",")
 
     def spell(d: Column) -> Column:
@@ -212,7 +219,7 @@ def english_digits_to_words(digits: Column) -> Column:
         start = F.struct(F.lit(0).alias("seen"), F.lit("").alias("text"))
         spoken = F.aggregate(groups, start, step, lambda acc: acc["text"])
         return (
-            F.when(F.length(d) > 3 * len(ENGLISH_SCALES), d)
+            F.when(F.length(d) > 3 * len(ENGLISH_SCALES), _digit_by_digit(d, names, " "))
             .when(d == "0", ENGLISH_SMALL[0])
             .otherwise(spoken)
         )
@@ -230,7 +237,7 @@ def english_currency(amount: Column) -> Column:
 
 # --------------------------------------------------------------------------------------------- Chinese
 def chinese_digits_to_words(digits: Column) -> Column:
-    """Cardinal characters up to sixteen digits; a longer number stays as digits."""
+    """Cardinal characters up to sixteen digits; a longer number is read digit by digit."""
     names = F.split(F.lit(CHINESE_DIGITS), "")
     units = F.split(F.lit(",".join(CHINESE_UNITS)), ",")
 
@@ -251,7 +258,8 @@ def chinese_digits_to_words(digits: Column) -> Column:
             ("零+", "零"), ("零万", "万"), ("零亿", "亿"), ("亿万", "亿"), ("零+", "零"), ("^零+|零+$", ""), ("^一十", "十"),
         ]:
             spoken = F.regexp_replace(spoken, pattern, to)
-        return F.when(size > len(CHINESE_UNITS), d).when(d == "0", "零").otherwise(spoken)
+        long = F.when(size > len(CHINESE_UNITS), _digit_by_digit(d, names, ""))
+        return long.when(d == "0", "零").otherwise(spoken)
 
     return let(_canonical(digits), spell)
 

@@ -78,8 +78,32 @@ def scoring_text(col: Column, language: Column | str = "ms") -> Column:
     return F.when(language == "zh", scoring_text_zh(col)).otherwise(by_word)
 
 
+def _unlike(ref: Column, hyp: Column) -> Column:
+    """1-based place of the first words that differ; one list may end there."""
+    return F.array_position(F.zip_with(ref, hyp, lambda a, b: ~a.eqNullSafe(b)), True).cast("int")
+
+
+def _middle(ref: Column, hyp: Column) -> Column:
+    """Both word lists, which differ, without their common beginning and end."""
+
+    def cut_end(p: Column) -> Column:
+        r, h = p["ref"], p["hyp"]
+        keep = lambda words, e: F.slice(words, F.lit(1), F.size(words) - e)
+        return let(
+            _unlike(F.reverse(r), F.reverse(h)) - 1,
+            lambda e: F.struct(keep(r, e).alias("ref"), keep(h, e).alias("hyp")),
+        )
+
+    def cut_start(at: Column) -> Column:
+        rest = lambda words: F.slice(words, at, F.greatest(F.size(words) - at + 1, F.lit(0)))
+        return let(F.struct(rest(ref).alias("ref"), rest(hyp).alias("hyp")), cut_end)
+
+    return let(_unlike(ref, hyp), cut_start)
+
+
 def word_errors(reference: Column, hypothesis: Column) -> Column:
-    """Word edit distance, whole texts: words become code points, then ``levenshtein``."""
+    """Word edit distance, whole texts: the words between the common beginning and end become code
+    points, then ``levenshtein``."""
 
     def encode(words: Column, known: Column) -> Column:
         place = lambda w: F.array_position(known, w)
@@ -87,12 +111,16 @@ def word_errors(reference: Column, hypothesis: Column) -> Column:
         hexed = F.transform(words, lambda w: F.lpad(F.hex(code(place(w))), 8, "0"))
         return F.decode(F.unhex(F.array_join(hexed, "")), "UTF-32")
 
-    def distance(pair: Column) -> Column:
-        ref, hyp = pair["ref"], pair["hyp"]
-        return let(
+    def between(ref: Column, hyp: Column) -> Column:
+        coded = let(
             F.array_distinct(F.concat(ref, hyp)),
             lambda known: F.levenshtein(encode(ref, known), encode(hyp, known)),
         )
+        one_sided = (F.size(ref) == 0) | (F.size(hyp) == 0)
+        return F.when(one_sided, F.size(ref) + F.size(hyp)).otherwise(coded)
+
+    def distance(pair: Column) -> Column:
+        return let(_middle(pair["ref"], pair["hyp"]), lambda m: between(m["ref"], m["hyp"]))
 
     pair = F.struct(
         words_of(F.coalesce(reference, F.lit(""))).alias("ref"),

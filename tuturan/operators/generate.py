@@ -45,8 +45,6 @@ CODES = {
     "account_number": ("", 1_000_000_000, 9_999_999_999),
 }
 PLACEHOLDER = r"\{(\w+)\}"
-MIN_PROGRESS = 10
-MAX_ROUNDS = 100
 PREVIEW_CHARS = 50
 
 
@@ -232,6 +230,7 @@ def generate_sentences(
     empty = F.lit("")
     field = lambda c: F.coalesce(F.col(c).cast("string"), empty) if c in persons.columns else empty
     values = {c: field(c) for c in ("name", "honorific", "position", "party")}
+    values["position"] = F.coalesce(F.nullif(values["position"], empty), field("title"))
     if kind == "mixed":
         values |= used_slots(templates, draws)
     drawn = rows.withColumn("template", F.get(_template_table(templates), pick))
@@ -262,24 +261,36 @@ def unique_sentences(df: DataFrame, order: Sequence[str]) -> DataFrame:
     return first_per_key(df, text_key(F.col("text")), order)
 
 
+class TooFewSentences(ValueError):
+    """The templates and persons give fewer different sentences than were asked for."""
+
+
 def generate_until(
-    make_round: Callable[[int], DataFrame],
+    make_round: Callable[[int, int], DataFrame],
     target: int,
+    keys: int,
     existing: DataFrame | None = None,
     order: Sequence[str] = ("person", "sample"),
     save: Callable[[DataFrame], DataFrame] | None = None,
     seed: int = 42,
+    per_key: int = 1,
+    allow_short: bool = False,
 ) -> DataFrame:
     """Rounds of new sentences until ``target`` is reached, trimmed to it by a seeded sample.
 
-    Stops when a round brings fewer than ten new sentences or after a hundred rounds. ``save``
-    writes a round to the shared folder and reads it back, so that no round is made twice.
+    ``make_round`` gets the number of the first sample and the samples per key. A round is made for
+    what is missing, at least ``per_key`` samples of each of the ``keys`` keys. Only a round that
+    brings nothing new ends the work early; then ``TooFewSentences`` is raised unless
+    ``allow_short``. ``save`` writes a round to the shared folder and reads it back, so that no round
+    is made twice.
     """
     save = save or store
     kept: DataFrame | None = None
-    total = 0
-    for number in range(MAX_ROUNDS):
-        fresh = unique_sentences(make_round(number), order)
+    total = first = 0
+    while True:
+        samples = max(per_key, -(-(target - total) // max(1, keys)))
+        fresh = unique_sentences(make_round(first, samples), order)
+        first += samples
         if existing is not None:
             fresh = not_yet_written(fresh, existing)
         if kept is not None:
@@ -288,8 +299,10 @@ def generate_until(
         added = fresh.count()
         total += added
         kept = fresh if kept is None else kept.unionByName(fresh)
-        if total >= target or added < MIN_PROGRESS:
+        if total >= target or not added:
             break
+    if total < target and not allow_short:
+        raise TooFewSentences(f"{total} of {target} sentences")
     if total <= target:
         return kept
     return seeded_sample(kept, target, ["text"], seed=seed, unique_key=True)

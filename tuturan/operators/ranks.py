@@ -1,9 +1,10 @@
 """Exact seeded splits, samples and numberings without sorting a whole group in one task.
 
-Rows get a draw (md5 of key and seed). Per group, rows are first counted in 4096 buckets of the
-draw; only the bucket that holds the last wanted row is looked at closely, and there equal draws
-are counted before they are ordered. The result is one cut draw per group, and the split itself is
-a comparison on the wide rows, which are not shuffled while the counted groups fit a broadcast.
+Rows get a draw (md5 of key and seed). Per group, rows are first counted by the leading digits of
+the draw; only the bucket that holds the last wanted row is looked at closely, by further digits
+while it holds many rows, and there equal draws are counted before they are ordered. The result is
+one cut draw per group, and the split itself is a comparison on the wide rows. The cuts are written
+once, so Spark knows their bytes and broadcasts them where they are small.
 """
 
 from __future__ import annotations
@@ -11,15 +12,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tuturan.session import freeze
+from tuturan.session import freeze, store
 
 BUCKET_DIGITS = 3
-BROADCAST_GROUPS = 100_000
-DRAW_SLICES = 256
-_DRAW_SPAN = 1 << 52
+CUT_ROWS = 100_000  # rows of a bucket whose draws are put in order
+DRAW_DIGITS = 32
 
 
 def draw(key: Sequence[str], seed: int) -> Column:
@@ -27,11 +26,6 @@ def draw(key: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
 
 
-def draw_number(key: Sequence[str], seed: int) -> Column:
-    """The first 52 bits of the draw as an integer."""
-    return F.conv(F.substring(draw(key, seed), 1, 13), 16, 10).cast("bigint")
-
-
 def _names(by: Sequence[str]) -> list[str]:
     return [f"_g{i}" for i in range(len(by))]
 
@@ -44,52 +38,54 @@ def _rename(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.withColumnsRenamed(dict(zip(by, _names(by))))
 
 
-def _attach(df: DataFrame, small: DataFrame, on: list[Column], how: str, fits: bool) -> DataFrame:
-    side = F.broadcast(small) if fits else small
-    return df.join(side, reduce(lambda a, b: a & b, on), how)
+def _attach(df: DataFrame, small: DataFrame, on: list[Column], how: str) -> DataFrame:
+    return df.join(small, reduce(lambda a, b: a & b, on), how)
 
 
 def cut_draws(
     df: DataFrame, key: Sequence[str], take: Column, by: Sequence[str] = (), seed: int = 42
-) -> tuple[DataFrame, bool]:
+) -> DataFrame:
     """Per group: the draw of the last row taken, how many rows share it and how many of them are
-    needed; and whether the groups are few enough to broadcast. ``take`` may use ``_total``, the
-    number of rows in the group."""
+    needed. ``take`` may use ``_total``, the number of rows in the group."""
     by = list(by)
-    narrow = df.select(*by, draw(key, seed).alias("_draw")).withColumn(
-        "_bucket", F.substring("_draw", 1, BUCKET_DIGITS)
-    )
+    narrow = df.select(*by, draw(key, seed).alias("_draw"))
     whole = Window.partitionBy(*by)
     earlier = (Window.unboundedPreceding, -1)
-    end = F.col("_before") + F.col("_n")
-    edges = freeze(
-        narrow.groupBy(*by, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_total", F.sum("_n").over(whole))
-        .withColumn(
-            "_before",
-            F.coalesce(F.sum("_n").over(whole.orderBy("_bucket").rowsBetween(*earlier)), F.lit(0)),
-        )
-        .withColumn("_take", F.least(take.cast("bigint"), F.col("_total")))
-        .where(F.col("_take").between(F.col("_before") + 1, end))
-        .select(
-            *by, F.col("_bucket").alias("_edge"), (F.col("_take") - F.col("_before")).alias("_left")
-        )
+    before = lambda n, order: F.coalesce(
+        F.sum(n).over(whole.orderBy(order).rowsBetween(*earlier)), F.lit(0)
     )
-    fits = edges.count() <= BROADCAST_GROUPS
-    on = [*_same_group(by), F.col("_bucket") == F.col("_edge")]
-    inside = (
-        _attach(narrow, _rename(edges, by), on, "inner", fits)
-        .groupBy(*by, "_draw", "_left")
-        .agg(F.count(F.lit(1)).alias("_same"))
-        .withColumn(
-            "_before",
-            F.coalesce(F.sum("_same").over(whole.orderBy("_draw").rowsBetween(*earlier)), F.lit(0)),
+    inside, want, digits, most = narrow, take.cast("bigint"), 0, CUT_ROWS + 1
+    edges: DataFrame | None = None
+    while most > CUT_ROWS and digits < DRAW_DIGITS:
+        digits += BUCKET_DIGITS
+        carried = [] if edges is None else ["_left"]
+        counted = (
+            inside.groupBy(*by, *carried, F.substring("_draw", 1, digits).alias("_bucket"))
+            .agg(F.count(F.lit(1)).alias("_n"))
+            .withColumn("_total", F.sum("_n").over(whole))
+            .withColumn("_before", before("_n", "_bucket"))
+            .withColumn("_take", F.least(want, F.col("_total")))
+            .where(F.col("_take").between(F.col("_before") + 1, F.col("_before") + F.col("_n")))
         )
+        left = (F.col("_take") - F.col("_before")).alias("_left")
+        edges = store(counted.select(*by, F.col("_bucket").alias("_edge"), left, "_n"), "edges")
+        most = edges.agg(F.max("_n")).first()[0] or 0
+        on = [*_same_group(by), F.substring("_draw", 1, digits) == F.col("_edge")]
+        inside = _attach(narrow, _rename(edges, by), on, "inner").select(*by, "_draw", "_left")
+        want = F.col("_left")
+    cut = (
+        inside.groupBy(*by, "_draw", "_left")
+        .agg(F.count(F.lit(1)).alias("_same"))
+        .withColumn("_before", before("_same", "_draw"))
         .where(F.col("_left").between(F.col("_before") + 1, F.col("_before") + F.col("_same")))
     )
     need = F.col("_left") - F.col("_before")
-    return inside.select(*by, F.col("_draw").alias("_cut"), "_same", need.alias("_need")), fits
+    return store(cut.select(*by, F.col("_draw").alias("_cut"), "_same", need.alias("_need")), "cuts")
+
+
+def _content(df: DataFrame) -> Column:
+    """A hash of a whole row."""
+    return F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}))
 
 
 def mark_taken(
@@ -104,17 +100,16 @@ def mark_taken(
     """Add a boolean: is the row among the first ``take`` of its group in the order of the draws?
 
     Sizes are exact. With ``unique_key=False`` rows sharing the cut draw (copies of one key) are
-    told apart by a second round over just these rows.
+    told apart by their content, in a second round over just these rows; only equal rows are left
+    to their place. So the rows taken do not depend on how the input is partitioned.
     """
     by = list(by)
     helper = ["_draw", "_cut", "_same", "_need", *_names(by)]
-    cuts, fits = cut_draws(df, key, take, by, seed)
+    cuts = cut_draws(df, key, take, by, seed)
     drawn = df.withColumn("_draw", draw(key, seed))
     taken = F.coalesce(F.col("_draw") <= F.col("_cut"), F.lit(False))
-    if not unique_key:
-        cuts = freeze(cuts)
     if by:
-        marked = _attach(drawn, _rename(cuts, by), _same_group(by), "left", fits)
+        marked = _attach(drawn, _rename(cuts, by), _same_group(by), "left")
     else:
         single = {c: cuts.select(c).scalar() for c in ("_cut", "_same", "_need")}
         marked = drawn.withColumns(single)
@@ -124,12 +119,13 @@ def mark_taken(
         (F.col("_draw") == F.col("_cut")) & (F.col("_need") < F.col("_same")), F.lit(False)
     )
     clear = marked.where(~tied).withColumn(name, taken).drop(*helper)
-    copies = freeze(marked.where(tied).withColumn("_row", F.monotonically_increasing_id()))
-    copies = copies.withColumnRenamed("_need", "_quota").drop(*helper)
-    told = mark_taken(
-        copies, ["_row"], F.col("_quota"), [*by, "_quota"], seed, unique_key=True, name=name
-    )
-    return clear.unionByName(told.drop("_row", "_quota"))
+    equal = "_content" in df.columns
+    quota, tell = ("_places", "_row") if equal else ("_quota", "_content")
+    copies = marked.where(tied).withColumnRenamed("_need", quota).drop(*helper)
+    # among equal rows any will do
+    copies = copies.withColumn(tell, F.monotonically_increasing_id() if equal else _content(df))
+    told = mark_taken(freeze(copies), [tell], F.col(quota), [*by, quota], seed, equal, name)
+    return clear.unionByName(told.drop(tell, quota))
 
 
 def stratified_split(
@@ -185,47 +181,51 @@ def number_rows(
     order: str,
     by: Sequence[str] = (),
     name: str = "number",
-    cuts: Sequence[float] | None = None,
     then: Sequence[str] = (),
+    unique_key: bool = False,
 ) -> DataFrame:
-    """1-based position in the order of a numeric column without nulls, global or per group.
+    """1-based position in the order of a column, nulls last, global or per group.
 
-    The column is cut into slices (at its own quantiles unless ``cuts`` are given), rows are
-    numbered inside a slice, and the counts of the slices before are added: no task sees more
-    than one slice of one group.
+    The rows are range-sorted once, by group, order, ``then`` and (unless the key is unique) their
+    content, and written with their place in their partition. Positions come from the counts of the
+    partitions, and in a group from that of its first row. So the number of partitions grows with
+    the data as for any sort, equal values may spread over several, and the result does not depend
+    on how the input is partitioned.
     """
     by = list(by)
-    if cuts is None:
-        steps = [i / DRAW_SLICES for i in range(1, DRAW_SLICES)]
-        cuts = sorted(set(df.approxQuantile(order, steps, 1 / (4 * DRAW_SLICES))))
-    edges = [float("-inf"), *cuts, float("inf")]
-    slicer = Bucketizer(splits=edges, inputCol="_order", outputCol="_slice")
-    sliced = slicer.transform(df.withColumn("_order", F.col(order).cast("double"))).drop("_order")
-    earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        sliced.groupBy(*by, "_slice")
+    keys = [F.asc_nulls_last(c) for c in [*by, order, *then]]
+    keys += [] if unique_key else [_content(df)]
+    ranged = store(df.orderBy(*keys).withColumn("_at", F.monotonically_increasing_id()), "ranged")
+    part = F.shiftright("_at", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = store(  # one row for each partition of the sort
+        ranged.groupBy(part.alias("_part"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .withColumnRenamed("_slice", "_s")
-        .drop("_n")
-    )
-    inside = Window.partitionBy(*by, "_slice").orderBy(order, *then)
-    on = [*_same_group(by), F.col("_slice") == F.col("_s")]
-    numbered = sliced.withColumn("_local", F.row_number().over(inside))
-    return (
-        _attach(numbered, _rename(offsets, by), on, "inner", fits=not by)
-        .withColumn(name, (F.col("_local") + F.col("_offset")).cast("bigint"))
-        .drop("_slice", "_s", "_local", "_offset", *_names(by))
+        .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")),
+        "parts",
     )
+    local = F.col("_at") - F.shiftleft(part, 33)
+    placed = ranged.withColumn("_part", part).join(parts, "_part")
+    placed = placed.withColumn("_place", F.col("_offset") + local)
+    first = F.lit(0)
+    if by:
+        start = F.struct("_part", (F.col("_at") - F.shiftleft("_part", 33)).alias("_in"))
+        starts = ranged.withColumn("_part", part).groupBy(*by).agg(F.min(start).alias("_s"))
+        starts = starts.select(*by, F.col("_s._part").alias("_part"), F.col("_s._in").alias("_in"))
+        starts = starts.join(parts, "_part").select(*by, (F.col("_offset") + F.col("_in")).alias("_first"))
+        placed = _attach(placed, store(_rename(starts, by), "starts"), _same_group(by), "inner")
+        first = F.col("_first")
+    number = (F.col("_place") - first + 1).cast("bigint")
+    helper = ["_at", "_part", "_offset", "_place", "_first", *_names(by)]
+    return placed.withColumn(name, number).drop(*helper)
 
 
 def number_by_draw(
-    df: DataFrame, key: Sequence[str], seed: int = 42, name: str = "number"
+    df: DataFrame, key: Sequence[str], seed: int = 42, name: str = "number", unique_key: bool = False
 ) -> DataFrame:
     """1-based position of every row in a seeded shuffle."""
-    cuts = [_DRAW_SPAN / DRAW_SLICES * i for i in range(1, DRAW_SLICES)]
-    drawn = df.withColumn("_draw", draw_number(key, seed))
-    return number_rows(drawn, "_draw", name=name, cuts=cuts, then=key).drop("_draw")
+    drawn = df.withColumn("_draw", draw(key, seed))
+    return number_rows(drawn, "_draw", name=name, then=key, unique_key=unique_key).drop("_draw")
 
 
 def work_shares(

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tuturan.functions.expr import words_of
 from tuturan.functions.language import dictionary_tokens, vocabulary_words
 from tuturan.functions.text import char_class
-from tuturan.session import fits_broadcast, freeze
+from tuturan.session import store
 
+# The supplementary ideographs are meant as a block of five-digit code points; a four-digit reading
+# of the same values would count dashes, quotes and symbols.
 # --- fixed values: script ranges for vocabulary extraction --------------------------------------------
 VOCABULARY_SCRIPTS = {
     "cjk": [(0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0xF900, 0xFAFF)],
@@ -24,7 +27,6 @@ VOCABULARY_SCRIPTS = {
     "latin_extended": [(0x0100, 0x017F), (0x0180, 0x024F), (0x1E00, 0x1EFF)],
 }
 ANY_NON_ASCII = r"[\P{C}&&[^\x00-\x7F]]"
-BROADCAST_ENTRIES = 1_000_000
 SUPPORTED_COVERAGE = 0.8
 SUPPORTED_UNKNOWN = 0.2
 
@@ -64,15 +66,19 @@ def most_frequent(freq: DataFrame, k: int, token: str = "token") -> DataFrame:
 
 
 def combined_vocabulary(freqs: Sequence[DataFrame], caps: Sequence[int | None]) -> DataFrame:
-    """Tokens kept by any input (each within its cap), ranked by the frequency over all inputs."""
-    kept = [f if cap is None else most_frequent(f, cap) for f, cap in zip(freqs, caps)]
-    tokens = kept[0].select("token")
-    everything = freqs[0].select("token", "freq")
-    for k, f in zip(kept[1:], freqs[1:]):
-        tokens = tokens.unionByName(k.select("token"))
-        everything = everything.unionByName(f.select("token", "freq"))
-    totals = everything.groupBy("token").agg(F.sum("freq").alias("freq"))
-    return totals.join(tokens.distinct(), "token", "left_semi")
+    """Tokens kept by any input (each within its cap), ranked by the frequency over all inputs.
+
+    Every input is counted once, with its number.
+    """
+    numbered = [f.select("token", "freq", F.lit(i).alias("_input")) for i, f in enumerate(freqs)]
+    every = store(reduce(DataFrame.unionByName, numbered), "frequencies")
+    open_inputs = [i for i, c in enumerate(caps) if c is None]
+    kept = every.where(F.col("_input").isin(open_inputs)).select("token")
+    for i, c in enumerate(caps):
+        if c is not None:
+            kept = kept.unionByName(most_frequent(every.where(F.col("_input") == i), c).select("token"))
+    totals = every.groupBy("token").agg(F.sum("freq").alias("freq"))
+    return totals.join(kept.distinct(), "token", "left_semi")
 
 
 def new_tokens(candidates: DataFrame, existing: DataFrame) -> DataFrame:
@@ -92,18 +98,13 @@ def vocabulary_coverage(
 ) -> DataFrame:
     """Per language: mean sentence coverage, share of unknown tokens, supported or not.
 
-    With a vocabulary of proven size the lookup is a broadcast and the tokens are summed up per
-    sentence where they are. With a larger one they are counted per sentence first, so that a
-    frequent token travels once per sentence.
+    The vocabulary is written once, so Spark knows its bytes and broadcasts it where it is small;
+    tokens are summed up per sentence where they are. A key that several rows share is one sentence.
     """
     tokens = words_of(F.col(text)) if unit == "words" else F.split(F.col(text), "")
-    known = freeze(vocabulary.select(F.col("token").alias("_known")).distinct())
+    known = store(vocabulary.select(F.col("token").alias("_known")).distinct(), "vocabulary")
     exploded = df.select(key, language, F.explode_outer(tokens).alias("_token"))
-    if fits_broadcast(known, BROADCAST_ENTRIES):
-        counted = exploded.withColumn("_n", F.col("_token").isNotNull().cast("bigint"))
-        known = F.broadcast(known)
-    else:
-        counted = exploded.groupBy(key, language, "_token").agg(F.count("_token").alias("_n"))
+    counted = exploded.withColumn("_n", F.col("_token").isNotNull().cast("bigint"))
     looked_up = counted.join(known, F.col("_token") == F.col("_known"), "left")
     unknown = F.when(F.col("_known").isNull(), F.col("_n")).otherwise(0)
     per_sentence = looked_up.groupBy(key, language).agg(
@@ -125,32 +126,37 @@ def vocabulary_coverage(
 
 
 def to_phonemes(
-    df: DataFrame, dictionary: DataFrame, key: str, text: str = "text", name: str = "phonemes"
+    df: DataFrame, dictionary: DataFrame, text: str = "text", name: str = "phonemes"
 ) -> DataFrame:
-    """Replace dictionary words by their phonemes, everything else stays in place.
+    """Add the text with dictionary words replaced by their phonemes; everything else stays.
 
-    The compact rows are partitioned by their key first; exploding, looking up and re-assembling
-    keep that partitioning, so with a dictionary of proven size the tokens are never shuffled.
-    A larger dictionary is joined by Spark's choice.
+    Every row is a text of its own, whatever columns repeat. The compact rows are partitioned by a
+    row number first; exploding, looking up and re-assembling keep that partitioning, and the other
+    columns travel with the first token. The dictionary is written once, so Spark knows its bytes.
     """
-    lookup = freeze(
-        dictionary.groupBy(F.lower("word").alias("_word")).agg(F.max("phonemes").alias("_phonemes"))
+    lookup = store(
+        dictionary.groupBy(F.lower("word").alias("_word")).agg(F.max("phonemes").alias("_phonemes")),
+        "dictionary",
+    )
+    numbered = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_whole"),
+        F.col(text).alias("_text"),
+        F.monotonically_increasing_id().alias("_row"),
     )
-    if fits_broadcast(lookup, BROADCAST_ENTRIES):
-        lookup = F.broadcast(lookup)
     tokens = (
-        df.select(key, text)
-        .repartition(key)
-        .select(key, F.posexplode_outer(dictionary_tokens(F.col(text))).alias("_pos", "_token"))
+        numbered.repartition("_row")
+        .select("_row", "_whole", F.posexplode_outer(dictionary_tokens(F.col("_text"))).alias("_pos", "_token"))
+        .withColumn("_whole", F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("_whole")))
         .join(lookup, F.lower("_token") == F.col("_word"), "left")
     )
     piece = F.coalesce("_phonemes", "_token", F.lit(""))
-    return tokens.groupBy(key).agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("_pos", piece.alias("_piece")))),
-                lambda p: p["_piece"],
-            ),
-            "",
-        ).alias(name)
+    spoken = F.array_join(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("_pos", piece.alias("_piece")))),
+            lambda p: p["_piece"],
+        ),
+        "",
     )
+    joined = tokens.groupBy("_row").agg(F.first("_whole", True).alias("_whole"), spoken.alias("_spoken"))
+    kept = [F.col(f"_whole.`{c}`") for c in df.columns if c != name]
+    return joined.select(*kept, F.col("_spoken").alias(name))

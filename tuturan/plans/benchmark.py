@@ -13,10 +13,7 @@ from tuturan.operators.wer import (
     score_utterances,
     wer_matrix,
 )
-from tuturan.session import fits_broadcast, freeze
-
-
-MAX_BROADCAST_RUNS = 100_000
+from tuturan.session import store
 
 
 @dataclass(frozen=True)
@@ -35,9 +32,8 @@ def score_benchmark(
     (dataset, utterance_id, reference, language)."""
     key = ["dataset", "utterance_id"]
     if options.keep_failed:
-        runs = freeze(hypotheses.select("model", "dataset").distinct())
-        small = fits_broadcast(runs, MAX_BROADCAST_RUNS)
-        references = references.join(F.broadcast(runs) if small else runs, "dataset")
+        runs = store(hypotheses.groupBy("dataset").agg(F.collect_set("model").alias("_models")), "runs")
+        references = references.join(runs, "dataset").withColumn("model", F.explode("_models")).drop("_models")
         key = ["model", *key]
     paired = pair_with_reference(hypotheses, references, key, options.keep_failed)
     normal = normalize_pair(paired, F.col("language"), options.normalize_reference)

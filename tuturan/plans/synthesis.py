@@ -20,15 +20,19 @@ def next_batch(
     earlier: DataFrame | None = None,
     seed: int = 42,
     key: str = "name",
+    allow_short: bool = False,
 ) -> DataFrame:
-    """A batch of new sentences, none of which an earlier batch holds."""
+    """A batch of new sentences, none of which an earlier batch holds.
 
-    def make(number: int) -> DataFrame:
-        return generate_sentences(
-            persons, templates, per_person, seed=seed, key=key, first_round=number * per_person
-        )
+    ``per_person`` is the least number of samples in a round.
+    """
 
-    return generate_until(make, target, earlier, seed=seed)
+    def make(first: int, samples: int) -> DataFrame:
+        return generate_sentences(persons, templates, samples, seed=seed, key=key, first_round=first)
+
+    return generate_until(
+        make, target, persons.count(), earlier, seed=seed, per_key=per_person, allow_short=allow_short
+    )
 
 
 def synthetic_manifest(

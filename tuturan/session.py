@@ -27,16 +27,29 @@ def local_session(cores: str = "8", app: str = "tuturan") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``, which every executor must see.
+
+    A temporary folder stands in for it in local mode only; a cluster without one, or with one on a
+    local disk, is refused.
+    """
     sc = spark.sparkContext
+    local = sc.master.startswith("local")
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(named)
-        return named
+    named = named or sc.getCheckpointDir()
+    if not named and not local:
+        raise ValueError("spark.checkpoint.dir is not set; a cluster needs a folder that all executors share")
+    if named and not local and named.startswith(("file:", "/")) and not _has_default_store(spark, named):
+        raise ValueError(f"{named} is on a local disk; executors of a cluster would not share it")
+    named = named or tempfile.mkdtemp(prefix="tuturan-")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tuturan-"))
-    return sc.getCheckpointDir()
+        sc.setCheckpointDir(named)
+    return named
+
+
+def _has_default_store(spark: SparkSession, folder: str) -> bool:
+    """Does a path without a scheme lie in a shared store?"""
+    store = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    return folder.startswith("/") and not store.startswith("file:")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -51,22 +64,10 @@ def freeze(df: DataFrame) -> DataFrame:
 
 
 def store(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write once to the shared folder and read back, so that later passes prune columns."""
+    """Write once to the shared folder and read back.
+
+    Later passes prune columns, and Spark knows the bytes of a small table when it picks a join.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a small input that comes in few splits out over all cores.
-
-    A parquet row group is one task however many cores there are. An input with at least two
-    splits per core is left as it is, so large tables are never shuffled here.
-    """
-    wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
-
-
-def fits_broadcast(df: DataFrame, rows: int) -> bool:
-    """Count a frozen or stored table up to one row more than the limit."""
-    return df.limit(rows + 1).count() <= rows

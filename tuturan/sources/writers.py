@@ -6,8 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tuturan.functions.expr import SPACE_SET
-
 
 def manifest_rows(df: DataFrame, base: str, file: str = "audio_filename") -> DataFrame:
     """Manifest columns with absolute paths; further columns of the input follow."""
@@ -57,30 +55,24 @@ def write_dictionary(df: DataFrame, path: str) -> None:
     dictionary_lines(df).write.text(path)
 
 
-def nested_results(scored: DataFrame, per_record: int = 100_000) -> DataFrame:
-    """Result records of a model and dataset: overall WER and, as an array, the utterances.
-
-    A test set with more than ``per_record`` utterances is written as several records (``part``),
-    so that no task gathers a whole large set.
-    """
-    cell = ["model", "dataset"]
-    totals = scored.groupBy(*cell).agg(
+def result_totals(scored: DataFrame) -> DataFrame:
+    """Overall WER and number of utterances of every model and dataset."""
+    return scored.groupBy("model", "dataset").agg(
         (F.sum("errors") / F.nullif(F.sum("ref_words"), F.lit(0))).alias("overall_wer"),
         F.count(F.lit(1)).alias("num_samples"),
     )
-    parts = F.ceil(F.col("num_samples") / per_record)
-    row = F.struct(
+
+
+def result_rows(scored: DataFrame) -> DataFrame:
+    """Result columns of every utterance."""
+    return scored.select(
+        "model",
+        "dataset",
         "utterance_id",
         F.col("reference").alias("groundtruth"),
         F.col("hypothesis").alias("predicted"),
         "wer",
     )
-    return (
-        scored.join(totals, cell)
-        .withColumn("part", F.pmod(F.xxhash64("utterance_id"), parts))
-        .groupBy(*cell, "overall_wer", "num_samples", "part")
-        .agg(F.array_sort(F.collect_list(row)).alias("results"))
-    )
 
 
 def write_summary(matrix: DataFrame, path: str) -> None:
@@ -89,15 +81,19 @@ def write_summary(matrix: DataFrame, path: str) -> None:
 
 
 def write_results(scored: DataFrame, path: str) -> None:
-    """Long result rows, partitioned by model and dataset."""
-    scored.write.partitionBy("model", "dataset").json(path)
+    """``utterances``: result rows in a folder for each model and dataset; ``totals``: a row each."""
+    _by_folder(result_rows(scored), ["model", "dataset"]).json(f"{path}/utterances")
+    result_totals(scored).write.json(f"{path}/totals")
 
 
 def write_per_speaker(df: DataFrame, path: str, speaker: str = "speaker_id") -> None:
     """One folder per speaker; read as a whole it is the combined file."""
-    df.write.partitionBy(speaker).json(path)
+    _by_folder(df, [speaker]).json(path)
 
 
-def squeeze_lines(col: Column) -> Column:
-    """A one-line form for text formats."""
-    return F.trim(F.regexp_replace(col, f"[{SPACE_SET}]+", " "))
+def _by_folder(df: DataFrame, by: list[str]):
+    """A writer with few files in each folder: rows are gathered by folder, a large one in parts.
+
+    Rebalancing splits what is more than a partition's share, so a folder of any size has no one task.
+    """
+    return df.hint("rebalance", *by).write.partitionBy(*by)
