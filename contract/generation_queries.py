@@ -167,6 +167,20 @@ def gen3(spark, d):
     )
 
 
+@query(
+    "gen3_few_persons",
+    "SELECT CAST(count(*) AS BIGINT) AS sentences, CAST(count(*) AS BIGINT) AS distinct_texts FROM customer",
+)
+def gen3_few(spark, d):
+    """Five names have to give as many sentences as there are customers."""
+    people = table(spark, d, "customer").select(F.col("c_mktsegment").alias("name")).distinct()
+    numbers = ["Jumlah {amount} dan {ref_number} untuk {name}."]
+    batch = synthesis.next_batch(people, numbers, table(spark, d, "customer").count(), 1)
+    return batch.agg(
+        F.count(F.lit(1)).alias("sentences"), F.countDistinct(joins.text_key(F.col("text"))).alias("distinct_texts")
+    )
+
+
 @query(
     "gen4_incremental_batch",
     f"""WITH {WORDS}, g AS ({generated_sql('name', NAMES, 4, PERSON_SLOTS)}),

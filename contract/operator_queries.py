@@ -321,12 +321,16 @@ def prj3(spark, d):
 
 @query(
     "prj4_sequential_names",
-    "SELECT doc_id, source || '_' || lpad(CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS VARCHAR), 8, '0') || '.wav' AS file, "
-    "'audio_' || lpad(CAST(row_number() OVER (ORDER BY doc_id) AS VARCHAR), 6, '0') || '.wav' AS global_file FROM documents",
+    "SELECT doc_id, source || '_' || lpad(CAST(row_number() OVER (PARTITION BY source ORDER BY k NULLS LAST, doc_id) - 1 AS VARCHAR), 8, '0') || '.wav' AS file, "
+    "'audio_' || lpad(CAST(row_number() OVER (ORDER BY k NULLS LAST, doc_id) AS VARCHAR), 6, '0') || '.wav' AS global_file "
+    "FROM (SELECT *, CASE WHEN doc_id % 5 <> 0 THEN n_chars // 100 END AS k FROM documents)",
 )
 def prj4(spark, d):
-    rows = ranks.number_rows(table(spark, d, "documents").select("doc_id", "source"), "doc_id", ["source"], "in_source")
-    rows = ranks.number_rows(rows, "doc_id", name="overall")
+    """The order has nulls and many equal values."""
+    k = F.when(F.col("doc_id") % 5 != 0, F.floor(F.col("n_chars") / 100)).alias("k")
+    docs = table(spark, d, "documents").select("doc_id", "source", k)
+    rows = ranks.number_rows(docs, "k", ["source"], "in_source", then=["doc_id"], unique_key=True)
+    rows = ranks.number_rows(rows, "k", name="overall", then=["doc_id"], unique_key=True)
     return rows.select(
         "doc_id",
         filters.file_number(F.concat("source", F.lit("_")), F.col("in_source") - 1, 8, ".wav").alias("file"),
@@ -445,47 +449,49 @@ TOKENS = "regexp_extract_all(text, '[\\pL\\pN_'']+|[^\\pL\\pN_\\s]+|\\s+')"
 @query(
     "join9_to_phonemes",
     f"""WITH t AS (SELECT doc_id, unnest({TOKENS}) AS token, generate_subscripts({TOKENS}, 1) AS pos FROM documents), {FREQUENT}
-SELECT doc_id, string_agg(coalesce('/' || reverse(word) || '/', token), '' ORDER BY pos) AS phonemes
-FROM t LEFT JOIN f ON lower(token) = word GROUP BY doc_id""",
+SELECT doc_id % 50 AS shelf, source, string_agg(coalesce('/' || reverse(word) || '/', token), '' ORDER BY pos) AS phonemes
+FROM t LEFT JOIN f ON lower(token) = word JOIN documents USING (doc_id) GROUP BY doc_id, source""",
 )
 def join9(spark, d):
-    """The most frequent words of the corpus get their letters reversed as phonemes."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    """The most frequent words of the corpus get their letters reversed; many rows share a shelf."""
+    docs = table(spark, d, "documents").select((F.col("doc_id") % 50).alias("shelf"), "source", "text")
     frequent = vocab.word_frequency(docs, 20)
     reversed_word = F.concat(F.lit("/"), F.reverse("word"), F.lit("/"))
-    return vocab.to_phonemes(docs, frequent.select("word", reversed_word.alias("phonemes")), "doc_id")
+    spoken = vocab.to_phonemes(docs, frequent.select("word", reversed_word.alias("phonemes")))
+    return spoken.select("shelf", "source", "phonemes")
 
 
-def vocabulary(spark, d, source, first_id):
-    """Distinct words of one source, numbered in word order."""
-    words = vocab.word_frequency(table(spark, d, "documents").where(F.col("source") == source))
+def vocabulary(spark, d, half, first_id):
+    """Distinct words of one half of the sources, numbered by a checksum."""
+    odd = F.substring("source", 4, 9).cast("int") % 2 == half
+    words = vocab.word_frequency(table(spark, d, "documents").where(odd))
     numbered = words.select(F.col("word").alias("token"), F.crc32(F.col("word")).alias("id"))
     return numbered.withColumn("id", F.col("id") + first_id)
 
 
-def vocabulary_sql(source: str) -> str:
+def vocabulary_sql(half: int) -> str:
     return (
         "(SELECT DISTINCT unnest(list_filter(string_split_regex(regexp_replace(lower(text), "
         "'[.,!?;:\"''\\-()\\[\\]{}…«»—–]', ' ', 'g'), '\\s+'), lambda w: w <> '')) AS token "
-        f"FROM documents WHERE source = '{source}')"
+        f"FROM documents WHERE CAST(substr(source, 4) AS INTEGER) % 2 = {half})"
     )
 
 
 @query(
     "join10_map_vocabulary_ids",
-    f"SELECT a.token, CAST(7 AS BIGINT) AS shift FROM {vocabulary_sql('src0')} a JOIN {vocabulary_sql('src5')} b ON a.token = b.token",
+    f"SELECT a.token, CAST(7 AS BIGINT) AS shift FROM {vocabulary_sql(0)} a JOIN {vocabulary_sql(1)} b ON a.token = b.token",
 )
 def join10(spark, d):
-    mapped = vocab.map_vocabulary_ids(vocabulary(spark, d, "src0", 0), vocabulary(spark, d, "src5", 7))
+    mapped = vocab.map_vocabulary_ids(vocabulary(spark, d, 0, 0), vocabulary(spark, d, 1, 7))
     return mapped.select("token", (F.col("new_id") - F.col("old_id")).alias("shift"))
 
 
 @query(
     "join11_new_tokens",
-    f"SELECT token FROM {vocabulary_sql('src5')} WHERE token NOT IN (SELECT token FROM {vocabulary_sql('src0')})",
+    f"SELECT token FROM {vocabulary_sql(1)} WHERE token NOT IN (SELECT token FROM {vocabulary_sql(0)})",
 )
 def join11(spark, d):
-    return vocab.new_tokens(vocabulary(spark, d, "src5", 0), vocabulary(spark, d, "src0", 0)).select("token")
+    return vocab.new_tokens(vocabulary(spark, d, 1, 0), vocabulary(spark, d, 0, 0)).select("token")
 
 
 def scored_runs(spark, d):
@@ -622,11 +628,29 @@ def agg7(spark, d):
     )
 
 
-@query("agg7_edit_operations")
+UNIT = 1_000_000  # an edit; one more for a substitution
+
+
+@query(
+    "agg7_edit_operations",
+    f"""{RUN.replace("WITH", "WITH RECURSIVE", 1)}, pairs AS (SELECT model, dataset, utterance_id, {sql_words('reference')} AS r, {sql_words('hypothesis')} AS h FROM heard),
+ed AS (SELECT model, dataset, utterance_id, CAST(0 AS BIGINT) AS i, list_transform(range(0, len(h) + 1), lambda j: j * {UNIT}) AS costs FROM pairs
+  UNION ALL
+  SELECT model, dataset, utterance_id, i + 1, list_transform(range(1, len(h) + 2), lambda j: list_min(list_transform(range(1, j + 1),
+    lambda k: CASE WHEN k = 1 THEN (i + 1) * {UNIT} ELSE least(costs[k - 1] + CASE WHEN r[i + 1] = h[k - 1] THEN 0 ELSE {UNIT} + 1 END, costs[k] + {UNIT}) END
+      + (j - k) * {UNIT}))) FROM ed JOIN pairs USING (model, dataset, utterance_id) WHERE i < len(r)),
+done AS (SELECT model, dataset, len(r) AS n, len(h) - len(r) AS surplus, costs[-1] // {UNIT} AS errors, costs[-1] % {UNIT} AS subs
+  FROM ed JOIN pairs USING (model, dataset, utterance_id) WHERE i = len(r)),
+ops AS (SELECT *, (errors - subs + surplus) // 2 AS ins, (errors - subs - surplus) // 2 AS dels FROM done)
+SELECT model, dataset, CAST(sum(subs) AS BIGINT) AS substitutions, CAST(sum(ins) AS BIGINT) AS insertions, CAST(sum(dels) AS BIGINT) AS deletions,
+  CAST(sum(n - subs - dels) AS BIGINT) AS hits, CAST(sum(n) AS BIGINT) AS ref_words, round(sum(errors) / CAST(sum(n) AS DOUBLE), 6) AS wer
+FROM ops GROUP BY model, dataset""",
+)
 def agg7_operations(spark, d):
     utts = utterances(spark, d)
     pairs = all_heard(utts).join(utts.select("dataset", "utterance_id", "reference"), ["dataset", "utterance_id"])
-    return wer.edit_breakdown(pairs, ["model", "dataset"])
+    out = wer.edit_breakdown(pairs, ["model", "dataset"]).withColumn("wer", F.round("wer", 6))
+    return out.drop("char_errors", "ref_chars", "cer")
 
 
 CELLS = f"{SCORED}, cells AS (SELECT model, dataset, round(sum(errors) / CAST(sum(ref_words) AS DOUBLE), 6) AS wer FROM scored WHERE NOT (model = 'gamma' AND dataset = 'user') GROUP BY model, dataset)"
@@ -705,7 +729,7 @@ def agg12(spark, d):
 
 @query(
     "agg13_vocabulary_coverage",
-    f"""WITH v AS {vocabulary_sql('src0')},
+    f"""WITH v AS {vocabulary_sql(0)},
 t AS (SELECT doc_id, lang AS language, unnest({sql_words('text')}) AS token FROM documents),
 s AS (SELECT doc_id, language, count(*) AS total, count(*) FILTER (v.token IS NULL) AS unknown FROM t LEFT JOIN v ON t.token = v.token GROUP BY doc_id, language)
 SELECT language, CAST(count(*) AS BIGINT) AS sentences, round(avg((total - unknown) / CAST(total AS DOUBLE)), 6) AS avg_coverage, CAST(sum(total) AS BIGINT) AS total_tokens,
@@ -714,7 +738,7 @@ SELECT language, CAST(count(*) AS BIGINT) AS sentences, round(avg((total - unkno
 )
 def agg13(spark, d):
     docs = corpus(spark, d).select("doc_id", "language", "text")
-    out = vocab.vocabulary_coverage(docs, vocabulary(spark, d, "src0", 0), "doc_id", "language")
+    out = vocab.vocabulary_coverage(docs, vocabulary(spark, d, 0, 0), "doc_id", "language")
     return out.withColumns({c: F.round(c, 6) for c in ("avg_coverage", "unknown_ratio")})
 
 
@@ -889,12 +913,12 @@ def srt3(spark, d):
 @query(
     "srt4_reservoir_pair",
     f"(SELECT doc_id, lang FROM documents WHERE lang = 'en' ORDER BY {draw_sql('doc_id')} LIMIT 30) UNION ALL "
-    f"(SELECT doc_id, lang FROM documents WHERE lang = 'fr' ORDER BY {draw_sql('doc_id')} LIMIT 31)",
+    f"(SELECT doc_id, lang FROM documents WHERE lang <> 'en' ORDER BY {draw_sql('doc_id')} LIMIT 31)",
 )
 def srt4(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang")
     return ranks.reservoir_pair(
-        docs.where("lang = 'en'"), docs.where("lang = 'fr'"), 61, ["doc_id"], unique_key=True
+        docs.where("lang = 'en'"), docs.where("lang <> 'en'"), 61, ["doc_id"], unique_key=True
     )
 
 
@@ -946,11 +970,11 @@ def set1(spark, d):
     return joins.concatenate([table(spark, d, "documents").select("doc_id", "text", "lang"), items])
 
 
-@query("set2_merge_manifests", "SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'de')")
+@query("set2_merge_manifests", "SELECT doc_id, lang FROM documents")
 def set2(spark, d):
     """A language whose manifest is missing is left out."""
     docs = table(spark, d, "documents").select("doc_id", "lang")
-    parts = [docs.where("lang = 'en'"), None, docs.where("lang = 'de'")]
+    parts = [docs.where("lang = 'en'"), None, *[docs.where(F.col("lang") == c) for c in ("de", "es", "fr")]]
     return plan.merge_manifests(parts, ["doc_id"], seed=42)
 
 
@@ -967,14 +991,14 @@ def set3(spark, d):
 
 @query(
     "set4_combined_vocabulary",
-    """WITH c AS (SELECT lang, token, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(text, '[^\\x00-\\x7F]')) AS token FROM documents WHERE lang IN ('fr', 'es', 'de')) GROUP BY lang, token),
+    """WITH c AS (SELECT lang, token, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(text, '[^\\x00-\\x7F]')) AS token FROM documents) GROUP BY lang, token),
 k AS (SELECT token, row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) AS r FROM c)
 SELECT token, CAST(sum(n) AS BIGINT) AS freq FROM c WHERE token IN (SELECT token FROM k WHERE r <= 4) GROUP BY token""",
 )
 def set4(spark, d):
     docs = table(spark, d, "documents")
-    freqs = [vocab.char_frequency(docs.where(F.col("lang") == code)) for code in ("fr", "es", "de")]
-    return vocab.combined_vocabulary(freqs, [4, 4, 4])
+    freqs = [vocab.char_frequency(docs.where(F.col("lang") == code)) for code in ("fr", "es", "de", "en")]
+    return vocab.combined_vocabulary(freqs, [4, 4, 4, 4])
 
 
 @query(

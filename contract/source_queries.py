@@ -38,6 +38,62 @@ def src2(spark, d):
     return readers.pick_sources(corpus(spark, d), ["src1", "src7", "src19"]).select("doc_id", "source")
 
 
+def named_shards(spark, rows, name):
+    """One Parquet file for each value of a column, named ``<value>-00000-of-00001.parquet``."""
+    path = scratch_path(spark, "shards")
+    rows.repartition(name).write.partitionBy(name).parquet(path)
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in files.listStatus(top):  # one for each of a few corpora
+        value = folder.getPath().getName().partition("=")[2]
+        for part in files.listStatus(folder.getPath()) if value else []:
+            target = jvm.org.apache.hadoop.fs.Path(f"{path}/{value}-00000-of-00001.parquet")
+            files.rename(part.getPath(), target)
+        if value:
+            files.delete(folder.getPath(), True)
+    return path
+
+
+TAGGED_ROWS = "SELECT source, audio_filename, text, duration, language FROM parsed WHERE text <> ''"
+
+
+@query("src1_read_tagged", f"WITH {TAGGED} {TAGGED_ROWS}")
+def src1_files(spark, d):
+    """All shards of a folder, a file for each corpus."""
+    rows = tagged(spark, d).select("audio_filename", "segment_timestamp", F.col("source").alias("corpus"))
+    return readers.read_tagged(spark, named_shards(spark, rows, "corpus")).select(
+        "source", "audio_filename", "text", "duration", "language"
+    )
+
+
+@query("src2_read_chosen", f"WITH {TAGGED} {TAGGED_ROWS} AND source IN ('src1', 'src12')")
+def src2_files(spark, d):
+    """Named corpora only; ``src1`` does not take ``src10`` and its like with it."""
+    rows = tagged(spark, d).select("audio_filename", "segment_timestamp", F.col("source").alias("corpus"))
+    folder = named_shards(spark, rows, "corpus")
+    return readers.read_tagged(spark, folder, ["src1", "src12"]).select(
+        "source", "audio_filename", "text", "duration", "language"
+    )
+
+
+@query(
+    "src3_read_paired",
+    f"""WITH {TAGGED} SELECT source, audio_filename, text,
+  CASE WHEN doc_id % 3 <> 0 AND CAST(substr(source, 4) AS INTEGER) % 2 = 0 THEN duration ELSE 0 END AS duration
+FROM parsed WHERE text <> ''""",
+)
+def src3_files(spark, d):
+    """Every second corpus has a word shard, which knows two of three files."""
+    rows = tagged(spark, d).withColumn("new_text", F.col("segment_timestamp"))
+    even = F.substring("source", 4, 9).cast("int") % 2 == 0
+    segments = rows.withColumn("shard", F.concat("source", F.when(even, "_segments").otherwise("")))
+    words = rows.where(even & (F.col("doc_id") % 3 != 0)).withColumn("shard", F.concat("source", F.lit("_words")))
+    both = segments.unionByName(words).select("audio_filename", "new_text", "shard")
+    paired = readers.read_paired(spark, named_shards(spark, both, "shard"))
+    return paired.select("source", "audio_filename", "text", "duration")
+
+
 SHARD_NAMES = (
     "CASE CAST(substring(source, 4) AS INT) % 6 WHEN 0 THEN array(concat(source, '_segments'), concat(source, '_words')) "
     "WHEN 1 THEN array(concat(source, '_segment_timestamp'), concat(source, '_word_timestamp')) "
@@ -159,10 +215,7 @@ def src8(spark, d):
         "item_id", F.col("text"), F.lower("text").alias("text_norm")
     )
     items.repartition("item_id").write.partitionBy("item_id").json(path)
-    raw = spark.read.schema(readers.HYPOTHESIS + ", item_id string").json(path)
-    return raw.select(
-        F.col("item_id").alias("utterance_id"), F.coalesce("text_norm", F.lit("")).alias("hypothesis")
-    )
+    return readers.read_hypotheses(spark, path, "item_id")
 
 
 @query(
@@ -173,14 +226,13 @@ SELECT 'CONV_' || CAST(conv_id AS VARCHAR) AS utterance_id, 'audio/CONV_' || CAS
   sentence, CAST(chars AS DOUBLE) / CAST(4 AS DOUBLE) AS duration FROM c WHERE turns >= 2 AND sentence <> ''""",
 )
 def src9(spark, d):
-    turn = F.struct(  # only the two turns a record is made of
+    turn = F.struct(
         "turn",
         "text",
         F.struct(F.lit(1.5).alias("start_time"), (F.length("text") / 4.0 + 1.5).alias("end_time")).alias("metadata"),
     )
     convs = (
         table(spark, d, "conversations")
-        .where("turn < 2")
         .groupBy("conv_id")
         .agg(F.array_sort(F.collect_list(turn)).alias("turns"))
         .select(

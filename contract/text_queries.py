@@ -548,7 +548,7 @@ def _same(what: str, size: int, partition: str = "doc_id", order: str = "i") ->
 
 # The detector by rows instead of patterns: characters, words and comma pieces compared with the ones
 # that follow them at a distance.
-LOOPING_SQL = f"""looped AS (SELECT doc_id, {LOOPS} AS text FROM documents),
+LOOPING_SQL = rf"""looped AS (SELECT doc_id, {LOOPS} AS text FROM documents),
 ch AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM looped),
 ch_same AS (SELECT *, {", ".join(_same("c", k) for k in range(1, 5))} FROM ch),
 ch_reach AS (SELECT doc_id, i, c, {", ".join(f"{_reach(f's{k}')} AS r{k}" for k in range(1, 5))} FROM ch_same),

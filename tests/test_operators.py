@@ -198,8 +198,14 @@ def test_generation(spark):
     first = synthesis.next_batch(people, templates, 60, 2)
     keys = lambda df: {r["text"].lower() for r in df.collect()}
     assert first.count() == 60 and len(keys(first)) == 60
-    few = synthesis.next_batch(people, ["{name} hadir."], 500, 2)
+    few = synthesis.next_batch(people, ["{name} hadir."], 500, 2, allow_short=True)
     assert few.count() == 30
+    with pytest.raises(G.TooFewSentences):
+        synthesis.next_batch(people, ["{name} hadir."], 500, 2)
+    three = people.limit(3)
+    assert synthesis.next_batch(three, ["{name} bayar {amount}, rujukan {ref_number}."], 700, 1).count() == 700
+    titled = spark.createDataFrame([("A", "menteri")], "name string, title string")
+    assert G.generate_sentences(titled, ["{name} {position}."], 1).first()["text"] == "A menteri."
     second = synthesis.next_batch(people, templates, 40, 2, earlier=first)
     assert not keys(first) & keys(second)
 

@@ -11,6 +11,7 @@ from tuturan.functions.expr import SPACE, is_blank, strip
 from tuturan.functions.text import marker_duration, marker_language, strip_markers
 from tuturan.operators.filters import stem, with_text
 from tuturan.operators.joins import attach_durations, word_durations
+from tuturan.operators.stats import require_unique
 
 TAGGED = "audio_filename string, segment_timestamp string"
 PAIRED = "audio_filename string, new_text string"
@@ -179,21 +180,27 @@ def read_audio_paths(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
-    """Benchmark TSV; the id is the stem of the audio path."""
+    """Benchmark TSV; the id is the stem of the audio path and must not repeat."""
     raw = spark.read.schema(BENCHMARK).option("sep", "\t").option("header", "true").csv(path)
-    return raw.withColumn("utterance_id", stem(F.col("path")))
+    rows = raw.withColumn("utterance_id", stem(F.col("path")))
+    return require_unique(rows, "utterance_id")
 
 
-def read_hypotheses(spark: SparkSession, folder: str) -> DataFrame:
-    """One JSON file per utterance, named by its id; broken files are skipped."""
+def read_hypotheses(spark: SparkSession, folder: str, partition: str | None = None) -> DataFrame:
+    """One JSON file per utterance; broken files are skipped.
+
+    The id is the name of the file or, as Spark itself writes such files, the folder of a
+    ``partition`` column.
+    """
+    schema = HYPOTHESIS if partition is None else f"{HYPOTHESIS}, {partition} string"
     raw = (
-        spark.read.schema(HYPOTHESIS)
+        spark.read.schema(schema)
         .option("multiLine", "true")
         .option("mode", "DROPMALFORMED")
         .json(folder)
     )
     return raw.select(
-        stem(F.col("_metadata.file_name")).alias("utterance_id"),
+        (F.col(partition) if partition else stem(F.col("_metadata.file_name"))).alias("utterance_id"),
         F.coalesce("text_norm", F.lit("")).alias("hypothesis"),
     )
 
