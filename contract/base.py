@@ -112,6 +112,24 @@ def sql_plain(text: str = "text", digits: bool = True) -> str:
     return out if digits else f"translate({out}, '0123456789', '{PLAIN_DIGITS}')"
 
 
+# Accented letters as word characters of ASCII, so that SQL's word edges are those of Unicode.
+LETTERS = "éóèñçüêäöíáúôâîûùàëï"
+
+
+def sql_encoded(text: str) -> str:
+    for i, letter in enumerate(LETTERS):
+        for form, mark in ((letter, chr(97 + i)), (letter.upper(), chr(65 + i))):
+            text = f"replace({text}, '{form}', '_{mark}_')"
+    return f"replace({text}, 'ß', '_z_')"
+
+
+def sql_decoded(text: str) -> str:
+    for i, letter in enumerate(LETTERS):
+        for form, mark in ((letter, chr(97 + i)), (letter.upper(), chr(65 + i))):
+            text = f"replace({text}, '_{mark}_', '{form}')"
+    return f"replace({text}, '_z_', 'ß')"
+
+
 def sql_quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 

@@ -29,7 +29,7 @@ from contract.base import (
     utterances,
 )
 from contract.source_queries import flawed_records, keyed_files
-from contract.text_queries import LOOPING_SQL, LOOPS, SQL_ZH_DONE, sql_compounds, sql_prepared, sql_scoring_ms, zh_text
+from contract.text_queries import LOOPING_SQL, LOOPS, SQL_ZH_DONE, sql_compounds, sql_prepared_rows, sql_scoring_ms, zh_text
 from tuturan.functions import arrow, language as L, scoring as S, text as X
 from tuturan.operators import filters, joins, ranks, stats, vocab, wer
 from tuturan.plans import benchmark, corpus as plan, speakers
@@ -209,22 +209,18 @@ def flt9(spark, d):
     return filters.validate_samples(flawed_records(spark, d), "/data").withColumn("duration", F.round("duration", 6))
 
 
-PREPARED = f"""prepared AS (
+PREPARED = f"""{sql_prepared_rows('documents', "CASE WHEN lang = 'es' THEN 'ms' ELSE 'en' END", True)}, prepared AS (
   SELECT doc_id, source || '/' || CAST(doc_id AS VARCHAR) || '.mp3' AS audio_filename, lang AS language, source,
-         CAST(n_chars AS DOUBLE) / CAST(15 AS DOUBLE) AS duration,
-         CASE WHEN lang = 'es' THEN {sql_prepared('ms', clean=True)} ELSE {sql_prepared('en', clean=True)} END AS text
-  FROM documents)"""
+         CAST(n_chars AS DOUBLE) / CAST(15 AS DOUBLE) AS duration, text FROM ready)"""
 OPTIONS = dict(
     max_duration=MAX_SECONDS, languages=("en", "fr", "id"), clean_for_asr=True, filter_invalid_chars=True, key=("doc_id",), unique_key=True
 )
 
 
-def plain_corpus(spark, d):
-    """Texts of plain letters without digits; es is tagged as id, which takes the Malay route."""
+def routed_corpus(spark, d):
+    """The texts as they are; es is tagged as id, which takes the Malay route."""
     language = F.when(F.col("language") == "es", "id").otherwise(F.col("language"))
-    return corpus(spark, d).withColumns(
-        {"text": plain_text(F.col("text"), digits=False), "language": language}
-    )
+    return corpus(spark, d).withColumn("language", language)
 
 
 @query(
@@ -236,7 +232,7 @@ SELECT CAST(s.step AS BIGINT) AS step, stage, CAST(count(*) FILTER (r.step = s.s
   CAST(count(*) FILTER (r.step > s.step) AS BIGINT) AS remaining FROM s, r GROUP BY s.step, stage""",
 )
 def flt10(spark, d):
-    return plan.corpus_attrition(plain_corpus(spark, d), plan.CorpusOptions(**OPTIONS))
+    return plan.corpus_attrition(routed_corpus(spark, d), plan.CorpusOptions(**OPTIONS))
 
 
 @query(
@@ -246,7 +242,7 @@ def flt10(spark, d):
 SELECT doc_id, text, {split_sql('source', 'doc_id', 0.95)} AS split FROM kept""",
 )
 def prepare_corpus(spark, d):
-    prepared = plan.prepare_corpus(plain_corpus(spark, d), plan.CorpusOptions(**OPTIONS))
+    prepared = plan.prepare_corpus(routed_corpus(spark, d), plan.CorpusOptions(**OPTIONS))
     return prepared.select("doc_id", "text", "split")
 
 

@@ -16,6 +16,8 @@ from contract.base import (
     tagged,
     sql_strip,
     sql_words,
+    sql_decoded,
+    sql_encoded,
 )
 from tuturan.functions import arrow, asr, language as L, numbers as N, repetition, scoring as S, text as X
 from tuturan.operators.filters import stem
@@ -302,7 +304,87 @@ def txt12(spark, d):
     )
 
 
-@query("txt12_document_numbers_ms")
+SQL_CLEAN = "regexp_replace({0}, '[^a-zA-Z0-9\\s''\\-@À-ÖØ-öø-ÿĀ-ſ]', '', 'g')"
+
+
+def sql_ms_long(n: str) -> str:
+    """Malay words of a BIGINT expression of up to eighteen digits."""
+    n = f"CAST({n} AS BIGINT)"
+    high, low = f"({n} // 1000000000)", f"({n} % 1000000000)"
+    low_words = f"CASE WHEN {low} > 0 THEN {sql_ms(low)} END"
+    return f"CASE WHEN {high} = 0 THEN {sql_ms(n)} ELSE concat_ws(' ', {sql_ms(high)} || ' bilion', {low_words}) END"
+
+
+def sql_en_long(n: str) -> str:
+    """English words of a BIGINT expression of up to eighteen digits."""
+    n = f"CAST({n} AS BIGINT)"
+    parts = []
+    for power, unit in ((15, "quadrillion"), (12, "trillion"), (9, "billion"), (6, "million"), (3, "thousand")):
+        k = f"({n} // {10**power} % 1000)"
+        parts.append(f"CASE WHEN {k} > 0 THEN en[{k} + 1] || ' {unit}' END")
+    high, rest = f"concat_ws(', ', {', '.join(parts)})", f"({n} % 1000)"
+    return (
+        f"CASE WHEN {n} = 0 THEN 'zero' WHEN {rest} = 0 THEN {high} WHEN {n} < 1000 THEN en[{rest} + 1] "
+        f"WHEN {rest} < 100 THEN {high} || ' and ' || en[{rest} + 1] ELSE {high} || ', ' || en[{rest} + 1] END"
+    )
+
+
+def sql_spell_en(text: str) -> str:
+    digits = "['zero','one','two','three','four','five','six','seven','eight','nine']"
+    return (
+        f"array_to_string(list_transform(regexp_extract_all({text}, '[0-9]'), "
+        f"lambda c: {digits}[CAST(c AS INTEGER) + 1]), ' ')"
+    )
+
+
+def sql_spoken(found: str, code: str, percent: bool) -> str:
+    """A found number or percentage in words (the lists ``ms`` and ``en`` in scope)."""
+    number = f"regexp_replace({found}, '[^0-9.]', '', 'g')"
+    whole, fraction = f"split_part({number}, '.', 1)", f"split_part({number}, '.', 2)"
+    some = f"regexp_matches({fraction}, '[1-9]')"
+    if code == "ms":
+        said = f"' perpuluhan ' || {sql_spell_ms(fraction)}"
+        said = f"CASE WHEN {some if percent else f"{fraction} <> ''"} THEN {said} ELSE '' END"
+        return f"{sql_ms_long(whole)} || {said}" + (" || ' peratus'" if percent else "")
+    said = f"' point ' || {sql_spell_en(f'rtrim({fraction}, chr(48))')}"
+    said = f"CASE WHEN {some} THEN {said} ELSE '' END"
+    return f"{sql_en_long(whole)} || {said}" + (" || ' percent'" if percent else "")
+
+
+SQL_PERCENT = "[0-9]+(?:\\.[0-9]+)?\\s*%"
+SQL_PLAIN_NUMBER = "\\b(?:[0-9]{1,3}(?:,[0-9]{3})*(?:\\.[0-9]+)?|[0-9]+(?:\\.[0-9]+)?)\\b"
+
+
+def sql_numbers(name: str, source: str, text: str, pattern: str, percent: bool) -> str:
+    """CTE ``name``: ``source`` with ``text`` cut at the matches and joined with the spoken ones."""
+    spoken = (
+        f"CASE WHEN code = 'ms' THEN {sql_spoken('found[i]', 'ms', percent)} "
+        f"ELSE {sql_spoken('found[i]', 'en', percent)} END"
+    )
+    return f"""{name}_cut AS (SELECT *, string_split_regex({text}, '{pattern}') AS gaps, regexp_extract_all({text}, '{pattern}') AS found FROM {source}),
+{name} AS (SELECT {name}_cut.* EXCLUDE (gaps, found) REPLACE (array_to_string(list_transform(gaps,
+  lambda gap, i: gap || CASE WHEN found[i] IS NULL THEN '' ELSE {spoken} END), '') AS {text}) FROM {name}_cut, w)"""
+
+
+def sql_prepared_rows(source: str, code: str, clean: bool) -> str:
+    """CTE ``ready``: rows of ``source`` with the whole preparation of their text, as it is."""
+    done = sql_decoded("lower(t)")
+    text = f"CASE code WHEN 'ms' THEN {sql_fold('t', X.ABBREVIATIONS['ms'])} ELSE {sql_fold('t', X.ABBREVIATIONS['en'])} END"
+    return f"""{WORDS}, coded AS (SELECT *, {code} AS code, {sql_encoded('text')} AS t FROM {source}),
+spelt AS (SELECT * REPLACE ({text} AS t) FROM coded),
+{sql_numbers('shares', 'spelt', 't', SQL_PERCENT, True)},
+{sql_numbers('numbered', 'shares', 't', SQL_PLAIN_NUMBER, False)},
+talked AS (SELECT * REPLACE ({sql_fold(sql_squeeze('t'), X.PARTICLES)} AS t) FROM numbered),
+ready AS (SELECT * EXCLUDE (t, code) REPLACE ({sql_squeeze(SQL_CLEAN.format(done) if clean else done)} AS text) FROM talked)"""
+
+
+@query(
+    "txt12_document_numbers_ms",
+    f"""WITH {WORDS}, coded AS (SELECT doc_id, 'ms' AS code, {sql_encoded('text')} AS t FROM documents),
+{sql_numbers('shares', 'coded', 't', SQL_PERCENT, True)},
+{sql_numbers('numbered', 'shares', 't', SQL_PLAIN_NUMBER, False)}
+SELECT doc_id, {sql_squeeze(sql_decoded('t'))} AS text FROM numbered""",
+)
 def txt12_documents(spark, d):
     return docs(spark, d, N.normalize_numbers(F.col("text"), "ms").alias("text"))
 
@@ -354,7 +436,6 @@ def txt15(spark, d):
     return docs(spark, d, X.preprocess_zh(zh_text(F.col("text"))).alias("text"))
 
 
-SQL_CLEAN = "regexp_replace({0}, '[^a-zA-Z0-9\\s''\\-@À-ÖØ-öø-ÿĀ-ſ]', '', 'g')"
 
 
 @query("txt16_clean_for_asr", f"SELECT doc_id, {sql_squeeze(SQL_CLEAN.format('text'))} AS text FROM documents")
@@ -362,31 +443,25 @@ def txt16(spark, d):
     return docs(spark, d, X.clean_for_asr(F.col("text")).alias("text"))
 
 
-def sql_prepared(code: str, clean: bool = False) -> str:
-    """The whole preparation for plain text without digits."""
-    text = sql_fold(sql_plain(digits=False), X.ABBREVIATIONS[code])
-    text = sql_fold(sql_squeeze(text), X.PARTICLES)
-    text = f"lower({text})"
-    return sql_squeeze(SQL_CLEAN.format(text) if clean else text)
+BY_LANG = "CASE WHEN lang IN ('es', 'de') THEN 'ms' ELSE 'en' END"
 
 
 @query(
     "txt17_preprocess_asr",
-    f"SELECT doc_id, CASE WHEN lang IN ('es', 'de') THEN {sql_prepared('ms')} "
-    f"ELSE {sql_prepared('en')} END AS text FROM documents",
+    f"WITH {sql_prepared_rows('documents', BY_LANG, False)} SELECT doc_id, text FROM ready",
 )
 def txt17(spark, d):
-    """es and de stand in for Malay, the other languages take the English route."""
+    """The texts as they are; es and de stand in for Malay, the others take the English route."""
     lang = F.when(F.col("lang").isin("es", "de"), "ms").otherwise("en")
-    plain = table(spark, d, "documents").select(
-        "doc_id", plain_text(F.col("text"), digits=False).alias("text"), lang.alias("lang")
-    )
-    return plain.select("doc_id", asr.preprocess_asr(F.col("text"), F.col("lang")).alias("text"))
+    return docs(spark, d, asr.preprocess_asr(F.col("text"), lang).alias("text"))
 
 
-@query("txt17_preprocess_asr_documents")
+@query(
+    "txt17_preprocess_asr_documents",
+    f"""WITH {sql_prepared_rows('documents', "'en'", True)} SELECT doc_id, text FROM ready""",
+)
 def txt17_documents(spark, d):
-    """The texts as they are, numbers and accents included."""
+    """The texts as they are in their own languages, cleaned for recognition."""
     return docs(
         spark, d, asr.preprocess_asr(F.col("text"), L.spoken_language(F.col("lang")), clean_for_asr=True).alias("text")
     )
