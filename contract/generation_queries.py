@@ -327,6 +327,25 @@ def str2(spark, d):
     return kept.select(joins.text_key(F.col("text")).alias("text_key"))
 
 
+@query(
+    "str2_append_unseen",
+    """WITH d AS (SELECT doc_id, lower(trim(text, ' 
+')) AS key FROM documents)
+SELECT min(doc_id) FILTER (doc_id % 2 = 0) IS NOT NULL AS early, key AS text_key FROM d GROUP BY key""",
+)
+def str2_append(spark, d):
+    """No state: the second run looks at what the first has written."""
+    folder, more = two_batches(spark, d, ["doc_id", "text"])
+    output, checkpoint = scratch_path(spark, "unseen"), scratch_path(spark, "progress")
+    for step in (None, more):
+        if step:
+            step()
+        stream = incremental.new_files(spark, folder, "doc_id bigint, text string")
+        incremental.append_unseen(stream, output, checkpoint, ["doc_id"]).awaitTermination()
+    kept = spark.read.schema("doc_id bigint, text string").parquet(output)
+    return kept.select((F.col("doc_id") % 2 == 0).alias("early"), joins.text_key(F.col("text")).alias("text_key"))
+
+
 @query(
     "str3_running_totals",
     f"WITH {CORPUS} SELECT source, CAST(count(*) AS BIGINT) AS samples, round(sum(duration), 4) AS total_duration, round(sum(duration) / 60, 4) AS minutes FROM corpus GROUP BY source",

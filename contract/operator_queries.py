@@ -28,7 +28,7 @@ from contract.base import (
     tagged,
     utterances,
 )
-from contract.source_queries import flawed_records, keyed_files
+from contract.source_queries import flawed_records, keyed_files, paired_shards
 from contract.text_queries import LOOPING_SQL, LOOPS, SQL_ZH_DONE, sql_compounds, sql_prepared_rows, sql_scoring_ms, zh_text
 from tuturan.functions import arrow, language as L, scoring as S, text as X
 from tuturan.operators import filters, joins, ranks, stats, vocab, wer
@@ -246,6 +246,77 @@ def prepare_corpus(spark, d):
     return prepared.select("doc_id", "text", "split")
 
 
+def inventory(spark, d):
+    """Audio of four in five documents."""
+    return corpus(spark, d).where("doc_id % 5 <> 0").select("audio_filename")
+
+
+@query(
+    "flt10_attrition_audio",
+    f"""WITH {PREPARED}, r AS (SELECT CASE WHEN duration NOT BETWEEN 0.1 AND {MAX_SECONDS} THEN 1
+    WHEN language NOT IN ('en', 'fr', 'es') THEN 2 WHEN text = '' THEN 4 WHEN doc_id % 5 = 0 THEN 6 ELSE 7 END AS step FROM prepared),
+s AS (SELECT unnest([1, 2, 3, 4, 5, 6]) AS step, unnest(['duration', 'language', 'script', 'empty', 'characters', 'audio']) AS stage)
+SELECT CAST(s.step AS BIGINT) AS step, stage, CAST(count(*) FILTER (r.step = s.step) AS BIGINT) AS dropped,
+  CAST(count(*) FILTER (r.step > s.step) AS BIGINT) AS remaining FROM s, r GROUP BY s.step, stage""",
+)
+def flt10_audio(spark, d):
+    return plan.corpus_attrition(routed_corpus(spark, d), plan.CorpusOptions(**OPTIONS), inventory(spark, d))
+
+
+@query(
+    "build_corpus",
+    f"""WITH {PREPARED}, kept AS (SELECT * FROM prepared WHERE duration BETWEEN 0.1 AND {MAX_SECONDS} AND doc_id % 5 <> 0
+  AND language IN ('en', 'fr', 'es') AND text <> ''), s AS (SELECT *, {split_sql('source', 'doc_id', 0.95)} AS split FROM kept)
+SELECT split, '/data/' || audio_filename AS audio_filepath, text, duration, CAST(count(*) OVER (PARTITION BY split) AS BIGINT) AS samples FROM s""",
+)
+def build_corpus(spark, d):
+    """Read back from the manifests and the statistics that a whole run has written."""
+    output = scratch_path(spark, "corpus")
+    statistics = plan.build_corpus(
+        routed_corpus(spark, d), output, "/data", plan.CorpusOptions(**OPTIONS, spot_check=20), inventory(spark, d)
+    )
+    sides = [readers.read_manifest(spark, f"{output}/{s}").withColumn("split", F.lit(s)) for s in ("train", "val")]
+    return joins.concatenate(sides).join(statistics.select("split", "samples"), "split")
+
+
+@query(
+    "build_paired_corpus",
+    f"""WITH {TAGGED}, known AS (SELECT *, CASE WHEN doc_id % 3 <> 0 AND CAST(substr(source, 4) AS INTEGER) % 2 = 0 THEN duration ELSE 0 END AS seconds
+  FROM parsed WHERE text <> ''), kept AS (SELECT * FROM known WHERE seconds BETWEEN 0.1 AND {MAX_SECONDS} AND doc_id % 5 <> 0),
+s AS (SELECT *, {split_sql('source', 'audio_filename', 0.95)} AS split FROM kept)
+SELECT split, CAST(count(*) AS BIGINT) AS samples, round(sum(seconds), 4) AS seconds FROM s GROUP BY split""",
+)
+def build_paired_corpus(spark, d):
+    output = scratch_path(spark, "paired")
+    options = plan.CorpusOptions(max_duration=MAX_SECONDS, unique_key=True)
+    written = plan.build_paired_corpus(spark, paired_shards(spark, d), output, "/data", options, inventory(spark, d))
+    return written.select("split", "samples", F.round("total_duration", 4).alias("seconds"))
+
+
+@query(
+    "build_speaker_corpus",
+    f"""WITH {CORPUS}, c AS (SELECT doc_id, audio_filename AS file, replace(text, chr(10), ' ') AS text, language AS speaker, duration FROM corpus),
+kept AS (SELECT * FROM c WHERE length(text) BETWEEN 20 AND 2000 AND NOT contains(text, '|') AND duration BETWEEN 3 AND {MAX_SECONDS}),
+s AS (SELECT *, {split_sql('speaker', 'file', 0.9)} AS split FROM kept)
+SELECT s.speaker, s.split, file || '|' || text || '|' || s.speaker AS line, CAST(count(*) OVER (PARTITION BY s.speaker, s.split) AS BIGINT) AS samples FROM s""",
+)
+def build_speaker_corpus(spark, d):
+    """Each language is a speaker; the lines are read back from the written files."""
+    output = scratch_path(spark, "speakers")
+    rows = corpus(spark, d).select(
+        F.col("audio_filename").alias("file"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"),
+        F.col("language").alias("speaker"), "duration",
+    )
+    counts = speakers.build_speaker_corpus(
+        rows, output, text_limits=(20, 2000), duration=(3.0, MAX_SECONDS), unique_key=True
+    )
+    read = lambda part, side: spark.read.text(f"{output}/{part}").select(
+        F.lit(side).alias("split"), F.col("value").alias("line"), F.substring_index("value", "|", -1).alias("speaker")
+    )
+    lines = joins.concatenate([read("train", "train"), read("eval", "val")])
+    return lines.join(counts.select("speaker", "split", "samples"), ["speaker", "split"])
+
+
 @query(
     "prepare_tagged_corpus",
     f"""WITH {TAGGED}, kept AS (SELECT * FROM parsed WHERE text <> '' AND duration BETWEEN 0.1 AND {MAX_SECONDS}
@@ -1062,7 +1133,7 @@ def prepare_speakers(spark, d):
         F.concat(F.col("doc_id").cast("string"), F.lit(".mp3")).alias("audio_filename"),
         (F.col("n_chars") / 150.0).alias("duration"),
     )
-    return speakers.prepare_speakers(metadata, ids={"src3": 0, "src4": 1}, unique_key=True)
+    return speakers.prepare_speakers(metadata, {"src3": 0, "src4": 1}, unique_key=True)
 
 
 @query(

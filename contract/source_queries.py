@@ -77,6 +77,16 @@ def src2_files(spark, d):
     )
 
 
+def paired_shards(spark, d):
+    """Every second corpus has a word shard, which knows two of three files."""
+    rows = tagged(spark, d).withColumn("new_text", F.col("segment_timestamp"))
+    even = F.substring("source", 4, 9).cast("int") % 2 == 0
+    segments = rows.withColumn("shard", F.concat("source", F.when(even, "_segments").otherwise("")))
+    words = rows.where(even & (F.col("doc_id") % 3 != 0)).withColumn("shard", F.concat("source", F.lit("_words")))
+    both = segments.unionByName(words).select("audio_filename", "new_text", "shard")
+    return named_shards(spark, both, "shard")
+
+
 @query(
     "src3_read_paired",
     f"""WITH {TAGGED} SELECT source, audio_filename, text,
@@ -84,13 +94,7 @@ def src2_files(spark, d):
 FROM parsed WHERE text <> ''""",
 )
 def src3_files(spark, d):
-    """Every second corpus has a word shard, which knows two of three files."""
-    rows = tagged(spark, d).withColumn("new_text", F.col("segment_timestamp"))
-    even = F.substring("source", 4, 9).cast("int") % 2 == 0
-    segments = rows.withColumn("shard", F.concat("source", F.when(even, "_segments").otherwise("")))
-    words = rows.where(even & (F.col("doc_id") % 3 != 0)).withColumn("shard", F.concat("source", F.lit("_words")))
-    both = segments.unionByName(words).select("audio_filename", "new_text", "shard")
-    paired = readers.read_paired(spark, named_shards(spark, both, "shard"))
+    paired = readers.read_paired(spark, paired_shards(spark, d))
     return paired.select("source", "audio_filename", "text", "duration")
 
 

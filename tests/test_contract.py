@@ -1,31 +1,22 @@
-import os
-
 import pytest
 
-import __spark_entry__ as contract
+import __spark_entry__ as entry
+from contract import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
-PART = ["txt3", "flt9", "join9", "agg8", "win4", "win5", "srt3", "set6", "gen4", "src6", "snk1", "str2", "prepare_corpus"]
-
-
-def chosen():
-    names = list(contract.queries())
-    if os.environ.get("TUTURAN_ALL_QUERIES"):
-        return names
-    return [n for n in names if any(n.startswith(p) for p in PART)]
 
 
 def test_flagship(spark):
-    frame = contract.entry(spark)
+    frame = entry.entry(spark)
     assert frame.columns == ["source", "split", "samples", "hours", "avg_chars"]
     assert frame.count() > 0
 
 
 def test_every_reference_belongs_to_a_query():
-    assert set(contract.oracle_sql()) <= set(contract.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", chosen())
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_has_rows(spark, name):
-    frame = contract.queries()[name](spark, SMALL)
+    frame = QUERIES[name](spark, SMALL)
     assert frame.columns and len(frame.take(1)) == 1

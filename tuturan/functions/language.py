@@ -41,8 +41,7 @@ def detect_language(col: Column, keywords: list[str] = MALAY_KEYWORDS) -> Column
     distinct keywords, else ``en``."""
     chinese = F.regexp_count(col, F.lit(char_class(SCRIPT_RANGES["chinese"])))
     total = F.greatest(F.length(F.replace(col, F.lit(" "), F.lit(""))), F.lit(1))
-    hits = F.size(F.array_intersect(F.array_distinct(words_of(F.lower(col))), _constant(keywords)))
-    return F.when(chinese / total > 0.3, "zh").when(hits >= 2, "ms").otherwise("en")
+    return F.when(chinese / total > 0.3, "zh").when(keyword_hits(col, keywords) >= 2, "ms").otherwise("en")
 
 
 def keyword_hits(col: Column, keywords: list[str] = MALAY_KEYWORDS) -> Column:
@@ -73,12 +72,6 @@ def vocabulary_words(col: Column) -> Column:
     return words_of(F.regexp_replace(F.lower(col), VOCABULARY_PUNCTUATION, " "))
 
 
-def is_english_word(word: Column) -> Column:
-    return F.array_contains(
-        _constant(ENGLISH_IN_SPEECH), F.regexp_replace(F.lower(word), NOT_WORD, "")
-    )
-
-
 def token_language(token: Column, english: list[str] | None = None) -> Column:
     """``en`` for listed English words; abbreviations and everything else are ``ms``."""
     listed = F.array_contains(_constant(english or ENGLISH_IN_SPEECH), F.lower(token))

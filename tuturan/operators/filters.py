@@ -9,13 +9,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tuturan.functions.expr import is_blank, strip, words_of
 
-# --- fixed values: duration limits in seconds, text limits in characters, speaker numbers -------------
+# --- fixed values: duration limits in seconds, text limits in characters -------------------------------
 ASR_DURATION = (0.1, 30.0)
 TTS_DURATION = (0.5, 15.0)
 XTTS_DURATION = (3.0, 15.0)
 XTTS_TEXT = (20, 200)
 MAX_TEXT_CHARS = 1500
-SPEAKERS = {"anwar_ibrahim": 0, "husein": 1, "kp_ms": 2, "shafiqah_idayu": 3}
 
 
 def duration_between(
@@ -181,7 +180,7 @@ def id_category(uid: Column) -> Column:
     return F.coalesce(F.get(F.split(uid, "_"), 1), F.lit("OTHER"))
 
 
-def speaker_id(name: Column, speakers: dict[str, int] = SPEAKERS) -> Column:
+def speaker_id(name: Column, speakers: dict[str, int]) -> Column:
     """Number of a speaker; an unknown one gets the size of the map."""
     found = F.lit(len(speakers))
     for known, number in speakers.items():

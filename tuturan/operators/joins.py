@@ -18,6 +18,11 @@ def text_key(col: Column) -> Column:
     return F.lower(strip(col))
 
 
+def text_digest(col: Column) -> Column:
+    """The identity of a sentence in 256 bits: what is shuffled, compared and kept in state."""
+    return F.unhex(F.sha2(text_key(col), 256))
+
+
 def match_utterances(transcripts: DataFrame, audio: DataFrame, key: str = "utt_id") -> DataFrame:
     """Utterances that have both a transcript and an audio path."""
     return transcripts.join(audio, key)
@@ -64,9 +69,9 @@ def not_done(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def not_yet_written(df: DataFrame, earlier: DataFrame, text: str = "text") -> DataFrame:
-    """Sentences whose trimmed lower-case text is in no earlier batch."""
-    keys = earlier.select(text_key(F.col(text)).alias(FOLD_KEY))
-    return df.withColumn(FOLD_KEY, text_key(F.col(text))).join(keys, FOLD_KEY, "left_anti").drop(FOLD_KEY)
+    """Sentences whose trimmed lower-case text is in no earlier batch; only digests are compared."""
+    keys = earlier.select(text_digest(F.col(text)).alias(FOLD_KEY))
+    return df.withColumn(FOLD_KEY, text_digest(F.col(text))).join(keys, FOLD_KEY, "left_anti").drop(FOLD_KEY)
 
 
 def enrich(df: DataFrame, registry: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

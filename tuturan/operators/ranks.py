@@ -237,10 +237,13 @@ def work_shares(
 
 
 def first_per_key(df: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
-    """Keep the first row of every key; Spark drops the others before the shuffle."""
+    """Keep the first row of every key; Spark drops the others before the shuffle.
+
+    Rows are told apart by a 256-bit digest of the key, so a long text is not shuffled as one.
+    """
     window = Window.partitionBy("_key").orderBy(*order)
     return (
-        df.withColumn("_key", key)
+        df.withColumn("_key", F.unhex(F.sha2(key.cast("string"), 256)))
         .withColumn("_rank", F.row_number().over(window))
         .where("_rank = 1")
         .drop("_key", "_rank")

@@ -79,10 +79,6 @@ def repetition_rate(df: DataFrame, by: Sequence[str] = (), text: str = "text") -
     )
 
 
-def skipped_by_reason(df: DataFrame, error: str = "error") -> DataFrame:
-    return df.where(F.col(error).isNotNull()).groupBy(error).agg(F.count(F.lit(1)).alias("skipped"))
-
-
 def estimated_hours(registry: DataFrame) -> DataFrame:
     """Hours per language, unknown ones as zero."""
     return registry.groupBy("language").agg(

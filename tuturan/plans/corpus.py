@@ -6,17 +6,26 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tuturan.functions.asr import preprocess_asr
 from tuturan.functions.expr import is_blank, strip
 from tuturan.functions.language import spoken_language
 from tuturan.functions.numbers import normalize_numbers
 from tuturan.functions.text import contains_non_latin, is_valid_text, preprocess_zh, remove_emoji
-from tuturan.operators.filters import Stage, attrition, drop_reason, with_text
-from tuturan.operators.joins import concatenate
+from tuturan.operators.filters import (
+    Stage,
+    attrition,
+    drop_reason,
+    duration_between_if_known,
+    with_text,
+)
+from tuturan.operators.joins import concatenate, spot_check
 from tuturan.operators.ranks import seeded_sample, shuffle_rows, stratified_split
+from tuturan.operators.stats import corpus_statistics
 from tuturan.session import store
+from tuturan.sources.readers import pick_sources, read_paired
+from tuturan.sources.writers import manifest_rows, write_manifest
 
 TRAIN_SUBSETS = ["train_phase1", "train_phase2"]
 VAL_SUBSETS = ["dev_phase1", "dev_phase2"]
@@ -41,6 +50,8 @@ class CorpusOptions:
     seed: int = 42
     key: tuple[str, ...] = ("audio_filename",)
     unique_key: bool = False
+    sources: tuple[str, ...] | None = None
+    spot_check: int = 0
 
 
 def numbers_to_words(text: Column, language: Column) -> Column:
@@ -119,13 +130,72 @@ def prepare_corpus(
     )
 
 
-def corpus_attrition(corpus: DataFrame, options: CorpusOptions = CorpusOptions()) -> DataFrame:
-    """How many rows each stage of the preparation drops, from one pass."""
+def corpus_attrition(
+    corpus: DataFrame, options: CorpusOptions = CorpusOptions(), audio: DataFrame | None = None
+) -> DataFrame:
+    """How many rows each stage of the preparation drops, from one pass.
+
+    With an inventory of audio files their absence is the last stage.
+    """
     early = cheap_stages(options)
     passed = drop_reason(early).isNull()
     clean = corpus.withColumn("_clean", remove_emoji(F.col("text")))
     marked = clean.withColumn("_ready", F.when(passed, prepared_text(options)))
-    return attrition(marked, [*early, *late_stages(options, F.col("_ready"))])
+    stages = [*early, *late_stages(options, F.col("_ready"))]
+    if audio is not None:
+        there = audio.select("audio_filename").distinct().withColumn("_there", F.lit(True))
+        marked = marked.join(there, "audio_filename", "left")
+        stages.append(Stage("audio", F.coalesce("_there", F.lit(False))))
+    return attrition(marked, stages)
+
+
+def build_corpus(
+    corpus: DataFrame,
+    output: str,
+    base: str,
+    options: CorpusOptions = CorpusOptions(),
+    audio: DataFrame | None = None,
+) -> DataFrame:
+    """A whole run: chosen sources → preparation → existence → split → manifests and statistics.
+
+    ``output`` gets ``train`` and ``val`` manifests, ``statistics`` by split and, where asked for,
+    a ``spot_check`` of sampled files. Returns the statistics as they were written.
+    """
+    rows = pick_sources(corpus, options.sources)
+    split = store(prepare_corpus(rows, options, audio), "split")
+    for side in ("train", "val"):
+        write_manifest(manifest_rows(split.where(F.col("split") == side), base), f"{output}/{side}")
+    corpus_statistics(split, ["split"]).write.json(f"{output}/statistics")
+    if options.spot_check and audio is not None:
+        found = spot_check(split, audio, "audio_filename", options.spot_check, options.seed)
+        found.write.json(f"{output}/spot_check")
+    return corpus.sparkSession.read.json(f"{output}/statistics")
+
+
+def build_paired_corpus(
+    spark: SparkSession,
+    folder: str,
+    output: str,
+    base: str,
+    options: CorpusOptions = CorpusOptions(),
+    audio: DataFrame | None = None,
+) -> DataFrame:
+    """Paired shards → duration filter where durations are known → existence → split → manifests.
+
+    The text is taken as the shards have it. Returns rows and hours by split, as written.
+    """
+    paired = read_paired(spark, folder, options.sources)
+    kept = duration_between_if_known(paired, options.min_duration, options.max_duration)
+    if audio is not None:
+        kept = kept.join(audio.select("audio_filename"), "audio_filename", "left_semi")
+    split = stratified_split(
+        store(kept, "paired"), ["source"], ["audio_filename"], options.train_split, options.seed, options.unique_key
+    )
+    split = store(split, "split")
+    for side in ("train", "val"):
+        write_manifest(manifest_rows(split.where(F.col("split") == side), base), f"{output}/{side}")
+    corpus_statistics(split, ["split"]).write.json(f"{output}/statistics")
+    return spark.read.json(f"{output}/statistics")
 
 
 def prepare_keyed_corpus(

@@ -9,19 +9,23 @@ from pyspark.sql import DataFrame, functions as F
 from tuturan.functions.expr import strip
 from tuturan.operators.filters import (
     MAX_TEXT_CHARS,
-    SPEAKERS,
     TTS_DURATION,
+    XTTS_DURATION,
+    XTTS_TEXT,
     first_filled,
     speaker_id,
+    text_problems,
 )
 from tuturan.operators.ranks import seeded_sample, stratified_split
+from tuturan.session import store
+from tuturan.sources.writers import write_pipe_metadata
 
 
 def prepare_speakers(
     metadata: DataFrame,
+    ids: dict[str, int],
     audio: DataFrame | None = None,
     speakers: Sequence[str] | None = None,
-    ids: dict[str, int] = SPEAKERS,
     max_total: int | None = None,
     max_chars: int = MAX_TEXT_CHARS,
     low: float = TTS_DURATION[0],
@@ -58,3 +62,31 @@ def prepare_speakers(
         speaker_id(F.col("speaker"), ids).alias("speaker_id"),
     )
     return stratified_split(numbered, ["speaker"], ["audio_filename"], ratio, seed, unique_key)
+
+
+def build_speaker_corpus(
+    metadata: DataFrame,
+    output: str,
+    ratio: float = 0.9,
+    seed: int = 42,
+    text_limits: tuple[int, int] = XTTS_TEXT,
+    duration: tuple[float, float] = XTTS_DURATION,
+    unique_key: bool = False,
+) -> DataFrame:
+    """Rows of (file, text, speaker, duration) → checked, split by speaker and written.
+
+    ``train`` and ``eval`` hold ``file|text|speaker`` lines, ``rejected`` the other rows with their
+    reasons. Returns rows and seconds by speaker and split, counted over the written split.
+    """
+    problems = text_problems(F.col("text"), *text_limits)
+    unfit = F.when(~F.coalesce(F.col("duration").between(*duration), F.lit(False)), "Duration out of range")
+    reasons = F.array_compact(F.array_append(F.coalesce(problems, F.array(F.lit("No text"))), unfit))
+    checked = store(metadata.withColumn("reasons", reasons), "checked")
+    good = checked.where(F.size("reasons") == 0).drop("reasons")
+    split = store(stratified_split(good, ["speaker"], ["file"], ratio, seed, unique_key), "speakers")
+    for side, part in (("train", "train"), ("val", "eval")):
+        write_pipe_metadata(split.where(F.col("split") == side), f"{output}/{part}", ["file", "text", "speaker"])
+    checked.where(F.size("reasons") > 0).write.json(f"{output}/rejected")
+    return split.groupBy("speaker", "split").agg(
+        F.count(F.lit(1)).alias("samples"), F.sum("duration").alias("seconds")
+    )

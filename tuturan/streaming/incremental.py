@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tuturan.operators.joins import text_key
+from tuturan.operators.joins import not_yet_written, text_digest, text_key
+from tuturan.operators.ranks import first_per_key
 
 
 def new_files(
@@ -42,15 +43,42 @@ def resume_build(
 def unseen_text(
     stream: DataFrame, text: str = "text", event_time: str | None = None, keep_for: str = "30 days"
 ) -> DataFrame:
-    """Drop texts that an earlier batch had. Without an event time the state grows with the number
-    of distinct texts; with one it is bounded by ``keep_for``."""
-    keyed = stream.withColumn("text_key", text_key(F.col(text)))
+    """Drop texts that an earlier batch had; the state holds 256-bit digests, no texts.
+
+    Without an event time the state grows with the number of distinct texts; with one it is bounded
+    by ``keep_for``. ``append_unseen`` needs no state at all.
+    """
+    keyed = stream.withColumn("text_key", text_digest(F.col(text)))
     if event_time is None:
         return keyed.dropDuplicates(["text_key"]).drop("text_key")
     bounded = keyed.withWatermark(event_time, keep_for)
     return bounded.dropDuplicatesWithinWatermark(["text_key"]).drop("text_key")
 
 
+def append_unseen(
+    stream: DataFrame, output: str, checkpoint: str, order: list[str], text: str = "text"
+) -> StreamingQuery:
+    """Append the texts that the output does not hold yet; what is written is the only memory.
+
+    Every trigger has a folder of its own, so one that is repeated after a failure replaces itself.
+    Of equal texts in a trigger the first by ``order`` stays.
+    """
+
+    def save(batch: DataFrame, number: int) -> None:
+        fresh = first_per_key(batch, text_key(F.col(text)), order)
+        if number:
+            written = batch.sparkSession.read.parquet(output).where(F.col("batch") < number)
+            fresh = not_yet_written(fresh, written, text)
+        fresh.write.mode("overwrite").parquet(f"{output}/batch={number}")
+
+    return (
+        stream.writeStream.option("checkpointLocation", checkpoint)
+        .foreachBatch(save)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def running_totals(stream: DataFrame, by: str = "source") -> DataFrame:
     """Samples, seconds and minutes so far."""
     return stream.groupBy(by).agg(
@@ -61,10 +89,11 @@ def running_totals(stream: DataFrame, by: str = "source") -> DataFrame:
 
 
 def publish_totals(totals: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
-    """Write the complete totals of every trigger to a folder of their own."""
+    """Write the complete totals of every trigger; the last two stay, each in a folder of its own."""
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{output}/batch={number}")
+        numbered = batch.withColumn("batch", F.lit(number))
+        numbered.write.mode("overwrite").parquet(f"{output}/side={number % 2}")
 
     return (
         totals.writeStream.outputMode("complete")
@@ -79,4 +108,4 @@ def latest_totals(spark: SparkSession, output: str) -> DataFrame:
     """The totals of the last finished trigger."""
     everything = spark.read.parquet(output)
     last = everything.agg(F.max("batch")).scalar()
-    return everything.where(F.col("batch") == last).drop("batch")
+    return everything.where(F.col("batch") == last).drop("batch", "side")
