@@ -29,6 +29,9 @@ FLAT = 0.5  # added to every word slot
 WORDS_KEPT = 400_000  # remembered words in a worker
 
 _WORDS, _PAIRS = 1 << WORD_BITS, 1 << PAIR_BITS
+SLOTS = _PAIRS + 2 * _WORDS
+BLOCK = 1024  # slots whose counts travel together
+COUNTS = "block int, target binary, background binary"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,11 +58,26 @@ def pair_slots(words: np.ndarray) -> np.ndarray:
     return (codes >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in the narrowest of four widths."""
+    top = int(counts.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
+    return counts.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // BLOCK}").astype(np.int64)
+
+
 def _counts(docs: DataFrame) -> DataFrame:
-    """``slot``, ``target`` and ``background`` counts: pairs, then words, then contexts."""
+    """Counts of all slots in blocks: pairs, then words, then contexts; target and background.
+
+    A task counts into arrays and hands out the blocks it touched; the blocks of all tasks are
+    streamed in order of their number and summed one after another.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, total = _Slots(), np.zeros((2, _PAIRS + 2 * _WORDS), np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots, total = _Slots(), np.zeros((2, SLOTS), np.int64)
 
         def add(texts: list[bytes], to: np.ndarray) -> None:
             held: list[np.ndarray] = []
@@ -78,16 +96,36 @@ def _counts(docs: DataFrame) -> DataFrame:
             add([t for t, f in zip(texts, flags, strict=True) if f], total[0])
             add([t for t, f in zip(texts, flags, strict=True) if not f], total[1])
         total[1] += total[0]
-        used = np.nonzero(total[1])[0]
-        for a in range(0, len(used), 1 << 16):
-            own = used[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own.astype(np.int32)), pa.array(total[0][own]), pa.array(total[1][own])],
-                names=["slot", "target", "background"],
-            )
+        blocks = total.reshape(2, -1, BLOCK)
+        yield _blocks((int(k), blocks[:, k]) for k in np.nonzero(blocks[1].any(1))[0])
 
-    counted = docs.mapInArrow(run, "slot int, target long, background long")
-    return counted.groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = None, np.zeros((2, BLOCK), np.int64)
+        for batch in batches:
+            done = []
+            for k, target, background in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != number:
+                    if number is not None:
+                        done.append((number, held))
+                    number, held = k, np.zeros((2, BLOCK), np.int64)
+                held[0] += _unpacked(target)
+                held[1] += _unpacked(background)
+            yield _blocks(done)
+        if number is not None:
+            yield _blocks([(number, held)])
+
+    counted = docs.mapInArrow(count, COUNTS).repartition("block").sortWithinPartitions("block")
+    return counted.mapInArrow(add_up, COUNTS)
+
+
+def _blocks(rows) -> pa.RecordBatch:
+    rows = [(k, _packed(c[0]), _packed(c[1])) for k, c in rows]
+    columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
+    kinds = (pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)],
+        names=["block", "target", "background"],
+    )
 
 
 class Models:
@@ -126,20 +164,22 @@ class Models:
 
 
 def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Ids and texts, and whether a document belongs to the target."""
+    """Ids and texts, and whether a document belongs to the target; written for both passes.
+
+    The labels grow with the documents, so they are never broadcast.
+    """
     good = labels.where(F.col("quality").eqNullSafe(1) & ~held_out()).select("doc_id").distinct()
-    return docs.select("doc_id", "text").join(
-        good.withColumn("is_target", F.lit(True)), "doc_id", "left"
-    )
+    good = good.withColumn("is_target", F.lit(True)).hint("merge")
+    return write_once(docs.select("doc_id", "text").join(good, "doc_id", "left"), "flagged")
 
 
 def fit(docs: DataFrame) -> Models:
     """Both models from flagged documents; what comes to the driver has a fixed bound."""
-    got = write_once(_counts(docs), "slot-counts").toArrow()
-    counts = np.zeros((2, _PAIRS + 2 * _WORDS), np.int64)
-    slot = got.column("slot").to_numpy()
-    counts[0][slot], counts[1][slot] = got.column("target").to_numpy(), got.column("background").to_numpy()
-    return Models(counts)
+    counts = np.zeros((2, SLOTS // BLOCK, BLOCK), np.int64)
+    for batch in write_once(_counts(docs), "slot-counts").toArrow().to_batches():
+        for k, target, background in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            counts[0, k], counts[1, k] = _unpacked(target), _unpacked(background)
+    return Models(counts.reshape(2, SLOTS))
 
 
 def score(docs: DataFrame, models: Models) -> DataFrame:
