@@ -310,3 +310,24 @@ def test_language_model_prefers_good_documents(spark):
     rows = lm_difference.difference(docs, labels).join(labels, "doc_id").toPandas()
     own = rows[[zlib.crc32(str(i).encode()) % 4 == 2 for i in rows["doc_id"]]]
     assert own[own["quality"] == 1]["score"].median() < own[own["quality"] == 0]["score"].median()
+
+
+@pytest.mark.parametrize("text", ["a\n\n b", "Head.\n\n b", "<|endoftext|>", "a <|endoftext|> b", "a\n\nb\n c\n\n d e"])
+def test_ids_are_those_of_a_fresh_library(text):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokenizer_path())
+    want = fresh.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(Encoder(tokenizer_path()).ids(text), "<u4").tolist() == want
+
+
+def test_every_short_run_of_spaces_gives_the_librarys_ids():
+    from itertools import product
+
+    from tokenizers import Tokenizer
+
+    own, fresh = Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    for size in range(1, 6):
+        for parts in product("a \n.", repeat=size):
+            text = "".join(parts)
+            assert np.frombuffer(own.ids(text), "<u4").tolist() == fresh.encode(text, add_special_tokens=False).ids, text
