@@ -206,3 +206,24 @@ def test_pipeline_runs(spark):
 def test_queries_have_rows(spark, name):
     frame = QUERIES[name](spark, SMALL)
     assert len(frame.take(1)) == 1
+
+
+def test_headlines_leads_and_rare_templates_are_kept(spark):
+    body = "<p>" + "some long text of the body " * 20 + "</p>"
+    inner = f"<article><h1>Title</h1><div><div class=content>{body}</div></div><nav>menu</nav></article>"
+    parts = f"<div class=page><div class=lead><p>The lead.</p></div><div class=text>{body}</div></div>"
+    rare = f"<article><p>Teaser.</p></article><div class=story>{body}</div>"
+    assert host_paths.extract(inner, []).startswith("Title\n\nsome long")
+    assert host_paths.extract(parts, []).startswith("The lead.\n\nsome long")
+    rows = [(k, f"http://a.org/{k}", inner) for k in range(12)] + [(20, "http://a.org/r", rare)]
+    rows += [(30 + k, f"http://b.org/{k}", parts) for k in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in host_paths.main_text(pages).collect()}
+    assert all(got[k].startswith("Title\n\nsome long") for k in range(12))
+    assert "some long" in got[20]
+    assert all(got[30 + k].startswith("The lead.\n\nsome long") for k in range(3))
+
+
+def test_a_page_has_all_winning_paths_that_stand_on_it():
+    page = "<div class=a><p>first part</p></div><aside>no</aside><div class=b><p>second part</p></div>"
+    assert host_paths.extract(page, ["/div.a", "/div.b"]) == "first part\n\nsecond part"

@@ -2,9 +2,11 @@
 
 A page is read once for its blocks of text: each has the generalised path of its container (tags
 with their classes, digits made equal). Containers are scored by the text in them less the text of
-links, and every page votes for its best path. Votes are counted by host in Spark; paths with a fair
-share of a host's votes win, and every page is read again with the winning paths of its host. A page
-on which no winning path stands uses its own best one.
+links. From the best one a page climbs to the smallest container that holds all running text of its
+outermost article or main part (of the page, where it has none), and votes for that path. Votes are
+counted by host in Spark; paths with a fair share of a host's votes win, and every page is read again
+with the winning paths of its host, all that stand on it. A page uses its own path where the winning
+ones hold too little of the text that its own one does.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
 left out by tag, role or class, wherever they stand.
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from tuturan.llm.common import append_arrow, free_name, write_once
 
 SHARE = 0.2  # of a host's votes that a winning path has; so five paths at most
+FAIR = 0.5  # of the text below a page's own path that the winning paths hold at least
 BROADCAST_HOSTS = 100_000
 
 _TAG = re.compile(
@@ -173,8 +176,25 @@ def blocks(page: str) -> list[tuple[str, str, int, bool]]:
     return out
 
 
+def _below(path: str, top: str) -> bool:
+    return not top or path == top or path.startswith(top + "/")
+
+
+def _outermost(path: str) -> str:
+    """The path of the outermost article or main part around a container, or of the page."""
+    parts = path.split("/")
+    for k, part in enumerate(parts):
+        if part.partition(".")[0] in ("article", "main"):
+            return "/".join(parts[: k + 1])
+    return ""
+
+
 def best_path(found: list[tuple[str, str, int, bool]]) -> str | None:
-    """The container with most text outside links; half of it counts for the container around."""
+    """The container with most text outside links, widened to all running text around it.
+
+    Half of a container's text counts for the container around. Blocks that are mostly links do not
+    widen it.
+    """
     scores: dict[str, float] = defaultdict(float)
     for path, text, linked, paragraph in found:
         score = (len(text) - 2 * linked) * (1.0 if paragraph else 0.5)
@@ -183,16 +203,24 @@ def best_path(found: list[tuple[str, str, int, bool]]) -> str | None:
             scores[path.rpartition("/")[0]] += score / 2
     if not scores:
         return None
-    return min(scores, key=lambda p: (-scores[p], len(p), p))
+    best = min(scores, key=lambda p: (-scores[p], len(p), p))
+    top = _outermost(best)
+    for path, text, linked, _ in found:
+        if 2 * linked < len(text) and _below(path, top):
+            while not _below(path, best):
+                best = best.rpartition("/")[0]
+    return best
 
 
 def extract(page: str, winners: list[str]) -> str:
-    """The text of the blocks below the winning path that has most text on this page."""
+    """The text of the blocks below the winning paths, or below the page's own one."""
     found = blocks(page)
-    below = lambda path, top: path == top or path.startswith(top + "/")
-    sizes = {w: sum(len(t) for p, t, _, _ in found if below(p, w)) for w in winners}
-    top = max(sizes, key=lambda w: (sizes[w], -len(w), w)) if any(sizes.values()) else best_path(found)
-    texts = (" ".join(html.unescape(t).split()) for p, t, _, _ in found if below(p, top))
+    size = lambda tops: sum(len(t) for p, t, _, _ in found if any(_below(p, w) for w in tops))
+    own = best_path(found)
+    tops = winners
+    if own is not None and size(winners) < max(1, FAIR * size([own])):
+        tops = [own]
+    texts = (" ".join(html.unescape(t).split()) for p, t, _, _ in found if any(_below(p, w) for w in tops))
     return "\n\n".join(t for t in texts if t)
 
 
