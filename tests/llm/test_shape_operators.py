@@ -227,3 +227,18 @@ def test_headlines_leads_and_rare_templates_are_kept(spark):
 def test_a_page_has_all_winning_paths_that_stand_on_it():
     page = "<div class=a><p>first part</p></div><aside>no</aside><div class=b><p>second part</p></div>"
     assert host_paths.extract(page, ["/div.a", "/div.b"]) == "first part\n\nsecond part"
+
+
+def test_a_dense_group_with_many_centroids_keeps_its_links(spark, monkeypatch):
+    monkeypatch.setattr(vector_graph, "SHARD", 8)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2400, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[:800] = x[0] + 0.0285 * rng.normal(size=(800, 64))
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    linked = vector_graph.link(vectors)
+    links = np.array([r["n_links"] for r in sorted(linked.collect(), key=lambda r: r["vec_id"])])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    degree = (unit @ unit.T >= 0.95).sum(1) - 1
+    print("recall", links.sum() / degree.sum())
+    assert (links <= degree).all() and links.sum() >= 0.98 * degree.sum()

@@ -1,7 +1,8 @@
 """Embedding near-duplicates by a robust-pruned flat graph over overlapping cluster shards.
 
-Equal vectors are one node. Nodes go to the shards of their nearest centroids (fitted on a bounded
-sample); a shard that would be too large is dealt into parts. In every part the nearest nodes and
+Equal vectors are one node. Centroids are fitted on a bounded sample; those that split one dense
+group, all within the radius of one of them, are one shard. Nodes go to the shards of their nearest
+centroids; a shard that would be too large is dealt into parts that are all compared. In every part the nearest nodes and
 some random ones are pruned to a sparse graph in which a neighbour is dropped where another one is
 closer to it by a factor; the adjacency lists that a node gets in all its shards are united. Each
 part's nodes then search the united graph of every part of their shard: a greedy search with a beam
@@ -34,6 +35,7 @@ SHARD, PART = 1024, 2048  # nodes of a shard as centroids are chosen; nodes of a
 CENTROIDS = 4096  # at most
 SAMPLE = 32_768  # nodes that centroids are fitted on, and no more than 32 for each centroid
 OVERLAP = 3  # shards of a node
+TILE = 8192  # rows that the audit compares with at once, about
 DEGREE, NEAR, FAR, ALPHA = 24, 48, 16, 1.2
 BEAM, SLACK = 24, 0.15
 QUERIES = 256  # queries that search together
@@ -89,6 +91,21 @@ def fit_centroids(x: np.ndarray, count: int, steps: int = 6, seed: int = 11) ->
     return centres
 
 
+def dense_groups(centres: np.ndarray, cut: float) -> np.ndarray:
+    """The shard of every centroid: those within the radius of one with many such share its shard.
+
+    Otherwise a group of near copies with more centroids than a node has shards would lose pairs.
+    """
+    near = centres @ centres.T >= cut
+    np.fill_diagonal(near, True)
+    shard, count = np.full(len(centres), -1), 0
+    for c in np.argsort(-near.sum(1), kind="stable"):
+        if shard[c] < 0:
+            shard[near[c] & (shard < 0)] = count
+            count += 1
+    return shard
+
+
 def _centroids(nodes: DataFrame, n: int, length: int) -> np.ndarray:
     count = min(CENTROIDS, -(-n // SHARD))
     sample = nodes.select("node", "unit").orderBy(F.xxhash64("unit"), "node")
@@ -97,16 +114,20 @@ def _centroids(nodes: DataFrame, n: int, length: int) -> np.ndarray:
     return fit_centroids(x, min(count, len(x)))
 
 
-def _assigned(nodes: DataFrame, centres: np.ndarray, length: int) -> DataFrame:
-    """A row for every shard of every node, with all its shards in order."""
-    shared = nodes.sparkSession.sparkContext.broadcast(centres)
+def _assigned(nodes: DataFrame, centres: np.ndarray, length: int, cut: float) -> DataFrame:
+    """All nodes with their shards in order."""
+    shard = dense_groups(centres, cut)
+    order = np.argsort(shard, kind="stable")
+    first = np.searchsorted(shard[order], np.arange(shard.max() + 1))
+    shared = nodes.sparkSession.sparkContext.broadcast((centres[order], first))
 
     def make():
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             units = batch.column(batch.schema.get_field_index("unit")).to_pylist()
             x = np.frombuffer(b"".join(units), np.float64).reshape(-1, length)
-            keep = min(OVERLAP, len(shared.value))
-            own = np.argsort(-(x @ shared.value.T), axis=1, kind="stable")[:, :keep]
+            centres, first = shared.value
+            best = np.maximum.reduceat(x @ centres.T, first, axis=1)
+            own = np.argsort(-best, axis=1, kind="stable")[:, : min(OVERLAP, len(first))]
             return [pa.array(np.sort(own, axis=1).tolist(), pa.list_(pa.int32()))]
 
         return work
@@ -312,7 +333,7 @@ def link(vectors: DataFrame, cut: float = CUT) -> DataFrame:
     rows, nodes, length = _nodes(vectors)
     n = nodes.count()
     if n:
-        placed = _assigned(nodes, _centroids(nodes, n, length), length)
+        placed = _assigned(nodes, _centroids(nodes, n, length), length, cut)
         placed = placed.select("node", "unit", "copies", "shards", F.explode("shards").alias("shard"))
         sizes = placed.groupBy("shard").agg((F.floor((F.count("*") - 1) / PART) + 1).alias("parts"))
         sizes = F.broadcast(write_once(sizes, "shard-sizes"))  # at most CENTROIDS rows
@@ -375,12 +396,15 @@ def recall(vectors: DataFrame, linked: DataFrame, cut: float = CUT) -> DataFrame
                     names=["vec_id", "hits"],
                 )
 
+    count = rows.count() // TILE + 1
+    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(count)).alias("tile")
     tiles = (
         rows.where("unit is not null")
-        .groupBy(F.pmod(F.xxhash64("vec_id", "unit"), F.lit(64)).alias("tile"))
+        .groupBy(dealt)
         .agg(F.collect_list("unit").alias("units"))
     )
-    pairs = asked.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))
+    pairs = asked.withColumn("tile", F.explode(every))
     hits = pairs.join(tiles, "tile").select("q", "units").mapInArrow(run, "vec_id long, hits long")
     expected = hits.groupBy("vec_id").agg((F.sum("hits") - 1).alias("expected"))
     return expected.join(linked.select("vec_id", F.col("n_links").alias("found")), "vec_id")
