@@ -331,3 +331,24 @@ def test_every_short_run_of_spaces_gives_the_librarys_ids():
         for parts in product("a \n.", repeat=size):
             text = "".join(parts)
             assert np.frombuffer(own.ids(text), "<u4").tolist() == fresh.encode(text, add_special_tokens=False).ids, text
+
+
+def test_sequences_follow_the_order_of_reading(spark, tmp_path):
+    rows = [(k, "word and more " * (1 + k % 7), "a" if k < 1500 else "b") for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").write.parquet(str(tmp_path / "docs"))
+    pieces = packing.write_once(
+        packing.token_pieces(spark.read.parquet(str(tmp_path / "docs")), tokenizer_path(), 2, 64), "pieces"
+    )
+    order = packing.positions(pieces).join(pieces.select("uid", "doc_id"), "uid").orderBy("position").collect()
+    assert [r["position"] for r in order] == list(range(len(order)))
+    assert [r["doc_id"] for r in order] == sorted(r["doc_id"] for r in order)
+    placed = packing.place(pieces, 64, shard=40)
+    got = packing.digest(pieces, placed).orderBy("sequence_id", "offset").collect()
+    assert len(got) == len(order)
+    # windows of five shards hold the sources as the same stretch of the documents does
+    window = len(got) // 10
+    for k in range(10):
+        share = np.mean([r["doc_id"] >= 1500 for r in got[k * window : (k + 1) * window]])
+        want = np.mean([r["doc_id"] >= 1500 for r in order[k * window : (k + 1) * window]])
+        assert abs(share - want) < 0.25, (k, share, want)

@@ -2,10 +2,12 @@
 
 Every document is encoded, ended by one id and, only where it is longer than a sequence, cut into
 pieces of exactly that length behind a first piece that may be shorter. Pieces are dealt into shards
-by a hash; in each shard best fit fills bins, then a local search moves a piece, or exchanges one for
+by contiguous runs of the order in which the documents are read: files by number and name, rows of a
+file as they stand. In each shard best fit fills bins, then a local search moves a piece, or exchanges one for
 one or two for one, between underfull bins whenever that increases the sum of squared fills, until
-the emptiest bins are empty or nothing helps. The pieces of bins that stay underfull are dealt anew
-over all shards for further rounds.
+the emptiest bins are empty or nothing helps. The pieces of bins that stay underfull are dealt anew,
+those of neighbouring shards together, for further rounds. Sequences are numbered along the same
+order, so that a stretch of them holds the sources as that stretch of the documents does.
 
 A null text is an empty document; repeated rows are packed each on its own; other columns are
 ignored; an empty table gives no pieces.
@@ -19,7 +21,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tuturan.llm.common import texts, write_once
 from tuturan.llm.tokens import encoder
@@ -28,7 +31,10 @@ SHARD = 8192  # pieces in a shard
 ROUNDS = 2  # further rounds over the pieces of underfull bins
 PASSES = 50  # visits of a bin by the local search of a shard
 
-PIECES = "uid long, doc_id long, piece int, start long, length long, ids binary"
+PIECES = (
+    "uid long, run long, file string, block long, "
+    "doc_id long, piece int, start long, length long, ids binary"
+)
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
@@ -39,31 +45,69 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
     return [(0, head)] + [(at, size) for at in range(head, n, size)]
 
 
+def _with_file(docs: DataFrame) -> DataFrame:
+    """Ids and texts with the file and the place in it where the task's block begins.
+
+    A table of several sources has no such order; its rows are read as its tasks give them.
+    """
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), "text"]
+    try:
+        return docs.select(
+            *columns, F.input_file_name().alias("file"), F.input_file_block_start().alias("block")
+        )
+    except AnalysisException:
+        return docs.select(*columns, F.lit("").alias("file"), F.lit(-1).cast("long").alias("block"))
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame:
-    """The pieces of every document with their ids, little-endian unsigned 32-bit."""
+    """The pieces of every document with their ids, little-endian unsigned 32-bit.
+
+    ``run`` is the first ``uid`` of the pieces that a task reads from one block of a file.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, end = encoder(tokenizer).ids, np.uint32(end_id).tobytes()
-        uid = TaskContext.get().partitionId() << 33
+        first = uid = TaskContext.get().partitionId() << 33
+        place = None
         for batch in batches:
-            keys = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-            rows: list[list] = [[], [], [], [], []]
-            for key, text in zip(keys, texts(batch), strict=True):
+            keys, files, blocks = (
+                batch.column(batch.schema.get_field_index(c)).to_pylist()
+                for c in ("doc_id", "file", "block")
+            )
+            rows: list[list] = [[], [], [], [], [], [], [], [], []]
+            for key, text, file, block in zip(keys, texts(batch), files, blocks, strict=True):
+                if (file, block) != place:
+                    place, first = (file, block), uid
                 ids = ids_of(text) + end
                 for k, (at, n) in enumerate(cut(len(ids) // 4, size)):
-                    for column, x in zip(rows, (key, k, at, n, ids[4 * at : 4 * (at + n)]), strict=True):
+                    own = (uid, first, file, block, key, k, at, n, ids[4 * at : 4 * (at + n)])
+                    for column, x in zip(rows, own, strict=True):
                         column.append(x)
-            count = len(rows[0])
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                    uid += 1
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64())
+            kinds += (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(uid, uid + count))]
-                + [pa.array(x, kind) for x, kind in zip(rows, kinds, strict=True)],
-                names=["uid", "doc_id", "piece", "start", "length", "ids"],
+                [pa.array(x, kind) for x, kind in zip(rows, kinds, strict=True)],
+                names=["uid", "run", "file", "block", "doc_id", "piece", "start", "length", "ids"],
             )
-            uid += count
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return chosen.mapInArrow(run, PIECES)
+    return _with_file(docs).mapInArrow(run, PIECES)
+
+
+def positions(pieces: DataFrame) -> DataFrame:
+    """``uid``, ``length`` and the place in the order of reading of every written piece."""
+    runs = pieces.groupBy("run").agg(
+        F.first("file").alias("file"), F.first("block").alias("block"), F.count("*").alias("n")
+    )
+    number = F.expr(r"try_cast(regexp_extract(file, 'part-([0-9]+)[^/]*$', 1) AS bigint)")
+    folder = F.regexp_replace("file", "[^/]*$", "")
+    ordered = Window.orderBy(folder, number, "file", "block", "run")  # one row for each block of a file
+    before = F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    runs = write_once(runs.select("run", (before - F.col("n")).alias("before")), "piece-runs")
+    place = F.col("before") + F.col("uid") - F.col("run")
+    return pieces.select("uid", "run", "length").join(runs, "run").select(
+        "uid", "length", place.alias("position")
+    )
 
 
 def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
@@ -160,19 +204,23 @@ def swap_search(bins: list[list[int]], lengths: np.ndarray, size: int, passes: i
 
 def _pack_shard(size: int, level: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("uid", ignore_index=True)
+        rows = rows.sort_values("position", ignore_index=True)
         lengths = rows["length"].to_numpy(np.int64)
+        places = rows["position"].to_numpy(np.float64)
         bins = swap_search(best_fit(lengths, size), lengths, size)
+        bins.sort(key=lambda b: float((places[b] * lengths[b]).sum() / lengths[b].sum()))
         number, offset, left = (np.zeros(len(rows), np.int64) for _ in range(3))
         for k, b in enumerate(bins):
             ends = np.cumsum(lengths[b])
             number[b], offset[b], left[b] = k, ends - lengths[b], size - ends[-1]
-        base = (level << 58) + (int(rows["shard"].iloc[0]) << 20) if len(rows) else 0
+        home = int(rows["home"].max()) if len(rows) else 0  # sequences follow those of this shard
         return pd.DataFrame(
             {
                 "uid": rows["uid"],
                 "length": rows["length"],
-                "sequence_id": base + number,
+                "position": rows["position"],
+                "home": home,
+                "sequence_id": (home << 24) + (level << 20) + number,
                 "offset": offset,
                 "room": left,
             }
@@ -182,18 +230,16 @@ def _pack_shard(size: int, level: int):
 
 
 def place(pieces: DataFrame, size: int, shard: int = SHARD, rounds: int = ROUNDS) -> DataFrame:
-    """A sequence and an offset for every ``uid`` of a written table of ``uid`` and ``length``."""
+    """A sequence and an offset for every ``uid`` of a written table of pieces."""
     spark, placed = pieces.sparkSession, None
-    rest = pieces.select("uid", "length")
+    count = pieces.count()
+    shards = max(1, -(-count // shard))
+    home = F.expr(f"position * {shards} div {max(1, count)}")
+    dealt = positions(pieces).withColumn("home", home).withColumn("shard", F.col("home"))
     for level in range(rounds + 1):
-        count = rest.count()
-        shards = max(1, -(-count // shard))
-        dealt = rest.withColumn(
-            "shard", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(shards)).cast("long")
-        )
         packed = dealt.groupBy("shard").applyInPandas(
             _pack_shard(size, level),
-            "uid long, length long, sequence_id long, offset long, room long",
+            "uid long, length long, position long, home long, sequence_id long, offset long, room long",
         )
         packed = write_once(packed, f"packed-{level}")
         last = shards == 1 or level == rounds
@@ -202,7 +248,12 @@ def place(pieces: DataFrame, size: int, shard: int = SHARD, rounds: int = ROUNDS
         placed = done if placed is None else placed.unionByName(done)
         if last:
             break
-        rest = packed.where("room > 0").select("uid", "length")
+        rest = packed.where("room > 0").select("uid", "length", "position", "home")
+        sizes = write_once(rest.groupBy("home").agg(F.count("*").alias("n")), "rest-sizes")
+        before = F.sum("n").over(Window.orderBy("home")) - F.col("n")  # one row for each shard
+        groups = sizes.select("home", F.floor(before / shard).alias("shard"))
+        shards = groups.select("shard").distinct().count()
+        dealt = rest.join(groups, "home")
     return placed if placed is not None else spark.createDataFrame([], "uid long")
 
 
