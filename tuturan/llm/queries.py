@@ -8,15 +8,18 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from tuturan.llm import (
+    bisector_clusters,
     chat_windows,
     dac_output,
     host_paths,
     lm_difference,
+    merkle,
     mixing,
     packing,
     quality_cnn,
     rule_trees,
     simhash,
+    token_counts,
     vector_graph,
 )
 from tuturan.llm.common import ship, table, write_once
@@ -106,3 +109,24 @@ def op5_vector_graph(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_lm_difference(spark: SparkSession, folder: str) -> DataFrame:
     return lm_difference.difference(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op11_bisector_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return bisector_clusters.digest(table(spark, folder, "embeddings"))
+
+
+ORACLES["op11_bisector_clusters"] = bisector_clusters.ORACLE
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.digest(table(spark, folder, "documents"))
+
+
+ORACLES["op12_merkle_manifest"] = merkle.ORACLE
+
+
+@query
+def op13_prefix_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
