@@ -97,22 +97,6 @@ parsed AS (
   FROM tagged)"""
 
 
-# Plain letters instead of accented ones, so that both engines agree on what a word is.
-ACCENTED = "éóèñçüêäöíáúÉÈÑÓÇÄÊÜÖÍß"
-UNACCENTED = "eoencueaoiauEENOCAEUOIs"
-PLAIN_DIGITS = "abcdefghij"
-
-
-def plain_text(col: Column, digits: bool = True) -> Column:
-    text = F.translate(col, ACCENTED, UNACCENTED)
-    return text if digits else F.translate(text, "0123456789", PLAIN_DIGITS)
-
-
-def sql_plain(text: str = "text", digits: bool = True) -> str:
-    out = f"translate({text}, '{ACCENTED}', '{UNACCENTED}')"
-    return out if digits else f"translate({out}, '0123456789', '{PLAIN_DIGITS}')"
-
-
 # Accented letters as word characters of ASCII, so that SQL's word edges are those of Unicode.
 LETTERS = "éóèñçüêäöíáúôâîûùàëï"
 

@@ -18,9 +18,7 @@ from contract.base import (
     all_heard,
     corpus,
     heard,
-    plain_text,
     query,
-    sql_plain,
     sql_squeeze,
     sql_word_errors,
     sql_words,
@@ -544,13 +542,25 @@ def vocabulary_sql(half: int) -> str:
     )
 
 
+def numbered_vocabulary(spark, d, half):
+    """Words of one half of the sources, numbered by their frequency."""
+    odd = F.substring("source", 4, 9).cast("int") % 2 == half
+    words = vocab.word_frequency(table(spark, d, "documents").where(odd)).withColumn("rare", -F.col("freq"))
+    return ranks.number_rows(words.withColumnRenamed("word", "token"), "rare", name="id", then=["token"], unique_key=True)
+
+
+def numbered_sql(half: int) -> str:
+    listed = vocabulary_sql(half).replace("SELECT DISTINCT", "SELECT", 1)
+    return f"(SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) AS id FROM {listed} GROUP BY token)"
+
+
 @query(
     "join10_map_vocabulary_ids",
-    f"SELECT a.token, CAST(7 AS BIGINT) AS shift FROM {vocabulary_sql(0)} a JOIN {vocabulary_sql(1)} b ON a.token = b.token",
+    f"SELECT a.token, a.id AS old_id, b.id AS new_id FROM {numbered_sql(0)} a JOIN {numbered_sql(1)} b ON a.token = b.token",
 )
 def join10(spark, d):
-    mapped = vocab.map_vocabulary_ids(vocabulary(spark, d, 0, 0), vocabulary(spark, d, 1, 7))
-    return mapped.select("token", (F.col("new_id") - F.col("old_id")).alias("shift"))
+    """Two vocabularies number their common words by different frequencies."""
+    return vocab.map_vocabulary_ids(numbered_vocabulary(spark, d, 0), numbered_vocabulary(spark, d, 1))
 
 
 @query(
@@ -668,7 +678,10 @@ def txt20(spark, d):
     return pairs.select("utterance_id", S.word_errors(F.col("reference"), F.col("hypothesis")).alias("errors"))
 
 
-ASCII_PAIR = f"translate({{0}}, '{ACCENTED}', 'eoencueaoiauEENOCAEUOIs')"
+# One unused ASCII character for each accented letter, as SQL measures distances in bytes.
+ACCENTS = "éóèñüçäöêßíÉÈÑÓÇÊÜÖÄÍ"
+UNUSED = " || ".join(f"chr({c})" for c in [*range(1, 9), 11, 12, *range(14, 25)])
+ASCII_PAIR = f"translate({{0}}, '{ACCENTS}', {UNUSED})"
 
 
 @query(
@@ -679,11 +692,10 @@ SELECT model, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(hyp_words - ref_wo
   round(sum(errors) / CAST(sum(ref_words) AS DOUBLE), 6) AS wer, round(sum(char_errors) / CAST(sum(ref_chars) AS DOUBLE), 6) AS cer FROM t GROUP BY model""",
 )
 def agg7(spark, d):
-    """Plain letters for the character distance; insertions minus deletions is the surplus of words."""
+    """Insertions minus deletions is the surplus of words."""
     utts = utterances(spark, d)
     pairs = all_heard(utts).join(utts.select("dataset", "utterance_id", "reference"), ["dataset", "utterance_id"])
-    plain = pairs.withColumns({c: plain_text(F.col(c)) for c in ("reference", "hypothesis")})
-    out = wer.edit_breakdown(plain, ["model"])
+    out = wer.edit_breakdown(pairs, ["model"])
     errors = F.col("substitutions") + F.col("insertions") + F.col("deletions")
     return out.select(
         "model",
@@ -908,7 +920,7 @@ def win4(spark, d):
 
 @query(
     "win5_word_runs",
-    f"""WITH t AS (SELECT doc_id, unnest({sql_words(sql_plain())}) AS word, generate_subscripts({sql_words(sql_plain())}, 1) AS pos FROM documents),
+    f"""WITH t AS (SELECT doc_id, unnest({sql_words('text')}) AS word, generate_subscripts({sql_words('text')}, 1) AS pos FROM documents),
 f AS (SELECT *, regexp_replace(lower(word), '[^\\pL\\pN_]', '', 'g') IN ('the', 'and', 'der', 'que', 'of') AS listed FROM t),
 g AS (SELECT *, CASE WHEN listed = lag(listed) OVER (PARTITION BY doc_id ORDER BY pos) THEN 0 ELSE 1 END AS fresh FROM f),
 h AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM g)
@@ -917,7 +929,7 @@ SELECT doc_id, CAST(run AS BIGINT) AS run, bool_and(listed) AS is_english, strin
 def win5(spark, d):
     runs = table(spark, d, "documents").select(
         "doc_id",
-        F.posexplode(L.word_runs(plain_text(F.col("text")), ["the", "and", "der", "que", "of"])).alias("run", "part"),
+        F.posexplode(L.word_runs(F.col("text"), ["the", "and", "der", "que", "of"])).alias("run", "part"),
     )
     return runs.select("doc_id", (F.col("run") + 1).cast("bigint").alias("run"), "part.is_english", "part.text")
 
@@ -956,10 +968,10 @@ def win8(spark, d):
     "(SELECT doc_id, 'train' AS part FROM documents ORDER BY doc_id LIMIT 100) UNION ALL (SELECT doc_id, 'val' AS part FROM documents ORDER BY doc_id DESC LIMIT 10)",
 )
 def srt1(spark, d):
-    """The first hundred rows, and a tenth of that from the validation side."""
+    """The first hundred rows, and a tenth of that from the validation side, which runs backwards."""
     docs = table(spark, d, "documents").select("doc_id")
-    head = docs.orderBy("doc_id").limit(100).withColumn("part", F.lit("train"))
-    return head.unionByName(docs.orderBy(F.desc("doc_id")).limit(10).withColumn("part", F.lit("val")))
+    train, val = ranks.head_limit(docs, docs, 100, ["doc_id"], val_key=[F.desc("doc_id")])
+    return train.withColumn("part", F.lit("train")).unionByName(val.withColumn("part", F.lit("val")))
 
 
 @query("srt2_seeded_sample", f"SELECT doc_id FROM documents ORDER BY {draw_sql('doc_id', 7)} LIMIT 123")

@@ -8,7 +8,7 @@ from contract.base import CORPUS, TAGGED, corpus, query, sql_squeeze, table, tag
 from tuturan.functions.expr import squeeze
 from tuturan.operators import filters
 from tuturan.session import scratch_path
-from tuturan.sources import readers, writers
+from tuturan.sources import inventory, readers, shards, writers
 
 SOURCE_OF_FILE = "concat(source, '-00000-of-00001.parquet')"
 
@@ -38,20 +38,31 @@ def src2(spark, d):
     return readers.pick_sources(corpus(spark, d), ["src1", "src7", "src19"]).select("doc_id", "source")
 
 
+SHARDS = 3
+
+
 def named_shards(spark, rows, name):
-    """One Parquet file for each value of a column, named ``<value>-00000-of-00001.parquet``."""
+    """A folder of shard sets, three shards for each value of a column, several files each.
+
+    A row of nulls, which readers drop, keeps a shard of a small corpus from being empty.
+    """
     path = scratch_path(spark, "shards")
-    rows.repartition(name).write.partitionBy(name).parquet(path)
+    placed = rows.withColumn("_number", F.pmod(F.xxhash64(*rows.columns), F.lit(SHARDS)))
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name != name]
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARDS - 1).cast("long")))
+    whole = placed.unionByName(rows.select(name).distinct().select(name, *nothing, every.alias("_number")))
+    number = F.lpad(F.col("_number").cast("string"), 5, "0")
+    entry = F.concat(F.col(name), F.lit("-"), number, F.lit(f"-of-{SHARDS:05}.parquet"))
+    salt = F.pmod(F.hash(*rows.columns), F.lit(2))
+    dealt = whole.withColumn("entry", entry).withColumn("salt", salt).repartition(8, "entry", "salt")
+    dealt.drop(name, "_number", "salt").write.partitionBy("entry").parquet(path)
     jvm = spark.sparkContext._jvm
     top = jvm.org.apache.hadoop.fs.Path(path)
     files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for folder in files.listStatus(top):  # one for each of a few corpora
+    for folder in files.listStatus(top):  # three for each of a few corpora
         value = folder.getPath().getName().partition("=")[2]
-        for part in files.listStatus(folder.getPath()) if value else []:
-            target = jvm.org.apache.hadoop.fs.Path(f"{path}/{value}-00000-of-00001.parquet")
-            files.rename(part.getPath(), target)
-        if value:
-            files.delete(folder.getPath(), True)
+        if value and not files.rename(folder.getPath(), jvm.org.apache.hadoop.fs.Path(f"{path}/{value}")):
+            raise OSError(f"{value} could not be named")
     return path
 
 
@@ -60,7 +71,7 @@ TAGGED_ROWS = "SELECT source, audio_filename, text, duration, language FROM pars
 
 @query("src1_read_tagged", f"WITH {TAGGED} {TAGGED_ROWS}")
 def src1_files(spark, d):
-    """All shards of a folder, a file for each corpus."""
+    """All shards of a folder, three for each corpus, of several files each."""
     rows = tagged(spark, d).select("audio_filename", "segment_timestamp", F.col("source").alias("corpus"))
     return readers.read_tagged(spark, named_shards(spark, rows, "corpus")).select(
         "source", "audio_filename", "text", "duration", "language"
@@ -123,7 +134,9 @@ def src3(spark, d):
         .select(F.explode(F.expr(SHARD_NAMES)).alias("name"))
         .select(F.concat("name", F.lit("-00000-of-00001.parquet")).alias("file_name"))
     )
-    return readers.pair_shards(names)
+    files = shards.with_shard(names.withColumnRenamed("file_name", "entry")).withColumn("length", F.lit(1))
+    first = lambda side: F.get(side, F.lit(0)).alias(f"{side}_file")
+    return shards.pair_sets(shards.shard_sets(files)).select("base", first("segments"), first("words"))
 
 
 @query(
@@ -286,6 +299,26 @@ def src11(spark, d):
     return lines.join(files.select("folder").distinct(), "folder", "left_semi")
 
 
+@query(
+    "src11_listed_files",
+    """SELECT source AS folder, CAST(doc_id % 3 AS VARCHAR) AS part, CAST(sum(length(CAST(doc_id AS VARCHAR)) + 1) AS BIGINT) AS bytes
+FROM documents GROUP BY ALL""",
+)
+def src11_sizes(spark, d):
+    """Folders in folders, listed by the executors; hidden names and other endings do not count."""
+    path = scratch_path(spark, "inventory")
+    rows = table(spark, d, "documents").select(
+        "source", (F.col("doc_id") % 3).alias("part"), F.col("doc_id").cast("string").alias("value")
+    )
+    rows.repartition(4, "source", "part").write.partitionBy("source", "part").text(path)
+    rows.select("source", "part", "value").write.mode("append").partitionBy("source", "part").json(path)
+    place = lambda k: F.regexp_extract("path", rf"{k}=([^/]+)/", 1)
+    listed = inventory.list_files(spark, path, "part-*.{txt,wav}")
+    return listed.groupBy(place("source").alias("folder"), place("part").alias("part")).agg(
+        F.sum("length").alias("bytes")
+    )
+
+
 @query(
     "src13_templates",
     "SELECT p_type AS category, p_name AS template FROM (SELECT DISTINCT p_type, p_name FROM part)",

@@ -6,10 +6,8 @@ from pyspark.sql import functions as F
 
 from contract.base import (
     TAGGED,
-    plain_text,
     query,
     sql_fold,
-    sql_plain,
     sql_quote,
     sql_squeeze,
     table,
@@ -19,6 +17,7 @@ from contract.base import (
     sql_decoded,
     sql_encoded,
 )
+from tuturan.functions.expr import EDGE
 from tuturan.functions import arrow, asr, language as L, numbers as N, repetition, scoring as S, text as X
 from tuturan.operators.filters import stem
 from tuturan.sources.readers import parse_spec
@@ -86,18 +85,18 @@ for _code in ("en", "ms"):
 
     @query(
         f"txt6_expand_abbreviations_{_code}",
-        f"SELECT doc_id, {sql_fold(sql_plain(), X.ABBREVIATIONS[_code])} AS text FROM documents",
+        f"SELECT doc_id, {sql_decoded(sql_fold(sql_encoded('text'), X.ABBREVIATIONS[_code]))} AS text FROM documents",
     )
     def txt6(spark, d, code=_code):
-        return docs(spark, d, X.expand_abbreviations(plain_text(F.col("text")), code).alias("text"))
+        return docs(spark, d, X.expand_abbreviations(F.col("text"), code).alias("text"))
 
 
 @query(
     "txt7_normalize_particles",
-    f"SELECT doc_id, {sql_fold(sql_plain(), X.PARTICLES)} AS text FROM documents",
+    f"SELECT doc_id, {sql_decoded(sql_fold(sql_encoded('text'), X.PARTICLES))} AS text FROM documents",
 )
 def txt7(spark, d):
-    return docs(spark, d, X.normalize_particles(plain_text(F.col("text"))).alias("text"))
+    return docs(spark, d, X.normalize_particles(F.col("text")).alias("text"))
 
 
 # ----------------------------------------------------------------------------------------------- numbers
@@ -571,18 +570,18 @@ SPEECH_MAP = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in X.SPEECH_ABBREVIATI
 
 @query(
     "txt25_speech_abbreviations",
-    f"""WITH t AS (SELECT doc_id, regexp_replace({sql_plain()}, '\\b(de|an|of|el)\\b', 'Yg', 'g') AS text FROM documents),
+    f"""WITH t AS (SELECT doc_id, regexp_replace({sql_encoded('text')}, '\\b(de|an|of|el)\\b', 'Yg', 'g') AS text FROM documents),
 m AS (SELECT {SPEECH_MAP} AS short)
-SELECT doc_id, array_to_string(list_transform(string_split({sql_squeeze('text')}, ' '),
+SELECT doc_id, {sql_decoded("""array_to_string(list_transform(string_split({sql_squeeze('text')}, ' '),
   lambda w: coalesce(short[regexp_replace(lower(w), '[^\\pL\\pN_]', '', 'g')]
-                     || regexp_extract(w, '[^\\pL\\pN_]+$'), w)), ' ') AS text FROM t, m""",
+                     || regexp_extract(w, '[^\\pL\\pN_]+$'), w)), ' ')""".replace("{sql_squeeze('text')}", sql_squeeze('text')))} AS text FROM t, m""",
 )
 def txt25(spark, d):
-    written = F.regexp_replace(plain_text(F.col("text")), r"\b(de|an|of|el)\b", "Yg")
+    written = F.regexp_replace("text", f"{EDGE}(de|an|of|el){EDGE}", "Yg")
     return docs(spark, d, X.expand_speech_abbreviations(written).alias("text"))
 
 
-LATIN_TOKENS = f"regexp_extract_all({sql_plain()}, '[A-Za-z'']+|[^\\pL\\pN_\\s]+|\\s+')"
+LATIN_TOKENS = f"regexp_extract_all(text, '[A-Za-z'']+|[^\\pL\\pN_\\s]+|\\s+')"
 
 
 @query(
@@ -598,7 +597,7 @@ SELECT doc_id, CAST(run AS INTEGER) AS run, max(language) AS language, trim(stri
 )
 def txt26(spark, d):
     """Runs of one language; frequent words of the tables stand in for the English list."""
-    runs = docs(spark, d, F.posexplode(L.language_runs(plain_text(F.col("text")), ["the", "and", "der", "que"])).alias("run", "part"))
+    runs = docs(spark, d, F.posexplode(L.language_runs(F.col("text"), ["the", "and", "der", "que"])).alias("run", "part"))
     return runs.select("doc_id", "run", "part.language", "part.text")
 
 
@@ -740,10 +739,14 @@ def udf1(spark, d):
     return docs(spark, d, apart.alias("text")).select("doc_id", arrow.nfc(F.col("text")).alias("text"))
 
 
-@query("udf2_map_text", "SELECT doc_id, replace(lower(text), 'ß', 'ss') AS text FROM documents")
+@query("udf2_map_text", "SELECT doc_id, strip_accents(text) AS text FROM documents")
 def udf2(spark, d):
-    """``casefold`` has no built-in: it also turns ß into ss."""
-    return docs(spark, d, arrow.map_text(lambda t: t.str.casefold(), F.col("text")).alias("text"))
+    """Letters without their marks, by canonical decomposition, for which there is no built-in."""
+
+    def without_marks(texts):
+        return texts.str.normalize("NFD").str.replace(r"[\u0300-\u036f]", "", regex=True)
+
+    return docs(spark, d, arrow.map_text(without_marks, F.col("text")).alias("text"))
 
 
 @query(

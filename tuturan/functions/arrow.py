@@ -92,20 +92,13 @@ def score_batches(
     return df.mapInPandas(run, schema)
 
 
-_BIG = 1 << 32
-
-
-def _edit_total(ref: np.ndarray, hyp: np.ndarray) -> int:
-    """Edit distance in the high bits, fewest substitutions among best paths in the low bits."""
-    width = len(hyp) + 1
-    ramp = np.arange(width, dtype=np.int64) * _BIG
-    row = ramp.copy()
-    for token in ref:
-        step = row + _BIG
-        diagonal = row[:-1] + np.where(hyp == token, 0, _BIG + 1)
-        np.minimum(step[1:], diagonal, out=step[1:])
-        row = np.minimum.accumulate(step - ramp) + ramp
-    return int(row[-1])
+_BIG = 1 << 32  # an edit; a substitution is one more, so ties go to fewer substitutions
+_FAR = 1 << 60
+_TOGETHER = 512  # short pairs aligned in one step
+_SHORT = 64  # words of a short side
+_FIRST_BAND = 8
+_BLOCK = 4096  # characters compared at once along a diagonal
+_NOWHERE = -(1 << 40)
 
 
 def _without_common_ends(ref: np.ndarray, hyp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,6 +111,111 @@ def _without_common_ends(ref: np.ndarray, hyp: np.ndarray) -> tuple[np.ndarray,
     return ref, hyp
 
 
+def _short_totals(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Costs of many short pairs, row by row of all tables at once."""
+    sizes = np.array([(len(r), len(h)) for r, h in pairs], dtype=np.int64)
+    rows, width = sizes.max(axis=0)
+    refs = np.full((len(pairs), rows), -1, dtype=np.int64)
+    hyps = np.full((len(pairs), width), -2, dtype=np.int64)
+    for k, (r, h) in enumerate(pairs):
+        refs[k, : len(r)], hyps[k, : len(h)] = r, h
+    ramp = np.arange(width + 1, dtype=np.int64) * _BIG
+    row = np.tile(ramp, (len(pairs), 1))
+    out = row[np.arange(len(pairs)), sizes[:, 1]]  # right where the reference is empty
+    for i in range(rows):
+        step = row + _BIG
+        diagonal = row[:, :-1] + np.where(hyps == refs[:, i : i + 1], 0, _BIG + 1)
+        np.minimum(step[:, 1:], diagonal, out=step[:, 1:])
+        row = np.minimum.accumulate(step - ramp, axis=1) + ramp
+        done = np.flatnonzero(sizes[:, 0] == i + 1)
+        out[done] = row[done, sizes[done, 1]]
+    return out
+
+
+def _banded_total(ref: np.ndarray, hyp: np.ndarray) -> int:
+    """Cost of a long pair inside a band of diagonals, doubled until no better way can leave it.
+
+    A way that leaves a band of w diagonals beyond both corners has at least 2 (w + 1) insertions and
+    deletions more than the lengths differ by, so the work grows with the errors and not with the
+    product of the lengths.
+    """
+    n, m, width = len(ref), len(hyp), _FIRST_BAND
+    while True:
+        low, high = min(0, m - n) - width, max(0, m - n) + width
+        ramp = np.arange(high - low + 1, dtype=np.int64) * _BIG
+        at = np.arange(low, high + 1)
+        row = np.where((at >= 0) & (at <= m), at * _BIG, _FAR)
+        left, right = max(0, -low), max(0, n + high - m)
+        padded = np.concatenate([np.full(left, -1), hyp, np.full(right, -1)])
+        for i in range(n):
+            start = i + low + left
+            step = row + np.where(padded[start : start + len(row)] == ref[i], 0, _BIG + 1)
+            np.minimum(step[:-1], row[1:] + _BIG, out=step[:-1])
+            row = np.minimum.accumulate(step - ramp) + ramp
+        total = int(row[m - n - low])
+        if total // _BIG < abs(m - n) + 2 * (width + 1) or width >= max(n, m):
+            return total
+        width *= 2
+
+
+def _edit_totals(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Edit distance in the high bits, fewest substitutions among best alignments in the low bits."""
+    pairs = [_without_common_ends(r, h) for r, h in pairs]
+    out = np.zeros(len(pairs), dtype=np.int64)
+    short = [k for k, (r, h) in enumerate(pairs) if max(len(r), len(h)) <= _SHORT]
+    short.sort(key=lambda k: (len(pairs[k][0]), len(pairs[k][1])))
+    for start in range(0, len(short), _TOGETHER):
+        part = short[start : start + _TOGETHER]
+        out[part] = _short_totals([pairs[k] for k in part])
+    for k in set(range(len(pairs))) - set(short):
+        out[k] = _banded_total(*pairs[k])
+    return out
+
+
+def _furthest(a: np.ndarray, b: np.ndarray) -> int:
+    """Edit distance by how far each diagonal gets with 0, 1, 2, ... edits, all diagonals at once."""
+    a, b = _without_common_ends(a, b)
+    n, m = len(a), len(b)
+    if not n or not m:
+        return n + m
+    a = np.concatenate([a.astype(np.int64), np.full(_BLOCK, -1)])
+    b = np.concatenate([b.astype(np.int64), np.full(_BLOCK, -2)])
+    reach, first, edits = np.zeros(1, dtype=np.int64), 0, 0  # places in a on the diagonals from first on
+    while True:
+        diagonals = np.arange(first, first + len(reach))
+        limit = np.minimum(n, m - diagonals)
+        active = np.flatnonzero((reach >= 0) & (reach < limit))
+        size = 8
+        while len(active):
+            size = max(8, min(size, _BLOCK, (1 << 20) // len(active)))
+            at = reach[active][:, None] + np.arange(size)
+            unlike = a[at] != b[at + diagonals[active][:, None]]
+            run = np.where(unlike.any(axis=1), unlike.argmax(axis=1), size)
+            reach[active] += run
+            active = active[run == size]
+            size *= 4
+        if first <= m - n < first + len(reach) and reach[m - n - first] >= n:
+            return edits
+        edits += 1
+        wide = np.concatenate([[_NOWHERE] * 2, reach, [_NOWHERE] * 2])
+        reach = np.maximum(np.maximum(wide[:-2], wide[1:-1] + 1), wide[2:] + 1)
+        first -= 1
+        cut = slice(max(0, -n - first), len(reach) - max(0, first + len(reach) - 1 - m))
+        first, reach = first + cut.start, reach[cut]
+        limit = np.minimum(n, m - np.arange(first, first + len(reach)))
+        reach = np.where(reach < 0, _NOWHERE, np.minimum(reach, limit))
+
+
+@F.pandas_udf(T.LongType())
+def long_text_distance(lefts: pd.Series, rights: pd.Series) -> pd.Series:
+    """Character edit distance whose work grows with the errors; null where a text is null."""
+    code = lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    found = [
+        None if a is None or b is None else _furthest(code(a), code(b)) for a, b in zip(lefts, rights)
+    ]
+    return pd.Series(found, dtype="Int64")
+
+
 _OPERATIONS = T.StructType(
     [
         T.StructField(name, T.IntegerType())
@@ -129,20 +227,18 @@ _OPERATIONS = T.StructType(
 @F.pandas_udf(_OPERATIONS)
 def edit_operations(refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
     """Word operations of an optimal alignment, the one with the fewest substitutions."""
-    rows = []
-    for ref_text, hyp_text in zip(refs, hyps):
-        ref, hyp = (ref_text or "").split(), (hyp_text or "").split()
-        if ref == hyp:
-            rows.append((0, 0, 0, len(ref)))
-            continue
-        codes: dict[str, int] = {}
-        r = np.array([codes.setdefault(w, len(codes)) for w in ref], dtype=np.int64)
-        h = np.array([codes.setdefault(w, len(codes)) for w in hyp], dtype=np.int64)
-        distance, subs = divmod(_edit_total(*_without_common_ends(r, h)), _BIG)
-        ins = (distance - subs + len(hyp) - len(ref)) // 2
-        dels = distance - subs - ins
-        rows.append((subs, ins, dels, len(ref) - subs - dels))
-    return pd.DataFrame(rows, columns=_OPERATIONS.names)
+    codes: dict[str, int] = {}
+    number = lambda words: np.array([codes.setdefault(w, len(codes)) for w in words], dtype=np.int64)
+    texts = [((r or "").split(), (h or "").split()) for r, h in zip(refs, hyps)]
+    unlike = [k for k, (r, h) in enumerate(texts) if r != h]
+    totals = _edit_totals([(number(texts[k][0]), number(texts[k][1])) for k in unlike])
+    distance, subs = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    distance[unlike], subs[unlike] = np.divmod(totals, _BIG)
+    sizes = np.array([(len(r), len(h)) for r, h in texts], dtype=np.int64).reshape(-1, 2)
+    ins = (distance - subs + sizes[:, 1] - sizes[:, 0]) // 2
+    dels = distance - subs - ins
+    columns = [subs, ins, dels, sizes[:, 0] - subs - dels]
+    return pd.DataFrame(dict(zip(_OPERATIONS.names, columns)))
 
 
 HEADER_SCHEMA = "path string, length bigint, duration double, sample_rate int, channels int, errors array<string>"

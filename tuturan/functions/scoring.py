@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from tuturan.functions.arrow import long_text_distance
 from tuturan.functions.expr import SPACE, SPACE_SET, WORD, fold, let, words_of
 
+LONG_PAIR = 1_000_000  # cells of a table of two texts
+
 # --- fixed values: superscript digits ---------------------------------------------------------------
 SUPERSCRIPTS = [("¹", "satu"), ("²", "dua"), ("³", "tiga")]
 
@@ -140,10 +143,15 @@ def word_count(col: Column) -> Column:
 
 
 def char_errors(reference: Column, hypothesis: Column) -> Column:
-    """Character edit distance of the whole texts."""
-    return F.levenshtein(
-        F.coalesce(reference, F.lit("")), F.coalesce(hypothesis, F.lit(""))
-    ).cast("bigint")
+    """Character edit distance of the whole texts.
+
+    Long pairs go to a distance whose work grows with the errors instead of with the product of the
+    lengths; it needs a projection of its own, so not inside a lambda.
+    """
+    ref, hyp = F.coalesce(reference, F.lit("")), F.coalesce(hypothesis, F.lit(""))
+    long = F.length(ref).cast("bigint") * F.length(hyp) > LONG_PAIR
+    far = long_text_distance(F.when(long, ref), F.when(long, hyp))
+    return F.coalesce(F.when(~long, F.levenshtein(ref, hyp)).cast("bigint"), far)
 
 
 def error_rate(errors: Column, total: Column) -> Column:

@@ -19,6 +19,7 @@ from tuturan.session import freeze, store
 BUCKET_DIGITS = 3
 CUT_ROWS = 100_000  # rows of a bucket whose draws are put in order
 DRAW_DIGITS = 32
+VALIDATION_SHARE = 0.1
 
 
 def draw(key: Sequence[str], seed: int) -> Column:
@@ -171,6 +172,20 @@ def reservoir_pair(
     )
 
 
+def head_limit(
+    train: DataFrame,
+    val: DataFrame,
+    n: int,
+    key: Sequence[Column | str],
+    share: float = VALIDATION_SHARE,
+    val_key: Sequence[Column | str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The first ``n`` training rows and, of the validation rows, the first ``n * share``, cut to a whole
+    number. Spark keeps no more than the limit of every task."""
+    kept = int(n * share)
+    return train.orderBy(*key).limit(n), val.orderBy(*(key if val_key is None else val_key)).limit(kept)
+
+
 def shuffle_rows(df: DataFrame, key: Sequence[str], seed: int = 42) -> DataFrame:
     """Rows in the order of their draws, as a range sort."""
     return df.orderBy(draw(key, seed), *key)

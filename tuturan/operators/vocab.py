@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tuturan.functions.expr import words_of
 from tuturan.functions.language import dictionary_tokens, vocabulary_words
 from tuturan.functions.text import char_class
+from tuturan.operators.lookup import looked_up, small_table
 from tuturan.session import store
 
 # The supplementary ideographs are meant as a block of five-digit code points; a four-digit reading
@@ -98,17 +99,32 @@ def vocabulary_coverage(
 ) -> DataFrame:
     """Per language: mean sentence coverage, share of unknown tokens, supported or not.
 
-    The vocabulary is written once, so Spark knows its bytes and broadcasts it where it is small;
-    tokens are summed up per sentence where they are. A key that several rows share is one sentence.
+    A vocabulary of proven size is looked up inside each row, so only two numbers a sentence are
+    shuffled; a larger one is joined with the tokens. A key that several rows share is one sentence.
     """
     tokens = words_of(F.col(text)) if unit == "words" else F.split(F.col(text), "")
-    known = store(vocabulary.select(F.col("token").alias("_known")).distinct(), "vocabulary")
-    exploded = df.select(key, language, F.explode_outer(tokens).alias("_token"))
-    counted = exploded.withColumn("_n", F.col("_token").isNotNull().cast("bigint"))
-    looked_up = counted.join(known, F.col("_token") == F.col("_known"), "left")
-    unknown = F.when(F.col("_known").isNull(), F.col("_n")).otherwise(0)
-    per_sentence = looked_up.groupBy(key, language).agg(
-        F.sum("_n").alias("_total"), F.sum(unknown).alias("_unknown")
+    entries = vocabulary.where(F.col("token").isNotNull()).select(F.col("token").alias("word")).distinct()
+    known = store(entries.withColumn("value", F.lit("")), "vocabulary")
+    asked = df.select(F.explode(tokens).alias("word"))
+    table = small_table(known, asked)
+    if table is None:
+        exploded = df.select(key, language, F.explode_outer(tokens).alias("_token"))
+        counted = exploded.withColumn("_n", F.col("_token").isNotNull().cast("bigint"))
+        looked = counted.join(known, F.col("_token") == F.col("word"), "left")
+        unknown = F.when(F.col("word").isNull(), F.col("_n")).otherwise(0)
+        counts = looked.select(key, language, "_n", unknown.alias("_unknown"))
+    else:
+        held, buckets = table
+        in_row = df.select(key, language, tokens.alias("_tokens")).withColumn("_table", held)
+        missing = F.filter("_tokens", lambda t: looked_up(F.col("_table"), buckets, t).isNull())
+        counts = in_row.select(
+            key,
+            language,
+            F.coalesce(F.size("_tokens"), F.lit(0)).cast("bigint").alias("_n"),
+            F.coalesce(F.size(missing), F.lit(0)).cast("bigint").alias("_unknown"),
+        )
+    per_sentence = counts.groupBy(key, language).agg(
+        F.sum("_n").alias("_total"), F.sum("_unknown").alias("_unknown")
     )
     known_part = (F.col("_total") - F.col("_unknown")) / F.col("_total")
     covered = F.when(F.col("_total") > 0, known_part).otherwise(0.0)
@@ -130,33 +146,31 @@ def to_phonemes(
 ) -> DataFrame:
     """Add the text with dictionary words replaced by their phonemes; everything else stays.
 
-    Every row is a text of its own, whatever columns repeat. The compact rows are partitioned by a
-    row number first; exploding, looking up and re-assembling keep that partitioning, and the other
-    columns travel with the first token. The dictionary is written once, so Spark knows its bytes.
+    A dictionary of proven size, if need be cut down to the words that occur, is looked up inside
+    each row, and rows stay where they are. A larger one meets the tokens in a join: rows are
+    numbered in a written table, so that a task that runs twice gives them the same number, and only
+    numbers and tokens are shuffled until the texts are put together again.
     """
-    lookup = store(
-        dictionary.groupBy(F.lower("word").alias("_word")).agg(F.max("phonemes").alias("_phonemes")),
-        "dictionary",
+    best = dictionary.groupBy(F.lower("word").alias("word")).agg(F.max("phonemes").alias("value"))
+    entries = store(best.where("word IS NOT NULL AND value IS NOT NULL"), "dictionary")
+    tokens = dictionary_tokens(F.col(text))
+    asked = df.select(F.explode(tokens).alias("_token")).select(F.lower("_token").alias("word"))
+    table = small_table(entries, asked)
+    kept = [F.col(f"`{c}`") for c in df.columns if c != name]
+    if table is not None:
+        held, buckets = table
+        in_row = df.select(*kept, tokens.alias("_tokens")).withColumn("_table", held)
+        spoken = F.transform(
+            "_tokens", lambda t: F.coalesce(looked_up(F.col("_table"), buckets, F.lower(t)), t)
+        )
+        return in_row.withColumn(name, F.coalesce(F.array_join(spoken, ""), F.lit(""))).drop("_tokens", "_table")
+    numbered = store(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    pieces = (
+        numbered.select("_row", F.posexplode(tokens).alias("_pos", "_token"))
+        .join(entries, F.lower("_token") == F.col("word"), "left")
+        .select("_row", F.struct("_pos", F.coalesce("value", "_token").alias("_piece")).alias("_piece"))
     )
-    numbered = df.select(
-        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_whole"),
-        F.col(text).alias("_text"),
-        F.monotonically_increasing_id().alias("_row"),
-    )
-    tokens = (
-        numbered.repartition("_row")
-        .select("_row", "_whole", F.posexplode_outer(dictionary_tokens(F.col("_text"))).alias("_pos", "_token"))
-        .withColumn("_whole", F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("_whole")))
-        .join(lookup, F.lower("_token") == F.col("_word"), "left")
-    )
-    piece = F.coalesce("_phonemes", "_token", F.lit(""))
-    spoken = F.array_join(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("_pos", piece.alias("_piece")))),
-            lambda p: p["_piece"],
-        ),
-        "",
-    )
-    joined = tokens.groupBy("_row").agg(F.first("_whole", True).alias("_whole"), spoken.alias("_spoken"))
-    kept = [F.col(f"_whole.`{c}`") for c in df.columns if c != name]
-    return joined.select(*kept, F.col("_spoken").alias(name))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("_piece")), lambda p: p["_piece"]), "")
+    spoken = pieces.groupBy("_row").agg(joined.alias("_spoken"))
+    whole = numbered.join(spoken, "_row", "left")
+    return whole.select(*kept, F.coalesce("_spoken", F.lit("")).alias(name))

@@ -12,6 +12,9 @@ from tuturan.functions.text import marker_duration, marker_language, strip_marke
 from tuturan.operators.filters import stem, with_text
 from tuturan.operators.joins import attach_durations, word_durations
 from tuturan.operators.stats import require_unique
+from tuturan.session import store
+from tuturan.sources import shards
+from tuturan.sources.inventory import list_files
 
 TAGGED = "audio_filename string, segment_timestamp string"
 PAIRED = "audio_filename string, new_text string"
@@ -35,8 +38,8 @@ SYNTHESIS_FIELDS = {
 
 
 def shard_source(file_name: Column) -> Column:
-    """Corpus name of a shard file: everything before ``-00000``."""
-    return F.split_part(file_name, F.lit("-00000"), F.lit(1))
+    """Corpus name of a shard file: what comes before its number."""
+    return shards.shard_name(file_name)
 
 
 def pick_sources(df: DataFrame, datasets: Sequence[str] | None, col: str = "source") -> DataFrame:
@@ -65,47 +68,36 @@ def tagged_corpus(tagged: DataFrame) -> DataFrame:
 def read_tagged(
     spark: SparkSession, folder: str, datasets: Sequence[str] | None = None
 ) -> DataFrame:
-    """All shards of a folder; naming corpora prunes the file list before any row is read."""
-    paths = [f"{folder}/{d}-00000*.parquet" for d in datasets] if datasets else [folder]
-    raw = spark.read.schema(TAGGED).parquet(*paths)
-    return tagged_corpus(raw.withColumn("source", shard_source(F.col("_metadata.file_name"))))
-
-
-def classify_shards(files: DataFrame, name: str = "file_name") -> DataFrame:
-    """Base name and kind (segments, words) of every shard; noise sets without a kind are skipped."""
-    full = shard_source(F.regexp_replace(F.col(name), r"\.parquet$", ""))
-    words = full.rlike("(_words|_word_timestamp)$")
-    segments = full.rlike("(_segments|_segment_timestamp)$")
-    kind = (
-        F.when(segments, "segments")
-        .when(words, "words")
-        .when(~F.contains(full, F.lit("noise")) & ~F.contains(full, F.lit("audioset")), "segments")
-    )
-    base = F.when(
-        segments, F.regexp_replace(full, "_segments|_segment_timestamp", "")
-    ).otherwise(F.when(words, F.regexp_replace(full, "_words|_word_timestamp", "")).otherwise(full))
-    return files.withColumns({"base": base, "kind": kind}).where(F.col("kind").isNotNull())
-
+    """All shards of a folder, or of the named corpora; a corpus that lacks a shard is an error.
 
-def pair_shards(files: DataFrame, name: str = "file_name") -> DataFrame:
-    """Segment shards with their word shards (null where there is none)."""
-    typed = classify_shards(files, name)
-    one = lambda kind, out: (
-        typed.where(F.col("kind") == kind).groupBy("base").agg(F.max(name).alias(out))
-    )
-    return one("segments", "segments_file").join(one("words", "words_file"), "base", "left")
+    Corpora are chosen by the table of files, before any row is read.
+    """
+    sets = shards.choose_sets(shards.shard_files(spark, folder), datasets)
+    raw = shards.read_sets(spark, folder, sets.select(F.explode("entries").alias("entry")), TAGGED)
+    return tagged_corpus(raw.withColumn("source", shards.shard_name(F.col("entry"))))
 
 
 def read_paired(
     spark: SparkSession, folder: str, datasets: Sequence[str] | None = None
 ) -> DataFrame:
-    """Segment text with durations from the word shards: one scan, one join for all corpora."""
-    raw = spark.read.schema(PAIRED).parquet(folder).select(
-        "*", F.col("_metadata.file_name").alias("file_name"), input_position().alias("_at")
-    )
-    typed = pick_sources(classify_shards(raw), datasets, "base").withColumnRenamed("base", "source")
-    segments = paired_segments(typed.where("kind = 'segments'"), keep=("source",))
-    words = word_durations(typed.where("kind = 'words'"), order=F.col("_at"), by=("source",))
+    """Segment text with durations from the word shards.
+
+    Sets of shards are paired by the name of their corpus, noise sets left out first; each may have
+    any number of shards. Both sides of all pairs are one scan each and meet in one join.
+    """
+    sets = shards.shard_sets(shards.shard_files(spark, folder))
+    pairs = pick_sources(shards.pair_sets(shards.require_complete(sets)), datasets, "base")
+    pairs = store(pairs, "pairs")  # one row a corpus, asked four times
+    segment_files = pairs.select("base", F.explode("segments").alias("entry"))
+    word_files = pairs.select("base", F.explode("words").alias("entry"))
+
+    def rows(entries: DataFrame, also: Sequence[Column] = ()) -> DataFrame:
+        read = shards.read_sets(spark, folder, entries, PAIRED, also)
+        return read.join(entries.withColumnRenamed("base", "source"), "entry")
+
+    segments = paired_segments(rows(segment_files), keep=("source",))
+    timed = rows(word_files, [input_position()])
+    words = word_durations(timed, order=F.col("_also0"), by=("source",))
     return attach_durations(segments, words, ("source", "audio_filename"))
 
 
@@ -230,14 +222,8 @@ def read_conversations(spark: SparkSession, path: str, audio: str = "audio") ->
 
 
 def audio_inventory(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Path and size of every audio file; the contents are not read."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .load(folder)
-    )
-    return files.select("path", "length")
+    """Path and size of every audio file, listed by the executors; the contents are not read."""
+    return list_files(spark, folder, pattern)
 
 
 def audio_headers(
