@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from contract.base import (
-    ACCENTED,
     CORPUS,
     DATASETS,
     HEARD,
