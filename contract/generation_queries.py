@@ -346,6 +346,52 @@ def str2_append(spark, d):
     return kept.select((F.col("doc_id") % 2 == 0).alias("early"), joins.text_key(F.col("text")).alias("text_key"))
 
 
+TEXT_KEY = "lower(trim(text, ' \n'))"
+DAY = "INTERVAL 20 DAYS"  # between two triggers
+
+
+def dated_triggers(spark, d, triggers):
+    """A trigger for each part of the documents, twenty days apart; texts are kept for thirty."""
+    folder, output, checkpoint = (scratch_path(spark, n) for n in ("dated", "unseen", "progress"))
+    docs = table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % triggers).alias("part"))
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.col("part").cast("int") * F.expr(DAY)
+    dated = docs.withColumn("at", at)
+    for k in range(triggers):
+        dated.where(F.col("part") == k).drop("part").write.mode("append").json(folder)
+        stream = incremental.new_files(spark, folder, "doc_id bigint, text string, at timestamp")
+        incremental.append_unseen_for(stream, output, checkpoint, ["doc_id"], "at", "30 DAYS").awaitTermination()
+    return output
+
+
+def dated_sql(triggers: int) -> str:
+    """Only what the trigger before has written is still remembered."""
+    steps = []
+    for k in range(triggers):
+        fresh = f"SELECT min(doc_id) AS doc_id, {TEXT_KEY} AS text_key FROM documents WHERE doc_id % {triggers} = {k}"
+        known = f" AND {TEXT_KEY} NOT IN (SELECT text_key FROM t{k - 1})" if k else ""
+        steps.append(f"t{k} AS ({fresh}{known} GROUP BY 2)")
+    return ", ".join(steps)
+
+
+@query(
+    "str2_forgotten_texts",
+    f"WITH {dated_sql(3)} " + " UNION ALL ".join(f"SELECT doc_id, text_key, {k} AS batch FROM t{k}" for k in range(3)),
+)
+def str2_forgotten(spark, d):
+    """A text of the first trigger is new again in the third, one of the second is not."""
+    kept = spark.read.parquet(f"{dated_triggers(spark, d, 3)}/rows")
+    return kept.select("doc_id", joins.text_key(F.col("text")).alias("text_key"), F.col("batch").cast("int").alias("batch"))
+
+
+@query(
+    "str2_state_size",
+    f"WITH {dated_sql(5)} SELECT 3 AS batch, CAST(count(*) AS BIGINT) AS digests FROM t3 UNION ALL SELECT 4, CAST(count(*) AS BIGINT) FROM t4",
+)
+def str2_state(spark, d):
+    """After five triggers the digests of the last two are held."""
+    return incremental.remembered(spark, dated_triggers(spark, d, 5)).withColumn("batch", F.col("batch").cast("int"))
+
+
 @query(
     "str3_running_totals",
     f"WITH {CORPUS} SELECT source, CAST(count(*) AS BIGINT) AS samples, round(sum(duration), 4) AS total_duration, round(sum(duration) / 60, 4) AS minutes FROM corpus GROUP BY source",

@@ -839,6 +839,24 @@ def agg15(spark, d):
     return rounded(stats.success_rate(filters.validate_samples(flawed_records(spark, d), "/data")))
 
 
+@query(
+    "agg15_skip_report",
+    """WITH c AS (SELECT CASE WHEN doc_id % 4 = 0 THEN 'missing audio path' WHEN doc_id % 4 = 1 THEN 'empty transcription'
+  WHEN doc_id % 4 = 2 THEN 'bad duration' END AS reason, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY 1)
+SELECT reason, n, round(n * CAST(100 AS DOUBLE) / sum(n) OVER (), 4) AS percent, CAST(sum(n) OVER () AS BIGINT) AS total,
+  CAST(sum(n) FILTER (reason IS NULL) OVER () AS BIGINT) AS valid,
+  round(sum(n) FILTER (reason IS NULL) OVER () * CAST(100 AS DOUBLE) / sum(n) OVER (), 4) AS success_percent,
+  CASE WHEN reason IS NULL THEN 0 ELSE n END AS n_written, reason IS NOT NULL AS has_files FROM c""",
+)
+def agg15_report(spark, d):
+    """Every reason with its rows, and the same rows found in the error output."""
+    checked = filters.validate_samples(flawed_records(spark, d), "/data")
+    good, bad = scratch_path(spark, "good"), scratch_path(spark, "bad")
+    writers.write_with_errors(checked, good, bad)
+    report = stats.skip_report(checked, written=writers.read_errors(spark, bad, readers.MANIFEST))
+    return rounded(report.withColumn("has_files", F.col("files") > 0).drop("files"))
+
+
 @query(
     "agg16_estimated_hours",
     "SELECT lang AS language, coalesce(sum(n_chars) FILTER (doc_id % 2 = 0), 0) / CAST(15 AS DOUBLE) AS hours FROM documents GROUP BY lang",

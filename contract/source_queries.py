@@ -8,7 +8,7 @@ from contract.base import CORPUS, TAGGED, corpus, query, sql_squeeze, table, tag
 from tuturan.functions.expr import squeeze
 from tuturan.operators import filters
 from tuturan.session import scratch_path
-from tuturan.sources import inventory, readers, shards, writers
+from tuturan.sources import inventory, readers, rejects, shards, writers
 
 SOURCE_OF_FILE = "concat(source, '-00000-of-00001.parquet')"
 
@@ -179,6 +179,59 @@ def src5(spark, d):
     return readers.read_manifest(spark, path)
 
 
+BROKEN = {1: "{broken", 2: '{"audio_filepath": "x", "duration": "long"}', 3: "12"}
+
+
+@query(
+    "src5_rejects",
+    """SELECT source AS folder, CASE doc_id % 7 WHEN 2 THEN 'value of another type' ELSE 'not JSON' END AS reason,
+  CASE doc_id % 7 WHEN 1 THEN '{broken' WHEN 2 THEN '{"audio_filepath": "x", "duration": "long"}' ELSE '12' END AS record,
+  CAST(count(*) AS BIGINT) AS n, CAST(NULL AS BIGINT) AS valid FROM documents WHERE doc_id % 7 IN (1, 2, 3) GROUP BY ALL
+UNION ALL SELECT source, NULL, NULL, NULL, CAST(count(*) AS BIGINT) FROM documents GROUP BY source""",
+)
+def src5_rejects(spark, d):
+    """Every document has a good line; three of seven have a broken one after it."""
+    rows = corpus(spark, d)
+    good = F.to_json(F.struct(F.col("audio_filename").alias("audio_filepath"), "text", "duration"))
+    broken = F.lit(None).cast("string")
+    for k, line in BROKEN.items():
+        broken = F.when(F.col("doc_id") % 7 == k, line).otherwise(broken)
+    path = scratch_path(spark, "manifest")
+    lines = rows.select(F.concat_ws("\n", good, broken).alias("value"), "source")
+    lines.write.partitionBy("source").text(path)
+    checked = rejects.checked_json(spark, path, readers.MANIFEST)
+    out, bad = scratch_path(spark, "good"), scratch_path(spark, "bad")
+    counted = rejects.write_checked(checked, out, bad)
+    read = spark.read.schema("file string, reason string, record string").json(bad)
+    folder = F.regexp_extract("file", "source=([^/]+)/", 1).alias("folder")
+    by_record = read.groupBy(folder, "reason", "record").agg(F.count(F.lit(1)).alias("n"))
+    totals = counted.groupBy(folder, "reason").agg(F.sum("n").alias("n_of_reason"))
+    told = by_record.join(totals, ["folder", "reason"]).withColumn("valid", F.lit(None).cast("bigint"))
+    valid = readers.read_manifest(spark, out, readers.MANIFEST + ", source string").groupBy(F.col("source").alias("folder")).agg(F.count(F.lit(1)).alias("valid"))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    return told.select("folder", "reason", "record", "n", "valid").unionByName(
+        valid.select("folder", none("string", "reason"), none("string", "record"), none("bigint", "n"), "valid")
+    )
+
+
+@query(
+    "src4_csv_records",
+    "SELECT c_name AS person, c_mktsegment AS text, c_custkey AS index, c_acctbal AS duration FROM customer WHERE c_custkey % 10 <> 3",
+)
+def src4_csv(spark, d):
+    """Typed records; every tenth row has a word for its number and is left out."""
+    rows = table(spark, d, "customer").select(
+        F.col("c_name").alias("person"),
+        F.col("c_mktsegment").alias("text"),
+        F.when(F.col("c_custkey") % 10 == 3, "none").otherwise(F.col("c_custkey").cast("string")).alias("index"),
+        F.col("c_acctbal").alias("duration"),
+    )
+    path = scratch_path(spark, "records")
+    rows.write.option("header", "true").csv(path)
+    fields = {"person": "string", "text": "string", "index": "bigint", "duration": "double"}
+    return readers.read_csv_records(spark, path, fields)
+
+
 def keyed_files(spark, d):
     docs = table(spark, d, "documents")
     name = F.concat(F.lit("utt"), F.col("doc_id").cast("string"))

@@ -69,6 +69,35 @@ def success_rate(df: DataFrame, error: str = "error") -> DataFrame:
     )
 
 
+def skip_report(df: DataFrame, error: str = "error", written: DataFrame | None = None) -> DataFrame:
+    """Rows by reason, valid ones with a null reason, and the totals beside each: ``reason``, ``n``,
+    ``percent``, ``total``, ``valid`` and ``success_percent``, from one grouping.
+
+    With ``written``, the error output as it was read back with the same column and ``file``,
+    ``n_written`` rows in ``files`` files tell whether every skipped row can be found there.
+    """
+    counts = df.groupBy(F.col(error).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    every = Window.partitionBy(F.lit(0))  # one row for each reason
+    total = F.sum("n").over(every)
+    valid = F.coalesce(F.sum(F.when(F.col("reason").isNull(), F.col("n"))).over(every), F.lit(0))
+    report = counts.withColumns({"total": total, "valid": valid}).withColumns(
+        {
+            "percent": F.col("n") * 100.0 / F.col("total"),
+            "success_percent": F.col("valid") * 100.0 / F.col("total"),
+        }
+    )
+    columns = ["reason", "n", "percent", "total", "valid", "success_percent"]
+    if written is None:
+        return report.select(*columns)
+    # files first: a reason may lie in very many
+    by_file = written.groupBy(F.col(error).alias("reason"), "file").agg(F.count(F.lit(1)).alias("n"))
+    found = by_file.groupBy("reason").agg(F.sum("n").alias("n_written"), F.count(F.lit(1)).alias("files"))
+    none = F.lit(0).cast("bigint")
+    return report.join(found, "reason", "left").select(
+        *columns, F.coalesce("n_written", none).alias("n_written"), F.coalesce("files", none).alias("files")
+    )
+
+
 def repetition_rate(df: DataFrame, by: Sequence[str] = (), text: str = "text") -> DataFrame:
     """Texts, looping texts and their percentage, over all rows or per group."""
     flagged = df.select(*by, detect_repetition(F.col(text))["flagged"].alias("flagged"))

@@ -13,7 +13,7 @@ from tuturan.operators.filters import stem, with_text
 from tuturan.operators.joins import attach_durations, word_durations
 from tuturan.operators.stats import require_unique
 from tuturan.session import store
-from tuturan.sources import shards
+from tuturan.sources import rejects, shards
 from tuturan.sources.inventory import list_files
 
 TAGGED = "audio_filename string, segment_timestamp string"
@@ -137,14 +137,17 @@ def read_json_records(
     return raw.select(F.inline(F.coalesce("results", single)))
 
 
-def read_csv_records(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", "true").csv(path)
+def read_csv_records(spark: SparkSession, path: str, fields: dict[str, str] | None = None) -> DataFrame:
+    """CSV with a header: all columns as text or, with ``fields``, typed rows without the malformed ones."""
+    if fields is None:
+        return spark.read.option("header", "true").csv(path)
+    return rejects.accepted(rejects.checked_csv(spark, path, ", ".join(f"{n} {k}" for n, k in fields.items())))
 
 
 def read_manifest(
     spark: SparkSession, path: str | Sequence[str], schema: str = MANIFEST
 ) -> DataFrame:
-    """JSON lines; blank lines are ignored and broken ones skipped."""
+    """JSON lines; blank lines are ignored and broken ones skipped. ``rejects.checked_json`` has these."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 

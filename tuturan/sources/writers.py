@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def manifest_rows(df: DataFrame, base: str, file: str = "audio_filename") -> DataFrame:
@@ -45,6 +45,12 @@ def write_with_errors(df: DataFrame, good: str, bad: str, error: str = "error")
     df.where(F.col(error).isNotNull()).write.json(bad)
 
 
+def read_errors(spark: SparkSession, bad: str, schema: str) -> DataFrame:
+    """What ``write_with_errors`` put aside, with ``error`` and ``file``, its place."""
+    raw = spark.read.schema(f"{schema}, error string").json(bad)
+    return raw.select("*", F.col("_metadata.file_name").alias("file"))
+
+
 def dictionary_lines(df: DataFrame) -> DataFrame:
     """``WORD phonemes`` lines in word order."""
     line = F.concat(F.upper("word"), F.lit(" "), F.col("phonemes"))

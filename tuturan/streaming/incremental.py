@@ -79,6 +79,79 @@ def append_unseen(
     )
 
 
+def append_unseen_for(
+    stream: DataFrame,
+    output: str,
+    checkpoint: str,
+    order: list[str],
+    event_time: str,
+    keep_for: str = "30 days",
+    text: str = "text",
+) -> StreamingQuery:
+    """Append the texts that were not written within the last ``keep_for`` of event time.
+
+    A text is forgotten once the newest row seen is ``keep_for`` younger than it was when written,
+    and may then be written again. The memory is one folder of digests for each trigger; those whose
+    texts are all forgotten are removed, so what is kept on disk and compared in a trigger is bounded
+    by the texts of one such span. A trigger that is repeated after a failure looks only at earlier
+    ones and replaces its own folders. Of equal texts in a trigger the first by ``order`` stays; rows
+    without an event time are compared and written but never remembered.
+    """
+    rows, digests, clocks = f"{output}/rows", f"{output}/digests", f"{output}/clock"
+
+    def save(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        own = batch.agg(F.max(event_time).alias("clock"))
+        if _exists(spark, clocks):
+            earlier = spark.read.parquet(clocks).where(F.col("batch") < number).select("clock")
+            own = own.unionByName(earlier).agg(F.max("clock").alias("clock"))
+        numbered = own.withColumn("batch", F.lit(number).cast("bigint"))
+        numbered.coalesce(1).write.mode("overwrite").parquet(f"{clocks}/side={number % 2}")
+        now = spark.read.parquet(f"{clocks}/side={number % 2}").select("clock")
+        horizon = now.select(F.col("clock") - F.expr(f"INTERVAL {keep_for}")).scalar()
+
+        fresh = first_per_key(batch, text_key(F.col(text)), order).withColumn("_key", text_digest(F.col(text)))
+        known = _exists(spark, digests)
+        if known:
+            held = spark.read.parquet(digests).where((F.col("batch") < number))
+            fresh = fresh.join(held.where(F.col("at") > horizon).select("_key"), "_key", "left_anti")
+        fresh.drop("_key").write.mode("overwrite").parquet(f"{rows}/batch={number}")
+        written = spark.read.parquet(f"{rows}/batch={number}")
+        kept = written.select(text_digest(F.col(text)).alias("_key"), F.col(event_time).alias("at"))
+        kept.where("at IS NOT NULL").write.mode("overwrite").parquet(f"{digests}/batch={number}")
+        if known:
+            last = held.groupBy("batch").agg(F.max("at").alias("at")).where(F.col("at") <= horizon)
+            for old in last.select("batch").collect():  # the folders of a span, a row each
+                _remove(spark, f"{digests}/batch={old['batch']}")
+
+    return (
+        stream.writeStream.option("checkpointLocation", checkpoint)
+        .foreachBatch(save)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def remembered(spark: SparkSession, output: str) -> DataFrame:
+    """Digests that ``append_unseen_for`` holds, by trigger."""
+    return spark.read.parquet(f"{output}/digests").groupBy("batch").agg(F.count(F.lit(1)).alias("digests"))
+
+
+def _path(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path, files = _path(spark, folder)
+    return files.exists(path)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path, files = _path(spark, folder)
+    files.delete(path, True)
+
+
 def running_totals(stream: DataFrame, by: str = "source") -> DataFrame:
     """Samples, seconds and minutes so far."""
     return stream.groupBy(by).agg(
