@@ -15,16 +15,18 @@ from tuturan.functions.numbers import normalize_numbers
 from tuturan.functions.text import contains_non_latin, is_valid_text, preprocess_zh, remove_emoji
 from tuturan.operators.filters import (
     Stage,
+    absolute_path,
     attrition,
     drop_reason,
     duration_between_if_known,
     with_text,
 )
-from tuturan.operators.joins import concatenate, spot_check
+from tuturan.operators.joins import concatenate, match_utterances, spot_check
 from tuturan.operators.ranks import seeded_sample, shuffle_rows, stratified_split
 from tuturan.operators.stats import corpus_statistics
 from tuturan.session import store
-from tuturan.sources.readers import pick_sources, read_paired
+from tuturan.sources.inventory import path_exists
+from tuturan.sources.readers import pick_sources, read_audio_paths, read_paired, read_transcripts
 from tuturan.sources.writers import manifest_rows, write_manifest
 
 TRAIN_SUBSETS = ["train_phase1", "train_phase2"]
@@ -223,6 +225,69 @@ def route_subsets(df: DataFrame, key: Sequence[str], subset: str = "subset", see
     return split.unionByName(routed.where("split <> 'train'").select(*split.columns))
 
 
+def read_subsets(
+    spark: SparkSession, folder: str, subsets: Sequence[str], max_samples: int | None = None, seed: int = 42
+) -> DataFrame:
+    """Utterances of the subsets that are there, with text and audio path; of each at most
+    ``max_samples``, by a seeded sample. A subset is a folder with ``text`` and ``wav.scp``."""
+    parts = []
+    for subset in subsets:  # a handful, by name
+        text, wav = f"{folder}/{subset}/text", f"{folder}/{subset}/wav.scp"
+        if path_exists(spark, text) and path_exists(spark, wav):
+            matched = match_utterances(read_transcripts(spark, text), read_audio_paths(spark, wav))
+            parts.append(matched.withColumn("subset", F.lit(subset)))
+    if not parts:
+        raise ValueError(f"none of {list(subsets)} in {folder}")
+    matched = concatenate(parts)
+    if max_samples is None:
+        return matched
+    return seeded_sample(matched, max_samples, ["utt_id"], ["subset"], seed, unique_key=True)
+
+
+def build_keyed_corpus(
+    spark: SparkSession,
+    folder: str,
+    output: str,
+    base: str,
+    audio: DataFrame,
+    subsets: Sequence[str] = (*TRAIN_SUBSETS, *VAL_SUBSETS, *TEST_SUBSETS),
+    low: float = 0.1,
+    high: float = 30.0,
+    normalize: bool = True,
+    max_samples: int | None = None,
+    seed: int = 42,
+) -> DataFrame:
+    """A whole run: chosen subsets → limit of each → existence → filter, normalise → route → manifests.
+
+    ``audio`` has the ``path`` of every file that exists and its ``duration``, null where it cannot be
+    read. ``output`` gets ``train``, ``val`` and ``test`` manifests, ``skipped`` (utterances by subset
+    and reason) and ``statistics`` by split and subset, which are returned as written.
+    """
+    chosen = read_subsets(spark, folder, subsets, max_samples, seed)
+    placed = chosen.withColumn("path", absolute_path(F.col("audio_path"), base))
+    known = audio.select("path", "duration", F.lit(True).alias("_there"))
+    timed = store(placed.join(known, "path", "left"), "timed")
+    ready = preprocess_zh(F.col("text")) if normalize else F.col("text")
+    stages = [
+        Stage("missing audio", F.col("_there")),
+        Stage("unreadable audio", F.col("duration").isNotNull()),
+        Stage("empty text", ~is_blank(F.col("text"))),
+        Stage("duration", F.col("duration").between(low, high)),
+        Stage("empty after normalisation", strip(ready) != ""),
+    ]
+    reasons = timed.withColumn("reason", drop_reason(stages)).where("reason IS NOT NULL")
+    skipped = reasons.groupBy("subset", "reason").agg(F.count(F.lit(1)).alias("n"))
+    skipped.write.json(f"{output}/skipped")
+    kept = prepare_keyed_corpus(timed.where("_there"), low, high, normalize)
+    routed = store(route_subsets(store(kept, "kept"), ["utt_id"], seed=seed), "routed")
+    for side in ("train", "val", "test"):
+        own = routed.where(F.col("split") == side).select(F.col("path").alias("audio_filepath"), "text", "duration")
+        write_manifest(own, f"{output}/{side}")
+    statistics = corpus_statistics(routed, ["split", "subset"])
+    statistics.write.json(f"{output}/statistics")
+    return spark.read.schema(statistics.schema).json(f"{output}/statistics")
+
+
 def merge_manifests(
     parts: Sequence[DataFrame | None], key: Sequence[str] = ("audio_filepath",), seed: int | None = None
 ) -> DataFrame:

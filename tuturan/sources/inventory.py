@@ -29,6 +29,11 @@ def qualified(spark: SparkSession, folder: str) -> str:
     return files.makeQualified(path).toString().rstrip("/")
 
 
+def path_exists(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def _opened(uri: str):
     """File system and place of a URI that pyarrow knows."""
     from pyarrow import fs

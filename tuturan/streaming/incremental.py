@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tuturan.operators.joins import not_yet_written, text_digest, text_key
 from tuturan.operators.ranks import first_per_key
+from tuturan.sources.inventory import path_exists
 
 
 def new_files(
@@ -102,7 +103,7 @@ def append_unseen_for(
     def save(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         own = batch.agg(F.max(event_time).alias("clock"))
-        if _exists(spark, clocks):
+        if path_exists(spark, clocks):
             earlier = spark.read.parquet(clocks).where(F.col("batch") < number).select("clock")
             own = own.unionByName(earlier).agg(F.max("clock").alias("clock"))
         numbered = own.withColumn("batch", F.lit(number).cast("bigint"))
@@ -111,9 +112,9 @@ def append_unseen_for(
         horizon = now.select(F.col("clock") - F.expr(f"INTERVAL {keep_for}")).scalar()
 
         fresh = first_per_key(batch, text_key(F.col(text)), order).withColumn("_key", text_digest(F.col(text)))
-        known = _exists(spark, digests)
+        known = path_exists(spark, digests)
         if known:
-            held = spark.read.parquet(digests).where((F.col("batch") < number))
+            held = spark.read.parquet(digests).where(F.col("batch") < number)
             fresh = fresh.join(held.where(F.col("at") > horizon).select("_key"), "_key", "left_anti")
         fresh.drop("_key").write.mode("overwrite").parquet(f"{rows}/batch={number}")
         written = spark.read.parquet(f"{rows}/batch={number}")
@@ -137,19 +138,9 @@ def remembered(spark: SparkSession, output: str) -> DataFrame:
     return spark.read.parquet(f"{output}/digests").groupBy("batch").agg(F.count(F.lit(1)).alias("digests"))
 
 
-def _path(spark: SparkSession, folder: str):
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _exists(spark: SparkSession, folder: str) -> bool:
-    path, files = _path(spark, folder)
-    return files.exists(path)
-
-
 def _remove(spark: SparkSession, folder: str) -> None:
-    path, files = _path(spark, folder)
-    files.delete(path, True)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def running_totals(stream: DataFrame, by: str = "source") -> DataFrame:
