@@ -35,7 +35,6 @@ LONG_WORD = 64  # longer ones are not remembered
 BLOCK = 65_536  # characters of a stored block
 CHUNK = 1 << 20  # characters worked on at once, where words allow
 
-_ONE = (1,)
 _RUN = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -72,13 +71,15 @@ class PrefixCounter:
         self.score = {model.id_to_piece(i): model.get_score(i) for i in ids}
         self.longest = max(map(len, self.score))
         self.cuts = not any(SPACE in p.lstrip(SPACE) or "\n" in p[1:] + p[:-1] for p in self.score)
-        # neighbours that some piece joins, and the lengths of pieces by their last two characters
+        # neighbours that some piece joins, and the lengths of pieces by their last three characters
         self.joined = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
         ends: dict[str, set[int]] = {}
         for piece in self.score:
-            if len(piece) > 1:
-                ends.setdefault(piece[-2:], set()).add(len(piece))
-        self.sizes = {end: (*sorted(found, reverse=True), 1) for end, found in ends.items()}
+            if len(piece) > 2:
+                ends.setdefault(piece[-3:], set()).add(len(piece))
+        self.sizes = {
+            end: (*sorted(found, reverse=True), *self._short_sizes(end)) for end, found in ends.items()
+        }
         self.apart: dict[tuple[str, str], bool] = {}
         self.runs: dict[str, bytes] = {}
         self.words = _Words(self.steps_of_run)
@@ -96,57 +97,66 @@ class PrefixCounter:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
+    def _short_sizes(self, end: str) -> tuple[int, ...]:
+        """Lengths up to two of what may be the last piece of a text with this end."""
+        return (2, 1) if end[-2:] in self.score and len(end) > 1 else (1,)
+
     def _stay_apart(self, before: str, piece: str) -> bool:
         """Are these two pieces, or the second alone after an empty first, what their text gives?"""
-        found = self.apart.get((before, piece))
-        if found is None:
-            if len(self.apart) >= 4 * WORDS_KEPT:
-                self.apart.clear()
-            wanted = [before, piece] if before else [piece]
-            found = self.apart[before, piece] = self.merged(before + piece) == wanted
+        if len(self.apart) >= 4 * WORDS_KEPT:
+            self.apart.clear()
+        wanted = [before, piece] if before else [piece]
+        found = self.apart[before, piece] = self.merged(before + piece) == wanted
         return found
 
     def steps_of_run(self, run: str) -> bytes:
         """The steps of a run of characters, cut where no piece joins the neighbours."""
+        if run[1:].isalpha() and len(run) <= LONG_WORD:
+            return self._known_steps(run)
         joined, start, out = self.joined, 0, []
         for end in range(1, len(run) + 1):
-            if end < len(run) and run[end - 1 : end + 1] in joined:
-                continue
-            part = run[start:end]
-            found = self.runs.get(part)
-            if found is None:
-                found = self._steps(part)
-                if len(part) <= LONG_WORD:
-                    if len(self.runs) >= WORDS_KEPT:
-                        self.runs.clear()
-                    self.runs[part] = found
-            out.append(found)
-            start = end
+            if end == len(run) or run[end - 1 : end + 1] not in joined:
+                out.append(self._known_steps(run[start:end]))
+                start = end
         return b"".join(out)
 
+    def _known_steps(self, run: str) -> bytes:
+        found = self.runs.get(run)
+        if found is None:
+            found = self._steps(run)
+            if len(run) <= LONG_WORD:
+                if len(self.runs) >= WORDS_KEPT:
+                    self.runs.clear()
+                self.runs[run] = found
+        return found
+
     def _steps(self, run: str) -> bytes:
         """The steps of a run, by one pass that looks back one piece at a time."""
-        reach, score, sizes = self.longest, self.score, self.sizes
-        last, count = [""] * (reach + 1), [0] * (reach + 1)  # by place, modulo
-        steps, ring = array("h"), reach + 1
+        score, sizes, apart = self.score, self.sizes, self.apart
+        ring = min(self.longest, len(run)) + 1  # as far back as a piece can begin
+        last, count = [""] * ring, [0] * ring  # by place, modulo
+        steps, before_total = array("h"), 0
         for end in range(1, len(run) + 1):
-            for size in sizes.get(run[end - 2 : end], _ONE) if end > 1 else _ONE:
+            tail = run[end - 3 : end] if end > 2 else run[:end]
+            for size in sizes.get(tail) or self._short_sizes(tail):
                 if size > end:
                     continue
-                piece = run[end - size : end]
-                known = piece in score
-                if not known and size > 1:
+                start = end - size
+                piece = run[start:end]
+                if size > 3 and piece not in score:
                     continue
-                at = (end - size) % ring
-                before = last[at] if end > size else ""
-                if self._stay_apart(before, piece):
-                    total = (count[at] if end > size else 0) + (1 if known else len(piece.encode()))
+                before = last[start % ring] if start else ""
+                alone = apart.get((before, piece))
+                if alone or alone is None and self._stay_apart(before, piece):
+                    total = (count[start % ring] if start else 0) + (
+                        1 if size > 1 or piece in score else len(piece.encode())
+                    )
                     break
             else:
                 raise AssertionError(f"no piece ends at {end} of {run[:40]!r}")
-            here = end % ring
-            steps.append(total - (count[(end - 1) % ring] if end > 1 else 0))
-            last[here], count[here] = piece, total
+            last[end % ring], count[end % ring] = piece, total
+            steps.append(total - before_total)
+            before_total = total
         return steps.tobytes()
 
     def _chunk(self, text: str) -> bytes:
