@@ -1,9 +1,10 @@
 """Dictionary lookup where the rows lie: no text is shuffled.
 
-A dictionary that proves small becomes one value, an array of small maps addressed by the hash of a
-word, which every task holds; the words of a text are looked up inside its row. One that is larger is
-first cut down to the words that the texts use (distinct words are counted in the tasks before they
-meet). What is larger still is for a join of exploded words.
+A dictionary that proves small becomes one value, an array of strings addressed by the hash of a
+word, each holding the few words of its bucket with their values between control characters. Every
+task holds it, and the words of a text are looked up inside their row. A dictionary that is larger
+is first cut down to the words that the texts use (distinct words meet after they were made distinct
+in the tasks). What is larger still is for a join of exploded words.
 """
 
 from __future__ import annotations
@@ -13,15 +14,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tuturan.session import store
 
 TABLE_BYTES = 24 << 20  # of a dictionary that every task holds
-ENTRY_BYTES = 48  # of an entry besides its characters
-ENTRIES_A_BUCKET = 2
+ENTRY_BYTES = 16  # of an entry besides its characters
+ENTRIES_A_BUCKET = 8
+OPEN, CLOSE = "\x01", "\x02"  # before a word, and between it and its value
 
 
-def measured(entries: DataFrame) -> tuple[int, int]:
-    """Rows and bytes of a written table of ``word`` and ``value``."""
+def _measured(entries: DataFrame) -> tuple[int, int, bool]:
+    """Rows and bytes of a written table of ``word`` and ``value``, and whether it holds no mark."""
     size = F.octet_length("word") + F.octet_length("value") + ENTRY_BYTES
-    n, total = entries.agg(F.count(F.lit(1)), F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()
-    return n, total
+    marked = F.concat("word", "value").rlike(f"[{OPEN}{CLOSE}]")
+    n, total, marks = entries.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(size.cast("bigint")), F.lit(0)), F.count_if(marked)
+    ).first()
+    return n, total, marks == 0
 
 
 def used_entries(entries: DataFrame, words: DataFrame) -> DataFrame:
@@ -30,32 +35,45 @@ def used_entries(entries: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def small_table(entries: DataFrame, words: DataFrame, limit: int = TABLE_BYTES) -> tuple[Column, int] | None:
-    """The buckets and their number as columns to use in one projection, or None beyond the limit.
+    """The buckets, a column to put into the row of a projection, and their number; None beyond the
+    limit, and for a dictionary that holds one of the two control characters.
 
     ``entries``: distinct ``word`` with a ``value``, neither null, as a written table. ``words``: all
     words that will be asked, read only where the dictionary is over the limit.
     """
-    n, size = measured(entries)
-    if size > limit:
+    n, size, plain = _measured(entries)
+    if plain and size > limit:
         entries = store(used_entries(entries, words), "used")
-        n, size = measured(entries)
-        if size > limit:
-            return None
+        n, size, plain = _measured(entries)
+    if size > limit or not plain:
+        return None
     buckets = 1 << max(4, (n // ENTRIES_A_BUCKET).bit_length())
-    spark = entries.sparkSession
-    pair = F.struct("word", "value")
-    filled = entries.groupBy(bucket_of(F.col("word"), buckets).alias("_bucket")).agg(F.collect_list(pair).alias("_pairs"))
-    every = spark.range(buckets).join(filled, F.col("id") == F.col("_bucket"), "left")
-    none = F.array().cast("array<struct<word:string,value:string>>")
-    listed = F.collect_list(F.struct("id", F.coalesce("_pairs", none).alias("_pairs")))
-    one = every.agg(F.transform(F.array_sort(listed), lambda b: F.map_from_entries(b["_pairs"])).alias("table"))
-    return store(one, "table").scalar(), buckets
+    entry = F.concat(F.lit(OPEN), "word", F.lit(CLOSE), "value")
+    filled = entries.groupBy(bucket_of(F.col("word"), buckets).alias("bucket")).agg(
+        F.concat(F.array_join(F.collect_list(entry), ""), F.lit(OPEN)).alias("held")
+    )
+    every = entries.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit("").alias("held"))
+    listed = filled.unionByName(every).groupBy("bucket").agg(F.max("held").alias("held"))
+    in_order = F.array_sort(F.collect_list(F.struct("bucket", "held")))
+    return listed.agg(F.transform(in_order, lambda b: b["held"])).scalar(), buckets
 
 
 def bucket_of(word: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
 
 
+def _mark(word: Column) -> Column:
+    return F.concat(F.lit(OPEN), word, F.lit(CLOSE))
+
+
+def is_known(table: Column, buckets: int, word: Column) -> Column:
+    """Does the dictionary hold a word? ``table`` is a column of the row."""
+    found = F.contains(F.get(table, bucket_of(word, buckets)), _mark(word))
+    return found & ~F.contains(word, F.lit(CLOSE))
+
+
 def looked_up(table: Column, buckets: int, word: Column) -> Column:
     """The value of a word, null where it has none. ``table`` is a column of the row."""
-    return F.try_element_at(F.get(table, bucket_of(word, buckets)), word)
+    held = F.get(table, bucket_of(word, buckets))
+    after = F.call_function("substring_index", held, _mark(word), F.lit(-1))
+    return F.when(is_known(table, buckets, word), F.substring_index(after, OPEN, 1))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tuturan.functions.expr import words_of
 from tuturan.functions.language import dictionary_tokens, vocabulary_words
 from tuturan.functions.text import char_class
-from tuturan.operators.lookup import looked_up, small_table
+from tuturan.operators.lookup import is_known, looked_up, small_table
 from tuturan.session import store
 
 # The supplementary ideographs are meant as a block of five-digit code points; a four-digit reading
@@ -116,7 +116,7 @@ def vocabulary_coverage(
     else:
         held, buckets = table
         in_row = df.select(key, language, tokens.alias("_tokens")).withColumn("_table", held)
-        missing = F.filter("_tokens", lambda t: looked_up(F.col("_table"), buckets, t).isNull())
+        missing = F.filter("_tokens", lambda t: ~is_known(F.col("_table"), buckets, t))
         counts = in_row.select(
             key,
             language,
