@@ -36,18 +36,53 @@ def test_every_block_keeps_its_deadline(spark):
 
 
 def test_shares_deviate_by_less_than_a_block(spark):
-    """Until the first source ends, counted in blocks with the shares of a full cycle."""
+    """Until the first source ends, from the weights as they were given."""
     got, _ = mixture(spark, [400, 400, 400], {"s1": 3, "s2": 1})
     got["source"] = got["source"].fillna("")
     last = int(got.groupby("source")["position"].max().min())
     by_spot = {r.position: r.source for r in got.itertuples()}
     assert all(p in by_spot for p in range(last + 1))
-    shares = {"": 51, "s1": 154, "s2": 51}
-    for s, a in shares.items():
+    for s, a in {"": 1, "s1": 3, "s2": 1}.items():
         taken = 0
         for p in range(last + 1):
             taken += by_spot[p] == s
-            assert abs(taken - (p + 1) * a / 256) < 1, (s, p)
+            assert abs(taken - (p + 1) * a / 5) < 1, (s, p)
+
+
+@pytest.mark.parametrize(
+    "weights, slots",
+    [([3, 1, 1], 240 * 256), ([1000, 1], 30_000), ([6, 4], 5000), (list(range(1, 21)), 300 * 210), ([7919, 7907, 1], 40_000)],
+)
+def test_long_runs_keep_the_weights_to_the_block(spark, weights, slots):
+    """Also the default weights, which are integers like given ones, only with another definition."""
+    whole = sum(weights)
+    counts = [max(1, slots * w // whole) + 3 * w for w in weights]
+    rows = [(f"=s{i}", "0", n * mixing.BLOCK) for i, n in enumerate(counts)]
+    sums = spark.createDataFrame(rows, "src string, bucket string, size long")
+    sources = mixing.write_once(mixing._sources(sums, {f"s{i}": w for i, w in enumerate(weights)}), "sources")
+    schedule = mixing.write_once(mixing._schedule(sources), "schedule")
+    blocks = None
+    for i, n in enumerate(counts):
+        own = spark.range(n).select(F.lit(i).alias("row"), F.lit(f"=s{i}").alias("src"), F.lit(0).alias("start"), F.col("id").alias("block"))
+        blocks = own if blocks is None else blocks.unionByName(own)
+    got = mixing.block_places(blocks, sources, schedule).toPandas().sort_values("position")
+    assert (got["position"].to_numpy() == np.arange(sum(counts))).all()
+    assert (got["release"] <= got["position"]).all() and (got["position"] < got["deadline"]).all()
+    last = int(got.groupby("row")["position"].max().min())
+    order, at = got["row"].to_numpy()[: last + 1], np.arange(1, last + 2)
+    assert last + 1 >= slots
+    for i, w in enumerate(weights):
+        assert (np.abs(np.cumsum(order == i) * whole - at * w) < whole).all()
+
+
+def test_weights_that_cannot_be_met_are_refused(spark):
+    rows = [(i, "x", f"s{i % 2}") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="cycle of"):
+        mixing.digest(docs, {"s0": 1_000_003, "s1": 2})
+    with pytest.raises(ValueError, match="from 1 on"):
+        mixing.digest(docs, {"s0": 0})
+    assert mixing.digest(docs, {"s0": 1_000_000, "s1": 2_000_000}).count() == 4
 
 
 def test_mixing_keeps_rows_and_columns(spark):

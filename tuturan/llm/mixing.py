@@ -1,20 +1,25 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame operations only.
 
-The documents of a source, in order of a hash of their id, are cut into blocks of equal size. In a
-cycle of ``L`` slots a source with ``a`` blocks has its ``k``-th block released at ``floor(k * L / a)``
-and due at ``ceil((k + 1) * L / a)``; in every slot the released block with the earliest deadline is
-next. Since the shares of a cycle sum to one, every deadline is met, and at every slot each source is
-less than one block from its share. The turns of a source that has ended fall away, and from the next
-cycle on the shares are those of the sources left. So a corpus of any size has at most two kinds of
-cycle per source and one more; only those are scheduled slot by slot, and the place of every block is
-arithmetic on its number. Nothing is dropped or repeated.
+The documents of a source, in order of a hash of their id, are cut into blocks of equal size. Target
+weights are integers and are used as they are: with weight ``a`` among weights that sum to ``L`` a
+source has its ``k``-th block released in slot ``floor(k * L / a)`` and due at ``ceil((k + 1) * L / a)``;
+in every slot the released block with the earliest deadline is next. Every deadline is met, so at every
+slot of a run of any length each source is less than one block from its exact share. Weights without a
+common divisor make a cycle of ``L`` slots after which all shares are met to the block, so one cycle is
+scheduled slot by slot and the place of every block is arithmetic on its number. The turns of a source
+that has ended fall away, and from the next cycle on the weights are those of the sources left: at most
+two kinds of cycle per source and one more. Nothing is dropped or repeated.
+
+Without targets the weight of a source is the square root of its size in parts of about 256, at least
+one; these integers are the targets. Given weights may make a cycle of at most ``LONGEST`` slots, else
+``ValueError``.
 
 Places within a source are prefix sums over buckets of the hash, so a source of any size is never
 in one task.
 
 A null source is a source of its own, a null text has size 1 like an empty one, a null ``doc_id``
 sorts first; rows that repeat an id lie side by side. Other columns pass, whatever their names. An
-empty table gives no rows. A source without a target gets weight 1.
+empty table gives no rows. Where targets are given, a source without one gets weight 1.
 """
 
 from __future__ import annotations
@@ -24,9 +29,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tuturan.llm.common import write_once
 
 BLOCK = 8192  # characters in a block
-CYCLE = 256  # slots in a full cycle, about; at least four for each source
+CYCLE = 256  # slots in a full cycle without targets, about; at least four for each source
+LONGEST = 16_384  # slots in a cycle of given weights
 BUCKET_ROWS = 1024
-BROADCAST_ROWS = 100_000
 
 
 def _sized(docs: DataFrame, row: Column, digits: int) -> DataFrame:
@@ -37,28 +42,36 @@ def _sized(docs: DataFrame, row: Column, digits: int) -> DataFrame:
         F.coalesce(F.char_length("text") + 1, F.lit(1)).cast("long").alias("size"),
         F.coalesce(hashed, F.lit("")).alias("hash"),
         F.col("doc_id").alias("id"),
+        F.xxhash64("text").alias("tie"),
     ).withColumn("bucket", F.substring("hash", 1, digits))
 
 
 def _sources(sums: DataFrame, targets: dict[str, int] | None) -> DataFrame:
-    """Blocks ``n`` and blocks ``a`` in a full cycle of every source, and where cycles change."""
+    """Blocks ``n`` and weight ``a``, the blocks in a full cycle, of every source, and where cycles change."""
     totals = sums.groupBy("src").agg(F.sum("size").alias("total"))
-    weight = F.floor(F.sqrt(F.col("total").cast("double"))).cast("long")
-    if targets is not None:
+    every = Window.partitionBy(F.lit(0))  # one row for each source
+    counted = totals.withColumn("n", F.expr(f"(total - 1) div {BLOCK} + 1"))
+    if targets is None:
+        weight = F.floor(F.sqrt(F.col("total").cast("double"))).cast("long")
+        weighed = counted.select(
+            "src",
+            "n",
+            weight.alias("w"),
+            F.sum(weight).over(every).alias("all_w"),
+            F.greatest(F.lit(CYCLE), 4 * F.count("src").over(every)).alias("slots"),
+        )
+        shares = weighed.select(
+            "src", "n", F.expr("greatest(1L, (2 * slots * w + all_w) div (2 * all_w))").alias("a")
+        )
+    else:
         weight = F.lit(1).cast("long")
         for name, value in targets.items():
             weight = F.when(F.col("src") == f"={name}", F.lit(int(value)).cast("long")).otherwise(weight)
-    every = Window.partitionBy(F.lit(0))  # one row for each source
-    weighed = totals.withColumn("w", weight).select(
-        "src",
-        F.expr(f"(total - 1) div {BLOCK} + 1").alias("n"),
-        "w",
-        F.sum("w").over(every).alias("all_w"),
-        F.greatest(F.lit(CYCLE), 4 * F.count("src").over(every)).alias("slots"),
-    )
-    shares = weighed.select(
-        "src", "n", F.expr("greatest(1L, (2 * slots * w + all_w) div (2 * all_w))").alias("a")
-    )
+        listed = counted.withColumn("w", weight).withColumn("ws", F.collect_list("w").over(every))
+        # Euclid's steps; ninety are enough for longs
+        divisor = """aggregate(ws, 0L, (g, w) -> aggregate(sequence(1, 90), struct(g AS x, w AS y),
+            (s, i) -> IF(s.y = 0, s, struct(s.y AS x, s.x % s.y AS y)), s -> s.x))"""
+        shares = listed.select("src", "n", F.expr(f"w div {divisor}").alias("a"))
     marks = F.array_sort(
         F.array_distinct(
             F.flatten(F.collect_list(F.expr("array(0L, n div a, n div a + 1)")).over(every))
@@ -67,6 +80,12 @@ def _sources(sums: DataFrame, targets: dict[str, int] | None) -> DataFrame:
     return shares.select("src", "n", "a", marks.alias("marks"))
 
 
+def _check_cycle(sources: DataFrame) -> None:
+    slots = sources.agg(F.sum("a")).first()[0] or 0
+    if slots > LONGEST:
+        raise ValueError(f"target weights make a cycle of {slots} slots; {LONGEST} are allowed")
+
+
 def _schedule(sources: DataFrame) -> DataFrame:
     """For every kind of cycle, the slot, release and deadline of each block of each source."""
     taken = "CASE WHEN mark < n div a THEN a WHEN mark = n div a THEN n % a ELSE 0L END"
@@ -111,17 +130,14 @@ def _schedule(sources: DataFrame) -> DataFrame:
     )
 
 
-def _bounded(small: DataFrame) -> DataFrame:
-    """A hint to broadcast a written table, where its rows are few enough."""
-    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
-
-
 def placed(docs: DataFrame, row: Column, targets: dict[str, int] | None = None) -> DataFrame:
     """``row`` of every document with its block, position, release, deadline and start in its source.
 
     ``targets`` gives integer weights by source; without them a source weighs as the square root of
     its size.
     """
+    if targets is not None and min(targets.values(), default=1) < 1:
+        raise ValueError("target weights are integers from 1 on")
     digits, room = 1, BUCKET_ROWS * 16
     rows = docs.count()
     while room < rows:
@@ -129,13 +145,14 @@ def placed(docs: DataFrame, row: Column, targets: dict[str, int] | None = None)
     narrow = _sized(docs, F.lit(0), digits)
     sums = write_once(narrow.groupBy("src", "bucket").agg(F.sum("size").alias("size")), "sums")
     sources = write_once(_sources(sums, targets), "sources")
-    schedule = _bounded(write_once(_schedule(sources), "schedule"))
-    sources = _bounded(sources)
+    if targets is not None:
+        _check_cycle(sources)
+    schedule = write_once(_schedule(sources), "schedule")
     running = Window.partitionBy("src").orderBy("bucket")
     offsets = sums.select(
         "src", "bucket", (F.sum("size").over(running) - F.col("size")).alias("before")
     )
-    inside = Window.partitionBy("src", "bucket").orderBy("hash", "id", "size")
+    inside = Window.partitionBy("src", "bucket").orderBy("hash", "id", "size", "tie")
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     blocks = (
         _sized(docs, row, digits)
@@ -143,14 +160,22 @@ def placed(docs: DataFrame, row: Column, targets: dict[str, int] | None = None)
         .join(offsets, ["src", "bucket"])
         .select("row", "src", (F.col("inside") + F.col("before")).alias("start"))
         .withColumn("block", F.expr(f"start div {BLOCK}"))
-        .join(sources, "src")
+    )
+    return block_places(blocks, sources, schedule)
+
+
+def block_places(blocks: DataFrame, sources: DataFrame, schedule: DataFrame) -> DataFrame:
+    """``row``, ``start``, ``block`` and, by arithmetic on the block's number in ``src``, its
+    ``position``, ``release`` and ``deadline``. Both tables are written, so Spark knows their bytes."""
+    numbered = (
+        blocks.join(sources, "src")
         .withColumn("cycle", F.expr("block div a"))
         .withColumn("k", F.expr("block % a"))
         .withColumn("mark", F.expr("array_max(filter(marks, m -> m <= cycle))"))
         .drop("marks")
     )
     first = F.expr("base + (cycle - mark) * busy")
-    return blocks.join(schedule, ["src", "mark", "k"]).select(
+    return numbered.join(schedule, ["src", "mark", "k"]).select(
         "row",
         "start",
         "block",
