@@ -278,6 +278,20 @@ def test_one_of_each_with_odd_rows(spark):
     assert simhash.link(docs.where("false")).count() == 0
 
 
+def test_one_of_each_keeps_a_row_of_every_group(spark):
+    """One id with texts of several groups, whatever the partitions; the least content of copies stays."""
+    far = [" ".join(f"{w}{i}" for i in range(60)) for w in ("satu", "dua", "tiga", "empat")]
+    rows = [(1, far[0], "a"), (1, far[1], "b"), (2, far[1], "c"), (2, far[2], "d"), (3, far[2], "e"), (None, far[3], "f"), (None, far[2], "g")]
+    docs = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, source string")
+    results = []
+    for n in (1, 4):
+        kept = simhash.one_of_each(docs.repartition(n, "source")).collect()
+        results.append(sorted(map(str, kept)))
+        assert sorted(r["text"] for r in kept) == sorted(far)
+        assert {(r["doc_id"], r["text"]) for r in kept} == {(1, far[0]), (1, far[1]), (2, far[2]), (None, far[3])}
+    assert results[0] == results[1]
+
+
 def test_components_of_a_long_path_and_stars(spark):
     path = [(i, i + 1) for i in range(200)]
     stars = [(1000, 1000 + k) for k in range(1, 300)]

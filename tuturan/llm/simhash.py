@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tuturan.llm.common import append_arrow, free_name, utf8, write_once
 from tuturan.llm.components import components
@@ -209,19 +209,27 @@ def link(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     )
 
 
+def _content(docs: DataFrame) -> Column:
+    """A digest of a whole row."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]
+    told = F.to_json(F.struct(*others), {"ignoreNullFields": "false"})
+    text = F.coalesce(F.concat(F.lit("="), F.col("text").cast("string")), F.lit(""))
+    return F.unhex(F.md5(F.concat(told, text)))
+
+
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents with just their own columns, of each component the one with the least id.
+    """The documents with just their own columns, one row of each component: the one with the least
+    id and, of rows that repeat it, with the least digest of their content.
 
-    Of rows that repeat a ``doc_id`` one stays; a component without any id keeps one document.
+    So no component is left without a row, also where rows of one id have different texts, and the
+    result does not depend on how the table is partitioned. A row without id is taken last.
     """
-    mark, root = free_name(docs, "near_print"), free_name(docs, "near_root")
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = write_once(with_fingerprint(chosen, "print", ["doc_id"]), "fingerprints")
-    groups = group(rows, radius)
-    first = rows.join(groups, "print").where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = groups.where("component_id is null").select(
-        F.col("print").alias(mark), F.col("root").alias(root)
-    )
-    others = with_fingerprint(docs.where("doc_id is null"), mark).join(nameless, mark)
-    return named.unionByName(others.dropDuplicates([root]).select(*docs.columns))
+    mark = free_name(docs, "near_content")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _content(docs).alias("content"))
+    rows = write_once(with_fingerprint(chosen, "print", ["doc_id", "content"]), "fingerprints")
+    groups = group(rows, radius).select("print", "root")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")
+    least = rows.join(groups, "print").groupBy("root").agg(F.min(order).alias("least"))
+    kept = write_once(least.select(F.col("least.content").alias(mark)).distinct(), "kept")
+    # rows of one content are copies
+    return docs.withColumn(mark, _content(docs)).join(kept, mark, "left_semi").dropDuplicates([mark]).drop(mark)
