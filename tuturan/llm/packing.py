@@ -16,6 +16,7 @@ ignored; an empty table gives no pieces.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ PASSES = 50  # visits of a bin by the local search of a shard
 
 PIECES = (
     "uid long, run long, file string, block long, "
-    "doc_id long, piece int, start long, length long, ids binary"
+    "doc_id long, piece int, start long, length long, ids_crc32 long"
 )
 
 
@@ -59,11 +60,17 @@ def _with_file(docs: DataFrame) -> DataFrame:
         return docs.select(*columns, F.lit("").alias("file"), F.lit(-1).cast("long").alias("block"))
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame:
-    """The pieces of every document with their ids, little-endian unsigned 32-bit.
+def token_pieces(
+    docs: DataFrame, tokenizer: str, end_id: int, size: int, keep_ids: bool = True
+) -> DataFrame:
+    """The pieces of every document with the checksum of their ids and, where they are to be kept,
+    the ids themselves, little-endian unsigned 32-bit.
 
     ``run`` is the first ``uid`` of the pieces that a task reads from one block of a file.
     """
+    kinds = {"uid": pa.int64(), "run": pa.int64(), "file": pa.string(), "block": pa.int64()}
+    kinds |= {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64()}
+    kinds |= {"ids_crc32": pa.int64()} | ({"ids": pa.binary()} if keep_ids else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, end = encoder(tokenizer).ids, np.uint32(end_id).tobytes()
@@ -74,24 +81,21 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> Dat
                 batch.column(batch.schema.get_field_index(c)).to_pylist()
                 for c in ("doc_id", "file", "block")
             )
-            rows: list[list] = [[], [], [], [], [], [], [], [], []]
+            rows: list[tuple] = []
             for key, text, file, block in zip(keys, texts(batch), files, blocks, strict=True):
                 if (file, block) != place:
                     place, first = (file, block), uid
                 ids = ids_of(text) + end
                 for k, (at, n) in enumerate(cut(len(ids) // 4, size)):
-                    own = (uid, first, file, block, key, k, at, n, ids[4 * at : 4 * (at + n)])
-                    for column, x in zip(rows, own, strict=True):
-                        column.append(x)
+                    part = ids[4 * at : 4 * (at + n)]
+                    row = (uid, first, file, block, key, k, at, n, crc32(part))
+                    rows.append((*row, part) if keep_ids else row)
                     uid += 1
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64())
-            kinds += (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, kind) for x, kind in zip(rows, kinds, strict=True)],
-                names=["uid", "run", "file", "block", "doc_id", "piece", "start", "length", "ids"],
-            )
+            columns = zip(*rows) if rows else [()] * len(kinds)
+            made = [pa.array(x, kind) for x, kind in zip(columns, kinds.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays(made, names=list(kinds))
 
-    return _with_file(docs).mapInArrow(run, PIECES)
+    return _with_file(docs).mapInArrow(run, PIECES + (", ids binary" if keep_ids else ""))
 
 
 def positions(pieces: DataFrame) -> DataFrame:
@@ -257,9 +261,12 @@ def place(pieces: DataFrame, size: int, shard: int = SHARD, rounds: int = ROUNDS
     return placed if placed is not None else spark.createDataFrame([], "uid long")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 1024):
-    """The written pieces of all documents, and the place of every piece by ``uid``."""
-    pieces = write_once(token_pieces(docs, tokenizer, end_id, size), "pieces")
+def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 1024, keep_ids: bool = True):
+    """The written pieces of all documents, and the place of every piece by ``uid``.
+
+    ``keep_ids=False`` writes checksums only, for who does not ask for ``sequences``.
+    """
+    pieces = write_once(token_pieces(docs, tokenizer, end_id, size, keep_ids), "pieces")
     return pieces, place(pieces, size)
 
 
@@ -272,8 +279,6 @@ def sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:
 
 
 def digest(pieces: DataFrame, placed: DataFrame) -> DataFrame:
-    """A row for every piece: its place, and the checksum of its ids, which are not shuffled."""
-    own = pieces.select(
-        "uid", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")
-    )
+    """A row for every piece: its place, and the checksum of its ids."""
+    own = pieces.select("uid", "doc_id", "piece", "start", "length", "ids_crc32")
     return own.join(placed, "uid").drop("uid")

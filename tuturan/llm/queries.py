@@ -50,7 +50,7 @@ def query(fn):
 @query
 def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    return packing.digest(*packing.pack(docs, tokenizer_path(), END_OF_PACKED, SEQUENCE))
+    return packing.digest(*packing.pack(docs, tokenizer_path(), END_OF_PACKED, SEQUENCE, keep_ids=False))
 
 
 @query

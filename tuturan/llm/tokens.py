@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from functools import cache
 
 import numpy as np
@@ -64,8 +65,10 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.model = self.library.model
-        self.bytes_as = {b: c for b, c in enumerate(_byte_characters())}
+        self.tokenize = self.library.model.tokenize
+        characters = _byte_characters()
+        self.bytes_as = dict(enumerate(characters))
+        self.blank, self.line_break = characters[ord(" ")], characters[ord("\n")]
         self.parts: dict[str, bytes] = {}
         self.kept = kept
         self.pieces = _Pieces(self._piece, kept)
@@ -80,16 +83,24 @@ class Encoder:
         if found is None:
             if len(self.parts) >= self.kept:
                 self.parts.clear()
-            written = part.encode().decode("latin-1").translate(self.bytes_as)
-            ids = [t.id for t in self.model.tokenize(written)]
-            found = self.parts[part] = np.asarray(ids, dtype="<u4").tobytes()
+            if part.isascii():  # of letters and marks only a blank is written otherwise
+                written = part.replace(" ", self.blank).replace("\n", self.line_break)
+            else:
+                written = part.encode().decode("latin-1").translate(self.bytes_as)
+            ids = [t.id for t in self.tokenize(written)]
+            found = self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
     def _piece(self, piece: str) -> bytes:
         m = _PLAIN.fullmatch(piece)
-        if m is None or m[1] and m[2][0] == " ":
+        if m is None:
             return self._whole(piece)
-        return b"".join([self._part(x) for x in m.groups() if x])
+        line_break, word, marks = m.groups()
+        if line_break:
+            if word[0] == " ":
+                return self._whole(piece)
+            return self._part(line_break) + self._part(word) + (self._part(marks) if marks else b"")
+        return self._part(word) + self._part(marks) if marks else self._part(word)
 
     def ids(self, text: str) -> bytes:
         if not text:
