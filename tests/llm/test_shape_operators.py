@@ -277,3 +277,54 @@ def test_a_dense_group_with_many_centroids_keeps_its_links(spark, monkeypatch):
     degree = (unit @ unit.T >= 0.95).sum(1) - 1
     print("recall", links.sum() / degree.sum())
     assert (links <= degree).all() and links.sum() >= 0.98 * degree.sum()
+
+
+LONG = "word and more text, " * 30
+BODY = f"<p>{LONG}</p><p>{LONG}</p>"
+SIDE = '<div class="sidebar"><p>short side text</p><a href="/">a link in it</a></div>'
+LAYOUTS = [
+    '<div class="site-content has-sidebar"><h1>Head</h1>{body}</div>{side}',
+    '<body class="no-sidebar"><div class="with-widget-area"><h1>Head</h1>{body}</div></body>',
+    '<article><h1>Head</h1><div class="elementor-widget elementor-widget-text-editor">{body}</div></article>',
+    '<article><h1>Head</h1><section id="search-for-meaning">{body}</section></article>',
+    '<article><h1>Head</h1><section id="share">{body}</section><div class="share"><p>Share this</p></div></article>',
+    '<div class="entry-header"><h1>Head</h1></div><div class="entry-body">{body}</div>{side}',
+    '<div class="post-header"><h1>Head</h1></div>{body}{side}',
+    '<div class="page"><div class="article-header"><h1>Head</h1></div><div class="text">{body}</div></div>',
+    '<main><div class="social-layout"><h1>Head</h1>{body}</div><aside>{side}</aside></main>',
+    '<div class="widget-page"><article><h1>Head</h1>{body}</article></div>{side}',
+    '<div id="banner-wrap"><main><h1>Head</h1>{body}</main></div>{side}',
+    '<main class="promo"><h1>Head</h1>{body}</main>{side}',
+    '<article class="post tags-news"><h1>Head</h1>{body}<div class="tags"><a href="/t">tag one</a></div></article>',
+    '<article><h1>Head</h1>{body}<div class="related-posts"><p><a href="/x">' + LONG * 3 + '</a></p></div></article>',
+    '<article><h1>Head</h1>{body}<section id="comments"><p>' + LONG * 9 + "</p></section></article>",
+    '<div class="content"><h1>Head</h1>{body}</div><div id="disqus_thread"><p>' + LONG * 9 + "</p></div>",
+    '<div class="cookie-consent"><p>We use cookies</p></div><div class="story"><h1>Head</h1>{body}</div>',
+    '<div class="siteHeader"><p>Name of site</p></div><div class="mainText"><h1>Head</h1>{body}</div><div class="siteFooter"><p>Imprint</p></div>',
+    '<header><p>Name</p></header><article><header class="entry-header"><h1>Head</h1></header>{body}<footer>By me</footer></article>',
+    '<table><tr><td class="menu"><a href="/">Home page</a></td><td class="page"><h1>Head</h1>{body}</td></tr></table>',
+    '<div hidden><p>{long}</p></div><div class="is-sticky"><h1>Head</h1>{body}</div>',
+    '<article><h1>Head</h1><div class="notice"><p>short notice</p></div>{body}</article><div class="newsletter-box"><p>Sign up now</p></div>',
+]
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_names_do_not_cost_an_article(layout):
+    page = f"<html>{layout.format(body=BODY, side=SIDE, long=LONG)}</html>"
+    assert host_paths.extract(page, []) == f"Head\n\n{LONG.strip()}\n\n{LONG.strip()}"
+
+
+def test_comments_stay_where_there_is_nothing_else():
+    page = '<div class="comments"><p>first thought</p><p>second one</p></div>'
+    assert host_paths.extract(page, []) == "first thought\n\nsecond one"
+
+
+def test_deep_markup_takes_memory_in_proportion():
+    import tracemalloc
+
+    tracemalloc.start()
+    assert host_paths.extract("<div class='a b'>" * 50_000 + "deep text", []) == "deep text"
+    assert host_paths.extract("<div class='a'>text <p>more</p>" * 5000, []).count("more") == 5000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000
