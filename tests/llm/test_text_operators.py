@@ -1,11 +1,13 @@
 """Token files, packing, rules, network, fingerprints and language models against brute force."""
 
+import random
 import re
 import zlib
 
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from tuturan.llm import dac_output, lm_difference, packing, quality_cnn, rule_trees, simhash
 from tuturan.llm.components import components
@@ -301,22 +303,78 @@ def test_components_of_a_long_path_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_language_models_count_everything_once(spark, odd):
-    labels = spark.createDataFrame([(4, 1), (7, 1), (5, 0), (None, 1)], "doc_id long, quality int")
-    flags = lm_difference.flagged(odd, labels)
-    targets = {r["doc_id"] for r in flags.where("is_target").collect()}
-    models = lm_difference.fit(flags)
-    slots = lm_difference._Slots()
-    every = np.zeros(lm_difference._PAIRS)
-    for text in [*ODD, "no id at all"]:
-        np.add.at(every, lm_difference.pair_slots(lm_difference.word_slots((text or "").encode(), slots)), 1)
-    assert np.allclose(models.counts[1][: lm_difference._PAIRS], every * models.scale[1])
-    rows = {r["doc_id"]: r for r in lm_difference.difference(odd, labels).collect()}
-    assert len(rows) == len(ODD) + 1 and rows[0]["score"] == rows[1]["score"] == 0.0 and rows[0]["n_tokens"] == 0
-    for key, text in [(4, ODD[4]), (7, ODD[7]), (8, ODD[8])]:
-        n, t, b = models.losses((text or "").encode(), slots, key in targets)
-        assert (rows[key]["n_tokens"], rows[key]["target_loss"], rows[key]["background_loss"]) == (n, t, b)
-    assert lm_difference.difference(odd.where("false"), labels.where("false")).count() == 0
+def plain_scores(rows, good):
+    """(id, tokens, target loss, background loss) with dictionaries of real words and pairs."""
+    from collections import Counter
+    from math import log
+
+    said = [(i, (t or "").encode().lower().split()) for i, t in rows]
+    picked = lambda i: i in good and zlib.crc32(str(i).encode()) % 4 != 2
+
+    def counted(words):
+        before = [None, *words[:-1]]
+        return Counter(words), Counter(before[: len(words)]), Counter(zip(before, words))
+
+    totals = [[Counter(), Counter(), Counter()] for _ in range(2)]
+    for i, words in said:
+        for k in [1] + [0] * picked(i):
+            for total, own in zip(totals[k], counted(words)):
+                total.update(own)
+    sizes = [sum(t[0].values()) for t in totals]
+    scale = [1.0, sizes[0] / sizes[1] if sizes[0] and sizes[1] else 1.0]
+    vocabulary, flat = max(1, len(totals[1][0])), 0.5 * min(1.0, scale[1])
+    out = []
+    for i, words in said:
+        own, losses = counted(words), []
+        for k in range(2):
+            less = scale[k] if k or picked(i) else 0.0
+            of = lambda j, gram: max(0.0, totals[k][j][gram] * scale[k] - less * own[j][gram])
+            size, loss = max(0.0, sizes[k] * scale[k] - less * len(words)), 0.0
+            for before, word in zip([None, *words], words):
+                single = (of(0, word) + flat) / (size + flat * vocabulary)
+                loss -= log((of(2, (before, word)) + 50.0 * single) / (of(1, before) + 50.0))
+            losses.append(loss / len(words) if words else 0.0)
+        out.append((i, len(words), *losses))
+    return out
+
+
+@pytest.mark.parametrize("sizes", [{}, {"CHUNK_BYTES": 200, "PART_BYTES": 64, "TEXT_BYTES": 16, "WORDS_KEPT": 3}])
+def test_language_models_are_those_of_plain_counts(spark, monkeypatch, sizes):
+    """In one chunk and part, and in many, with texts cut into pieces."""
+    for name, value in sizes.items():
+        monkeypatch.setattr(lm_difference, name, value)
+    rng = random.Random(8)
+    words = ["a", "B", "é", "don't", "x,", "日本", "Word"] + [f"w{i}" for i in range(30)]
+    rows = [(i, rng.choice([" ", "\n", "  "]).join(rng.choice(words) for _ in range(rng.randrange(40)))) for i in range(60)]
+    rows += [(3, rows[7][1]), (3, rows[7][1]), (None, "a b a b"), (None, None), (70, ""), (71, " \n ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("chunk", "part", "target", "background", "is_target", "score"):
+        docs = docs.withColumn(name, F.lit("own"))
+    good = set(range(0, 60, 3))
+    labels = spark.createDataFrame([(i, int(i in good)) for i in range(60)] + [(None, 1), (3, 1)], "doc_id long, quality int")
+    got = lm_difference.difference(docs.repartition(4), labels).collect()
+    told = sorted((str(r["doc_id"]), r["n_tokens"], round(r["target_loss"], 9), round(r["background_loss"], 9)) for r in got)
+    assert told == sorted((str(i), n, round(t, 9), round(b, 9)) for i, n, t, b in plain_scores(rows, good))
+    assert all(r["score"] == r["target_loss"] - r["background_loss"] for r in got)
+
+
+def test_language_models_without_targets_or_rows(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "b c d")], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in lm_difference.difference(docs, none).collect()}
+    assert abs(got[1]["target_loss"] - np.log(4)) < 1e-12  # flat over four words
+    assert lm_difference.difference(docs.where("false"), none).count() == 0
+
+
+def test_unrelated_texts_change_a_score_by_their_size_only(spark):
+    """Real words are counted, so texts of other words leave the counts of a document's words alone."""
+    base = [(i, f"good words here {i % 3}") for i in range(20)]
+    docs = spark.createDataFrame(base, "doc_id long, text string")
+    more = spark.range(1000, 1400).selectExpr("id AS doc_id", "concat('u', id, ' v', id, ' w', id) AS text")
+    labels = spark.createDataFrame([(i, 1) for i in range(10)], "doc_id long, quality int")
+    wanted = {i: (t, b) for i, _, t, b in plain_scores(base + [(r["doc_id"], r["text"]) for r in more.collect()], set(range(10)))}
+    for r in lm_difference.difference(docs.unionByName(more), labels).collect():
+        assert abs(r["target_loss"] - wanted[r["doc_id"]][0]) < 1e-9 and abs(r["background_loss"] - wanted[r["doc_id"]][1]) < 1e-9
 
 
 def test_language_model_prefers_good_documents(spark):

@@ -1,12 +1,16 @@
-"""Cross-entropy difference of two matched word-pair language models.
+"""Cross-entropy difference of two matched word-pair language models over the words there are.
 
 The target model counts the words and word pairs of documents labelled good (outside the held-out
-part), the background model those of all documents. Both use one vocabulary: a word is a slot of a
-hash (``WORD_BITS``), a pair a slot of another (``PAIR_BITS``), a model parameter that bounds what is
-broadcast; every word of every document is counted. Counts of the background are scaled to the size
-of the target, so the same smoothing means the same in both. A document's own counts are taken out
-before it is scored. Its score is the mean, over its tokens, of the target's loss less the
-background's: the lower, the more it is like the target.
+part), the background model those of all documents. Both share one vocabulary, the distinct words of
+all documents, and grow with them: a word, a context and a pair are 64-bit hashes, counted as they
+are. Counts of the background are scaled to the size of the target, so the same smoothing means the
+same in both. A document's own counts are taken out before it is scored. Its score is the mean, over
+its tokens, of the target's loss less the background's: the lower, the more it is like the target.
+
+No table of counts is broadcast. Documents are dealt into chunks of bounded bytes. A chunk asks for
+its distinct grams, cut into parts by their leading bits; each part is counted up in one task, over
+the chunks that ask, and answers with counts in the order in which it was asked. Answers and
+documents of a chunk then meet in one task. So a gram that every chunk has is one entry of each chunk.
 
 A null or empty text has no tokens and scores 0. A null ``doc_id`` is scored and never a target;
 repeated rows are counted and scored each; other columns are ignored; an empty table gives no rows.
@@ -15,198 +19,281 @@ Without target documents the target model is flat over the vocabulary.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 
-from tuturan.llm.common import append_arrow, held_out, utf8, write_once
+from tuturan.llm.common import held_out, utf8, write_once
 
-WORD_BITS, PAIR_BITS = 18, 22
 SMOOTH = 50.0  # tokens of the word model that each context counts on top of its own
-FLAT = 0.5  # added to every word slot
+FLAT = 0.5  # added to every word
 WORDS_KEPT = 400_000  # remembered words in a worker
+CHUNK_BYTES = 6 << 20  # of the texts of a chunk; a longer text is one of its own
+PART_BYTES = 6 << 20  # of text for each part of the grams, about three million entries
+TEXT_BYTES = 1 << 20  # of a text split into words at once
+
+# The lowest two bits of a gram tell its kind.
+WORD, CONTEXT, PAIR = 1, 2, 3
+BEGIN = np.uint64(0)  # hash of the beginning of a text
+_SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
+_MIX, _KIND = np.uint64(0x9E3779B97F4A7C15), np.uint64(3)
 
-_WORDS, _PAIRS = 1 << WORD_BITS, 1 << PAIR_BITS
-SLOTS = _PAIRS + 2 * _WORDS
-BLOCK = 1024  # slots whose counts travel together
-COUNTS = "block int, target binary, background binary"
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+FLAGGED = "doc_id {}, text string, is_target boolean, chunk long"
+ASKED = "part int, chunk long, grams binary, target binary, background binary"
+ANSWERED = "chunk long, part int, target binary, background binary, words long, all_target long, all_words long"
+SCORED = "doc_id {}, n_tokens long, target_loss double, background_loss double, score double"
 
 
-class _Slots(dict):
+class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh64_intdigest
 
         if len(self) >= WORDS_KEPT:
             self.clear()
-        slot = self[word] = 1 + xxh64_intdigest(word) % (_WORDS - 1)  # slot 0 begins a text
-        return slot
+        found = self[word] = xxh64_intdigest(word) or 1
+        return found
+
+
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A text in pieces that end before white space."""
+    start = 0
+    while space := _SPACE.search(text, start + TEXT_BYTES):
+        yield text[start : space.start()]
+        start = space.start()
+    yield text[start:]
+
 
+def word_hashes(text: bytes, known: _Words) -> np.ndarray:
+    """The hashes of the words of a text, behind the one of its beginning."""
+    parts = [np.array([BEGIN])]
+    for piece in _pieces(text):
+        words = piece.lower().split()
+        parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+    return np.concatenate(parts)
 
-def word_slots(text: bytes, slots: _Slots) -> np.ndarray:
-    """The slots of the words of a text, behind the one of its beginning."""
-    return np.array([0, *map(slots.__getitem__, text.lower().split())], np.int64)
 
+def _mixed(x: np.ndarray, kind: int) -> np.ndarray:
+    x = x ^ (x >> np.uint64(32))
+    x = x * _MIX
+    x = (x ^ (x >> np.uint64(29))) * _MIX
+    return (x & ~_KIND) | np.uint64(kind)
 
-def pair_slots(words: np.ndarray) -> np.ndarray:
-    codes = (words[:-1].astype(np.uint64) << np.uint64(WORD_BITS)) | words[1:].astype(np.uint64)
-    codes *= _MIX
-    codes ^= codes >> np.uint64(29)
-    codes *= _MIX
-    return (codes >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+
+def grams(hashes: np.ndarray) -> np.ndarray:
+    """Word, context and pair of every token, in three rows."""
+    before, after = hashes[:-1], hashes[1:]
+    pair = before * np.uint64(0xC2B2AE3D27D4EB4F) + (after ^ (after >> np.uint64(31)))
+    return np.stack([_mixed(after, WORD), _mixed(before, CONTEXT), _mixed(pair, PAIR)])
 
 
 def _packed(counts: np.ndarray) -> bytes:
-    """Counts in the narrowest of four widths."""
+    """Counts in the narrowest of four widths, which the first byte tells."""
     top = int(counts.max(initial=0))
     width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
-    return counts.astype(f"<u{width}").tobytes()
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{len(data) // BLOCK}").astype(np.int64)
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
-def _counts(docs: DataFrame) -> DataFrame:
-    """Counts of all slots in blocks: pairs, then words, then contexts; target and background.
+def _batch(rows: list[tuple], schema: str, kinds: list[pa.DataType]) -> pa.RecordBatch:
+    names = [f.split()[0] for f in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names
+    )
 
-    A task counts into arrays and hands out the blocks it touched; the blocks of all tasks are
-    streamed in order of their number and summed one after another.
-    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, total = _Slots(), np.zeros((2, SLOTS), np.int64)
+def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Ids and texts, whether a document belongs to the target, and its chunk; written once.
 
-        def add(texts: list[bytes], to: np.ndarray) -> None:
-            held: list[np.ndarray] = []
-            size = 0
-            for k, text in enumerate(texts):
-                words = word_slots(text, slots)
-                held += [pair_slots(words), _PAIRS + words[1:], _PAIRS + _WORDS + words[:-1]]
-                size += len(words)
-                if size > 1 << 20 or k + 1 == len(texts):
-                    np.add.at(to, np.concatenate(held), 1)
-                    held, size = [], 0
+    The labels grow with the documents, so they are never broadcast.
+    """
+    good = labels.where(F.col("quality").eqNullSafe(1) & ~held_out()).select("doc_id").distinct()
+    good = good.withColumn("is_target", F.lit(True)).hint("merge")
+    rows = docs.select("doc_id", "text").join(good, "doc_id", "left")
+    told = rows.select("doc_id", "text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
 
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, size = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            flags = batch.column(batch.schema.get_field_index("is_target")).to_pylist()
-            texts = utf8(batch)
-            add([t for t, f in zip(texts, flags, strict=True) if f], total[0])
-            add([t for t, f in zip(texts, flags, strict=True) if not f], total[1])
-        total[1] += total[0]
-        blocks = total.reshape(2, -1, BLOCK)
-        yield _blocks((int(k), blocks[:, k]) for k in np.nonzero(blocks[1].any(1))[0])
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held = None, np.zeros((2, BLOCK), np.int64)
+            own = []
+            for text in utf8(batch):
+                if size and size + len(text) > CHUNK_BYTES:
+                    chunk, size = chunk + 1, 0
+                size += len(text)
+                own.append(chunk)
+            columns = [batch.column(i) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(own, pa.int64())], names=[*names, "chunk"])
+
+    names = ["doc_id", "text", "is_target"]
+    kind = told.schema["doc_id"].dataType.simpleString()
+    return write_once(told.mapInArrow(number, FLAGGED.format(kind)), "flagged")
+
+
+def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Consecutive rows of one chunk, without that column."""
+    chunk, held = None, []
+    for batch in batches:
+        at = batch.schema.get_field_index("chunk")
+        columns = [c.to_pylist() for c in batch.columns]
+        for row in zip(*columns, strict=True):
+            if row[at] != chunk:
+                if held:
+                    yield chunk, held
+                chunk, held = row[at], []
+            held.append(row[:at] + row[at + 1 :])
+    if held:
+        yield chunk, held
+
+
+def _grams_of(texts: list[str | None], known: _Words) -> list[np.ndarray]:
+    return [grams(word_hashes((t or "").encode(), known)) for t in texts]
+
+
+def _cuts(unique: np.ndarray, bits: int) -> np.ndarray:
+    """Places in ordered grams where the parts begin, and the end."""
+    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.empty(0, np.uint64)
+    return np.concatenate([[0], np.searchsorted(unique, edges), [len(unique)]]).astype(np.int64)
+
+
+def asked(docs: DataFrame, bits: int) -> DataFrame:
+    """What every chunk asks of every part: its distinct grams in order, and how often it has them."""
+    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
+        for chunk, rows in _by_chunk(batches):
+            found = _grams_of([text for text, _ in rows], known)
+            flags = np.repeat([bool(t) for _, t in rows], [g.size for g in found])
+            every = np.concatenate([g.ravel() for g in found])
+            unique, at = np.unique(every, return_inverse=True)
+            background = np.bincount(at, minlength=len(unique))
+            target = np.bincount(at[flags], minlength=len(unique))
+            cuts, out = _cuts(unique, bits), []
+            for part, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                if b > a:
+                    out.append((part, chunk, unique[a:b].tobytes(), _packed(target[a:b]), _packed(background[a:b])))
+            yield _batch(out, ASKED, kinds)
+
+    own = docs.select("text", "is_target", "chunk").repartition("chunk").sortWithinPartitions("chunk")
+    return own.mapInArrow(run, ASKED)
+
+
+def answered(asks: DataFrame) -> DataFrame:
+    """For every ask the counts of its grams over all chunks, in its order; and for every part, with a
+    null chunk, its distinct words and the tokens of target and background."""
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+
+    def add_up(part: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        sizes = [len(g) // 8 for _, g, _, _ in held]
+        every = np.frombuffer(b"".join(g for _, g, _, _ in held), np.uint64)
+        unique, at = np.unique(every, return_inverse=True)
+        totals = []
+        for k in (2, 3):
+            counts = np.concatenate([_unpacked(row[k]) for row in held])
+            totals.append(np.bincount(at, weights=counts, minlength=len(unique)).astype(np.int64))
+        words = (unique & _KIND) == WORD
+        sums = [int(words.sum()), *(int(t[words].sum()) for t in totals)]
+        yield _batch([(None, part, None, None, *sums)], ANSWERED, kinds)
+        start = 0
+        for (chunk, *_), size in zip(held, sizes, strict=True):
+            own = at[start : start + size]
+            start += size
+            yield _batch([(chunk, part, _packed(totals[0][own]), _packed(totals[1][own]), 0, 0, 0)], ANSWERED, kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
         for batch in batches:
-            done = []
-            for k, target, background in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if k != number:
-                    if number is not None:
-                        done.append((number, held))
-                    number, held = k, np.zeros((2, BLOCK), np.int64)
-                held[0] += _unpacked(target)
-                held[1] += _unpacked(background)
-            yield _blocks(done)
-        if number is not None:
-            yield _blocks([(number, held)])
-
-    counted = docs.mapInArrow(count, COUNTS).repartition("block").sortWithinPartitions("block")
-    return counted.mapInArrow(add_up, COUNTS)
-
-
-def _blocks(rows) -> pa.RecordBatch:
-    rows = [(k, _packed(c[0]), _packed(c[1])) for k, c in rows]
-    columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
-    kinds = (pa.int32(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)],
-        names=["block", "target", "background"],
-    )
+            for own, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != part:
+                    if held:
+                        yield from add_up(part, held)
+                    part, held = own, []
+                held.append(tuple(row))
+        if held:
+            yield from add_up(part, held)
+
+    return asks.repartition("part").sortWithinPartitions("part", "chunk").mapInArrow(run, ANSWERED)
 
 
 class Models:
-    """Counts of both models in arrays of bounded size."""
-
-    def __init__(self, counts: np.ndarray):
-        words = counts[:, _PAIRS : _PAIRS + _WORDS].sum(1)
-        scale = np.array([1.0, words[0] / words[1] if words[0] and words[1] else 1.0])
-        self.counts = (counts * scale[:, None]).astype(np.float32)
-        self.scale, self.sizes = scale, words * scale
-        self.vocabulary = max(1, int(np.count_nonzero(counts[1, _PAIRS : _PAIRS + _WORDS])))
-
-    def losses(self, text: bytes, slots: _Slots, in_target: bool) -> tuple[int, float, float]:
-        """Tokens of a text and the mean loss of target and background, without its own counts."""
-        words = word_slots(text, slots)
-        n = len(words) - 1
+    """What both models know besides the counts: tokens, their scale, and the size of the vocabulary."""
+
+    def __init__(self, vocabulary: int, target: int, background: int):
+        self.scale = np.array([1.0, target / background if target and background else 1.0])
+        self.sizes = np.array([target, background]) * self.scale
+        self.vocabulary = max(1, vocabulary)
+
+    def losses(self, found: np.ndarray, counts: list[np.ndarray], in_target: bool) -> tuple[int, float, float]:
+        """Tokens of a text and its mean losses. ``found``: the numbers of its words, contexts and
+        pairs; ``counts``: how often each numbered gram occurs in target and background."""
+        n = found.shape[1]
         if not n:
             return 0, 0.0, 0.0
-        every = (pair_slots(words), _PAIRS + words[1:], _PAIRS + _WORDS + words[:-1])
-        own = []
-        for part in every:
-            _, at, times = np.unique(part, return_inverse=True, return_counts=True)
-            own.append(times[at])
+        _, at, times = np.unique(found, return_inverse=True, return_counts=True)
+        own = times[at.reshape(found.shape)]
         out = []
         for k in range(2):
             less = self.scale[k] if k or in_target else 0.0
-            pair, word, context = (
-                np.maximum(self.counts[k][part] - less * times, 0.0)
-                for part, times in zip(every, own, strict=True)
-            )
-            flat = FLAT * self.scale[1] if self.scale[1] < 1 else FLAT
+            word, context, pair = np.maximum(counts[k][found] * self.scale[k] - less * own, 0.0)
+            flat = FLAT * min(1.0, self.scale[1])
             size = max(0.0, self.sizes[k] - less * n)
             unigram = (word + flat) / (size + flat * self.vocabulary)
             out.append(float(-np.log((pair + SMOOTH * unigram) / (context + SMOOTH)).mean()))
         return n, out[0], out[1]
 
 
-def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Ids and texts, and whether a document belongs to the target; written for both passes.
-
-    The labels grow with the documents, so they are never broadcast.
-    """
-    good = labels.where(F.col("quality").eqNullSafe(1) & ~held_out()).select("doc_id").distinct()
-    good = good.withColumn("is_target", F.lit(True)).hint("merge")
-    return write_once(docs.select("doc_id", "text").join(good, "doc_id", "left"), "flagged")
-
-
-def fit(docs: DataFrame) -> Models:
-    """Both models from flagged documents; what comes to the driver has a fixed bound."""
-    counts = np.zeros((2, SLOTS // BLOCK, BLOCK), np.int64)
-    for batch in write_once(_counts(docs), "slot-counts").toArrow().to_batches():
-        for k, target, background in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            counts[0, k], counts[1, k] = _unpacked(target), _unpacked(background)
-    return Models(counts.reshape(2, SLOTS))
-
-
-def score(docs: DataFrame, models: Models) -> DataFrame:
+def score(docs: DataFrame, answers: DataFrame, models: Models) -> DataFrame:
     """Tokens, mean losses and their difference for every flagged document."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    def make():
-        slots = _Slots()
-
-        def work(batch: pa.RecordBatch) -> list[pa.Array]:
-            flags = batch.column(batch.schema.get_field_index("is_target")).to_pylist()
-            got = [
-                shared.value.losses(t, slots, bool(f)) for t, f in zip(utf8(batch), flags, strict=True)
-            ]
-            columns = list(zip(*got, strict=True)) if got else [(), (), ()]
-            kinds = (pa.int64(), pa.float64(), pa.float64())
-            out = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
-            return [*out, pa.array([t - b for _, t, b in got], pa.float64())]
-
-        return work
-
-    fields = [("n_tokens", T.LongType())] + [
-        (c, T.DoubleType()) for c in ("target_loss", "background_loss", "score")
-    ]
-    return append_arrow(docs, fields, make, ["doc_id"])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = SCORED.format(kind)
+    blank = lambda c, t: F.lit(None).cast(t).alias(c)
+    replies = answers.where("chunk IS NOT NULL").select(
+        blank("doc_id", kind), blank("text", "string"), blank("is_target", "boolean"), "chunk", "part", "target", "background"
+    )
+    rows = docs.select(
+        "doc_id", "text", "is_target", "chunk", blank("part", "int"), blank("target", "binary"), blank("background", "binary")
+    )
+    met = replies.unionByName(rows).repartition("chunk")
+    met = met.sortWithinPartitions("chunk", F.asc_nulls_last("part"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, names = _Words(), [f.split()[0] for f in schema.split(", ")]
+        for _, held in _by_chunk(batches):
+            told = [r for r in held if r[3] is not None]
+            texts = [r for r in held if r[3] is None]
+            none = [np.empty(0, np.int64)]
+            counts = [np.concatenate(none + [_unpacked(r[k]) for r in told]) for k in (4, 5)]
+            found = _grams_of([r[1] for r in texts], known)
+            _, at = np.unique(np.concatenate([g.ravel() for g in found]), return_inverse=True)
+            out, start = [], 0
+            for (doc, _, flag, *_), own in zip(texts, found, strict=True):
+                numbers = at[start : start + own.size].reshape(own.shape)
+                start += own.size
+                n, target, background = models.losses(numbers, counts, bool(flag))
+                out.append((n, target, background, target - background))
+            columns = list(zip(*out, strict=True))
+            kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64())
+            arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
+            ids = pa.array([r[0] for r in texts], ids_kind)
+            yield pa.RecordBatch.from_arrays([ids, *arrays], names=names)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    ids_kind = to_arrow_type(docs.schema["doc_id"].dataType)
+    return met.mapInArrow(run, schema)
 
 
 def difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = flagged(docs, labels)
-    return score(rows, fit(rows))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    bits = max(0, (size // PART_BYTES).bit_length())
+    answers = write_once(answered(asked(rows, bits)), "answers")
+    sums = answers.where("chunk IS NULL").agg(*[F.sum(c) for c in ("words", "all_target", "all_words")]).first()
+    return score(rows, answers, Models(*[x or 0 for x in sums]))
