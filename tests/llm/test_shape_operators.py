@@ -217,6 +217,37 @@ def test_vectors_against_all_pairs(spark):
     assert vector_graph.link(vectors.where("vec_id >= 9000")).count() == 5
 
 
+def test_links_of_a_spread_cloud_are_not_lost_between_shards(spark, monkeypatch):
+    """Hundreds of small shards over a cloud: the audit finds how many of them a node needs."""
+    monkeypatch.setattr(vector_graph, "SHARD", 32)
+    monkeypatch.setattr(vector_graph, "OVERLAP", 1)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(9000, 8)) @ rng.normal(size=(8, 64)) + 0.02 * rng.normal(size=(9000, 64))
+    x[:3000] = x[0] + 0.05 * rng.normal(size=(3000, 64))  # a third in one group
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    degree = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    _, nodes, length = vector_graph._nodes(vectors)
+    centres, first = vector_graph._shards(vector_graph._centroids(nodes, 9000, length), 0.95)
+    assert len(first) > 100
+    assert vector_graph.overlap_needed(nodes, centres, first, length, 0.95) > vector_graph.OVERLAP
+    got = {r["vec_id"]: r["n_links"] for r in vector_graph.link(vectors).collect()}
+    links = np.array([got[k] for k in range(9000)])
+    cloud = degree[3000:] > 0
+    assert (links <= degree).all() and links[3000:][cloud].sum() >= 0.95 * degree[3000:][cloud].sum()
+    assert links[:3000].sum() >= 0.95 * degree[:3000].sum()
+
+
+def test_shards_that_cannot_hold_the_pairs_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(vector_graph, "SHARD", 32)
+    monkeypatch.setattr(vector_graph, "MOST_SHARDS", 1)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3000, 8)) @ rng.normal(size=(8, 64))
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="audited pairs"):
+        vector_graph.link(vectors)
+
+
 def test_pipeline_on_odd_documents(spark):
     import corpus_pipeline
 

@@ -34,7 +34,10 @@ CUT = 0.95
 SHARD, PART = 1024, 2048  # nodes of a shard as centroids are chosen; nodes of a part at most, about
 CENTROIDS = 4096  # at most
 SAMPLE = 32_768  # nodes that centroids are fitted on, and no more than 32 for each centroid
-OVERLAP = 3  # shards of a node
+OVERLAP = 3  # shards of a node at least
+MOST_SHARDS = 48  # and at most
+AUDITED = 512  # nodes whose neighbours are sought among all, before shards are dealt out
+WANTED, LEAST = 0.97, 0.9  # share of their pairs that meet in a shard: aimed at, and demanded
 TILE = 8192  # rows that the audit compares with at once, about
 DEGREE, NEAR, FAR, ALPHA = 24, 48, 16, 1.2
 BEAM, SLACK = 24, 0.15
@@ -114,20 +117,93 @@ def _centroids(nodes: DataFrame, n: int, length: int) -> np.ndarray:
     return fit_centroids(x, min(count, len(x)))
 
 
-def _assigned(nodes: DataFrame, centres: np.ndarray, length: int, cut: float) -> DataFrame:
-    """All nodes with their shards in order."""
+def _shards(centres: np.ndarray, cut: float) -> tuple[np.ndarray, np.ndarray]:
+    """The centroids in the order of their shards, and where each shard's begin."""
     shard = dense_groups(centres, cut)
     order = np.argsort(shard, kind="stable")
-    first = np.searchsorted(shard[order], np.arange(shard.max() + 1))
-    shared = nodes.sparkSession.sparkContext.broadcast((centres[order], first))
+    return centres[order], np.searchsorted(shard[order], np.arange(shard.max() + 1))
+
+
+def nearest_shards(x: np.ndarray, centres: np.ndarray, first: np.ndarray, most: int) -> np.ndarray:
+    """The shards of the centroids most similar to each vector, the best first."""
+    best = np.maximum.reduceat(x @ centres.T, first, axis=1)
+    return np.argsort(-best, axis=1, kind="stable")[:, : min(most, len(first))]
+
+
+def meeting_ranks(
+    queries: np.ndarray, own: np.ndarray, x: np.ndarray, near: np.ndarray, hits: np.ndarray, shards: int
+) -> np.ndarray:
+    """For every query the number of vectors in range that meet it in a shard once both lie in their
+    1, 2, ... nearest ones; the last column counts those that never do."""
+    width = near.shape[1]
+    out = np.zeros((len(queries), width + 1), np.int64)
+    for k in range(len(queries)):
+        rank = np.full(shards, width)
+        rank[own[k]] = np.arange(own.shape[1])
+        at = np.flatnonzero(hits[:, k])
+        for a in range(0, len(at), TILE):
+            both = np.maximum(rank[near[at[a : a + TILE]]], np.arange(width))
+            out[k] += np.bincount(both.min(axis=1), minlength=width + 1)
+    return out
+
+
+def overlap_needed(nodes: DataFrame, centres: np.ndarray, first: np.ndarray, length: int, cut: float) -> int:
+    """How many shards a node needs so that its pairs meet: the audit of the shards.
+
+    A bounded number of nodes is compared with all nodes. The smallest overlap is taken at which the
+    wanted share of their pairs meets, counted over all pairs, as the mean over the audited nodes, and
+    as the mean over those of them with neighbours outside the nearest shard;
+    ``ValueError`` where not even the least share can be reached.
+    """
+    picked = nodes.select("node", "unit").orderBy(F.xxhash64("unit"), "node").limit(AUDITED).collect()
+    queries = _matrix([r["unit"] for r in picked], length)
+    ids = np.array([r["node"] for r in picked], np.int64)
+    shared = nodes.sparkSession.sparkContext.broadcast((queries, ids, centres, first))
+    names = ["query", "rank", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, ids, centres, first = shared.value
+        own = nearest_shards(queries, centres, first, MOST_SHARDS)
+        total = np.zeros((len(queries), own.shape[1] + 1), np.int64)
+        for batch in batches:
+            x = _matrix(batch.column(1).to_pylist(), length)
+            near = nearest_shards(x, centres, first, MOST_SHARDS)
+            hits = x @ queries.T >= cut
+            hits &= batch.column(0).to_numpy()[:, None] != ids
+            total += meeting_ranks(queries, own, x, near, hits, len(first))
+        q, rank = np.nonzero(total)
+        columns = [pa.array(c, pa.int64()) for c in (q, rank, total[q, rank])]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    counted = nodes.select("node", "unit").mapInArrow(run, "query long, rank long, n long")
+    rows = counted.groupBy("query", "rank").agg(F.sum("n").alias("n")).collect()  # a few for each audited node
+    width = min(MOST_SHARDS, len(first))
+    met = np.zeros((len(picked), width + 1))
+    for r in rows:
+        met[r["query"], r["rank"]] = r["n"]
+    met = met[met.sum(axis=1) > 0]
+    if not len(met):
+        return min(OVERLAP, width)
+    so_far = np.cumsum(met, axis=1)[:, :width]
+    of_node = so_far / met.sum(axis=1, keepdims=True)
+    share = np.minimum(so_far.sum(axis=0) / met.sum(), of_node.mean(axis=0))
+    if share[-1] < LEAST:
+        raise ValueError(f"only {share[-1]:.2f} of the audited pairs meet in {width} shards")
+    apart = of_node[of_node[:, 0] < 1]  # a dense group, whose nodes all meet at once, hides no others
+    enough = np.flatnonzero(np.minimum(share, apart.mean(axis=0) if len(apart) else 1.0) >= WANTED)
+    return max(min(OVERLAP, width), int(enough[0]) + 1 if len(enough) else width)
+
+
+def _assigned(nodes: DataFrame, centres: np.ndarray, length: int, cut: float) -> DataFrame:
+    """All nodes with their shards in order."""
+    centres, first = _shards(centres, cut)
+    overlap = overlap_needed(nodes, centres, first, length, cut)
+    shared = nodes.sparkSession.sparkContext.broadcast((centres, first))
 
     def make():
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             units = batch.column(batch.schema.get_field_index("unit")).to_pylist()
-            x = np.frombuffer(b"".join(units), np.float64).reshape(-1, length)
-            centres, first = shared.value
-            best = np.maximum.reduceat(x @ centres.T, first, axis=1)
-            own = np.argsort(-best, axis=1, kind="stable")[:, : min(OVERLAP, len(first))]
+            own = nearest_shards(_matrix(units, length), *shared.value, overlap)
             return [pa.array(np.sort(own, axis=1).tolist(), pa.list_(pa.int32()))]
 
         return work
