@@ -36,6 +36,8 @@ def _byte_characters() -> list[str]:
 
 
 class _Pieces(dict):
+    """Ids of pieces by the text behind their blank, or from their line break on."""
+
     def __init__(self, encode, limit: int):
         super().__init__()
         self.encode, self.limit = encode, limit
@@ -43,9 +45,6 @@ class _Pieces(dict):
     def __missing__(self, word: str) -> bytes:
         if not word:
             raise _OddSpace
-        rest = word[1:] if word[0] == "\n" else word
-        if any(c.isspace() for c in rest):
-            raise _OddSpace
         if len(self) >= self.limit:
             self.clear()
         ids = self[word] = self.encode(word if word[0] == "\n" else " " + word)
@@ -94,6 +93,8 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         m = _PLAIN.fullmatch(piece)
         if m is None:
+            if any(c.isspace() for c in piece[1:]):
+                raise _OddSpace
             return self._whole(piece)
         line_break, word, marks = m.groups()
         if line_break:
