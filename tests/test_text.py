@@ -260,3 +260,11 @@ def test_map_text_and_scorer_hook(apply, spark):
     assert arrow.score_batches(rows, scorer, "t", on_error=None).count() == 9
     told = arrow.score_batches(rows, scorer, "t", batch_size=3, error="why")
     assert told.where("why is not null").count() == 1
+
+
+def test_marks_in_a_text_are_put_back(apply):
+    """The mark around matches is doubled where a text holds it, so no part is taken for a match."""
+    texts = ["\uffff dr. a \uffff\uffff", "dr\uffffdr", "\uffff", "", None, "no dr", "xdr"]
+    assert apply(lambda c: X.expand_abbreviations(c, "en"), texts) == [
+        "\uffff doctor. a \uffff\uffff", "doctor\uffffdoctor", "\uffff", "", None, "number doctor", "xdr",
+    ]

@@ -52,6 +52,10 @@ def table_literal(rows: list[str]) -> Column:
     return F.split(F.lit("\t".join(rows)), "\t")
 
 
+# No character: texts do not hold it, and where one does it is doubled and put back.
+_MARK = "\uffff"
+
+
 def replace_matches(
     col: Column,
     pattern: str,
@@ -60,27 +64,31 @@ def replace_matches(
 ) -> Column:
     """Replace every match of ``pattern`` by ``spell(match)``; the text between stays.
 
-    ``unless`` may look at the found matches and name a condition with another way to go.
+    One scan puts a mark around every match, so every second part between marks is one. No match may
+    be empty. ``unless`` may look at the found matches and name a condition with another way to go.
     """
 
     def rebuild(p: Column) -> Column:
-        text, found = p["text"], p["found"]
-        tail = F.array_append(F.transform(found, spell), F.lit(""))
-        joined = F.array_join(
-            F.zip_with(F.split(text, pattern, -1), tail, lambda g, s: F.concat(g, s)), ""
-        )
-        untouched = F.when(F.size(found) == 0, text)
+        text, parts = p["text"], p["parts"]
+        odd = lambda i: (i % 2) == 1
+
+        def one(part: Column, i: Column) -> Column:
+            return F.when(~odd(i), part).when(part == "", _MARK).otherwise(spell(part))
+
+        untouched = F.when(F.size(parts) == 1, text)
         if unless is not None:
-            condition, other = unless(found)
+            condition, other = unless(F.filter(parts, lambda part, i: odd(i) & (part != "")))
             untouched = untouched.when(condition, other(text))
-        return untouched.otherwise(joined)
+        return untouched.otherwise(F.array_join(F.transform(parts, one), ""))
+
+    def cut(text: Column) -> Column:
+        whole = F.replace(text, F.lit(_MARK), F.lit(_MARK * 2))
+        return F.split(F.regexp_replace(whole, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
 
     return let(
         col,
         lambda t: let(
-            F.struct(
-                t.alias("text"), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("found")
-            ),
+            F.struct(t.alias("text"), cut(t).alias("parts")),
             lambda p: F.when(p["text"].isNotNull(), rebuild(p)),
         ),
     )

@@ -261,12 +261,16 @@ def remove_punctuation(col: Column, replacement: str = " ") -> Column:
 def _either(pairs: list[tuple[str, str]]) -> str:
     """One pattern for all left-hand sides; every one of them starts at a word edge.
 
-    A look at the first letter comes before the costlier look at the character before it.
+    A look at the first two characters comes before the costlier look at the character before them.
     """
     start = java_edges(r"\b")
-    letters = "".join(sorted({p[len(r"\b")] for p, _ in pairs}))
+    heads = [p.removeprefix(r"\b") for p, _ in pairs]
+    open_ended = {h[0] for h in heads if h[1] in "+*?"}  # any second character
+    first = "".join(sorted({h[0] for h in heads} - open_ended))
+    second = "".join(sorted({h[2] if h[1] == "\\" else h[1] for h in heads if h[0] not in open_ended}))
+    look = f"[{first}][{second}]" + (f"|[{''.join(sorted(open_ended))}]" if open_ended else "")
     sides = "|".join(java_edges(p)[len(start) :] for p, _ in pairs)
-    return f"(?i)(?=[{letters}]){start}(?:{sides})"
+    return f"(?i)(?={look}){start}(?:{sides})"
 
 
 def _in_order(col: Column, pairs: list[tuple[str, str]]) -> Column:
