@@ -2,9 +2,10 @@
 
 The target model counts the words and word pairs of documents labelled good (outside the held-out
 part), the background model those of all documents. Both share one vocabulary, the distinct words of
-all documents, and grow with them: a word, a context and a pair are long hashes, counted as they are. Counts of the background are scaled to the size of the target, so the same smoothing means the
-same in both. A document's own counts are taken out before it is scored. Its score is the mean, over
-its tokens, of the target's loss less the background's: the lower, the more it is like the target.
+all documents, and grow with them: a word, a context and a pair are long hashes, counted as they are.
+Counts of the background are scaled to the size of the target, so the same smoothing means the same in
+both. A document's own counts are taken out before it is scored. Its score is the mean, over its
+tokens, of the target's loss less the background's: the lower, the more it is like the target.
 
 No table of counts is broadcast. Documents are packed into chunks of bounded bytes, a row each, as the
 files give them. A chunk asks for its distinct grams, cut into parts by their leading bits; each part is
