@@ -268,3 +268,19 @@ def test_marks_in_a_text_are_put_back(apply):
     assert apply(lambda c: X.expand_abbreviations(c, "en"), texts) == [
         "\uffff doctor. a \uffff\uffff", "doctor\uffffdoctor", "\uffff", "", None, "number doctor", "xdr",
     ]
+
+
+def test_word_errors_of_many_distinct_words(spark):
+    """More than 127 distinct words, against a plain table; every word counts one."""
+    ref = [f"w{i}" for i in range(300)]
+    hyp = ["zz" if (32 + i) % 5 == 0 else w for i, w in enumerate(ref) if (32 + i) % 23]
+    row = list(range(len(hyp) + 1))
+    for i, a in enumerate(ref):
+        new = [i + 1]
+        for j, b in enumerate(hyp):
+            new.append(min(row[j] + (a != b), row[j + 1] + 1, new[j] + 1))
+        row = new
+    pair = spark.createDataFrame([(" ".join(ref), " ".join(hyp))], "r string, h string")
+    from tuturan.functions import scoring
+
+    assert pair.select(scoring.word_errors(F.col("r"), F.col("h"))).first()[0] == row[-1] == 71
