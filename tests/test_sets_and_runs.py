@@ -296,3 +296,22 @@ def test_cluster_without_a_folder_is_refused():
     unset.conf.get.return_value = None
     with pytest.raises(ValueError, match="not set"):
         session.shared_dir(unset)
+
+
+# --------------------------------------------------------------------------------------- memory and tasks
+def test_text_functions_see_small_parts(spark):
+    """A part holds at most a megabyte, or one longer text; order, nulls and empty texts stay."""
+    texts = pa.array(["é" * 300_000, None, "x" * 3_000_000, "", None, *["ab" * 100_000] * 12, "z"], pa.string())
+    sizes = []
+
+    def double(part):
+        sizes.append((len(part), sum(len(t.encode()) for t in part)))
+        return part + part
+
+    done = arrow._in_parts(texts, double)
+    assert done.to_pylist() == [t if t is None else t + t for t in texts.to_pylist()]
+    assert all(n <= 1 or size <= 1 << 20 for n, size in sizes)
+    assert arrow._in_parts(texts.slice(0, 0), double).to_pylist() == []
+    rows = spark.createDataFrame([(1, "é"), (2, None), (3, "")], "i int, t string")
+    seen = {r["i"]: (r["n"], r["m"]) for r in rows.select("i", arrow.nfc(F.col("t")).alias("n"), arrow.map_text(lambda s: s.str.upper(), F.col("t")).alias("m")).collect()}
+    assert seen == {1: ("é", "É"), 2: (None, None), 3: ("", "")}

@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -20,9 +22,26 @@ _SETTLED = (
 )
 
 
-@F.pandas_udf(T.StringType())
-def _nfc_batch(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+_AT_ONCE = 1 << 20  # bytes of text turned into Python strings together
+
+
+def _in_parts(texts: pa.Array, fn: Callable[[pd.Series], pd.Series]) -> pa.Array:
+    """A function of a series over an Arrow array, a part of at most ``_AT_ONCE`` bytes (one text at
+    least) at a time: strings, and what the function makes on its way, take many times their bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    done, start, before = [], 0, 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(ends, before + _AT_ONCE, side="right")))
+        part = texts.slice(start, end - start).to_pandas()
+        known = part.notna()
+        done.append(pa.array(fn(part[known]).reindex(part.index), pa.string(), from_pandas=True))
+        start, before = end, ends[end - 1]
+    return pa.concat_arrays(done) if done else pa.array([], pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def _nfc_batch(texts: pa.Array) -> pa.Array:
+    return _in_parts(texts, lambda part: part.map(lambda t: unicodedata.normalize("NFC", t)))
 
 
 def nfc(col: Column) -> Column:
@@ -35,12 +54,11 @@ def nfc(col: Column) -> Column:
 
 
 def map_text(fn: Callable[[pd.Series], pd.Series], col: Column) -> Column:
-    """Apply a function of a whole series of texts over Arrow batches; nulls stay null."""
+    """Apply a function of a series of texts to parts of Arrow batches; nulls stay null."""
 
-    @F.pandas_udf(T.StringType())
-    def batch(texts: pd.Series) -> pd.Series:
-        known = texts.notna()
-        return fn(texts[known]).reindex(texts.index)
+    @F.arrow_udf(T.StringType())
+    def batch(texts: pa.Array) -> pa.Array:
+        return _in_parts(texts, fn)
 
     return batch(col)
 
@@ -263,15 +281,16 @@ def read_wav_headers(files: DataFrame, min_duration: float, max_duration: float)
             errors.append(f"Too long: {seconds:.2f}s > {max_duration}s")
         return seconds, rate, channels, errors
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            parsed = [header(content) for content in frame["content"]]
-            fields = pd.DataFrame(parsed, columns=["duration", "sample_rate", "channels", "errors"])
-            fields.insert(0, "path", frame["path"].to_numpy())
-            fields.insert(1, "length", frame["length"].to_numpy())
-            yield fields
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["duration", "sample_rate", "channels", "errors"]
+        types = [pa.float64(), pa.int32(), pa.int32(), pa.list_(pa.string())]
+        for batch in batches:  # of file contents one is held at a time, beside the batch as it came
+            parsed = [header(content.as_py()) for content in batch.column("content")]
+            fields = [pa.array([p[k] for p in parsed], kind) for k, kind in enumerate(types)]
+            own = [batch.column("path"), batch.column("length")]
+            yield pa.RecordBatch.from_arrays(own + fields, names=["path", "length", *names])
 
-    return files.select("path", "length", "content").mapInPandas(run, HEADER_SCHEMA)
+    return files.select("path", "length", "content").mapInArrow(run, HEADER_SCHEMA)
 
 
 # Workers get these functions by value, whether or not the package is installed there.
