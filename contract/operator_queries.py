@@ -51,27 +51,29 @@ def split_sql(by: str, key: str, ratio: float) -> str:
 
 
 # --------------------------------------------------------------------------------------------- audio headers
+FILES_AT_ONCE = 64
+
+
 def wav_files(spark, d):
     """Sound files of one supplier each, built by the tasks: 8 kHz, cut short for every seventh."""
 
+    def sound(key):
+        buffer = io.BytesIO()
+        with wave.open(buffer, "wb") as out:
+            out.setnchannels(1 + int(key) % 2)
+            out.setsampwidth(2)
+            out.setframerate(8000)
+            out.writeframes(b"\0\0" * (1 + int(key) % 2) * (int(key) % 20 * 1000))
+        return b"" if key % 7 == 0 else buffer.getvalue()
+
     def build(frames):
         for frame in frames:
-            contents = []
-            for key in frame["s_suppkey"]:
-                buffer = io.BytesIO()
-                with wave.open(buffer, "wb") as out:
-                    out.setnchannels(1 + int(key) % 2)
-                    out.setsampwidth(2)
-                    out.setframerate(8000)
-                    out.writeframes(b"\0\0" * (1 + int(key) % 2) * (int(key) % 20 * 1000))
-                contents.append(b"" if key % 7 == 0 else buffer.getvalue())
-            yield pd.DataFrame(
-                {
-                    "path": [f"{k}.wav" for k in frame["s_suppkey"]],
-                    "length": [len(c) for c in contents],
-                    "content": contents,
-                }
-            )
+            for start in range(0, len(frame), FILES_AT_ONCE):
+                keys = frame["s_suppkey"].iloc[start : start + FILES_AT_ONCE]
+                contents = [sound(k) for k in keys]
+                yield pd.DataFrame(
+                    {"path": [f"{k}.wav" for k in keys], "length": [len(c) for c in contents], "content": contents}
+                )
 
     keys = table(spark, d, "supplier").select("s_suppkey")
     return keys.mapInPandas(build, "path string, length bigint, content binary")
