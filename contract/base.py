@@ -24,15 +24,18 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table. Where it is a single file, and so one row group and one task, it is dealt out."""
-    rows = spark.read.parquet(f"{folder}/{name}.parquet")
-    if name in DEALT_OUT and len(rows.inputFiles()) == 1:
-        return rows.repartition(2 * spark.sparkContext.defaultParallelism)
-    return rows
-
-
-# Tables with much work per row.
-DEALT_OUT = {"documents", "conversations", "orders", "customer"}
+    """A given table. One with much work per row is dealt out over parts that do not grow with it."""
+    path = f"{folder}/{name}.parquet"
+    rows = spark.read.parquet(path)
+    if name not in DEALT_OUT:
+        return rows
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0  # a listing
+    return rows.repartition(max(2 * spark.sparkContext.defaultParallelism, -(-size // PART_BYTES)))
+
+
+# Tables with much work per row, and the bytes of their files that are one task's share.
+DEALT_OUT = {"documents", "conversations", "orders", "customer", "supplier"}
+PART_BYTES = 4 << 20
 
 
 # Corpus rows: one per document, 15 characters per second.
