@@ -31,3 +31,10 @@ def test_heavy_tables_are_dealt_out_by_their_bytes(spark, tmp_path, monkeypatch)
     rows = base.table(spark, str(tmp_path), "documents")
     assert rows.rdd.getNumPartitions() >= 100
     assert rows.count() == rows.distinct().count() == 20_000
+
+
+def test_sound_files_are_built_by_many_tasks(spark):
+    """A supplier's sound file is much work beside its row of a few bytes."""
+    from contract.operator_queries import wav_files
+
+    assert wav_files(spark, SMALL).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
