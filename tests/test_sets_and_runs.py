@@ -1,8 +1,11 @@
 """Shard sets, listings, rejects, lookups, long distances, bounded memory and whole runs."""
 
+import functools
 import json
 import random
 import re
+import subprocess
+import sys
 from pathlib import Path
 from unittest import mock
 
@@ -10,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tests import brute
@@ -58,6 +62,22 @@ def test_unknown_schemes_are_listed_by_spark(spark, tmp_path, monkeypatch):
     assert inventory.list_files(spark, str(tmp_path)).first()["length"] == 2
 
 
+def test_listing_tasks_need_no_installed_package(tmp_path):
+    """A worker that cannot import the package runs the task as it was sent."""
+    (tmp_path / "a.wav").write_bytes(b"xy")
+    folders = mock.Mock()
+    inventory._list_level(folders, functools.partial(inventory._opened, tmp_path.as_uri()), "/r")
+    code = """
+import pickle, sys
+import pyarrow as pa
+run = pickle.load(sys.stdin.buffer)
+print([b.to_pylist() for b in run([pa.RecordBatch.from_pydict({"path": ["/r"]})])])
+"""
+    sent = cloudpickle.dumps(folders.mapInArrow.call_args.args[0])
+    out = subprocess.run([sys.executable, "-I", "-c", code], input=sent, capture_output=True, cwd=tmp_path, timeout=60)
+    assert out.stdout.decode().strip() == "[[{'path': '/r/a.wav', 'length': 2, 'is_folder': False}]]", out.stderr.decode()
+
+
 @pytest.mark.parametrize(
     "pattern, yes, no",
     [("*.w?v", ["a.wav", ".wxv"], ["a.wv"]), ("{a,b*}.t[!x]t", ["a.tat", "bcd.tet"], ["a.txt", "ab.tat"]), (r"a\*", ["a*"], ["ab"]), ("a]b{", ["a]b{"], ["ab"])],

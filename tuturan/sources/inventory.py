@@ -8,10 +8,12 @@ ever holds the number of folders of a level.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tuturan.session import store
@@ -139,3 +141,7 @@ def _listed_by_spark(spark: SparkSession, folder: str, pattern: str) -> DataFram
         .load(folder)
     )
     return files.select("path", "length")
+
+
+# As in functions/arrow: workers get these functions by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
