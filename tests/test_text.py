@@ -5,7 +5,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from tuturan.functions import arrow, asr, language as L, numbers as N, repetition, scoring as S, text as X
+from tuturan.functions import arrow, asr, expr, language as L, numbers as N, repetition, scoring as S, text as X
 
 GOLDEN_ZH = [
     ("我今年２５岁。", "我今年25岁"),
@@ -143,6 +143,24 @@ def test_numbers_in_text(apply, spark):
     assert chinese == ["价格是 十五元", "增长 百分之十五", "增长 二点五%", "第1名 一点五零"]
 
 
+def test_tidying_leaves_single_blanks_alone(apply):
+    texts = ["satu dua tiga", "satu  dua", "a\tb c", " a\u3000\u3000 b\x85", "é\xa0ü", ""]
+    assert apply(lambda c: F.regexp_count(c, F.lit(expr.LOOSE)), texts) == [0, 1, 1, 2, 1, 0]
+    assert apply(expr.squeeze, texts) == ["satu dua tiga", "satu dua", "a b c", "a b", "é ü", ""]
+
+
+def test_numbers_of_every_length(apply):
+    """Up to three digits, up to six and up to nine go ways of their own."""
+    rng = random.Random(7)
+    digits = [f"{rng.randrange(10**k):0{k}d}" for k in range(1, 31) for _ in range(20)] + ["0", "000", "1000", "001000", "100000", "1000000"]
+    assert apply(lambda c: N.normalize_numbers(c, "ms"), digits) == [brute.malay_numbers(d) for d in digits]
+    fast = apply(N.english_digits_to_words, ["0", "12", "1000", "1001", "1100", "999999", "007", "001000"])
+    assert fast[:4] == ["zero", "twelve", "one thousand", "one thousand and one"]
+    assert fast[4:] == [
+        "one thousand, one hundred", "nine hundred and ninety-nine thousand, nine hundred and ninety-nine", "seven", "one thousand",
+    ]
+
+
 def test_preparation_order(apply):
     text = "Dr. Siti beli 5 kg, RM 25.50 laah!  15%"
     assert apply(lambda c: asr.preprocess_asr(c, "ms"), [text]) == [

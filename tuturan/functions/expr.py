@@ -13,6 +13,8 @@ NOT_WORD = r"[^\p{L}\p{N}_]"
 SPACE_SET = r"\s\x1c-\x1f\x85\p{Z}"
 SPACE = rf"[{SPACE_SET}]"
 EDGE = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
+# White space other than a single blank; plain characters take one test.
+LOOSE = rf"(?=[^!-~])(?:{SPACE}{{2,}}|[{SPACE_SET}&&[^ ]])"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -34,7 +36,7 @@ def strip(col: Column) -> Column:
 
 def squeeze(col: Column) -> Column:
     """Runs of white space become one blank; the ends are trimmed."""
-    return F.trim(F.regexp_replace(col, rf"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(col, LOOSE, " "))
 
 
 def is_blank(col: Column) -> Column:

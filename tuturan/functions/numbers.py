@@ -116,7 +116,21 @@ def malay_digits_to_words(digits: Column) -> Column:
         head = F.when(done != "", F.concat(done, F.lit(" bilion"))).otherwise("")
         return _join_words(head, below_billion(n))
 
-    spoken = F.aggregate(_groups(_canonical(digits), 9), F.lit(""), step)
+    def below_million(n: Column) -> Column:
+        rest = n % 1000
+        head = F.when(n < 2000, "seribu").otherwise(F.concat(F.get(table, (n / 1000).cast("int")), F.lit(" ribu")))
+        return F.concat(head, F.when(rest == 0, "").otherwise(F.concat(F.lit(" "), F.get(table, rest))))
+
+    def spell(d: Column) -> Column:  # most numbers are one or two looks into the table, or one group
+        size = F.length(d)
+        return (
+            F.when(size.between(1, 3), F.get(table, d.cast("int")))
+            .when(size.between(4, 6) & ~F.startswith(d, F.lit("0")), let(d.cast("int"), below_million))
+            .when(size.between(4, 9), let(d.cast("int"), below_billion))
+            .otherwise(F.aggregate(_groups(_canonical(d), 9), F.lit(""), step))
+        )
+
+    spoken = let(digits, spell)
     return let(spoken, lambda s: F.when(s == "", MALAY_DIGITS[0]).otherwise(s))
 
 
@@ -216,11 +230,20 @@ def english_digits_to_words(digits: Column) -> Column:
             text = F.when(n == 0, acc["text"]).otherwise(F.concat(acc["text"], joint, words))
             return F.struct((acc["seen"] + 1).alias("seen"), text.alias("text"))
 
+        def thousands(n: Column) -> Column:
+            rest = n % 1000
+            joint = F.when(rest < 100, " and ").otherwise(", ")
+            tail = F.when(rest == 0, "").otherwise(F.concat(joint, F.get(table, rest)))
+            return F.concat(F.get(table, (n / 1000).cast("int")), F.lit(" thousand"), tail)
+
         start = F.struct(F.lit(0).alias("seen"), F.lit("").alias("text"))
         spoken = F.aggregate(groups, start, step, lambda acc: acc["text"])
+        size = F.length(d)
         return (
-            F.when(F.length(d) > 3 * len(ENGLISH_SCALES), _digit_by_digit(d, names, " "))
-            .when(d == "0", ENGLISH_SMALL[0])
+            F.when(d == "0", ENGLISH_SMALL[0])
+            .when(size.between(1, 3), F.get(table, d.cast("int")))
+            .when(size.between(4, 6), let(d.cast("int"), thousands))
+            .when(size > 3 * len(ENGLISH_SCALES), _digit_by_digit(d, names, " "))
             .otherwise(spoken)
         )
 
@@ -285,7 +308,7 @@ def _whole(number: Column) -> Column:
 
 
 def _fraction(number: Column) -> Column:
-    return F.regexp_extract(number, r"\.(\d+)", 1)
+    return F.when(F.contains(number, F.lit(".")), F.substring_index(number, ".", -1)).otherwise("")
 
 
 def _decimals(fraction: Column, language: str) -> Column:
@@ -337,13 +360,14 @@ def _spell_found(found: Column, language: str) -> Column:
         )
         return F.concat(CARDINALS[language](p["whole"]), tail)
 
-    number = F.regexp_replace(found, r"[^\d.]", "")
-    parts = F.struct(
+    marked = F.startswith(found, F.lit(_OPEN))
+    inside = F.when(marked, F.substring(found, F.lit(3), F.length(found) - 3)).otherwise(found)
+    parts = lambda number: F.struct(
         F.substring(found, 2, 1).alias("kind"),
         _whole(number).alias("whole"),
         _fraction(number).alias("fraction"),
     )
-    return let(parts, body)
+    return let(let(F.replace(inside, F.lit(","), F.lit("")), parts), body)
 
 
 def _normalize_chinese(text: Column) -> Column:
@@ -375,7 +399,7 @@ def normalize_numbers(col: Column, language: str, tidy: bool = True) -> Column:
     def body(raw: Column) -> Column:
         if language == "zh":
             return _normalize_chinese(raw)
-        text = raw
+        text = squeeze(raw) if tidy else raw  # it is shorter now; words of numbers need no tidying
         if language in CARDINALS:
             text = F.regexp_replace(text, RINGGIT, f"{_OPEN}M$1{_CLOSE}")
         text = F.regexp_replace(text, PERCENT, f"{_OPEN}P$1{_CLOSE}")
@@ -386,7 +410,7 @@ def normalize_numbers(col: Column, language: str, tidy: bool = True) -> Column:
         return let(col, lambda t: F.when(t.rlike(r"\d"), body(t)).otherwise(t))
     return let(
         col,
-        lambda t: F.when(t.rlike(r"\d"), squeeze(body(t)))
+        lambda t: F.when(t.rlike(r"\d"), squeeze(body(t)) if language == "zh" else body(t))
         .when(is_blank(t), t)
         .otherwise(squeeze(t)),
     )
