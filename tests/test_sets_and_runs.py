@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tests import brute
 from tuturan import session
 from tuturan.functions import arrow, scoring
-from tuturan.operators import lookup, stats, vocab
+from tuturan.operators import generate as G, lookup, stats, vocab
 from tuturan.plans import benchmark, corpus, synthesis, vocabulary
 from tuturan.sources import inventory, readers, rejects, shards, writers
 from tuturan.streaming import incremental
@@ -335,3 +335,17 @@ def test_text_functions_see_small_parts(spark):
     rows = spark.createDataFrame([(1, "é"), (2, None), (3, "")], "i int, t string")
     seen = {r["i"]: (r["n"], r["m"]) for r in rows.select("i", arrow.nfc(F.col("t")).alias("n"), arrow.map_text(lambda s: s.str.upper(), F.col("t")).alias("m")).collect()}
     assert seen == {1: ("é", "É"), 2: (None, None), 3: ("", "")}
+
+
+# ------------------------------------------------------------------------------------------ generation at size
+def test_few_persons_are_dealt_out(spark):
+    """One person's sentences are made by many tasks, and are the same as before."""
+    one = spark.createDataFrame([("Ali",)], "name string")
+    templates = ["{name} nombor satu.", "{name} nombor dua."]
+    with mock.patch.object(synthesis, "generate_until") as until:
+        synthesis.next_batch(one, templates, 50_000, 1)
+    made = until.call_args.args[0](3, 50_000)
+    sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 50_000 and max(sizes) <= 12_000
+    plain = G.generate_sentences(one, templates, 50_000, first_round=3)
+    assert made.exceptAll(plain).isEmpty() and plain.exceptAll(made).isEmpty()

@@ -46,6 +46,7 @@ CODES = {
 }
 PLACEHOLDER = r"\{(\w+)\}"
 PREVIEW_CHARS = 50
+SAMPLE_BLOCK = 1000  # samples of one person that stay together when they are dealt out
 
 
 @dataclass(frozen=True)
@@ -208,6 +209,17 @@ def _template_table(templates: Sequence[str]) -> Column:
     return F.split(F.lit("\t".join(templates)), "\t")
 
 
+def _with_samples(persons: DataFrame, first: int, samples: int, parts: int | None) -> DataFrame:
+    """A row for every person and sample; ``parts`` deals them out, however few persons there are."""
+    last = first + samples - 1
+    if parts is None:
+        return persons.withColumn("sample", F.explode(F.sequence(F.lit(first), F.lit(last))))
+    starts = F.sequence(F.lit(first), F.lit(last), F.lit(SAMPLE_BLOCK))
+    blocks = persons.withColumn("_from", F.explode(starts)).repartition(parts)
+    end = F.least(F.col("_from") + (SAMPLE_BLOCK - 1), F.lit(last))
+    return blocks.withColumn("sample", F.explode(F.sequence("_from", end))).drop("_from")
+
+
 def generate_sentences(
     persons: DataFrame,
     templates: Sequence[str],
@@ -217,14 +229,15 @@ def generate_sentences(
     seed: int = 42,
     key: str = "name",
     first_round: int = 0,
+    parts: int | None = None,
 ) -> DataFrame:
     """``per_person`` sentences for every person, template and numbers by seeded draws.
 
     ``kind`` is ``mixed`` (person and number placeholders) or ``name`` (person only). A sentence
-    with an unknown placeholder or below the minimum length is dropped.
+    with an unknown placeholder or below the minimum length is dropped. ``parts`` is the number of
+    tasks that make them; without it those that hold the persons do.
     """
-    rounds = F.sequence(F.lit(first_round), F.lit(first_round + per_person - 1))
-    rows = persons.withColumn("sample", F.explode(rounds))
+    rows = _with_samples(persons, first_round, per_person, parts)
     draws = Draws(seed, F.concat_ws("|", F.col(key), F.col("sample").cast("string"), F.lit(kind)))
     pick = draws.between("template", 0, len(templates) - 1).cast("int")
     empty = F.lit("")

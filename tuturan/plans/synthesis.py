@@ -17,6 +17,8 @@ from tuturan.sources.writers import write_manifest, write_per_speaker
 
 Shares = Sequence[tuple[str, float]]
 
+SENTENCES_PER_TASK = 10_000
+
 
 def next_batch(
     persons: DataFrame,
@@ -33,12 +35,13 @@ def next_batch(
     ``per_person`` is the least number of samples in a round.
     """
 
+    keys = persons.count()
+
     def make(first: int, samples: int) -> DataFrame:
-        return generate_sentences(persons, templates, samples, seed=seed, key=key, first_round=first)
+        parts = max(1, -(-keys * samples // SENTENCES_PER_TASK))
+        return generate_sentences(persons, templates, samples, seed=seed, key=key, first_round=first, parts=parts)
 
-    return generate_until(
-        make, target, persons.count(), earlier, seed=seed, per_key=per_person, allow_short=allow_short
-    )
+    return generate_until(make, target, keys, earlier, seed=seed, per_key=per_person, allow_short=allow_short)
 
 
 def synthetic_manifest(
