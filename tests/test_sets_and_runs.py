@@ -349,3 +349,12 @@ def test_few_persons_are_dealt_out(spark):
     assert sum(sizes) == 50_000 and max(sizes) <= 12_000
     plain = G.generate_sentences(one, templates, 50_000, first_round=3)
     assert made.exceptAll(plain).isEmpty() and plain.exceptAll(made).isEmpty()
+
+
+def test_repeated_persons_say_the_same(spark):
+    """Copies of a person add no rounds that only repeat what one of them has said."""
+    copies = spark.range(120).select("id", F.concat(F.lit("P"), (F.col("id") % 3).cast("string")).alias("name"))
+    with mock.patch.object(synthesis, "generate_sentences", wraps=G.generate_sentences) as make:
+        batch = synthesis.next_batch(copies, ["{name} bayar {amount}, rujukan {ref_number}."], 60, 1)
+        assert batch.select("text").distinct().count() == 60
+    assert make.call_count <= 2

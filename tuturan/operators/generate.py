@@ -46,6 +46,7 @@ CODES = {
 }
 PLACEHOLDER = r"\{(\w+)\}"
 PREVIEW_CHARS = 50
+PERSON_FIELDS = ["name", "honorific", "position", "title", "party"]  # what sentences take from a person
 SAMPLE_BLOCK = 1000  # samples of one person that stay together when they are dealt out
 
 

@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tuturan.functions.language import detect_language, tag_text
 from tuturan.operators.filters import duration_between, validate_samples
-from tuturan.operators.generate import generate_sentences, generate_until, quota_plan, sentences_by_share
+from tuturan.operators.generate import (
+    PERSON_FIELDS,
+    generate_sentences,
+    generate_until,
+    quota_plan,
+    sentences_by_share,
+)
 from tuturan.operators.ranks import stratified_split
 from tuturan.operators.stats import with_share
 from tuturan.session import store
@@ -32,9 +38,11 @@ def next_batch(
 ) -> DataFrame:
     """A batch of new sentences, none of which an earlier batch holds.
 
-    ``per_person`` is the least number of samples in a round.
+    ``per_person`` is the least number of samples in a round. Persons that are told apart by nothing
+    a sentence takes from them count as one, as they would say the same.
     """
-
+    told = {c.lower() for c in (key, *PERSON_FIELDS)}
+    persons = persons.select(*[c for c in persons.columns if c.lower() in told]).distinct()
     keys = persons.count()
 
     def make(first: int, samples: int) -> DataFrame:
