@@ -16,7 +16,9 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from contract import QUERIES
 from tests import brute
+from tests.conftest import SMALL
 from tuturan import session
 from tuturan.functions import arrow, scoring
 from tuturan.operators import generate as G, lookup, stats, vocab
@@ -318,6 +320,23 @@ def test_cluster_without_a_folder_is_refused():
         session.shared_dir(unset)
 
 
+# Queries that keep stage tables in the shared folder.
+STAGED = [
+    "agg15_skip_report",
+]
+
+
+@pytest.mark.parametrize("name", STAGED)
+def test_query_runs_with_a_mounted_folder(spark, tmp_path, monkeypatch, name):
+    """On a cluster whose shared folder is a path without a scheme; stage tables lie there."""
+    context = spark.sparkContext
+    settings = context.getConf().set("spark.checkpoint.dir", str(tmp_path))
+    monkeypatch.setattr(context, "master", "spark://host:7077")
+    monkeypatch.setattr(context, "getConf", lambda: settings)
+    assert QUERIES[name](spark, SMALL).count() > 0
+    assert any(tmp_path.iterdir())
+
+
 # --------------------------------------------------------------------------------------- memory and tasks
 def test_text_functions_see_small_parts(spark):
     """A part holds at most a megabyte, or one longer text; order, nulls and empty texts stay."""
