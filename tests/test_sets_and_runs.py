@@ -323,6 +323,7 @@ def test_cluster_without_a_folder_is_refused():
 # Queries that keep stage tables in the shared folder.
 STAGED = [
     "agg15_skip_report",
+    "build_corpus",
 ]
 
 
