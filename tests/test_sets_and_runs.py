@@ -327,6 +327,7 @@ STAGED = [
     "build_keyed_corpus",
     "build_keyed_corpus_skipped",
     "build_speaker_corpus",
+    "build_vocabulary",
 ]
 
 
