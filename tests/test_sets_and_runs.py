@@ -328,6 +328,7 @@ STAGED = [
     "build_keyed_corpus_skipped",
     "build_speaker_corpus",
     "build_vocabulary",
+    "generation_run",
 ]
 
 
