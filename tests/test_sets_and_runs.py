@@ -332,6 +332,7 @@ STAGED = [
     "gen4_incremental_batch",
     "join10_map_vocabulary_ids",
     "join1_match_utterances",
+    "join4_spot_check",
 ]
 
 
