@@ -334,6 +334,7 @@ STAGED = [
     "join1_match_utterances",
     "join4_spot_check",
     "join9_to_phonemes",
+    "prepare_corpus",
 ]
 
 
