@@ -335,6 +335,7 @@ STAGED = [
     "join4_spot_check",
     "join9_to_phonemes",
     "prepare_corpus",
+    "prepare_speakers",
 ]
 
 
