@@ -337,6 +337,7 @@ STAGED = [
     "prepare_corpus",
     "prepare_speakers",
     "prepare_tagged_corpus",
+    "prepare_test_set",
 ]
 
 
