@@ -339,6 +339,7 @@ STAGED = [
     "prepare_tagged_corpus",
     "prepare_test_set",
     "prj4_sequential_names",
+    "score_benchmark",
 ]
 
 
