@@ -340,6 +340,7 @@ STAGED = [
     "prepare_test_set",
     "prj4_sequential_names",
     "score_benchmark",
+    "run_benchmark",
 ]
 
 
