@@ -204,6 +204,51 @@ def test_lookup_in_place_and_by_join_agree(spark, monkeypatch, limit):
     assert (covered["total_tokens"], covered["total_unknown"]) == (len(tokens), sum(w not in known for w in tokens))
 
 
+def test_large_dictionary_moves_a_text_once(spark, monkeypatch):
+    """Shuffles take the bytes of the texts and of each part's words, not a row for every token."""
+    monkeypatch.setattr(lookup.small_table, "__defaults__", (0,))
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(2000)]
+    texts = [" ".join(rng.choice(words) for _ in range(1500)) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(4)
+    entries = spark.createDataFrame([(w, w[::-1]) for w in words[::2]], "word string, phonemes string")
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = lambda: {f: f.stat().st_size for d in folders for f in Path(d.getPath()).glob("*/shuffle_*.data")}
+    before = files()
+    vocab.to_phonemes(rows, entries).write.format("noop").mode("overwrite").save()
+    assert sum(size for f, size in files().items() if f not in before) < 2 * sum(map(len, texts))
+
+
+def test_parts_of_a_large_dictionary(spark, monkeypatch):
+    """Many parts, stretches of one task's rows, and parts over many batches; rows may be filtered later."""
+    monkeypatch.setattr(lookup.small_table, "__defaults__", (0,))
+    monkeypatch.setattr(lookup, "PART_TEXT", 400)
+    monkeypatch.setattr(arrow, "_TOKENS", 5)
+    known = {w: f"<{w}>" for w in ["a", "b\x01", "c\x02d", "é", "ος", "&", " ", "日本"]} | {f"w{i}": f"{i}" for i in range(0, 50, 2)}
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice([f"w{i}", f"W{i}"]) for i in (rng.randrange(50) for _ in range(rng.randrange(12)))) for _ in range(120)]
+    texts += ["A É É ΟΣ & && 日本", None, "", " ", *["w2, w3"] * 30]
+    rows = spark.createDataFrame([(i, t, {"k": t}) for i, t in enumerate(texts)], "id int, text string, other map<string,string>")
+    entries = spark.createDataFrame(list(known.items()), "word string, phonemes string")
+    spoken = lambda t: "".join(known.get(k.lower(), k) for k in re.findall(r"[\w']+|[^\w\s]+|\s+", t or ""))
+    want = {i: (t, {"k": t}, spoken(t)) for i, t in enumerate(texts)}
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(batch)
+    spark.conf.set(batch, "7")
+    try:
+        for frame in (rows.coalesce(1), rows.repartition(20)):
+            done = vocab.to_phonemes(frame, entries)
+            assert done.columns == ["id", "text", "other", "phonemes"]
+            got = done.collect()
+            assert len(got) == len(want) and {r["id"]: tuple(r)[1:] for r in got} == want
+            odd = {r["id"]: tuple(r)[1:] for r in done.where("id % 2 = 1").collect()}
+            assert odd == {i: w for i, w in want.items() if i % 2}
+        replaced = vocab.to_phonemes(rows, entries, name="text").collect()
+        assert {r["id"]: r["text"] for r in replaced} == {i: w[2] for i, w in want.items()}
+    finally:
+        spark.conf.set(batch, usual)
+
+
 def test_control_characters_are_not_mistaken_for_marks(spark):
     entries = spark.createDataFrame([("a", "1"), ("b", "2")], "word string, value string")
     table, buckets = lookup.small_table(entries, None)

@@ -110,6 +110,53 @@ def score_batches(
     return df.mapInPandas(run, schema)
 
 
+_TOKENS = 1 << 20  # looked up together
+
+
+def _replaced(tokens: pa.ListArray, known: pa.Array, values: pa.Array) -> pa.Array:
+    """The tokens of each row joined, known ones by their value; a null row is empty."""
+    counts = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(counts, dtype=np.int64)
+    done, start, before = [], 0, 0
+    while start < len(tokens):
+        end = max(start + 1, int(np.searchsorted(ends, before + _TOKENS, side="right")))
+        own = tokens.slice(start, end - start).flatten()
+        pieces = pc.coalesce(values.take(pc.index_in(own, value_set=known)), own)
+        offsets = pa.array(np.concatenate([[0], ends[start:end] - before]), pa.int32())
+        done.append(pc.binary_join(pa.ListArray.from_arrays(offsets, pieces), ""))
+        start, before = end, ends[end - 1]
+    return pa.concat_arrays(done)
+
+
+@F.arrow_udf(T.StringType())
+def _replaced_by_part(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    part, held = None, []  # the part that is passing, and its known tokens with their values as they came
+    for parts, known, values, tokens in batches:
+        ids, done = parts.to_numpy(), [pa.nulls(0, known.type)]
+        edges = [0, *(np.flatnonzero(np.diff(ids)) + 1), len(ids)]
+        for start, end in zip(edges, edges[1:]):
+            if start < end and ids[start] != part:
+                part, held = ids[start], []
+            first = end - known.slice(start, end - start).null_count  # of its rows
+            if start < first:
+                held.append((known.slice(start, first - start), values.slice(start, first - start)))
+                done.append(pa.nulls(first - start, known.type))
+            if first < end:
+                none = pa.nulls(0, known.type)
+                held = [tuple(pa.concat_arrays([none, *own]) for own in zip(*held))] if held else [(none, none)]
+                done.append(_replaced(tokens.slice(first, end - first), *held[0]))
+        yield pa.concat_arrays(done)
+
+
+def replaced_by_part(part: Column, known: Column, value: Column, tokens: Column) -> Column:
+    """Tokens joined, those known in the part by their value; null where no row of tokens stands.
+
+    For rows sorted by ``part``, in each first the ``known`` tokens with a ``value``, then its rows of
+    ``tokens``, where ``known`` is null. It goes by what passed before, so no filter may pass it.
+    """
+    return _replaced_by_part.asNondeterministic()(part, known, value, tokens)
+
+
 _BIG = 1 << 32  # an edit; a substitution is one more, so ties go to fewer substitutions
 _FAR = 1 << 60
 _TOGETHER = 512  # short pairs aligned in one step

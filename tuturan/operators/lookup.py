@@ -4,11 +4,14 @@ A dictionary that proves small becomes one value, an array of strings addressed
 word, each holding the few words of its bucket with their values between control characters. Every
 task holds it, and the words of a text are looked up inside their row. A dictionary that is larger
 is first cut down to the words that the texts use (distinct words meet after they were made distinct
-in the tasks). What is larger still is for a join of exploded words.
+in the tasks). What is larger still is for a join of exploded words, or for parts of the rows with the
+entries of their own words.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tuturan.session import store
@@ -17,6 +20,8 @@ TABLE_BYTES = 24 << 20  # of a dictionary that every task holds
 ENTRY_BYTES = 16  # of an entry besides its characters
 ENTRIES_A_BUCKET = 8
 OPEN, CLOSE = "\x01", "\x02"  # before a word, and between it and its value
+PART_TEXT = 16 << 20  # bytes of text whose words' entries a task holds together
+TASK_BITS = 33  # below them stands the number of a row within the task that wrote it
 
 
 def _measured(entries: DataFrame) -> tuple[int, int, bool]:
@@ -34,15 +39,18 @@ def used_entries(entries: DataFrame, words: DataFrame) -> DataFrame:
     return entries.join(words.select("word").distinct(), "word", "left_semi")
 
 
-def small_table(entries: DataFrame, words: DataFrame, limit: int = TABLE_BYTES) -> tuple[Column, int] | None:
+def small_table(
+    entries: DataFrame, words: DataFrame | None, limit: int = TABLE_BYTES
+) -> tuple[Column, int] | None:
     """The buckets, a column to put into the row of a projection, and their number; None beyond the
     limit, and for a dictionary that holds one of the two control characters.
 
     ``entries``: distinct ``word`` with a ``value``, neither null, as a written table. ``words``: all
-    words that will be asked, read only where the dictionary is over the limit.
+    words that will be asked, read only where the dictionary is over the limit; without them it is not
+    cut down.
     """
     n, size, plain = _measured(entries)
-    if plain and size > limit:
+    if plain and size > limit and words is not None:
         entries = store(used_entries(entries, words), "used")
         n, size, plain = _measured(entries)
     if size > limit or not plain:
@@ -58,6 +66,26 @@ def small_table(entries: DataFrame, words: DataFrame, limit: int = TABLE_BYTES)
     return listed.agg(F.transform(in_order, lambda b: b["held"])).scalar(), buckets
 
 
+def in_parts(df: DataFrame, text: str) -> tuple[DataFrame, Column, int]:
+    """The rows as a written table, the part of each row, and a number of partitions for the parts.
+
+    A part is what a few neighbouring tasks wrote, or a stretch of what one wrote, of about
+    ``PART_TEXT`` bytes of text. Rows are numbered as they are written, so that every pass and a task
+    that runs twice find the same parts.
+    """
+    rows = store(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    task = F.shiftright("_row", TASK_BITS)
+    n, size, last = rows.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text).cast("bigint")), F.lit(0)), F.coalesce(F.max(task), F.lit(0))
+    ).first()
+    tasks = last + 1
+    parts = max(math.ceil(size / PART_TEXT), min(2 * df.sparkSession.sparkContext.defaultParallelism, tasks))
+    together, stretch = max(1, tasks // parts), max(1, math.ceil(n / parts))
+    within = F.col("_row").bitwiseAND((1 << TASK_BITS) - 1)
+    part = F.floor(task / together) + F.floor(within / stretch)
+    return rows, part.cast("int"), max(parts, math.ceil(tasks / together))
+
+
 def bucket_of(word: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
 

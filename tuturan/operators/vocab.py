@@ -7,10 +7,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tuturan.functions.arrow import replaced_by_part
 from tuturan.functions.expr import words_of
 from tuturan.functions.language import dictionary_tokens, vocabulary_words
 from tuturan.functions.text import char_class
-from tuturan.operators.lookup import is_known, looked_up, small_table
+from tuturan.operators.lookup import in_parts, is_known, looked_up, small_table
 from tuturan.session import store
 
 # The supplementary ideographs are meant as a block of five-digit code points; a four-digit reading
@@ -146,31 +147,38 @@ def to_phonemes(
 ) -> DataFrame:
     """Add the text with dictionary words replaced by their phonemes; everything else stays.
 
-    A dictionary of proven size, if need be cut down to the words that occur, is looked up inside
-    each row, and rows stay where they are. A larger one meets the tokens in a join: rows are
-    numbered in a written table, so that a task that runs twice gives them the same number, and only
-    numbers and tokens are shuffled until the texts are put together again.
+    A dictionary of proven size is looked up inside each row, and rows stay where they are. For a
+    larger one rows are written in parts of like size; each part gets the values of its own distinct
+    tokens, and a task holds those of one part while its rows pass. So a token is shuffled once a part,
+    however often it occurs, and a text once.
     """
     best = dictionary.groupBy(F.lower("word").alias("word")).agg(F.max("phonemes").alias("value"))
     entries = store(best.where("word IS NOT NULL AND value IS NOT NULL"), "dictionary")
-    tokens = dictionary_tokens(F.col(text))
-    asked = df.select(F.explode(tokens).alias("_token")).select(F.lower("_token").alias("word"))
-    table = small_table(entries, asked)
-    kept = [F.col(f"`{c}`") for c in df.columns if c != name]
+    table = small_table(entries, None)
+    kept = [c for c in df.columns if c != name]
     if table is not None:
         held, buckets = table
-        in_row = df.select(*kept, tokens.alias("_tokens")).withColumn("_table", held)
+        in_row = df.select(*map(_quoted, kept), dictionary_tokens(F.col(text)).alias("_tokens")).withColumn("_table", held)
         spoken = F.transform(
             "_tokens", lambda t: F.coalesce(looked_up(F.col("_table"), buckets, F.lower(t)), t)
         )
         return in_row.withColumn(name, F.coalesce(F.array_join(spoken, ""), F.lit(""))).drop("_tokens", "_table")
-    numbered = store(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    pieces = (
-        numbered.select("_row", F.posexplode(tokens).alias("_pos", "_token"))
-        .join(entries, F.lower("_token") == F.col("word"), "left")
-        .select("_row", F.struct("_pos", F.coalesce("value", "_token").alias("_piece")).alias("_piece"))
+    rows, part, parts = in_parts(df, text)
+    of_part = rows.select(part.alias("_part"), F.explode(F.array_distinct(dictionary_tokens(F.col(text)))).alias("_token"))
+    found = of_part.distinct().join(entries, F.lower("_token") == F.col("word"))
+    used = store(found.select("_part", "_token", "value"), "used")
+    whole = rows.select(part.alias("_part"), F.struct(*map(_quoted, df.columns)).alias("_own"))
+    beside = used.withColumn("_own", F.lit(None).cast(whole.schema["_own"].dataType))
+    met = (
+        beside.unionByName(whole, allowMissingColumns=True)
+        .repartitionById(parts, "_part")
+        .sortWithinPartitions("_part", F.col("_own").isNotNull())
     )
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list("_piece")), lambda p: p["_piece"]), "")
-    spoken = pieces.groupBy("_row").agg(joined.alias("_spoken"))
-    whole = numbered.join(spoken, "_row", "left")
-    return whole.select(*kept, F.coalesce("_spoken", F.lit("")).alias(name))
+    tokens = dictionary_tokens(F.col(f"_own.{text}"))
+    spoken = replaced_by_part(F.col("_part"), F.col("_token"), F.col("value"), tokens)
+    done = met.withColumn("_spoken", spoken).where(F.col("_own").isNotNull())
+    return done.select(*(F.col("_own").getField(c).alias(c) for c in kept), F.col("_spoken").alias(name))
+
+
+def _quoted(name: str) -> Column:
+    return F.col(f"`{name}`")
