@@ -6,6 +6,7 @@ import random
 import re
 import subprocess
 import sys
+import time
 from pathlib import Path
 from unittest import mock
 
@@ -219,6 +220,21 @@ def test_large_dictionary_moves_a_text_once(spark, monkeypatch):
     assert sum(size for f, size in files().items() if f not in before) < 2 * sum(map(len, texts))
 
 
+def test_shuffle_files_of_a_written_stage_go(spark):
+    """At the end of the write, not when the driver happens to collect its garbage; the setting is as before."""
+    counted = spark.range(20_000).repartition(8).groupBy((F.col("id") % 1000).alias("g")).count()
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = lambda: {f.name for d in folders for f in Path(d.getPath()).glob("*/shuffle_*.data")}
+    before, usual = files(), spark.conf.get(session.CLEANUP, None)
+    kept = session.store(counted, "counted", tidy=True)
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and spark.conf.get(session.CLEANUP, None) == usual
+    assert kept.count() == counted.count() == 1000
+
+
 def test_parts_of_a_large_dictionary(spark, monkeypatch):
     """Many parts, stretches of one task's rows, and parts over many batches; rows may be filtered later."""
     monkeypatch.setattr(lookup.small_table, "__defaults__", (0,))

@@ -73,7 +73,7 @@ def in_parts(df: DataFrame, text: str) -> tuple[DataFrame, Column, int]:
     ``PART_TEXT`` bytes of text. Rows are numbered as they are written, so that every pass and a task
     that runs twice find the same parts.
     """
-    rows = store(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    rows = store(df.withColumn("_row", F.monotonically_increasing_id()), "numbered", tidy=True)
     task = F.shiftright("_row", TASK_BITS)
     n, size, last = rows.agg(
         F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text).cast("bigint")), F.lit(0)), F.coalesce(F.max(task), F.lit(0))

@@ -153,7 +153,7 @@ def to_phonemes(
     however often it occurs, and a text once.
     """
     best = dictionary.groupBy(F.lower("word").alias("word")).agg(F.max("phonemes").alias("value"))
-    entries = store(best.where("word IS NOT NULL AND value IS NOT NULL"), "dictionary")
+    entries = store(best.where("word IS NOT NULL AND value IS NOT NULL"), "dictionary", tidy=True)
     table = small_table(entries, None)
     kept = [c for c in df.columns if c != name]
     if table is not None:
@@ -166,7 +166,7 @@ def to_phonemes(
     rows, part, parts = in_parts(df, text)
     of_part = rows.select(part.alias("_part"), F.explode(F.array_distinct(dictionary_tokens(F.col(text)))).alias("_token"))
     found = of_part.distinct().join(entries, F.lower("_token") == F.col("word"))
-    used = store(found.select("_part", "_token", "value"), "used")
+    used = store(found.select("_part", "_token", "value"), "used", tidy=True)
     whole = rows.select(part.alias("_part"), F.struct(*map(_quoted, df.columns)).alias("_own"))
     beside = used.withColumn("_own", F.lit(None).cast(whole.schema["_own"].dataType))
     met = (

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # when a query ends
+
 
 def local_session(cores: str = "8", app: str = "tuturan") -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
@@ -55,11 +57,20 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def store(df: DataFrame, name: str = "stage") -> DataFrame:
+def store(df: DataFrame, name: str = "stage", tidy: bool = False) -> DataFrame:
     """Write once to the shared folder and read back.
 
     Later passes prune columns, and Spark knows the bytes of a small table when it picks a join.
+    With ``tidy`` the shuffle files of the write go at its end, else whenever the driver collects garbage.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    usual = conf.get(CLEANUP, None)
+    if tidy:
+        conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            conf.unset(CLEANUP) if usual is None else conf.set(CLEANUP, usual)
     return df.sparkSession.read.schema(df.schema).parquet(path)
